@@ -26,7 +26,7 @@ def _stretches(df: DataFrame, keys: Sequence[str], ts: str, gap: timedelta) -> D
     return (
         df.withColumn("_k", key_struct(keys))
         .withColumn("_at", at)
-        .withColumn("_stretch", F.floor(F.col("_at") / F.lit(_micros(gap))).cast("long"))
+        .withColumn("_stretch", F.col("_at") - F.pmod(F.col("_at"), F.lit(_micros(gap))))
     )
 
 

@@ -56,10 +56,10 @@ def index_within(
         .sortWithinPartitions(*order)
         .withColumn("_slice", F.spark_partition_id())
         .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_33_BITS)))
-        .withColumn("_k", key_struct(keys)),
+        .withColumn("_group", key_struct(keys)),
         "slices",
     )
-    parts = sliced.groupBy("_slice", "_k").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    parts = sliced.groupBy("_slice", "_group").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     slices = (
         parts.groupBy("_slice")
@@ -67,10 +67,10 @@ def index_within(
         .select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
     parts = parts.join(slices, "_slice")
-    starts = parts.groupBy("_k").agg(F.min(F.col("_offset") + F.col("_first")).alias("_start"))
-    shift = parts.join(starts, "_k").select("_slice", "_k", (F.col("_offset") - F.col("_start")).alias("_shift"))
+    starts = parts.groupBy("_group").agg(F.min(F.col("_offset") + F.col("_first")).alias("_start"))
+    shift = parts.join(starts, "_group").select("_slice", "_group", (F.col("_offset") - F.col("_start")).alias("_shift"))
     return (
-        sliced.join(shift, ["_slice", "_k"])
+        sliced.join(shift, ["_slice", "_group"])
         .withColumn(name, F.col("_pos") + F.col("_shift"))
         .select(*df.columns, name)
     )
