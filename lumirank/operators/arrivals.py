@@ -13,6 +13,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumirank.plans.ordered import GROUP_ROWS, index_within, key_struct
 
@@ -98,7 +99,10 @@ def throughput(df: DataFrame, every: timedelta = timedelta(seconds=5), ts: str =
 
 def period_counts(df: DataFrame, every: timedelta, ts: str = "ts") -> DataFrame:
     """Arrivals per period that has any (batch or stream)."""
-    window = F.window(F.col(ts).cast("timestamp"), f"{_micros(every)} microseconds")
+    time = F.col(ts)
+    if not isinstance(df.schema[ts].dataType, T.TimestampType):
+        time = time.cast("timestamp")  # a cast would hide a stream's watermark
+    window = F.window(time, f"{_micros(every)} microseconds")
     return df.groupBy(window.alias("w")).agg(F.count(F.lit(1)).alias("arrivals")).select(
         F.col("w.start").alias("period_start"), "arrivals"
     )

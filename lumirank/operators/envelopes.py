@@ -56,7 +56,8 @@ def message_key(df: DataFrame, key_col: str | None) -> Column:
 def _payload(columns: Sequence[str], fmt: str) -> Column:
     text = F.to_json(F.struct(*columns), JSON_OPTIONS)
     if fmt == FORMAT_BASE64:
-        return F.base64(text.cast("binary")).cast("binary")
+        one_line = F.translate(F.base64(text.cast("binary")), "\r\n", "")
+        return one_line.cast("binary")
     if fmt == FORMAT_JSON:
         return text.cast("binary")
     raise ValueError(f"unknown message format {fmt!r}")

@@ -123,7 +123,7 @@ def vector_dimension(spark, d):
 
 def vector_normalize(spark, d):
     rows = table(spark, d, "embeddings")
-    unit = vectors.normalize_l2(F.transform("embedding", lambda x: x * 3 + 1))
+    unit = vectors.normalize_l2(F.transform("embedding", lambda x: x.cast("double") * 3 + 1))
     return rows.select("vec_id", F.posexplode(unit).alias("pos", "v")).select("vec_id", "pos", F.round("v", 6).alias("v"))
 
 

@@ -171,7 +171,7 @@ def oracle_sql() -> dict[str, str]:
             FROM embeddings GROUP BY label""",
         "vector_dimension": "SELECT max(len(embedding)) AS dimension, count(*) AS records FROM embeddings",
         "vector_normalize": """
-            WITH t AS (SELECT vec_id, list_transform(embedding, lambda x: (x * 3 + 1)::FLOAT::DOUBLE) AS e FROM embeddings)
+            WITH t AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3 + 1) AS e FROM embeddings)
             SELECT vec_id, pos, round(e[pos + 1] / sqrt(list_inner_product(e, e)), 6) AS v FROM t, unnest(range(64)) AS u(pos)""",
         "vector_conversion": """
             SELECT vec_id, len(embedding) AS n, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings""",

@@ -65,8 +65,8 @@ class _Grouper(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         latest = None
         for pdf in rows:
-            self.waiting.appendList(list(zip(pdf["_id"].tolist(), pdf["_at"].tolist())))
-            latest = pdf["_at"].max() if latest is None else max(latest, pdf["_at"].max())
+            self.waiting.appendList(list(zip(pdf["row_id"].tolist(), pdf["micros"].tolist())))
+            latest = pdf["micros"].max() if latest is None else max(latest, pdf["micros"].max())
         if latest is not None:
             self.handle.registerTimer(int(latest) // 1000 + 1)
         yield pd.DataFrame()
@@ -120,9 +120,9 @@ def micro_batches_stream(
     a key's state is bounded by its rows within `delay` and one trigger; bound the latter at the source.
     """
     rows = with_event_time(stream, ts, delay)
-    names = list(keys) or ["_all"]
+    names = list(keys) or ["all_rows"]
     if not keys:
-        rows = rows.withColumn("_all", F.lit(0))
+        rows = rows.withColumn("all_rows", F.lit(0))
     grouper = _Grouper(max_count, _micros(idle_gap))
     grouper.keys = names
     key_fields = [rows.schema[n] for n in names]
@@ -137,9 +137,9 @@ def micro_batches_stream(
         ]
     )
     slim = rows.select(
-        *names, ts, F.col(id_col).cast("long").alias("_id"), F.unix_micros(F.col(ts)).alias("_at")
+        *names, ts, F.col(id_col).cast("long").alias("row_id"), F.unix_micros(F.col(ts)).alias("micros")
     )
     groups = slim.groupBy(*names).transformWithStateInPandas(
         statefulProcessor=grouper, outputStructType=out, outputMode="Append", timeMode="EventTime"
     )
-    return groups if keys else groups.drop("_all")
+    return groups if keys else groups.drop("all_rows")
