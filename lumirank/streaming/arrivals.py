@@ -63,12 +63,13 @@ class _Grouper(StatefulProcessor):
         self.tail = handle.getValueState("tail", "last long, filled long, session long")
 
     def handleInputRows(self, key, rows, timerValues):
-        latest = None
+        earliest = None
         for pdf in rows:
             self.waiting.appendList(list(zip(pdf["row_id"].tolist(), pdf["micros"].tolist())))
-            latest = pdf["micros"].max() if latest is None else max(latest, pdf["micros"].max())
-        if latest is not None:
-            self.handle.registerTimer(int(latest) // 1000 + 1)
+            first = int(pdf["micros"].min())
+            earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None:
+            self.handle.registerTimer(earliest // 1000 + 1)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -82,6 +83,7 @@ class _Grouper(StatefulProcessor):
             self.waiting.clear()
         else:
             self.waiting.put(list(zip(rest["id"].tolist(), rest["at"].tolist())))
+            self.handle.registerTimer(int(rest["at"].iloc[0]) // 1000 + 1)
         last, filled, session = self.tail.get() if self.tail.exists() else (None, 0, 0)
 
         starts = done["at"].diff() >= self.gap
