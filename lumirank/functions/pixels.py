@@ -105,7 +105,7 @@ def to_planes(pixels: np.ndarray) -> np.ndarray:
     """Bytes (h, w, c) to normalised float planes (3, h, w)."""
     rgb = np.repeat(pixels, 3, axis=2) if pixels.shape[2] == 1 else pixels[..., :3]
     scaled = rgb.astype(np.float32) / np.float32(255)
-    return ((scaled - np.float32(MEAN)) / np.float32(STD)).transpose(2, 0, 1)
+    return np.ascontiguousarray(((scaled - np.float32(MEAN)) / np.float32(STD)).transpose(2, 0, 1))
 
 
 def from_planes(planes: np.ndarray) -> np.ndarray:

@@ -75,7 +75,7 @@ class PooledImageEmbedder(Embedder):
             n, c, h, w = batch.shape
             edge_h, edge_w = h // grid * grid, w // grid * grid
             blocks = batch[:, :, :edge_h, :edge_w].reshape(n, c, grid, edge_h // grid, grid, edge_w // grid)
-            return blocks.mean(axis=(3, 5)).reshape(n, -1) @ projection
+            return blocks.mean(axis=(3, 5), dtype=np.float64).reshape(n, -1) @ projection
 
         return embed
 

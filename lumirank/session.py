@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 # Settings the results depend on; they can be set on a session somebody else built.
@@ -18,10 +22,22 @@ ARROW_CONF = {
 }
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_lumirank_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='run-')}/{root.name}", "zip", root.parent, root.name)
+    context.addPyFile(archive)
+    context._lumirank_shipped = True
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set the runtime settings on an existing session and return it."""
+    """Make an existing session ready: runtime settings, and the package on its executors."""
     for key, value in {**RUNTIME_CONF, **ARROW_CONF}.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
@@ -40,4 +56,4 @@ def build_session(app: str = "lumirank", master: str | None = None, conf: dict |
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return prepare(builder.getOrCreate())

@@ -5,10 +5,12 @@ Rows later than the watermark are dropped by Spark; what the watermark has not p
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 from datetime import timedelta
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,9 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from lumirank.operators.arrivals import period_counts
 
+# The process in which Spark checks a stateful operator does not get added files: send the class itself.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _micros(gap: timedelta) -> int:
     return round(gap / timedelta(microseconds=1))
