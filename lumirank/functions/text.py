@@ -1,7 +1,12 @@
-"""Hashed token counts of a text, with built-in functions only."""
+"""Hashed token counts of a text."""
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,3 +25,25 @@ def token_buckets(text: Column, dim: int) -> Column:
         tokens(text),
         lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % dim).cast("int"),
     )
+
+
+def bucket_counts(lowered: pa.Array, dim: int) -> pa.Array:
+    """Token counts per bucket of each (already lower-case) text; null for null.
+
+    Same buckets as `token_buckets`, worked out once per distinct token of the batch.
+    """
+    if isinstance(lowered, pa.ChunkedArray):
+        lowered = lowered.combine_chunks()
+    n = len(lowered)
+    words = pc.split_pattern_regex(pc.fill_null(lowered, ""), SEPARATORS)
+    owner = np.repeat(np.arange(n), np.diff(words.offsets.to_numpy()))
+    coded = words.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    digests = [hashlib.md5(word.encode()).digest()[:4] for word in distinct]
+    bucket_of = np.array([int.from_bytes(digest, "big") % dim for digest in digests], dtype=np.int64)
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    keep = np.array([word != "" for word in distinct], dtype=bool)[codes]
+    at = owner[keep] * dim + bucket_of[codes[keep]]
+    dense = np.bincount(at, minlength=n * dim).astype(np.float32)
+    offsets = pa.array(np.arange(n + 1, dtype=np.int32) * dim)
+    return pa.ListArray.from_arrays(offsets, pa.array(dense), mask=lowered.is_null())

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumirank.functions.text import token_buckets
+from lumirank.functions.text import bucket_counts
 from lumirank.operators.preprocess import SIZE, float_lists, stripped_schema, tensors_of, without_pixels
 
 # Fixed batch sizes of the two models.
@@ -50,15 +50,10 @@ class HashingTextEmbedder(ColumnEmbedder):
         dim = self.dim
 
         @F.arrow_udf("array<float>")
-        def counts(buckets: pa.Array) -> pa.Array:
-            n = len(buckets)
-            buckets = buckets.fill_null([]) if buckets.null_count else buckets
-            owner = np.repeat(np.arange(n), np.diff(buckets.offsets.to_numpy()))
-            at = owner * dim + buckets.flatten().to_numpy(zero_copy_only=False)
-            dense = np.bincount(at.astype(np.int64), minlength=n * dim).astype(np.float32)
-            return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(dense))
-
-        return F.when(value.isNotNull(), counts(token_buckets(value, dim)))
+        def counts(lowered: pa.Array) -> pa.Array:
+            return bucket_counts(lowered, dim)
+
+        return counts(F.lower(value))
 
 
 class PooledImageEmbedder(Embedder):

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from lumirank.functions.vectors import to_array
 from lumirank.operators.validate import split_by_reason
 from lumirank.plans.ordered import index_within
+from lumirank.plans.spread import spread
 
 # Fixed values of the message format.
 ROW_TYPE = "spark_row"
@@ -77,7 +78,7 @@ def encode_rows(
     columns = rows.columns
     extra = _map_of(metadata)
     if order_by:
-        rows = index_within(rows, order_by, name="_row_index")
+        rows = spread(index_within(rows, order_by, name="_row_index"))
         index = F.create_map(F.lit("row_index"), F.col("_row_index").cast("string"))
         extra = index if extra is None else F.map_concat(extra, index)
     stamp = F.date_format(F.current_timestamp() if time is None else time, ISO_MICROS)

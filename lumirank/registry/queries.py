@@ -12,7 +12,8 @@ from lumirank.functions import records, vectors
 from lumirank.functions.pixels import MEAN, STD, normalize_pixels
 from lumirank.operators import arrivals, embedding, envelopes, paths, preprocess, runlogs, search, validate
 from lumirank.plans import ingest
-from lumirank.plans.scratch import scratch_path, scratch_table
+from lumirank.plans.scratch import scratch_path
+from lumirank.plans.spread import spread
 from lumirank.session import prepare
 from lumirank.sources import collection, logs, queries as text_queries
 from lumirank.sources.envelopes import read_envelopes
@@ -30,6 +31,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def heavy(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for work that is heavy per row."""
+    return spread(table(spark, folder, name).select(*columns))
+
+
 def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The same table as a stream of files."""
     schema = table(spark, folder, name).schema
@@ -325,7 +331,7 @@ def failure_breakdown(spark, d):
 
 
 def log_throughput(spark, d):
-    """A log file per user, written from events, then read back by line."""
+    """A log file per day, written from events, then read back by line."""
     e = table(spark, d, "events")
     line = F.when(
         F.col("event_type") == "view",
@@ -333,16 +339,15 @@ def log_throughput(spark, d):
     ).otherwise(F.concat(F.lit("INFO "), F.col("event_type")))
     path = scratch_path(spark, "logs")
     (
-        e.select("user_id", "ts", "event_id", line.alias("value"))
-        .repartition("user_id")
-        .sortWithinPartitions("user_id", "ts", "event_id")
-        .select("user_id", "value")
-        .write.partitionBy("user_id")
+        e.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts", "event_id", line.alias("value"))
+        .repartition("day")
+        .sortWithinPartitions("day", "ts", "event_id")
+        .select("day", "value")
+        .write.partitionBy("day")
         .text(path)
     )
     found = runlogs.extract_throughput(logs.read_log_lines(spark, path))
-    user = F.regexp_extract("file", r"user_id=(\d+)", 1).cast("long")
-    return found.select(user.alias("user_id"), "line_number", "throughput")
+    return found.select(F.regexp_extract("file", r"day=([0-9-]+)", 1).alias("day"), "line_number", "throughput")
 
 
 def batch_assign(spark, d):
@@ -358,7 +363,7 @@ def batch_count(spark, d):
 
 
 def _event_rows(spark, d):
-    return table(spark, d, "events").select("event_id", "user_id", "event_type", "props")
+    return heavy(spark, d, "events", "event_id", "user_id", "event_type", "props")
 
 
 def _text(col: str) -> Column:
@@ -476,7 +481,7 @@ def valid_queries(spark, d):
 
 
 def _document_rows(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = heavy(spark, d, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id")
     return embedding.embed_texts(docs, embedding.HashingTextEmbedder(DIM), out="values").select("id", "values")
 
 
@@ -508,7 +513,7 @@ def text_search_top10(spark, d):
 
 def _rgba(spark, d):
     """Each vector's 64 values as a 4 × 4 image with four channels (blue, green, red, alpha)."""
-    e = table(spark, d, "embeddings")
+    e = heavy(spark, d, "embeddings", "vec_id", "embedding")
     byte = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 127.5).cast("int"))
     return e.select("vec_id", byte.alias("bytes"))
 
@@ -528,7 +533,7 @@ def _rgba_images(spark, d):
 
 def _page_images(spark, d):
     """The bytes of each page, whole, as an image 16 pixels wide; the last row is filled with zeros."""
-    p = table(spark, d, "pages").withColumn("_rows", F.ceil(F.octet_length("html") / F.lit(48)).cast("int"))
+    p = heavy(spark, d, "pages", "page_id", "url", "html").withColumn("_rows", F.ceil(F.octet_length("html") / F.lit(48)).cast("int"))
     data = F.expr("rpad(encode(html, 'UTF-8'), _rows * 48, X'00')")
     return p.select("page_id", _image(F.col("url"), F.col("_rows"), 16, 3, 16, data))
 

@@ -9,6 +9,7 @@ import sys
 from collections.abc import Sequence
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -64,49 +65,51 @@ class _Grouper(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "id long, at long")
+        # One value per trigger, not per row: each value costs a call to the JVM.
+        self.waiting = handle.getListState("waiting", "ids array<long>, ats array<long>")
         self.tail = handle.getValueState("tail", "last long, filled long, session long")
 
     def handleInputRows(self, key, rows, timerValues):
         earliest = None
         for pdf in rows:
-            self.waiting.appendList(list(zip(pdf["row_id"].tolist(), pdf["micros"].tolist())))
-            first = int(pdf["micros"].min())
+            micros = pdf["micros"].to_numpy()
+            self.waiting.appendValue((pdf["row_id"].tolist(), micros.tolist()))
+            first = int(micros.min())
             earliest = first if earliest is None else min(earliest, first)
         if earliest is not None:
             self.handle.registerTimer(earliest // 1000 + 1)
-        yield pd.DataFrame()
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = pd.DataFrame(list(self.waiting.get()), columns=["id", "at"]).sort_values(["at", "id"])
-        done = waiting[waiting["at"] < passed]
-        if done.empty:
+        parts = list(self.waiting.get())
+        ids = np.concatenate([np.array(p[0], np.int64) for p in parts] or [np.empty(0, np.int64)])
+        ats = np.concatenate([np.array(p[1], np.int64) for p in parts] or [np.empty(0, np.int64)])
+        order = np.lexsort((ids, ats))
+        ids, ats = ids[order], ats[order]
+        n = int(np.searchsorted(ats, passed))
+        if n == 0:
             return
-        rest = waiting[waiting["at"] >= passed]
-        if rest.empty:
+        if n == len(ats):
             self.waiting.clear()
         else:
-            self.waiting.put(list(zip(rest["id"].tolist(), rest["at"].tolist())))
-            self.handle.registerTimer(int(rest["at"].iloc[0]) // 1000 + 1)
+            self.waiting.put([(ids[n:].tolist(), ats[n:].tolist())])
+            self.handle.registerTimer(int(ats[n]) // 1000 + 1)
+        ids, ats = ids[:n], ats[:n]
         last, filled, session = self.tail.get() if self.tail.exists() else (None, 0, 0)
 
-        starts = done["at"].diff() >= self.gap
-        starts.iloc[0] = last is None or done["at"].iloc[0] - last >= self.gap
-        number = session + starts.cumsum()
-        place = done.groupby(number.to_numpy()).cumcount() + (number == session) * filled
-        self.tail.update((int(done["at"].iloc[-1]), int(place.iloc[-1]) + 1, int(number.iloc[-1])))
-        out = {name: [value] * len(done) for name, value in zip(self.keys, key)}
-        yield pd.DataFrame(
-            {
-                **out,
-                "id": done["id"].to_numpy(),
-                "ts": pd.to_datetime(done["at"].to_numpy(), unit="us", utc=True),
-                "session": number.to_numpy(),
-                "part": (place // self.max_count).to_numpy(),
-                "position": (place % self.max_count).to_numpy(),
-            }
-        )
+        starts = np.empty(n, dtype=bool)
+        starts[0] = last is None or ats[0] - last >= self.gap
+        starts[1:] = np.diff(ats) >= self.gap
+        number = session + np.cumsum(starts)
+        begin = np.maximum.accumulate(np.where(starts, np.arange(n), 0))  # where each row's session starts
+        place = np.arange(n) - begin + np.where(number == session, filled, 0)
+        self.tail.update((int(ats[-1]), int(place[-1]) + 1, int(number[-1])))
+        columns = {name: [value] * n for name, value in zip(self.keys, key)}
+        columns["id"] = ids
+        columns["ts"] = pd.to_datetime(ats, unit="us", utc=True)
+        columns["session"], columns["part"], columns["position"] = number, place // self.max_count, place % self.max_count
+        yield pd.DataFrame(columns)
 
     def close(self) -> None:
         pass

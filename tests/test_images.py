@@ -217,3 +217,15 @@ def test_image_directory_as_a_stream(spark, folder, tmp_path):
     )
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "o")).count() == len(SOLIDS)
+
+
+def test_both_forms_of_the_token_buckets_agree(spark):
+    from lumirank.functions.text import token_buckets
+
+    rng = np.random.default_rng(4)
+    words = ["Alpha", "beta", "x1", "İz", "K9", "naïve", "…", "--", "\n", "ß", "42"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 30))) for _ in range(200)] + ["", " ", "!!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    dense = embedding.embed_texts(df, embedding.HashingTextEmbedder(32)).withColumn("b", token_buckets(F.col("text"), 32))
+    for row in dense.collect():
+        assert row["embedding"] == np.bincount(row["b"], minlength=32).tolist()
