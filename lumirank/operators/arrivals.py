@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumirank.plans.ordered import GROUP_ROWS, index_within, key_struct
+from lumirank.plans.scratch import scratch_table
 
 
 def _micros(gap: timedelta) -> int:
@@ -31,11 +32,14 @@ def _stretches(df: DataFrame, keys: Sequence[str], ts: str, gap: timedelta) -> D
     )
 
 
-def _sessions(rows: DataFrame, starts_session) -> DataFrame:
-    """Stretches of each key with the running number of their session (from 1)."""
-    counts = rows.groupBy("_k", "_stretch").agg(
+def _counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("_k", "_stretch").agg(
         F.min("_at").alias("_from"), F.max("_at").alias("_to"), F.count(F.lit(1)).alias("_n")
     )
+
+
+def _sessions(counts: DataFrame, starts_session) -> DataFrame:
+    """Stretches of each key with the running number of their session (from 1)."""
     order = W.partitionBy("_k").orderBy("_stretch")
     gap = F.col("_from") - F.lag("_to").over(order)
     return counts.withColumn("_new", F.coalesce(starts_session(gap), F.lit(True)).cast("long")).withColumn(
@@ -58,10 +62,12 @@ def micro_batches(
     part). Rows are taken in order of time, then id.
     """
     rows = _stretches(df, keys, ts, idle_gap)
-    sessions = _sessions(rows, lambda gap: gap >= _micros(idle_gap))
+    counts = scratch_table(_counts(rows), "stretches")
+    largest = counts.agg(F.max("_n").alias("n")).first()["n"] or 0
+    sessions = _sessions(counts, lambda gap: gap >= _micros(idle_gap))
     before = W.partitionBy("_k", "session").orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
     offsets = sessions.select("_k", "_stretch", "session", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    placed = index_within(rows, ["_at", id_col], ["_k", "_stretch"], "_i", group_rows)
+    placed = index_within(rows, ["_at", id_col], ["_k", "_stretch"], "_i", group_rows, largest)
     place = F.col("_before") + F.col("_i")
     return (
         placed.join(offsets, ["_k", "_stretch"])
@@ -79,7 +85,7 @@ def session_windows(
     Returns the keys, `session_start`, `session_end` (last row + gap) and `arrivals`.
     """
     rows = _stretches(df, keys, ts, gap)
-    sessions = _sessions(rows, lambda between: between > _micros(gap))
+    sessions = _sessions(_counts(rows), lambda between: between > _micros(gap))
     return (
         sessions.groupBy("_k", "session")
         .agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.sum("_n").alias("arrivals"))

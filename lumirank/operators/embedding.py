@@ -166,5 +166,8 @@ def preprocess_and_embed(
 
 
 def sparse_counts(df: DataFrame, id_col: str, embedding: str = "embedding") -> DataFrame:
-    """The counts of a hashing embedder as rows (id, bucket, n), zeros left out."""
-    return df.select(id_col, F.posexplode(embedding).alias("bucket", "n")).where(F.col("n") > 0)
+    """The counts of a hashing embedder as rows (id, bucket, n), zeros left out.
+
+    The outer form keeps the optimizer from adding a filter that would run the embedder a second time.
+    """
+    return df.select(id_col, F.posexplode_outer(embedding).alias("bucket", "n")).where(F.col("n") > 0)

@@ -121,7 +121,7 @@ def _small_side(queries: DataFrame, query_id: str, vec: str, limit_bytes: int) -
     first = queries.select(F.size(vec).alias("n")).first()
     if first is None:
         return queries.select(query_id, vec).limit(0).toArrow()
-    most = limit_bytes // (8 * max(1, first["n"]))
+    most = limit_bytes // (8 * max(1, first["n"] or 1))
     if most < 1:
         return None
     table = queries.select(query_id, vec).limit(most + 1).toArrow()
@@ -187,7 +187,7 @@ def _cell_plan(
 
     # Pivots: a bounded, repeatable pick of the collection's own vectors.
     total = coll.count()
-    wanted = n_pivots or int(min(MAX_PIVOTS, max(1, total // 1000)))
+    wanted = n_pivots or min(MAX_PIVOTS, max(1, total // 1000), max(1, BROADCAST_BYTES // (8 * dim)))
     chosen = coll.orderBy(F.xxhash64(id_col), id_col).select(vec).limit(wanted).toArrow()
     matrix = _matrix(chosen[vec], dim)
     matrix = matrix[matrix.any(axis=1)]
@@ -257,8 +257,8 @@ def _cell_plan(
     routed = (
         seen.select(query_id, vec)
         .join(floors, query_id, "left")
-        .withColumn("_cell", F.explode(reachable(F.col(vec), F.col("_floor"))))
-        .withColumn("_sub", F.explode(F.sequence(F.lit(0), sub_map[F.col("_cell")] - 1)))
+        .withColumn("_cell", F.explode_outer(reachable(F.col(vec), F.col("_floor"))))
+        .withColumn("_sub", F.explode(F.sequence(F.lit(0), sub_map[F.col("_cell")] - 1)))  # none for a null cell
     )
 
     def match(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -39,14 +39,18 @@ def index_within(
     partition_by: Sequence[str] = (),
     name: str = "row_index",
     group_rows: int = GROUP_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row in its group; `order_by` must be a total order.
 
     Groups of checked size use one window; otherwise the rows are range-partitioned and written
-    once, so that a hot group spreads over as many slices as it needs.
+    once, so that a hot group spreads over as many slices as it needs. `largest` is the size of the
+    largest group where it is known already.
     """
     keys = list(partition_by)
-    if largest_group(df, keys) <= group_rows:
+    if largest is None:
+        largest = largest_group(df, keys)
+    if largest <= group_rows:
         w = W.partitionBy(*keys).orderBy(*order_by)
         return df.withColumn(name, F.row_number().over(w).cast("long") - 1)
 

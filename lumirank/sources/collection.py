@@ -117,13 +117,12 @@ def _latest(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def _read(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """Rows of several partitioned folders, with `namespace` taken from the folder names."""
-    out = None
-    for folder in folders:
-        part = spark.read.schema(RECORD_SCHEMA).option("basePath", folder).parquet(folder)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], RECORD_SCHEMA) if out is None else out
+def _read(spark: SparkSession, parent: str, part: str, names: list[str]) -> DataFrame:
+    """Rows of the folders `<parent>/<part>=NAME` in one scan, `namespace` taken from the folder names."""
+    if not names:
+        return spark.createDataFrame([], RECORD_SCHEMA)
+    reader = spark.read.schema(f"{RECORD_SCHEMA}, {part} string").option("basePath", parent)
+    return reader.parquet(*[f"{parent}/{part}={name}" for name in names]).drop(part)
 
 
 def _state(spark: SparkSession, path: str):
@@ -136,8 +135,8 @@ def _state(spark: SparkSession, path: str):
 def read_collection(spark: SparkSession, path: str, namespace: str | None = None) -> DataFrame:
     """The current record of each id, of all namespaces or one (read from its own folders only)."""
     _, meta, fresh = _state(spark, path)
-    base = _read(spark, [f"{path}/base/{meta['base']}"] if meta["base"] else [])
-    news = _read(spark, [f"{path}/batches/b={n}" for n in fresh])
+    base = _read(spark, f"{path}/base", "v", [meta["base"]] if meta["base"] else [])
+    news = _read(spark, f"{path}/batches", "b", fresh)
     if namespace is not None:
         base = base.where(F.col("namespace") == namespace)
         news = news.where(F.col("namespace") == namespace)
@@ -157,8 +156,8 @@ def compact(spark: SparkSession, path: str) -> None:
     version, meta, fresh = _state(spark, path)
     if not fresh:
         return
-    base = f"v={version + 1}"
-    read_collection(spark, path).write.mode("overwrite").partitionBy("namespace").parquet(f"{path}/base/{base}")
+    base = str(version + 1)
+    read_collection(spark, path).write.mode("overwrite").partitionBy("namespace").parquet(f"{path}/base/v={base}")
     folded = sorted({*(meta["folded"] or []), *fresh})
     row = spark.createDataFrame([(meta["name"], meta["dimension"], meta["metric"], base, folded)], _META_SCHEMA)
     row.coalesce(1).write.mode("overwrite").json(f"{path}/meta/v={version + 1}")
