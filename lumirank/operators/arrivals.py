@@ -33,7 +33,7 @@ def _stretches(df: DataFrame, keys: Sequence[str], ts: str, gap: timedelta) -> D
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("_k", "_stretch").agg(
+    return rows.where(F.col("_at").isNotNull()).groupBy("_k", "_stretch").agg(
         F.min("_at").alias("_from"), F.max("_at").alias("_to"), F.count(F.lit(1)).alias("_n")
     )
 
@@ -59,7 +59,7 @@ def micro_batches(
     """Assign each row to a group that ends at `max_count` rows or before a gap of at least `idle_gap`.
 
     Adds `session` (from 1, per key), `part` (from 0, in the session) and `position` (from 0, in the
-    part). Rows are taken in order of time, then id.
+    part). Rows are taken in order of time, then id; a row without a time is in no group.
     """
     rows = _stretches(df, keys, ts, idle_gap)
     counts = scratch_table(_counts(rows), "stretches")
@@ -70,7 +70,7 @@ def micro_batches(
     placed = index_within(rows, ["_at", id_col], ["_k", "_stretch"], "_i", group_rows, largest)
     place = F.col("_before") + F.col("_i")
     return (
-        placed.join(offsets, ["_k", "_stretch"])
+        placed.join(offsets, ["_k", "_stretch"], "left")
         .withColumn("part", F.floor(place / F.lit(max_count)).cast("long"))
         .withColumn("position", place % F.lit(max_count))
         .select(*df.columns, "session", "part", "position")

@@ -167,28 +167,38 @@ def decode_json(df: DataFrame, schema: T.StructType) -> DataFrame:
     return decode_rows(messages, schema, FORMAT_JSON).drop("metadata")
 
 
+def _as_stored(messages: DataFrame) -> DataFrame:
+    """Messages with the columns a broker would add: the writing task and the place in its output.
+
+    Spark numbers no rows in a stream, so streamed files leave these two empty.
+    """
+    partition, offset = F.lit(None).cast("int"), F.lit(None).cast("long")
+    if not messages.isStreaming:
+        partition = F.spark_partition_id()
+        offset = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    topic = F.col("topic") if "topic" in messages.columns else F.lit(None).cast("string")
+    return messages.select(
+        "key",
+        "value",
+        "headers",
+        topic.alias("topic"),
+        partition.alias("partition"),
+        offset.alias("offset"),
+        F.current_timestamp().alias("timestamp"),
+    )
+
+
 def publish(messages: DataFrame, fmt: str, path: str | None = None, options: dict | None = None) -> None:
     """Write messages from the executors: to Kafka, or as files with the columns Kafka would add."""
-    rows = messages
-    if fmt != "kafka":
-        low_33 = F.lit((1 << 33) - 1)
-        rows = messages.withColumns(
-            {
-                "partition": F.spark_partition_id(),
-                "offset": F.monotonically_increasing_id().bitwiseAND(low_33),
-                "timestamp": F.current_timestamp(),
-            }
-        )
-        if "topic" not in rows.columns:
-            rows = rows.withColumn("topic", F.lit(None).cast("string"))
-        rows = rows.select("key", "value", "headers", "topic", "partition", "offset", "timestamp")
+    rows = messages if fmt == "kafka" else _as_stored(messages)
     writer = rows.write.format(fmt).mode("append").options(**(options or {}))
     writer.save(path) if path else writer.save()
 
 
 def publish_stream(messages: DataFrame, fmt: str, checkpoint: str, path: str | None = None, options: dict | None = None):
     """The streaming form of `publish`; returns a writer that is ready to start."""
-    writer = messages.writeStream.format(fmt).option("checkpointLocation", checkpoint).options(**(options or {}))
+    rows = messages if fmt == "kafka" else _as_stored(messages)
+    writer = rows.writeStream.format(fmt).option("checkpointLocation", checkpoint).options(**(options or {}))
     return writer.option("path", path) if path else writer
 
 

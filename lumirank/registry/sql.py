@@ -166,15 +166,15 @@ def oracle_sql() -> dict[str, str]:
             m AS (SELECT label, list(a ORDER BY pos) AS mean FROM (SELECT label, pos, avg(e[pos + 1]) AS a FROM v GROUP BY ALL) GROUP BY label)
             SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], mean), 6) AS score FROM embeddings JOIN m USING (label)""",
         "vector_profile": """
-            SELECT label, count(*) AS records, min(len(embedding)) AS smallest, max(len(embedding)) AS largest,
+            SELECT label, count(*) AS records, min(len(embedding))::INTEGER AS smallest, max(len(embedding))::INTEGER AS largest,
                    round(sum(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS squares
             FROM embeddings GROUP BY label""",
-        "vector_dimension": "SELECT max(len(embedding)) AS dimension, count(*) AS records FROM embeddings",
+        "vector_dimension": "SELECT max(len(embedding))::INTEGER AS dimension, count(*) AS records FROM embeddings",
         "vector_normalize": """
             WITH t AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3 + 1) AS e FROM embeddings)
-            SELECT vec_id, pos, round(e[pos + 1] / sqrt(list_inner_product(e, e)), 6) AS v FROM t, unnest(range(64)) AS u(pos)""",
+            SELECT vec_id, pos::INTEGER AS pos, round(e[pos + 1] / sqrt(list_inner_product(e, e)), 6) AS v FROM t, unnest(range(64)) AS u(pos)""",
         "vector_conversion": """
-            SELECT vec_id, len(embedding) AS n, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings""",
+            SELECT vec_id, len(embedding)::INTEGER AS n, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings""",
         "check_dimension": """
             SELECT vec_id, CASE label WHEN 7 THEN 'dimension 63, expected 64' WHEN 8 THEN 'dimension -1, expected 64' ELSE 'ok' END AS reason
             FROM embeddings""",
@@ -186,7 +186,7 @@ def oracle_sql() -> dict[str, str]:
         "read_namespace": f"SELECT * FROM ({_LATEST}) WHERE namespace = 'purchase'",
         "collection_describe": """
             SELECT 'vectors' AS name, 64 AS dimension, 'cosine' AS metric, 'label-' || label AS namespace, count(*) AS records,
-                   min(len(embedding)) AS smallest, max(len(embedding)) AS largest FROM embeddings GROUP BY label""",
+                   min(len(embedding))::INTEGER AS smallest, max(len(embedding))::INTEGER AS largest FROM embeddings GROUP BY label""",
         "record_id": "SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS id FROM pages",
         "record_metadata": """
             SELECT event_id, 'images/' || event_type || '.png' AS image_path,
@@ -258,14 +258,14 @@ def oracle_sql() -> dict[str, str]:
             WITH q AS (SELECT conv_id * 1000 + turn AS query_id,
                 CASE WHEN role = 'user' AND turn % 2 = 0 THEN '  ' ELSE ' ' || text || '  ' END AS raw FROM conversations),
             t AS (SELECT query_id, raw, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS stripped FROM q)
-            SELECT query_id, CASE WHEN coalesce(stripped, '') = '' THEN length(raw) ELSE length(stripped) END AS n,
+            SELECT query_id, CASE WHEN coalesce(stripped, '') = '' THEN length(raw) ELSE length(stripped) END::INTEGER AS n,
                    CASE WHEN coalesce(stripped, '') = '' THEN 'no text provided' ELSE 'ok' END AS reason,
                    CASE WHEN coalesce(stripped, '') = '' THEN 400 ELSE 200 END AS code FROM t""",
         "text_embed": f"SELECT id AS doc_id, bucket, n FROM ({_buckets('documents', 'doc_id')})",
         "text_search_top1": _text_search(1),
         "text_search_top10": _text_search(10),
         "normalize_pixels_sql": f"""
-            SELECT vec_id, pos, round((b[(pos % 16) * 4 + pos // 16 + 1] / 255.0::DOUBLE - {_MEAN}[pos // 16 + 1]) / {_STD}[pos // 16 + 1], 6) AS v
+            SELECT vec_id, pos::INTEGER AS pos, round((b[(pos % 16) * 4 + pos // 16 + 1] / 255.0::DOUBLE - {_MEAN}[pos // 16 + 1]) / {_STD}[pos // 16 + 1], 6) AS v
             FROM ({_RGBA}), unnest(range(48)) AS t(pos)""",
         "preprocess_rgba": f"""
             WITH {_resample(_RGBA_PIXELS, _FOUR_TO_EIGHT, _FOUR_TO_EIGHT)},

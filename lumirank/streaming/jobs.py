@@ -35,7 +35,7 @@ def ingest_batch(
     spark = messages.sparkSession
     decoded = decode_rows(messages, schema, fmt)
     readable, unreadable = readable_rows(decoded)
-    order = F.col("offset") if "offset" in messages.columns else F.lit(0)
+    order = F.coalesce("offset", F.lit(0)) if "offset" in messages.columns else F.lit(0)
     flat = readable.select("row.*", order.alias("_offset"))
     good, bad = split_rejects(flat)
     if embedder is not None:

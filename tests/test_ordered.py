@@ -67,6 +67,14 @@ def test_micro_batches_follow_the_count_and_gap_rule(spark, bound):
     assert {r["id"]: (r["session"], r["part"], r["position"]) for r in got} == expected_batches(rows, 3, gap)
 
 
+def test_rows_without_a_time_are_kept_but_in_no_group(spark):
+    rows = [("a", 1, datetime(2024, 1, 1)), ("a", 2, None), ("b", 3, None)]
+    df = spark.createDataFrame(rows, "key string, id long, ts timestamp")
+    got = {r["id"]: (r["session"], r["part"]) for r in arrivals.micro_batches(df, keys=["key"]).collect()}
+    assert got == {1: (1, 0), 2: (None, None), 3: (None, None)}
+    assert arrivals.session_windows(df, timedelta(seconds=5), ["key"]).count() == 1
+
+
 def test_micro_batches_without_a_key(spark):
     rows, df = arrivals_fixture(spark)
     got = arrivals.micro_batches(df, 50, timedelta(seconds=5)).collect()

@@ -137,6 +137,18 @@ def test_ingest_survives_a_replay_from_the_start(spark, tmp_path):
     assert states == [want, want]
 
 
+def test_published_stream_is_read_back(spark, tmp_path):
+    path, topic = str(tmp_path / "in"), str(tmp_path / "topic")
+    batch = files(spark, path)
+    sent = envelopes.encode_rows(source(spark, path), {"from": "test"}, "key", topic="t")
+    writer = envelopes.publish_stream(sent, "parquet", str(tmp_path / "p"), topic)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    read = read_envelopes(spark, "parquet", path=topic, topics=["t"], streaming=False)
+    back = envelopes.decode_rows(read, batch.schema)
+    assert sorted(back.select("row.*").collect()) == sorted(batch.collect())
+    assert back.where(F.col("key").isNull() | F.col("timestamp").isNull() | (F.col("metadata")["from"] != "test")).count() == 0
+
+
 def test_counters_of_a_stream(spark, tmp_path):
     topic = str(tmp_path / "topic")
     envelopes.publish(vector_messages(spark), "parquet", topic)
