@@ -47,7 +47,7 @@ def tensors_of(images: list[dict | None], size: int, gray: str) -> tuple[list[np
 def float_lists(rows: list[np.ndarray | None]) -> pa.Array:
     """A float list column of the given arrays; None gives null."""
     flat = [r.ravel() for r in rows if r is not None]
-    values = np.concatenate(flat).astype(np.float32) if flat else np.empty(0, np.float32)
+    values = np.concatenate(flat).astype(np.float32, copy=False) if flat else np.empty(0, np.float32)
     lengths = [0 if r is None else r.size for r in rows]
     offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
     mask = pa.array([r is None for r in rows])

@@ -29,7 +29,7 @@ BROADCAST_BYTES = 64 << 20  # most query-vector bytes sent to every executor
 BLOCK_BYTES = 64 << 20  # vector bytes of one block in the cell join
 MAX_PIVOTS = 1024
 _CHUNK_CELLS = 2 << 20  # scores held at once in a task
-_SLACK = 1e-9  # wider than the rounding of a matrix product
+_SINGLE = 2.0**-24  # rounding of one single-precision step
 _DIGITS = 12
 
 
@@ -57,8 +57,14 @@ def _best(found: pa.Table, k: int, id_col: str) -> pa.Table:
 
 
 def _scan(queries: np.ndarray, batches, k: int, id_col: str, vec_col: str, floor=None):
-    """Best k rows per query over a stream of batches (rows of the collection)."""
+    """Best k rows per query over a stream of batches (rows of the collection).
+
+    A product in single precision picks the rows that can be among the best, whatever its rounding; those
+    are scored again in double.
+    """
     n_queries, dim = queries.shape
+    rough = queries.astype(np.float32)
+    slack = 1e-9 + 2 * (dim + 4) * _SINGLE
     no_length = ~queries.any(axis=1)
     floor = np.full(n_queries, -np.inf) if floor is None else floor.copy()
     best = None
@@ -68,13 +74,13 @@ def _scan(queries: np.ndarray, batches, k: int, id_col: str, vec_col: str, floor
         for start in range(0, table.num_rows, step):
             part = table.slice(start, step)
             unit = _matrix(part[vec_col], dim)
-            scores = queries @ unit.T
+            scores = rough @ unit.astype(np.float32).T
             scores[no_length] = -np.inf
             scores[:, ~unit.any(axis=1)] = -np.inf
             limit = floor
             if scores.shape[1] > k and np.isneginf(floor).any():
                 limit = np.maximum(floor, np.partition(scores, -k, axis=1)[:, -k])
-            rows, cols = np.nonzero(scores >= (limit - _SLACK)[:, None])
+            rows, cols = np.nonzero(scores >= (limit - slack).astype(np.float32)[:, None])
             if not len(rows):
                 continue
             exact = np.empty(len(rows))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -331,7 +332,7 @@ def failure_breakdown(spark, d):
 
 
 def log_throughput(spark, d):
-    """A log file per day, written from events, then read back by line."""
+    """Events as log files in order of time, read back by line; positions run on from file to file."""
     e = table(spark, d, "events")
     line = F.when(
         F.col("event_type") == "view",
@@ -339,15 +340,18 @@ def log_throughput(spark, d):
     ).otherwise(F.concat(F.lit("INFO "), F.col("event_type")))
     path = scratch_path(spark, "logs")
     (
-        e.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts", "event_id", line.alias("value"))
-        .repartition("day")
-        .sortWithinPartitions("day", "ts", "event_id")
-        .select("day", "value")
-        .write.partitionBy("day")
-        .text(path)
+        e.select("ts", "event_id", line.alias("value"))
+        .repartitionByRange("ts", "event_id")
+        .sortWithinPartitions("ts", "event_id")
+        .select("value")
+        .write.text(path)
     )
-    found = runlogs.extract_throughput(logs.read_log_lines(spark, path))
-    return found.select(F.regexp_extract("file", r"day=([0-9-]+)", 1).alias("day"), "line_number", "throughput")
+    lines = logs.read_log_lines(spark, path)
+    before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
+    files = lines.groupBy("file").agg(F.max("line_number").alias("n"))
+    files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    found = runlogs.extract_throughput(lines).join(files, "file")
+    return found.select((F.col("line_number") + F.col("before")).alias("position"), "throughput")
 
 
 def batch_assign(spark, d):

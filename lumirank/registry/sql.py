@@ -221,9 +221,8 @@ def oracle_sql() -> dict[str, str]:
         "failure_breakdown": """
             SELECT 'code ' || (user_id % 7) AS error_info, count(*) AS failures FROM events WHERE event_type = 'error' GROUP BY 1""",
         "log_throughput": """
-            SELECT day, line_number, format('{:.2f}', value)::DOUBLE AS throughput FROM (
-              SELECT *, strftime(ts, '%Y-%m-%d') AS day,
-                     row_number() OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, event_id) AS line_number FROM events)
+            SELECT position, format('{:.2f}', value)::DOUBLE AS throughput FROM (
+              SELECT *, row_number() OVER (ORDER BY ts, event_id) AS position FROM events)
             WHERE event_type = 'view'""",
         "batch_assign": """
             SELECT doc_id, position, (position // 50)::BIGINT AS batch FROM (
