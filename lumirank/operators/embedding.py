@@ -56,25 +56,53 @@ class HashingTextEmbedder(ColumnEmbedder):
         return counts(F.lower(value))
 
 
-class PooledImageEmbedder(Embedder):
-    """A fixed random projection of block means: a stand-in image model that needs no weights."""
+class HashingTextModel(Embedder):
+    """The same counts as a model that is called with batches of texts."""
 
-    def __init__(self, dim: int = 512, grid: int = 7, seed: int = 0):
-        self.dim, self.grid, self.seed = dim, grid, seed
+    def __init__(self, dim: int = 512):
+        self.dim = dim
+
+    def load(self):
+        dim = self.dim
+
+        def embed(texts: list[str]) -> np.ndarray:
+            counts = bucket_counts(pa.array([text.lower() for text in texts]), dim)
+            return counts.flatten().to_numpy().reshape(len(texts), dim)
+
+        return embed
+
+
+class BlockMeanEmbedder(Embedder):
+    """Mean of each plane in `grid` × `grid` blocks: a stand-in image model that needs no weights."""
+
+    def __init__(self, grid: int = 7):
+        self.grid, self.dim = grid, 3 * grid * grid
 
     def load(self):
         grid = self.grid
-        projection = np.random.default_rng(self.seed).standard_normal((3 * grid * grid, self.dim))
 
         def embed(batch: np.ndarray) -> np.ndarray:
             n, c, h, w = batch.shape
             edge_h, edge_w = h // grid * grid, w // grid * grid
             blocks = batch[:, :, :edge_h, :edge_w].reshape(n, c, grid, edge_h // grid, grid, edge_w // grid)
-            return blocks.mean(axis=(3, 5), dtype=np.float64).reshape(n, -1) @ projection
+            return blocks.mean(axis=(3, 5), dtype=np.float64).reshape(n, -1)
 
         return embed
 
 
+class PooledImageEmbedder(Embedder):
+    """A fixed random projection of the block means to any dimension."""
+
+    def __init__(self, dim: int = 512, grid: int = 7, seed: int = 0):
+        self.dim, self.grid, self.seed = dim, grid, seed
+
+    def load(self):
+        means = BlockMeanEmbedder(self.grid)
+        projection = np.random.default_rng(self.seed).standard_normal((means.dim, self.dim))
+        embed = means.load()
+        return lambda batch: embed(batch) @ projection
+
+
 def _vectors(model, inputs: list, dim: int, batch_size: int, as_batch) -> list[np.ndarray | None]:
     """One vector per input, in order; None for None. Calls the model with `batch_size` inputs at most."""
     out: list[np.ndarray | None] = [None] * len(inputs)

@@ -165,9 +165,8 @@ def no_match_report(spark, d):
 # ------------------------------------------------------------------ collection
 
 
-def _event_records(spark, d):
-    """Events as records of one value, keyed by user."""
-    e = table(spark, d, "events")
+def _event_records(e: DataFrame) -> DataFrame:
+    """Events as records of one value, keyed by user, in a namespace per event type."""
     return collection.records(
         e,
         F.concat(F.lit("images/"), F.col("event_type"), F.lit("/u"), F.col("user_id").cast("string")),
@@ -180,7 +179,7 @@ def _event_records(spark, d):
 def _filled(spark, d, times: int = 1, fold: bool = False) -> str:
     path = scratch_path(prepare(spark), "collection")
     collection.ensure_collection(spark, path, 1, "events")
-    rows = _event_records(spark, d)
+    rows = _event_records(table(spark, d, "events"))
     for _ in range(times):
         collection.upsert(spark, path, rows, F.col("_space"))
         if fold:
@@ -498,6 +497,13 @@ def text_embed(spark, d):
     return out.select(F.col("id").alias("doc_id"), "bucket", F.col("n").cast("long").alias("n"))
 
 
+def text_embed_batched(spark, d):
+    """The same through a model that is called with batches of 32 texts."""
+    docs = heavy(spark, d, "documents", "doc_id", "text")
+    out = embedding.sparse_counts(embedding.embed_texts(docs, embedding.HashingTextModel(DIM)), "doc_id")
+    return out.select("doc_id", "bucket", F.col("n").cast("long").alias("n"))
+
+
 def text_search_top1(spark, d):
     found, _ = ingest.answer_queries(
         _benchmark_queries(spark, d), _document_rows(spark, d), embedding.HashingTextEmbedder(DIM), include_metadata=False
@@ -604,6 +610,27 @@ def embed_images(spark, d):
     return out.select("page_id", F.size("embedding").alias("n"), F.round(vectors.norm_l2(F.col("embedding")), 3).alias("norm"))
 
 
+def _block_sums(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """Means of normalised 4 × 4 blocks as whole sums of their bytes."""
+    plane = F.floor(F.col("pos") / 4).cast("int") + 1
+    mean = F.element_at(F.array(*[F.lit(m) for m in MEAN]), plane)
+    std = F.element_at(F.array(*[F.lit(s) for s in STD]), plane)
+    out = df.select(key, F.posexplode_outer(vector).alias("pos", "v"))
+    return out.select(key, "pos", F.round((F.col("v") * std + mean) * 255 * 16).cast("int").alias("bytes"))
+
+
+def embed_image_blocks(spark, d):
+    """Tensors of 8 × 8 pixels, then a model of 2 × 2 block means, called with batches of 50."""
+    tensors = preprocess.preprocess_images(_page_images(spark, d), size=8)
+    return _block_sums(embedding.embed_images(tensors, embedding.BlockMeanEmbedder(2), size=8), "page_id", "embedding")
+
+
+def embed_images_one_pass(spark, d):
+    """The same without tensors between the two steps."""
+    out = embedding.preprocess_and_embed(_page_images(spark, d), embedding.BlockMeanEmbedder(2), size=8)
+    return _block_sums(out, "page_id", "embedding")
+
+
 def image_ingest(spark, d):
     """Page images through preprocessing, model and upsert into a collection, then described."""
     path = scratch_path(prepare(spark), "collection")
@@ -618,20 +645,31 @@ def image_ingest(spark, d):
 # ------------------------------------------------------------------ streams
 
 
+def _event_upsert(path: str):
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        name = batch_name(batch, batch_id)
+        collection.upsert(batch.sparkSession, path, _event_records(batch), F.col("_space"), name)
+
+    return handle
+
+
 def stream_consume(spark, d):
     """Events handed to an upsert per micro-batch."""
     path = scratch_path(prepare(spark), "collection")
     collection.ensure_collection(spark, path, 1, "events")
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = collection.records(
-            batch,
-            F.concat(F.lit("images/"), F.col("event_type"), F.lit("/u"), F.col("user_id").cast("string")),
-            F.array("value"), F.col("ts"), F.col("event_id"),
-        ).withColumn("_space", F.element_at(F.split("metadata.image_path", "/"), 2))
-        collection.upsert(batch.sparkSession, path, rows, F.col("_space"), batch_name(batch, batch_id))
-
-    finished(consume(stream(spark, d, "events"), handle, scratch_path(spark, "progress"), available_now=True))
+    finished(consume(stream(spark, d, "events"), _event_upsert(path), scratch_path(spark, "progress"), available_now=True))
+    return _record_rows(collection.read_collection(spark, path))
+
+
+def stream_replayed(spark, d):
+    """The stream of events consumed from the start, folded, and consumed from the start again."""
+    path = scratch_path(prepare(spark), "collection")
+    collection.ensure_collection(spark, path, 1, "events")
+    for _ in range(2):
+        progress = scratch_path(spark, "progress")
+        finished(consume(stream(spark, d, "events"), _event_upsert(path), progress, available_now=True))
+        collection.compact(spark, path)
     return _record_rows(collection.read_collection(spark, path))
 
 
@@ -707,6 +745,38 @@ def stream_ingest(spark, d):
     )
 
 
+def stream_ingest_images(spark, d):
+    """Page images as tensors in messages, read as a stream, embedded and upserted."""
+    tensors = preprocess.preprocess_images(_page_images(spark, d), size=8)
+    rows = tensors.select(
+        F.struct(F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("origin")).alias("image"),
+        "tensors",
+        F.lit("2024-01-01").cast("timestamp").alias("preprocess_time"),
+    )
+    topic, path = scratch_path(spark, "topic"), scratch_path(spark, "collection")
+    envelopes.publish(envelopes.encode_rows(rows, topic="images"), "parquet", topic)
+    model = embedding.BlockMeanEmbedder(2)
+    collection.ensure_collection(spark, path, model.dim, "images")
+    source = read_envelopes(spark, "parquet", path=topic, topics="images")
+    progress = scratch_path(spark, "progress")
+    finished(jobs.ingest_stream(source, VECTOR_PAYLOAD, path, model, progress, available_now=True, size=8))
+    rows = collection.read_collection(spark, path, collection.DEFAULT_NAMESPACE)
+    return _block_sums(rows.select(F.col("id").cast("long").alias("page_id"), "values"), "page_id", "values")
+
+
+def stream_delivery(spark, d):
+    """Counters of a stream of messages, added up over its micro-batches."""
+    schema, sent = _damaged(spark, d)
+    topic = scratch_path(spark, "topic")
+    envelopes.publish(sent, "parquet", topic)
+    counted = jobs.counted(read_envelopes(spark, "parquet", path=topic, topics="t"), schema)
+    query = to_files(counted.select("error", "bytes"), scratch_path(spark, "stream"), scratch_path(spark, "progress"))
+    finished(query)
+    seen = [p.observedMetrics["delivery"] for p in query.recentProgress if "delivery" in (p.observedMetrics or {})]
+    totals = tuple(sum(s[name] for s in seen) for name in ("messages", "errors", "bytes"))
+    return spark.createDataFrame([totals], "messages long, errors long, bytes long")
+
+
 def stream_search(spark, d):
     """Benchmark texts as a stream of queries against a collection of document vectors."""
     docs = _document_rows(spark, d)
@@ -738,10 +808,11 @@ QUERIES = [
     throughput_stats, run_summary, run_summary_by_user, failure_breakdown, log_throughput, batch_assign, batch_count,
     encode_rows, encode_rows_indexed, decode_roundtrip, decode_failures, delivery_stats, encode_json, decode_json,
     published_messages, row_index, row_index_sliced,
-    split_rejects, valid_queries, text_embed, text_search_top1, text_search_top10,
+    split_rejects, valid_queries, text_embed, text_embed_batched, text_search_top1, text_search_top10,
     normalize_pixels_sql, preprocess_rgba, preprocess_rgb, preprocess_rows, bad_images, strip_image_pixels, tensor_to_image,
-    embed_images, image_ingest,
-    stream_consume, stream_micro_batches, stream_sessions, stream_throughput, stream_drop_repeats, stream_ingest, stream_search,
+    embed_images, embed_image_blocks, embed_images_one_pass, image_ingest,
+    stream_consume, stream_replayed, stream_micro_batches, stream_sessions, stream_throughput, stream_drop_repeats, stream_ingest,
+    stream_ingest_images, stream_delivery, stream_search,
 ]
 
 

@@ -153,6 +153,14 @@ _RGBA_PIXELS = f"""
 _PAGE_STORED = f"WITH {_resample(_PAGE_PIXELS, _ACROSS_16, _DOWN_PAGES)}"
 
 
+_BLOCK_SUMS = f"""{_PAGE_STORED}
+    SELECT id AS page_id, (c * 4 + (y // 4) * 2 + x // 4)::INTEGER AS pos, sum(v)::INTEGER AS bytes FROM p2 GROUP BY ALL"""
+
+_DELIVERY = f"""count(*) AS messages, count(*) FILTER (event_type IN ('click', 'signup')) AS errors,
+    sum(CASE event_type WHEN 'signup' THEN 0 WHEN 'click' THEN l + 1 ELSE l END)::BIGINT AS bytes
+    FROM (SELECT event_type, octet_length(encode(base64(encode({_ROW_JSON} || '}}')))) AS l FROM events)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "topk_cosine": _top(5),
@@ -238,10 +246,8 @@ def oracle_sql() -> dict[str, str]:
         "decode_failures": """
             SELECT CASE event_type WHEN 'click' THEN 'not base64' WHEN 'signup' THEN 'empty message' ELSE 'ok' END AS reason,
                    count(*) AS messages FROM events GROUP BY 1""",
-        "delivery_stats": f"""
-            SELECT event_type AS topic, count(*) AS messages, count(*) FILTER (event_type IN ('click', 'signup')) AS errors,
-                   sum(CASE event_type WHEN 'signup' THEN 0 WHEN 'click' THEN l + 1 ELSE l END)::BIGINT AS bytes
-            FROM (SELECT event_type, octet_length(encode(base64(encode({_ROW_JSON} || '}}')))) AS l FROM events) GROUP BY 1""",
+        "delivery_stats": f"SELECT event_type AS topic, {_DELIVERY} GROUP BY 1",
+        "stream_delivery": f"SELECT {_DELIVERY}",
         "encode_json": f"""SELECT {_ROW_JSON} || ',"timestamp":"2024-02-03T04:05:06.000007"}}' AS value FROM events""",
         "decode_json": "SELECT * FROM events",
         "published_messages": """
@@ -261,6 +267,7 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN coalesce(stripped, '') = '' THEN 'no text provided' ELSE 'ok' END AS reason,
                    CASE WHEN coalesce(stripped, '') = '' THEN 400 ELSE 200 END AS code FROM t""",
         "text_embed": f"SELECT id AS doc_id, bucket, n FROM ({_buckets('documents', 'doc_id')})",
+        "text_embed_batched": f"SELECT id AS doc_id, bucket, n FROM ({_buckets('documents', 'doc_id')})",
         "text_search_top1": _text_search(1),
         "text_search_top10": _text_search(10),
         "normalize_pixels_sql": f"""
@@ -287,10 +294,14 @@ def oracle_sql() -> dict[str, str]:
             b AS (SELECT id, y, x, c, trunc(greatest(0::FLOAT, least(1::FLOAT, t * ({_STD})[c + 1]::FLOAT + ({_MEAN})[c + 1]::FLOAT)) * 255::FLOAT)::INTEGER AS v FROM n)
             SELECT id AS page_id, url AS origin, 8 AS height, 16 AS mode, string_agg(format('{{:02X}}', v), '' ORDER BY y, x, c DESC) AS data
             FROM b JOIN pages ON page_id = id GROUP BY ALL""",
+        "embed_image_blocks": _BLOCK_SUMS,
+        "embed_images_one_pass": _BLOCK_SUMS,
+        "stream_ingest_images": _BLOCK_SUMS,
         "image_ingest": """
             SELECT 'images' AS name, 64 AS dimension, 'cosine' AS metric, 'image_embeddings' AS namespace, count(*) AS records,
                    64 AS smallest, 64 AS largest FROM pages""",
         "stream_consume": _LATEST,
+        "stream_replayed": _LATEST,
         "stream_micro_batches": _batches("user_id", "6 HOUR", 3, f"WHERE ts < {_WATERMARK}"),
         "stream_sessions": f"SELECT * FROM ({_SESSION_WINDOWS}) WHERE session_end <= {_WATERMARK}",
         "stream_throughput": _periods(
