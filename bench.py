@@ -42,6 +42,7 @@ HEADLINES = [
     "resolve_existing_path",
     "stream_sessions",
     "stream_micro_batches",
+    "stream_micro_batches_files",
     "stream_ingest",
     "stream_search",
 ]

@@ -55,16 +55,31 @@ def micro_batches(
     ts: str = "ts",
     id_col: str = "id",
     group_rows: int = GROUP_ROWS,
+    tails: DataFrame | None = None,
 ) -> DataFrame:
     """Assign each row to a group that ends at `max_count` rows or before a gap of at least `idle_gap`.
 
     Adds `session` (from 1, per key), `part` (from 0, in the session) and `position` (from 0, in the
-    part). Rows are taken in order of time, then id; a row without a time is in no group.
+    part). Rows are taken in order of time, then id; a row without a time is in no group. `tails` (the
+    keys, `last` in microseconds, `session`, `filled`) says where earlier rows of a key have left off.
     """
     rows = _stretches(df, keys, ts, idle_gap)
     counts = scratch_table(_counts(rows), "stretches")
     largest = counts.agg(F.max("_n").alias("n")).first()["n"] or 0
+    counts = counts.withColumn("_base", F.lit(0).cast("long"))
+    if tails is not None:
+        # A tail is a stretch before all others: its rows count towards the session it ends in.
+        before_all = tails.select(
+            key_struct(keys).alias("_k"),
+            F.lit(None).cast("long").alias("_stretch"),
+            F.lit(None).cast("long").alias("_from"),
+            F.col("last").alias("_to"),
+            F.col("filled").alias("_n"),
+            (F.col("session") - 1).alias("_base"),
+        )
+        counts = counts.unionByName(before_all)
     sessions = _sessions(counts, lambda gap: gap >= _micros(idle_gap))
+    sessions = sessions.withColumn("session", F.col("session") + F.max("_base").over(W.partitionBy("_k")))
     before = W.partitionBy("_k", "session").orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
     offsets = sessions.select("_k", "_stretch", "session", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     placed = index_within(rows, ["_at", id_col], ["_k", "_stretch"], "_i", group_rows, largest)

@@ -686,6 +686,16 @@ def stream_micro_batches(spark, d):
     return out.withColumn("ts", naive("ts"))
 
 
+def stream_micro_batches_files(spark, d):
+    """The same through the batch plan per micro-batch, with the state in files."""
+    e = stream(spark, d, "events").select("user_id", F.col("event_id").alias("id"), "ts")
+    out, state, progress = (scratch_path(spark, name) for name in ("groups", "state", "progress"))
+    finished(
+        stream_arrivals.micro_batches_to_files(e, out, state, progress, 3, SIX_HOURS, ["user_id"], available_now=True)
+    )
+    return spark.read.parquet(out).drop("b").withColumn("ts", naive("ts"))
+
+
 def stream_sessions(spark, d):
     out = _stream_rows(spark, stream_arrivals.session_windows_stream(stream(spark, d, "events"), SIX_HOURS, ["user_id"]))
     return out.withColumns({"session_start": naive("session_start"), "session_end": naive("session_end")})
@@ -811,7 +821,8 @@ QUERIES = [
     split_rejects, valid_queries, text_embed, text_embed_batched, text_search_top1, text_search_top10,
     normalize_pixels_sql, preprocess_rgba, preprocess_rgb, preprocess_rows, bad_images, strip_image_pixels, tensor_to_image,
     embed_images, embed_image_blocks, embed_images_one_pass, image_ingest,
-    stream_consume, stream_replayed, stream_micro_batches, stream_sessions, stream_throughput, stream_drop_repeats, stream_ingest,
+    stream_consume, stream_replayed, stream_micro_batches, stream_micro_batches_files,
+    stream_sessions, stream_throughput, stream_drop_repeats, stream_ingest,
     stream_ingest_images, stream_delivery, stream_search,
 ]
 

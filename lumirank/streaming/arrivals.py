@@ -15,9 +15,10 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from lumirank.operators.arrivals import period_counts
+from lumirank.operators.arrivals import micro_batches, period_counts
+from lumirank.streaming.run import batch_name, consume
 
 # The process in which Spark checks a stateful operator does not get added files: send the class itself.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -128,6 +129,7 @@ def micro_batches_stream(
 
     A row comes out when the watermark has passed it. State holds ids and times of waiting rows only, so
     a key's state is bounded by its rows within `delay` and one trigger; bound the latter at the source.
+    Where one key may fill a trigger, use `micro_batches_to_files`: it spreads a key over all tasks.
     """
     rows = with_event_time(stream, ts, delay)
     names = list(keys) or ["all_rows"]
@@ -153,3 +155,62 @@ def micro_batches_stream(
         statefulProcessor=grouper, outputStructType=out, outputMode="Append", timeMode="EventTime"
     )
     return groups if keys else groups.drop("all_rows")
+
+
+def micro_batches_to_files(
+    stream: DataFrame,
+    out: str,
+    state: str,
+    checkpoint: str,
+    max_count: int = 50,
+    idle_gap: timedelta = timedelta(seconds=5),
+    keys: Sequence[str] = (),
+    ts: str = "ts",
+    id_col: str = "id",
+    delay: timedelta = timedelta(0),
+    available_now: bool = False,
+) -> StreamingQuery:
+    """`micro_batches` on a stream, for keys of any size: rows go to `<out>/b=NAME` per micro-batch.
+
+    Each micro-batch runs the batch plan on the rows the watermark has passed. What it hands on (rows still
+    waiting, and where each key has left off) is written under the micro-batch's name, so a micro-batch that
+    is run again starts from the same state.
+    """
+    names = list(keys)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        run = batch_name(batch, batch_id).rsplit("-", 1)[0]
+        here, before = f"{state}/{run}/n={batch_id}", f"{state}/{run}/n={batch_id - 1}"
+        time = F.unix_micros(F.col(ts).cast("timestamp"))
+        fields = [batch.schema[name] for name in [*names, id_col, ts]]
+        rows = batch.select(*names, id_col, ts).where(time.isNotNull())
+        tail_type = T.StructType(
+            [*fields[: len(names)], *[T.StructField(c, T.LongType()) for c in ("last", "session", "filled")]]
+        )
+        tails, mark = None, None
+        if batch_id > 0:
+            mark = spark.read.schema("mark long").parquet(f"{before}/mark").first()["mark"]
+            tails = spark.read.schema(tail_type).parquet(f"{before}/tails")
+            waiting = spark.read.schema(T.StructType(fields)).parquet(f"{before}/waiting")
+            rows = (rows if mark is None else rows.where(time >= mark)).unionByName(waiting)
+        high = rows.agg(F.max(time).alias("high")).first()["high"]
+        if high is not None:
+            passed = (high - _micros(delay)) // 1000 * 1000
+            mark = passed if mark is None else max(mark, passed)
+        ready = rows.where(F.lit(False) if mark is None else time < mark)
+        placed = f"{out}/b={run}-{batch_id}"
+        micro_batches(ready, max_count, idle_gap, names, ts, id_col, tails=tails).write.mode("overwrite").parquet(placed)
+
+        done = spark.read.parquet(placed).select(
+            *names, time.alias("last"), "session", (F.col("part") * max_count + F.col("position") + 1).alias("filled")
+        )
+        ends = (done if tails is None else done.unionByName(tails)).groupBy(*names).agg(
+            F.max("last").alias("last"), F.max(F.struct("session", "filled")).alias("at")
+        )
+        ends = ends.where(F.col("last").isNotNull()).select(*names, "last", "at.session", "at.filled")
+        ends.write.mode("overwrite").parquet(f"{here}/tails")
+        rows.where(F.lit(True) if mark is None else time >= mark).write.mode("overwrite").parquet(f"{here}/waiting")
+        spark.createDataFrame([(mark,)], "mark long").coalesce(1).write.mode("overwrite").parquet(f"{here}/mark")
+
+    return consume(stream, handle, checkpoint, available_now)

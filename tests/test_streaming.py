@@ -45,15 +45,30 @@ def test_groups_equal_the_batch_form_below_the_watermark(spark, tmp_path):
     path = str(tmp_path / "in")
     batch = files(spark, path)
     got = run(
-        spark, stream_arrivals.micro_batches_stream(source(spark, path), 3, GAP, ["key"], delay="1 hour"), tmp_path, "m"
+        spark, stream_arrivals.micro_batches_stream(source(spark, path), 3, GAP, ["key"], delay="1 minute"), tmp_path, "m"
     )
-    last = batch.agg(F.max("ts")).first()[0] - timedelta(hours=1)
-    assert got.where(F.col("ts") >= F.lit(last)).count() == 0
+    last = batch.agg(F.max("ts")).first()[0] - timedelta(minutes=1)
+    assert got.count() > 200 and got.where(F.col("ts") >= F.lit(last)).count() == 0
     columns = ["key", "id", "ts", "session", "part", "position"]
     want = arrivals.micro_batches(batch, 3, GAP, ["key"]).select(*columns)
     assert sorted(got.select(*columns).collect()) == sorted(r for r in want.collect() if r["ts"] < last)
 
 
+def test_groups_through_files_equal_the_batch_form_over_triggers(spark, tmp_path):
+    for n, (keys, delay) in enumerate([(["key"], timedelta(minutes=1)), ([], timedelta(0))]):
+        path, out = str(tmp_path / f"in{n}"), str(tmp_path / f"out{n}")
+        batch = files(spark, path, seed=n)
+        stream_arrivals.micro_batches_to_files(
+            source(spark, path), out, str(tmp_path / f"s{n}"), str(tmp_path / f"p{n}"), 3, GAP, keys, delay=delay, available_now=True
+        ).awaitTermination()
+        last = batch.agg(F.max("ts")).first()[0] - delay
+        columns = [*keys, "id", "ts", "session", "part", "position"]
+        got = spark.read.option("recursiveFileLookup", True).parquet(out).select(*columns).collect()
+        want = arrivals.micro_batches(batch, 3, GAP, keys).select(*columns).collect()
+        assert sorted(got) == sorted(r for r in want if r["ts"] < last)
+        assert len(got) > 200 and spark.read.parquet(out).select("b").distinct().count() > 1
+
+
 def test_groups_over_several_triggers(spark, tmp_path):
     path = str(tmp_path / "in")
     batch = files(spark, path, n=200)
@@ -63,21 +78,20 @@ def test_groups_over_several_triggers(spark, tmp_path):
     want = arrivals.micro_batches(batch, 50, GAP).select("id", "ts", "session", "part", "position")
     seen = {r["id"]: r for r in want.collect()}
     rows = got.collect()
-    assert rows and len({r["id"] for r in rows}) == len(rows)
-    if len(rows) == sum(r["ts"] < last for r in seen.values()):  # no row came later than the delay
-        assert all(tuple(seen[r["id"]]) == tuple(r) for r in rows)
+    assert len({r["id"] for r in rows}) == len(rows) == sum(r["ts"] < last for r in seen.values()) > 100
+    assert all(tuple(seen[r["id"]]) == tuple(r) for r in rows)
 
 
 def test_sessions_and_periods_equal_the_batch_forms(spark, tmp_path):
     path = str(tmp_path / "in")
     batch = files(spark, path)
-    end = batch.agg(F.max("ts")).first()[0] - timedelta(hours=1)
-    got = run(spark, stream_arrivals.session_windows_stream(source(spark, path), GAP, ["key"], delay="1 hour"), tmp_path, "s")
+    end = batch.agg(F.max("ts")).first()[0] - timedelta(minutes=1)
+    got = run(spark, stream_arrivals.session_windows_stream(source(spark, path), GAP, ["key"], delay="1 minute"), tmp_path, "s")
     want = arrivals.session_windows(batch, GAP, ["key"]).where(F.col("session_end") <= F.lit(end))
-    assert sorted(got.collect()) == sorted(want.collect())
-    got = run(spark, stream_arrivals.period_counts_stream(source(spark, path), GAP, delay="1 hour"), tmp_path, "t")
+    assert got.count() > 20 and sorted(got.collect()) == sorted(want.collect())
+    got = run(spark, stream_arrivals.period_counts_stream(source(spark, path), GAP, delay="1 minute"), tmp_path, "t")
     want = arrivals.period_counts(batch, GAP).where(F.col("period_start") + F.expr("interval 5 seconds") <= F.lit(end))
-    assert sorted(got.collect()) == sorted(want.collect())
+    assert got.count() > 20 and sorted(got.collect()) == sorted(want.collect())
     filled = arrivals.fill_periods(got, GAP)
     assert filled.agg(F.sum("arrivals")).first()[0] == want.agg(F.sum("arrivals")).first()[0]
 
