@@ -13,6 +13,7 @@ from lumirank.functions import records, vectors
 from lumirank.functions.pixels import MEAN, STD, normalize_pixels
 from lumirank.operators import arrivals, embedding, envelopes, paths, preprocess, runlogs, search, validate
 from lumirank.plans import ingest
+from lumirank.plans.ordered import index_within
 from lumirank.plans.scratch import scratch_path
 from lumirank.plans.spread import spread
 from lumirank.session import prepare
@@ -21,7 +22,7 @@ from lumirank.sources.envelopes import read_envelopes
 from lumirank.sources.images import strip_pixels, with_image_path, with_preprocess_time
 from lumirank.streaming import arrivals as stream_arrivals
 from lumirank.streaming import jobs
-from lumirank.streaming.run import batch_name, consume, to_files
+from lumirank.streaming.run import batch_name, consume, state_partition_per_core, to_files
 
 SIX_HOURS = timedelta(hours=6)
 TEN_MINUTES = timedelta(minutes=10)
@@ -250,8 +251,8 @@ def format_match(spark, d):
 
 
 def resolve_existing_path(spark, d):
-    """Documents name a file under their source; files exist for the even quarter under their own name
-    and for other languages in the fallback folder only."""
+    """Documents name a file under their source. Some files exist there, some in the fallback folder, some
+    nowhere."""
     docs = table(spark, d, "documents")
     name = F.concat(F.col("lang"), F.lit("-"), (F.col("doc_id") % 97).cast("string"), F.lit(".txt"))
     matches = docs.select("doc_id", F.concat(F.col("source"), F.lit("/"), name).alias("image_path"))
@@ -443,16 +444,12 @@ def published_messages(spark, d):
 
 
 def row_index(spark, d):
-    from lumirank.plans.ordered import index_within
-
     o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
     return index_within(o, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "row_index")
 
 
 def row_index_sliced(spark, d):
     """The same over range slices, as it runs when the order is too long for one task."""
-    from lumirank.plans.ordered import index_within
-
     o = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
     out = index_within(o, ["o_orderdate", "o_orderkey"], ["o_orderstatus"], group_rows=1000)
     return out.select("o_orderkey", "row_index")
@@ -676,7 +673,8 @@ def stream_replayed(spark, d):
 def _stream_rows(spark, df: DataFrame, mode: str = "append") -> DataFrame:
     out = scratch_path(spark, "stream")
     schema = df.schema
-    finished(to_files(df, out, scratch_path(spark, "progress"), mode))
+    with state_partition_per_core(spark):
+        finished(to_files(df, out, scratch_path(spark, "progress"), mode))
     return spark.read.schema(schema).parquet(out)
 
 

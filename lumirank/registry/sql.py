@@ -120,16 +120,18 @@ def _weights(sizes: str) -> str:
 
 
 def _resampled(pixels: str, across: str, down: str) -> str:
-    """Pixels (id, h, y, x, c, v) to (id, y, x, c, v) of 8 × 8: across first, then down, rounded each time."""
+    """Pixels (id, h, y, x, c, v) to (id, y, x, c, v) of 8 × 8: across first, then down, rounded each time.
+
+    Sums may be negative, so the shift by 22 bits is written as a floor.
+    """
     return f"""
     px AS ({pixels}), wx AS ({_weights(across)}), wy AS ({_weights(down)}),
-    p1 AS (SELECT id, h, y, o AS x, c, greatest(0, least(255, (sum(v * k) + 2097152) >> 22))::BIGINT AS v
+    p1 AS (SELECT id, h, y, o AS x, c, greatest(0, least(255, floor((sum(v * k) + 2097152) / 4194304.0)))::BIGINT AS v
            FROM px JOIN wx ON wx.r = px.x GROUP BY ALL),
     p2 AS (SELECT id, o AS y, x, c, greatest(0, least(255, floor((sum(v * k) + 2097152) / 4194304.0)))::BIGINT AS v
            FROM p1 JOIN wy ON wy.n_in = p1.h AND wy.r = p1.y GROUP BY ALL)"""
 
 
-# Sums may be negative, so the shift is written as a floor.
 _ACROSS_16 = "SELECT 16 AS n_in, 8 AS n_out, 0 AS first"
 _DOWN_PAGES = """SELECT h AS n_in, n_out, round_even((n_out - 8) / 2.0, 0)::BIGINT AS first FROM (
     SELECT DISTINCT h, trunc(8 * h / 16.0::DOUBLE)::BIGINT AS n_out FROM (
@@ -137,10 +139,6 @@ _DOWN_PAGES = """SELECT h AS n_in, n_out, round_even((n_out - 8) / 2.0, 0)::BIGI
 _FOUR_TO_EIGHT = "SELECT 4 AS n_in, 8 AS n_out, 0 AS first"
 
 
-def _resample(*args: str) -> str:
-    return _resampled(*args).replace("(sum(v * k) + 2097152) >> 22", "floor((sum(v * k) + 2097152) / 4194304.0)")
-
-
 # Premultiplied pixels of the small images, channels in red, green, blue, alpha.
 _RGBA_PIXELS = f"""
     SELECT id, 4::BIGINT AS h, y, x, c, CASE WHEN c = 3 THEN a ELSE ((m >> 8) + m) >> 8 END AS v FROM (
@@ -150,7 +148,7 @@ _RGBA_PIXELS = f"""
         FROM ({_RGBA}), unnest(range(0, 64, 4)) AS t(i), unnest(range(4)) AS u(c)))"""
 
 
-_PAGE_STORED = f"WITH {_resample(_PAGE_PIXELS, _ACROSS_16, _DOWN_PAGES)}"
+_PAGE_STORED = f"WITH {_resampled(_PAGE_PIXELS, _ACROSS_16, _DOWN_PAGES)}"
 
 
 _BLOCK_SUMS = f"""{_PAGE_STORED}
@@ -274,7 +272,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT vec_id, pos::INTEGER AS pos, round((b[(pos % 16) * 4 + pos // 16 + 1] / 255.0::DOUBLE - {_MEAN}[pos // 16 + 1]) / {_STD}[pos // 16 + 1], 6) AS v
             FROM ({_RGBA}), unnest(range(48)) AS t(pos)""",
         "preprocess_rgba": f"""
-            WITH {_resample(_RGBA_PIXELS, _FOUR_TO_EIGHT, _FOUR_TO_EIGHT)},
+            WITH {_resampled(_RGBA_PIXELS, _FOUR_TO_EIGHT, _FOUR_TO_EIGHT)},
             al AS (SELECT id, y, x, v AS a FROM p2 WHERE c = 3)
             SELECT id AS vec_id, (c * 64 + y * 8 + x)::INTEGER AS pos,
                    (CASE WHEN a = 0 OR a = 255 THEN v ELSE least(255, (255 * v) // a) END)::INTEGER AS byte

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -14,6 +15,19 @@ def _trigger(writer, available_now: bool, every: str | None):
     return writer.trigger(processingTime=every) if every else writer
 
 
+@contextmanager
+def state_partition_per_core(spark: SparkSession):
+    """Streams started inside keep one state partition per core: their number is fixed for good at the start,
+    and adaptive execution does not merge small ones."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, spark.sparkContext.defaultParallelism)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def consume(
     stream: DataFrame,
     handler: Callable[[DataFrame, int], None],
