@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed formats of the stored preprocess time.
+# Fixed formats: the stored preprocess time, and the text of a match.
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 ISO_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+MATCH_FORMAT = "Original query: %s\n Displayed `%s` (score: %.4f)"
 
 
 def record_id(path: Column) -> Column:
@@ -30,4 +31,4 @@ def resolve_path(metadata: Column, id_: Column) -> Column:
 
 def format_match(query: Column, path: Column, score: Column) -> Column:
     """One-line text of a match with its score to four decimals."""
-    return F.format_string("Original query: %s\n Displayed `%s` (score: %.4f)", query, path, score)
+    return F.format_string(MATCH_FORMAT, query, path, score)

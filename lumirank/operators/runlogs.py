@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from lumirank.plans.ordered import GROUP_ROWS, index_within, with_halo
 
-# Fixed pattern of a throughput line.
+# The pattern of a throughput line, and the text of the statistics.
 THROUGHPUT = r"Throughput:\s+(\d+\.\d+)\s+requests/sec"
+STATS_FORMAT = "Max: %.2f req/sec\nMin: %.2f req/sec\nAvg: %.2f req/sec"
 
 
 def extract_throughput(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -61,7 +62,7 @@ def throughput_stats(series: DataFrame, value: str = "throughput", group_by: Seq
         )
         .where(F.col("points") > 0)
     )
-    text = F.format_string("Max: %.2f req/sec\nMin: %.2f req/sec\nAvg: %.2f req/sec", "largest", "smallest", "average")
+    text = F.format_string(STATS_FORMAT, "largest", "smallest", "average")
     return stats.withColumn("stats_text", text)
 
 
