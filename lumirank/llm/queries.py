@@ -7,20 +7,41 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumirank.llm import bpe, exact_dedup, token_files
+from lumirank.llm import bpe, exact_dedup, language, mixing, pii, quality, token_files
 from lumirank.llm.common import read_table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of each document in a mix of the sources by weight."""
+    mixed = mixing.mix_sources(read_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as byte-level BPE ids and back."""
     return bpe.token_report(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text."""
+    return pii.private_report(read_table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text, learned from the labels."""
+    return quality.quality_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back per document."""
     return token_files.token_file_report(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from the texts that name theirs."""
+    return language.language_report(read_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The row that stays of each group of equal texts."""
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
@@ -28,7 +49,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator."""
-    return {f.__name__: f for f in (op2_bpe, op7_token_files, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_mixing, op2_bpe, op4_private_data, op5_quality, op7_token_files, op9_language, op10_exact_dedup)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
