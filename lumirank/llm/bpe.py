@@ -29,7 +29,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 
 SHORT_WORD = 200  # bytes up to which the minimum is found by a scan
 CACHED_WORD = 64  # characters up to which a word is remembered
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 SEGMENT = 1 << 20  # characters worked on at a time
 
 _NO_RANK = 1 << 60
@@ -235,10 +235,24 @@ def decode_ids(df: DataFrame, path: str, ids: str = "token_ids", text: str = "de
     return with_columns_from(df, [ids], [T.StructField(text, T.StringType())], make)
 
 
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+    """Both at once, in one pass and one Python worker per core: add `ids` and the text decoded from them."""
+
+    def make():
+        both = encoder(path)
+
+        def run(texts):
+            packed = [both.encode(t) for t in texts.to_pylist()]
+            return [pa.array(packed, pa.binary()), pa.array([both.decode(p) for p in packed], pa.string())]
+
+        return run
+
+    return with_columns_from(df, [text], [T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())], make)
+
+
 def token_report(docs: DataFrame, path: str) -> DataFrame:
     """Per document: number of ids, digest of the ids and digest of the text decoded from them."""
-    done = decode_ids(encode_texts(docs.select("doc_id", "text"), path).drop("text"), path)
-    return done.select(
+    return round_trip(docs.select("doc_id", "text"), path).select(
         "doc_id",
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),

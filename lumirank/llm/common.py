@@ -17,9 +17,20 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch and rows worked on at a time: texts are long, and a worker holds a batch's inputs and outputs.
+BATCH_BYTES = 8 << 20
+SLICE_ROWS = 256
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """The session with this package on its executors and batches of texts of bounded size."""
+    prepare(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder, with this package on the executors."""
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder."""
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ascii_lower(text: Column) -> Column:
@@ -74,8 +85,10 @@ def with_columns_from(
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         fn = make()
         for b in batches:
-            made = fn(*[b[f"_in{i}"] for i in range(len(inputs))])
-            yield {**{c: b[c] for c in carried}, **dict(zip(new, made))}
+            for at in range(0, len(next(iter(b.values()))), SLICE_ROWS):
+                part = {c: a.slice(at, SLICE_ROWS) for c, a in b.items()}
+                made = fn(*[part[f"_in{i}"] for i in range(len(inputs))])
+                yield {**{c: part[c] for c in carried}, **dict(zip(new, made))}
 
     assert len(set(names)) == len(names), "column names must differ"
     return map_batches(frame, run, schema)

@@ -29,8 +29,8 @@ SMOOTHING = 0.1
 ROUNDS = 25
 SETTLED = 1e-4  # largest change of a proportion at which a document's rounds end
 UNDETERMINED = "und"
-LOCAL_WORDS = 500_000
-CACHE_WORDS = 300_000
+LOCAL_WORDS = 200_000
+CACHE_WORDS = 150_000
 CACHED_WORD = 40
 LONGEST_WORD = 100
 BATCH_WORDS = 200_000

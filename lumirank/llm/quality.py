@@ -26,7 +26,7 @@ DIMENSION = 10
 SHORTEST, LONGEST = 2, 4  # characters of an n-gram
 EPOCHS = 12
 RATE = 1.0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 CACHED_WORD = 40
 LONGEST_WORD = 200  # characters of a piece; longer runs are cut into pieces, none is left out
 KEEP_SCORE = 0.7

@@ -42,7 +42,7 @@ from lumirank.plans.scratch import scratch_path, scratch_table
 MAGIC = b"LUMIIDS1"
 FILE_IDS = 16_000_000  # ids after which a task starts its next file
 SAMPLE = 256  # one bits between two stored positions
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 200_000
 CACHED_CHUNK = 64
 
 _HEAD = struct.Struct(">8sQQQQ")
