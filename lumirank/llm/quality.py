@@ -8,6 +8,7 @@ part in the average reduces to one number per table row, so a known word costs o
 
 from __future__ import annotations
 
+import operator
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -28,6 +29,7 @@ EPOCHS = 12
 RATE = 1.0
 CACHE_WORDS = 200_000
 CACHED_WORD = 40
+REPEATED_WEIGHT = 4  # table entries a repeated word counts for
 LONGEST_WORD = 200  # characters of a piece; longer runs are cut into pieces, none is left out
 KEEP_SCORE = 0.7
 
@@ -42,6 +44,11 @@ def pieces(text: str | None) -> list[str]:
     return words
 
 
+def repeats(words: list[str]) -> int:
+    """Pairs of neighbours that are the same word: the one word bigram that means the same for all words."""
+    return sum(map(operator.eq, words, words[1:]))
+
+
 def features(word: str) -> list[int]:
     """Table rows of a word and of its character n-grams."""
     marked = f"<{word}>"
@@ -51,6 +58,7 @@ def features(word: str) -> list[int]:
     return rows
 
 
+REPEATED = zlib.crc32(b"</same>") % TABLE_ROWS  # stands for each word that is the one before it once more
 END = zlib.crc32(b"</end>") % TABLE_ROWS  # stands once in every document, so empty ones have a vector too
 
 
@@ -103,7 +111,9 @@ def _examples(batches: Iterator[dict]) -> Iterator[dict]:
     for b in batches:
         made = []
         for text in b["text"]:
-            rows, counts = np.unique([END, *(r for w in pieces(text.as_py()) for r in features(w))], return_counts=True)
+            words = pieces(text.as_py())
+            rows = [END, *[REPEATED] * (REPEATED_WEIGHT * repeats(words)), *(r for w in words for r in features(w))]
+            rows, counts = np.unique(rows, return_counts=True)
             made.append((rows.astype("<i4").tobytes(), (counts / counts.sum()).astype("<f4").tobytes()))
         yield {"doc_id": b["doc_id"], "label": b["label"], "rows": [m[0] for m in made], "shares": [m[1] for m in made]}
 
@@ -157,10 +167,14 @@ def score_texts(df: DataFrame, model: Model, text: str = "text", score: str = "s
                 return made
 
         look = Known().__getitem__
-        start = complex(pull[END], 1)
+        start, again = complex(pull[END], 1), complex(pull[REPEATED], 1) * REPEATED_WEIGHT
+
+        def total(text: str | None) -> complex:
+            words = pieces(text)
+            return sum(map(look, words), start) + again * repeats(words)
 
         def scores(texts) -> list:
-            sums = [sum(map(look, pieces(t)), start) for t in texts.to_pylist()]
+            sums = map(total, texts.to_pylist())
             return [pa.array([m.score(s.real, s.imag) for s in sums], pa.float64())]
 
         return scores

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumirank.llm import bpe, exact_dedup, language, mixing, pii, quality, token_files
+from lumirank.llm import bpe, exact_dedup, jaccard, language, mixing, pii, quality, token_files
 from lumirank.llm.common import read_table
 
 
@@ -37,6 +38,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_report(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose shingle sets link."""
+    groups = jaccard.similar_groups(read_table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "n_shingles", "component_id", F.lower(F.hex("print")).alias("set_id"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text, learned from the texts that name theirs."""
     return language.language_report(read_table(spark, sf_dir, "documents"))
@@ -49,7 +56,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator."""
-    return {f.__name__: f for f in (op1_mixing, op2_bpe, op4_private_data, op5_quality, op7_token_files, op9_language, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_mixing, op2_bpe, op4_private_data, op5_quality, op7_token_files, op8_jaccard_join, op9_language, op10_exact_dedup)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
