@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumirank.llm import bpe, exact_dedup, jaccard, language, mixing, pii, quality, token_files
+from lumirank.llm import bpe, exact_dedup, jaccard, language, mixing, pii, quality, suffix_dedup, token_files
 from lumirank.llm.common import read_table
 
 
@@ -23,6 +23,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_report(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document that repeat 100 bytes of an earlier place."""
+    return suffix_dedup.repeated_report(read_table(spark, sf_dir, "documents"))
+
+
 def op4_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every text."""
     return pii.private_report(read_table(spark, sf_dir, "documents"))
@@ -56,7 +61,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator."""
-    return {f.__name__: f for f in (op1_mixing, op2_bpe, op4_private_data, op5_quality, op7_token_files, op8_jaccard_join, op9_language, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_mixing, op2_bpe, op3_suffix_dedup, op4_private_data, op5_quality, op7_token_files, op8_jaccard_join, op9_language, op10_exact_dedup)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
