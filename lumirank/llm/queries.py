@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumirank.llm import bpe, exact_dedup, jaccard, language, mixing, pii, quality, suffix_dedup, token_files
+from lumirank.llm import bpe, exact_dedup, jaccard, language, mixing, neighbours, pii, quality, suffix_dedup, token_files
 from lumirank.llm.common import read_table
 
 
@@ -38,6 +38,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector."""
+    return neighbours.nearest_vectors(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back per document."""
     return token_files.token_file_report(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -61,7 +66,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator."""
-    return {f.__name__: f for f in (op1_mixing, op2_bpe, op3_suffix_dedup, op4_private_data, op5_quality, op7_token_files, op8_jaccard_join, op9_language, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_mixing, op2_bpe, op3_suffix_dedup, op4_private_data, op5_quality, op6_neighbours, op7_token_files, op8_jaccard_join, op9_language, op10_exact_dedup)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
