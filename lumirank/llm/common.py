@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumirank import prepare
+from lumirank.plans.scratch import scratch_table
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words are runs of anything but the six ASCII blanks.
@@ -47,6 +48,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a key of their own, and the key's name.
+
+    Ids that are unique and not null, which a look at that column alone tells, are the key; otherwise the
+    rows are numbered and written once, so that the numbers stay the same.
+    """
+    key = free_name(docs, "_key")
+    clash = docs.groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull()).limit(1).count()
+    if clash:
+        return scratch_table(docs.withColumn(key, F.monotonically_increasing_id()), "numbered"), key
+    return docs.withColumn(key, F.col("doc_id").cast("long")), key
+
+
 def map_batches(
     df: DataFrame,
     fn: Callable[[Iterator[dict]], Iterator[dict]],
@@ -79,16 +101,15 @@ def with_columns_from(
     kept = [f for f in df.schema.fields if f.name not in new]
     schema = T.StructType([*kept, *fields])
     carried = [f.name for f in kept]
-    names = [*carried, *[f"_in{i}" for i in range(len(inputs))]]
-    frame = df.select(*[F.col(f"`{c}`") for c in carried], *[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(inputs)])
+    given = [free_name(df, f"_in{i}") for i in range(len(inputs))]
+    frame = df.select(*[F.col(f"`{c}`") for c in carried], *[F.col(f"`{c}`").alias(g) for g, c in zip(given, inputs)])
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         fn = make()
         for b in batches:
             for at in range(0, len(next(iter(b.values()))), SLICE_ROWS):
                 part = {c: a.slice(at, SLICE_ROWS) for c, a in b.items()}
-                made = fn(*[part[f"_in{i}"] for i in range(len(inputs))])
+                made = fn(*[part[g] for g in given])
                 yield {**{c: part[c] for c in carried}, **dict(zip(new, made))}
 
-    assert len(set(names)) == len(names), "column names must differ"
     return map_batches(frame, run, schema)

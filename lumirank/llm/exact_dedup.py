@@ -11,11 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumirank.llm.common import ascii_lower, map_batches
+from lumirank.llm.common import ascii_lower, map_batches, ready, with_key
 from lumirank.plans.scratch import scratch_table
 
 SLOTS = 4  # entries per bucket
@@ -178,6 +178,10 @@ def live_digests(arrivals: DataFrame, shards: int | None = None) -> DataFrame:
 SHARD_KEYS = 1_000_000  # documents per shard
 
 
+def _shards(spark: SparkSession, rows: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // SHARD_KEYS)
+
+
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Which row of each group of equal texts stays: one row per document, dropped ones too.
 
@@ -186,15 +190,14 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     counts as empty. Columns: doc_id, keep_id, group_size, kept, text_sha256; other columns are ignored.
     An empty table gives no rows. Equality is that of the SHA-256 digests of the whole texts.
     """
-    spark = docs.sparkSession
+    spark = ready(docs.sparkSession)
     normal = ascii_lower(F.coalesce(F.col(text), F.lit(""))).cast("binary")
     digests = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.sha2(normal, 256)).alias("digest"))
     # Written once: the text is read once, and a row's number stays the same when tasks run again.
     rows = scratch_table(digests.withColumn("row", F.monotonically_increasing_id()), "digests")
-    default = int(spark.conf.get("spark.sql.shuffle.partitions"))
     live = live_digests(
         rows.select("digest", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size")),
-        max(default, rows.count() // SHARD_KEYS),
+        _shards(spark, rows.count()),
     )
     return rows.join(live, "digest").select(
         "doc_id",
@@ -207,19 +210,14 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; see `exact_groups` for the rule.
-
-    Each row is numbered once, so that of repeated rows just one is kept.
-    """
-    spark = docs.sparkSession
-    numbered = scratch_table(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    """The documents that stay, with all their columns; see `exact_groups` for the rule."""
+    rows, key = with_key(docs)
     normal = ascii_lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary")
-    arrivals = numbered.select(
+    arrivals = rows.select(
         F.unhex(F.sha2(normal, 256)).alias("digest"),
         F.col("doc_id").cast("long").alias("keep_id"),
-        F.col("_row").alias("keep_row"),
+        F.col(key).alias("keep_row"),
         F.lit(1).cast("long").alias("group_size"),
     )
-    default = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keep = live_digests(arrivals, max(default, numbered.count() // SHARD_KEYS)).select(F.col("keep_row").alias("_row"))
-    return numbered.join(keep, "_row", "left_semi").drop("_row")
+    keep = live_digests(arrivals, _shards(docs.sparkSession, rows.count())).select(F.col("keep_row").alias(key))
+    return rows.join(keep, key, "left_semi").select(*docs.columns)

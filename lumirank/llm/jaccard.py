@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumirank.llm.common import ASCII_LOWER, WORD, map_batches, ready
+from lumirank.llm.common import ASCII_LOWER, WORD, map_batches, ready, with_key
 from lumirank.plans.scratch import scratch_table
 
 SHINGLE = 5
@@ -315,3 +315,17 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             "print",
         )
     )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each group of linked ones, with all columns: the one with the smallest id.
+
+    Null ids rank above all others, and of rows repeated with one id one stays. Documents without words
+    are linked with nothing, so each of them stays.
+    """
+    rows, key = with_key(docs)
+    groups = similar_groups(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "component_id")
+    ids = rows.select(key, F.col("doc_id").alias("id"))
+    place = F.struct(F.col("id").isNull().alias("missing"), "id", F.col(key).alias("row"))
+    stay = groups.join(ids, key).groupBy("component_id").agg(F.min(place)["row"].alias(key)).select(key)
+    return rows.join(stay, key, "left_semi").select(*docs.columns)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumirank.llm.common import held_out, map_batches, with_columns_from
+from lumirank.llm.common import held_out, map_batches, ready, with_columns_from
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
@@ -94,6 +94,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     Each task adds up its own rows before anything is shuffled. The model has one row per language and
     comes to the driver: BUCKETS numbers for each, however large the corpus is.
     """
+    ready(docs.sparkSession)
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)))
     counts = (
         map_batches(known.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")), _count, _COUNTS)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumirank.llm.common import free_name, with_key
 from lumirank.plans.scratch import scratch_table
 
 WEIGHTS = (5, 2, 1)
@@ -213,3 +214,15 @@ def mix_sources(
         "copies",
         (F.col("copies") * F.col("size")).cast("long").alias("taken"),
     )
+
+
+def repeat_to_mix(docs: DataFrame) -> DataFrame:
+    """The documents of the mix with all columns, each as many times as the mix takes it."""
+    rows, key = with_key(docs)
+    mixed = mix_sources(rows, doc_id=key).where("copies > 0").select(F.col("doc_id").alias(key), "copies")
+    copies, turn = free_name(rows, "_copies"), free_name(rows, "_turn")
+    return (
+        rows.join(mixed.withColumnRenamed("copies", copies), key)
+        .withColumn(turn, F.explode(F.array_repeat(F.lit(0), F.col(copies))))
+        .select(*docs.columns)
+    )

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumirank.llm.common import held_out, map_batches, with_columns_from
+from lumirank.llm.common import free_name, held_out, map_batches, ready, with_columns_from
 
 SAMPLE_ROWS = 4_000  # labelled documents the model is fitted on, at most
 TABLE_ROWS = 1 << 15
@@ -125,6 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     made on the executors; what comes back is bounded by `sample_rows` times the table. Without any
     labelled document every score is 0.5.
     """
+    ready(docs.sparkSession)
     chosen = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
@@ -195,5 +196,5 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, with their columns, that the classifier does not reject."""
-    scored = score_texts(docs, fit(docs, labels), score="_score")
-    return scored.where(F.col("_score") >= KEEP_SCORE).select(*docs.columns)
+    score = free_name(docs, "_score")
+    return score_texts(docs, fit(docs, labels), score=score).where(F.col(score) >= KEEP_SCORE).select(*docs.columns)
