@@ -43,3 +43,16 @@ def scratch_table(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a job, wherever Spark can reach it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(table: DataFrame) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    files = table.inputFiles()
+    if files:
+        remove(table.sparkSession, files[0].rsplit("/", 1)[0])
