@@ -13,11 +13,19 @@ def split_by_reason(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame
 
 
 def split_rejects(
-    df: DataFrame, path: str = "image.origin", payload: str = "tensors"
+    df: DataFrame, path: str = "image.origin", payload: str = "tensors", size: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows with a path and a payload, and the others with the reason."""
+    """Rows with a path and a payload, and the others with the reason.
+
+    With `size`, a payload must have that many values and none of them null.
+    """
     no_path = F.coalesce(F.length(F.col(path)), F.lit(0)) == 0
     reason = F.when(no_path, F.lit(f"missing {path}")).when(F.col(payload).isNull(), F.lit(f"missing {payload}"))
+    if size is not None:
+        found = F.size(F.col(payload))
+        reason = reason.when(
+            found != size, F.concat(F.lit(f"{payload} of "), found.cast("string"), F.lit(f" values, expected {size}"))
+        ).when(F.exists(payload, lambda x: x.isNull()), F.lit(f"null among {payload}"))
     return split_by_reason(df, reason)
 
 

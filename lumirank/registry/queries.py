@@ -199,6 +199,18 @@ def upsert_latest(spark, d):
     return _record_rows(collection.read_collection(spark, _filled(spark, d)))
 
 
+def upsert_rewritten(spark, d):
+    """Every id written again with the same time and sequence and another value, one half after a compaction:
+    the later write wins."""
+    path = _filled(spark, d)
+    rows = _event_records(table(spark, d, "events"))
+    flipped = rows.withColumn("values", F.transform("values", lambda x: -x))
+    collection.upsert(spark, path, flipped.where("source_seq % 2 = 0"), F.col("_space"))
+    collection.compact(spark, path)
+    collection.upsert(spark, path, flipped, F.col("_space"))
+    return _record_rows(collection.read_collection(spark, path))
+
+
 def upsert_replayed(spark, d):
     """The same batch twice with a compaction after each: nothing changes."""
     return _record_rows(collection.read_collection(spark, _filled(spark, d, 2, True)))
@@ -470,10 +482,10 @@ def split_rejects(spark, d):
 
 
 def valid_queries(spark, d):
-    """Conversation turns as queries; user turns with an even number are blanks."""
+    """Conversation turns as queries; user turns with an even number are blanks, of ASCII and beyond."""
     c = table(spark, d, "conversations")
     blank = (F.col("role") == "user") & (F.col("turn") % 2 == 0)
-    text = F.when(blank, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.col("text"), F.lit("  ")))
+    text = F.when(blank, F.lit(" \u3000")).otherwise(F.concat(F.lit("\u00a0 "), F.col("text"), F.lit(" \u2009")))
     q = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), text.alias("text"))
     good, bad = text_queries.valid_queries(text_queries.read_queries(q))
     both = good.select("query_id", F.length("text").alias("n"), F.lit("ok").alias("reason"), F.lit(200).alias("code"))
@@ -722,11 +734,12 @@ VECTOR_PAYLOAD = T.StructType(
 
 
 def stream_ingest(spark, d):
-    """Vectors sent as messages, read as a stream, upserted; label 0 has no tensor and is rejected."""
+    """Vectors sent as messages, read as a stream, upserted; label 0 has no tensor and label 1 one that is too
+    short, and both are rejected."""
     e = table(spark, d, "embeddings")
     rows = e.select(
         F.struct(F.concat(F.lit("images/"), F.col("vec_id").cast("string"), F.lit(".png")).alias("origin")).alias("image"),
-        F.when(F.col("label") != 0, F.col("embedding")).alias("tensors"),
+        F.when(F.col("label") == 1, F.slice("embedding", 1, 63)).when(F.col("label") != 0, F.col("embedding")).alias("tensors"),
         F.timestamp_seconds(F.lit(1_700_000_000) + F.col("vec_id")).alias("preprocess_time"),
     )
     topic = scratch_path(spark, "topic")
@@ -773,16 +786,19 @@ def stream_ingest_images(spark, d):
 
 
 def stream_delivery(spark, d):
-    """Counters of a stream of messages, added up over its micro-batches."""
+    """Counters of a stream of messages, added up over more micro-batches than a stream keeps progress of."""
     schema, sent = _damaged(spark, d)
-    topic = scratch_path(spark, "topic")
-    envelopes.publish(sent, "parquet", topic)
-    counted = jobs.counted(read_envelopes(spark, "parquet", path=topic, topics="t"), schema)
-    query = to_files(counted.select("error", "bytes"), scratch_path(spark, "stream"), scratch_path(spark, "progress"))
-    finished(query)
-    seen = [p.observedMetrics["delivery"] for p in query.recentProgress if "delivery" in (p.observedMetrics or {})]
-    totals = tuple(sum(s[name] for s in seen) for name in ("messages", "errors", "bytes"))
-    return spark.createDataFrame([totals], "messages long, errors long, bytes long")
+    topic, out, counters, progress = (scratch_path(spark, n) for n in ("topic", "stream", "counters", "progress"))
+    envelopes.publish(sent.repartition(6, "key", F.octet_length("value")), "parquet", topic)
+    kept = "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(kept)
+    spark.conf.set(kept, 2)
+    try:
+        source = read_envelopes(spark, "parquet", {"maxFilesPerTrigger": 1}, topic, "t")
+        finished(jobs.count_delivery(source, schema, out, counters, progress, available_now=True))
+    finally:
+        spark.conf.set(kept, before)
+    return jobs.delivered(spark, counters)
 
 
 def stream_search(spark, d):
@@ -810,7 +826,7 @@ def stream_search(spark, d):
 QUERIES = [
     topk_cosine, topk_cell_join, topk_in_namespace, topk_with_values, cosine_to_label_mean, vector_profile, vector_dimension,
     vector_normalize, vector_conversion, check_dimension, valid_embeddings, no_match_report,
-    upsert_latest, upsert_replayed, read_namespace, collection_describe,
+    upsert_latest, upsert_rewritten, upsert_replayed, read_namespace, collection_describe,
     record_id, record_metadata, format_match, resolve_existing_path,
     micro_batches, micro_batches_unkeyed, session_windows, throughput_windows, moving_average, moving_average_by_type,
     throughput_stats, run_summary, run_summary_by_user, failure_breakdown, log_throughput, batch_assign, batch_count,

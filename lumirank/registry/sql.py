@@ -188,6 +188,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT vec_id, CASE WHEN label IN (7, 8) THEN 'no embedding returned' ELSE 'ok' END AS reason FROM embeddings""",
         "no_match_report": "SELECT vec_id AS query_id, 'no matches found' AS reason FROM embeddings WHERE label = 4",
         "upsert_latest": _LATEST,
+        "upsert_rewritten": f"SELECT * REPLACE (-value AS value) FROM ({_LATEST})",
         "upsert_replayed": _LATEST,
         "read_namespace": f"SELECT * FROM ({_LATEST}) WHERE namespace = 'purchase'",
         "collection_describe": """
@@ -259,8 +260,8 @@ def oracle_sql() -> dict[str, str]:
                                 WHEN n_chars % 7 = 0 THEN 'missing tensors' ELSE 'ok' END AS reason FROM documents""",
         "valid_queries": """
             WITH q AS (SELECT conv_id * 1000 + turn AS query_id,
-                CASE WHEN role = 'user' AND turn % 2 = 0 THEN '  ' ELSE ' ' || text || '  ' END AS raw FROM conversations),
-            t AS (SELECT query_id, raw, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS stripped FROM q)
+                CASE WHEN role = 'user' AND turn % 2 = 0 THEN ' ' || chr(12288) ELSE chr(160) || ' ' || text || ' ' || chr(8201) END AS raw FROM conversations),
+            t AS (SELECT query_id, raw, regexp_replace(raw, '^[\\s\\x{a0}\\x{2009}\\x{3000}]+|[\\s\\x{a0}\\x{2009}\\x{3000}]+$', '', 'g') AS stripped FROM q)
             SELECT query_id, CASE WHEN coalesce(stripped, '') = '' THEN length(raw) ELSE length(stripped) END::INTEGER AS n,
                    CASE WHEN coalesce(stripped, '') = '' THEN 'no text provided' ELSE 'ok' END AS reason,
                    CASE WHEN coalesce(stripped, '') = '' THEN 400 ELSE 200 END AS code FROM t""",
@@ -308,11 +309,11 @@ def oracle_sql() -> dict[str, str]:
         ),
         "stream_drop_repeats": "SELECT event_id, ts, value FROM events",
         "stream_ingest": """
-            SELECT CASE WHEN label <> 0 THEN vec_id || '.png' END AS id, 
+            SELECT CASE WHEN label > 1 THEN vec_id || '.png' END AS id,
                    'images/' || vec_id || '.png' AS origin,
-                   CASE WHEN label <> 0 THEN strftime(make_timestamp((1700000000 + vec_id) * 1000000), '%Y-%m-%d %H:%M:%S.%f') END AS preprocess_time,
-                   CASE WHEN label <> 0 THEN round(list_sum(embedding::DOUBLE[]), 5) END AS total,
-                   CASE WHEN label <> 0 THEN 'ok' ELSE 'missing tensors' END AS reason
+                   CASE WHEN label > 1 THEN strftime(make_timestamp((1700000000 + vec_id) * 1000000), '%Y-%m-%d %H:%M:%S.%f') END AS preprocess_time,
+                   CASE WHEN label > 1 THEN round(list_sum(embedding::DOUBLE[]), 5) END AS total,
+                   CASE WHEN label > 1 THEN 'ok' WHEN label = 1 THEN 'tensors of 63 values, expected 64' ELSE 'missing tensors' END AS reason
             FROM embeddings""",
         "stream_search": _text_search(2, "lpad(id::VARCHAR, 12, '0')", ", 'docs/' || id AS image_path"),
     }

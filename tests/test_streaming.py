@@ -163,14 +163,40 @@ def test_published_stream_is_read_back(spark, tmp_path):
     assert back.where(F.col("key").isNull() | F.col("timestamp").isNull() | (F.col("metadata")["from"] != "test")).count() == 0
 
 
-def test_counters_of_a_stream(spark, tmp_path):
-    topic = str(tmp_path / "topic")
-    envelopes.publish(vector_messages(spark), "parquet", topic)
-    stream = jobs.counted(read_envelopes(spark, "parquet", path=topic), VECTOR_PAYLOAD)
-    query = to_files(stream.select("error", "bytes"), str(tmp_path / "o"), str(tmp_path / "p"))
-    query.awaitTermination()
-    counted = [p.observedMetrics["delivery"] for p in query.recentProgress if "delivery" in (p.observedMetrics or {})]
-    assert sum(c["messages"] for c in counted) == 40 and sum(c["errors"] for c in counted) == 0
+def test_counters_of_more_batches_than_progress_is_kept(spark, tmp_path):
+    topic, out, counters = (str(tmp_path / n) for n in ("topic", "o", "c"))
+    for _ in range(5):
+        envelopes.publish(vector_messages(spark, 10).coalesce(1), "parquet", topic)
+    envelopes.publish(vector_messages(spark, 10).coalesce(1).withColumn("value", F.lit("?").cast("binary")), "parquet", topic)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", 2)
+    try:
+        source = read_envelopes(spark, "parquet", {"maxFilesPerTrigger": 1}, topic)
+        jobs.count_delivery(source, VECTOR_PAYLOAD, out, counters, str(tmp_path / "p"), available_now=True).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    total = jobs.delivered(spark, counters).first()
+    assert (total["messages"], total["errors"]) == (60, 10) and total["bytes"] > 0
+    assert spark.read.parquet(out).count() == 60
+
+
+def test_wrong_tensors_are_rejects(spark, tmp_path):
+    rows = spark.range(10).select(
+        F.struct(F.concat(F.lit("d/"), F.col("id").cast("string")).alias("origin")).alias("image"),
+        F.when(F.col("id") == 3, F.array(F.lit(1.0)))
+        .when(F.col("id") == 4, F.array(F.lit(1.0), F.lit(None).cast("double")))
+        .otherwise(F.array(F.lit(1.0), F.lit(2.0))).cast("array<float>").alias("tensors"),
+        F.lit(T0).alias("preprocess_time"),
+    )
+    topic, path, rejects = (str(tmp_path / n) for n in ("t", "c", "r"))
+    envelopes.publish(envelopes.encode_rows(rows, topic="t"), "parquet", topic)
+    collection.ensure_collection(spark, path, 2)
+    source = read_envelopes(spark, "parquet", path=topic, topics="t")
+    jobs.ingest_stream(
+        source, VECTOR_PAYLOAD, path, None, str(tmp_path / "p"), available_now=True, rejects_path=rejects, compact_every=1
+    ).awaitTermination()
+    assert collection.read_collection(spark, path).count() == 8
+    reasons = sorted(r["reason"] for r in spark.read.option("recursiveFileLookup", True).parquet(rejects).collect())
+    assert reasons == ["null among tensors", "tensors of 1 values, expected 2"]
 
 
 def test_queries_are_answered_as_they_come(spark, tmp_path):
