@@ -19,6 +19,9 @@ from lumirank.registry.queries import queries  # noqa: E402
 HEADLINES = [
     "topk_cosine",
     "topk_cell_join",
+    "topk_many_queries",
+    "topk_grid",
+    "topk_approx",
     "text_embed",
     "text_search_top10",
     "normalize_pixels_sql",

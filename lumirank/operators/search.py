@@ -1,12 +1,14 @@
-"""Exact cosine nearest neighbours.
+"""Cosine nearest neighbours, exact and by cells.
 
-Two plans give the same answer:
+Exact search has three plans that give the same answer:
 
-* a *scan*, when the query side is proven to fit a broadcast: every partition of the collection keeps
+* one *scan*, when the query side is proven to fit a broadcast: every partition of the collection keeps
   its own best k rows per query, and only those are shuffled;
-* a *cell join*, for a query side of any size: vectors are grouped around pivots, the angle to a pivot
-  bounds the cosine of every pair, and a query visits only the cells that can still improve its best k.
-  Large cells and crowded cells are cut into blocks, so no task holds a whole cell.
+* several scans, one per part of a query side of a few times that size: vectors are never shuffled;
+* a *grid* of query blocks and row blocks for any other size: each cell is a task of bounded size.
+
+`top_k_approx` visits a given number of cells around pivots instead of all rows. Large cells and crowded
+cells are cut into blocks, so no task holds a whole cell.
 
 Scores are computed in double and compared to twelve decimals; equal scores are ranked by id. A vector
 without length has no score and ranks last.
@@ -26,9 +28,11 @@ from lumirank.functions.records import resolve_path
 from lumirank.plans.scratch import scratch_table
 
 BROADCAST_BYTES = 64 << 20  # most query-vector bytes sent to every executor
-BLOCK_BYTES = 64 << 20  # vector bytes of one block in the cell join
-MAX_PIVOTS = 1024
-_CHUNK_CELLS = 2 << 20  # scores held at once in a task
+BLOCK_BYTES = 64 << 20  # vector bytes of one block of the grid or of a cell
+MAX_SCANS = 8  # scans of the collection that are still cheaper than moving its vectors
+_TILE_QUERIES, _TILE_ROWS = 1024, 2048
+_BUFFER_ROWS = 200_000  # candidates gathered before they are merged into the best lists, at least
+_CHUNK_CELLS = 2 << 20  # numbers of the second look held at once
 _SINGLE = 2.0**-24  # rounding of one single-precision step
 _DIGITS = 12
 
@@ -56,49 +60,69 @@ def _best(found: pa.Table, k: int, id_col: str) -> pa.Table:
     return found.take(pa.array(order.index.to_numpy()[keep]))
 
 
-def _scan(queries: np.ndarray, batches, k: int, id_col: str, vec_col: str, floor=None):
+def _scan(queries: np.ndarray, batches, k: int, id_col: str, vec_col: str):
     """Best k rows per query over a stream of batches (rows of the collection).
 
-    A product in single precision picks the rows that can be among the best, whatever its rounding; those
-    are scored again in double.
+    Works in tiles of queries and rows. A product in single precision picks the rows of a tile that can be
+    among the best, whatever its rounding; those are scored again in double. Candidates gather in a buffer,
+    which is merged into the best lists when it has outgrown them, so the lists are sorted a number of times
+    that does not depend on the number of queries.
     """
     n_queries, dim = queries.shape
     rough = queries.astype(np.float32)
     slack = 1e-9 + 2 * (dim + 4) * _SINGLE
     no_length = ~queries.any(axis=1)
-    floor = np.full(n_queries, -np.inf) if floor is None else floor.copy()
-    best = None
-    step = max(1, _CHUNK_CELLS // max(1, n_queries))
+    floor = np.full(n_queries, -np.inf)
+    best, buffer, held = None, [], 0
+
+    def merge():
+        tables = buffer if best is None else [best, *buffer]
+        merged = _best(pa.concat_tables(tables), k, id_col)
+        counts = np.bincount(merged["_q"].to_numpy(), minlength=n_queries)
+        last = np.cumsum(counts) - 1
+        full = counts >= k
+        floor[full] = np.maximum(floor[full], merged["score"].to_numpy()[last[full]])
+        return merged
+
     for batch in batches:
         table = batch if isinstance(batch, pa.Table) else pa.Table.from_batches([batch])
-        for start in range(0, table.num_rows, step):
-            part = table.slice(start, step)
+        for start in range(0, table.num_rows, _TILE_ROWS):
+            part = table.slice(start, _TILE_ROWS)
             unit = _matrix(part[vec_col], dim)
-            scores = rough @ unit.astype(np.float32).T
-            scores[no_length] = -np.inf
-            scores[:, ~unit.any(axis=1)] = -np.inf
-            limit = floor
-            if scores.shape[1] > k and np.isneginf(floor).any():
-                limit = np.maximum(floor, np.partition(scores, -k, axis=1)[:, -k])
-            rows, cols = np.nonzero(scores >= (limit - slack).astype(np.float32)[:, None])
-            if not len(rows):
-                continue
-            exact = np.empty(len(rows))
-            pairs = max(1, _CHUNK_CELLS // dim)
-            for at in range(0, len(rows), pairs):  # the same sum for every copy of a vector
-                r, c = rows[at : at + pairs], cols[at : at + pairs]
-                exact[at : at + pairs] = np.round((queries[r] * unit[c]).sum(axis=1), _DIGITS)
-            exact[np.isneginf(scores[rows, cols])] = -np.inf
-            found = pa.table({"_q": rows, "score": exact, id_col: part[id_col].take(pa.array(cols)), "_at": cols})
-            found = _best(found, k, id_col)  # at most k rows per query go on with their other columns
-            carried = part.drop([vec_col]).take(found["_at"])
-            found = carried.append_column("_q", found["_q"]).append_column("score", found["score"])
-            best = found if best is None else _best(pa.concat_tables([best, found]), k, id_col)
-            counts = np.bincount(best["_q"].to_numpy(), minlength=n_queries)
-            last = np.cumsum(counts) - 1
-            full = counts >= k
-            floor[full] = np.maximum(floor[full], best["score"].to_numpy()[last[full]])
-    return best
+            rough_rows, none = unit.astype(np.float32).T, ~unit.any(axis=1)
+            others = part.drop([vec_col])
+            for at in range(0, n_queries, _TILE_QUERIES):
+                tile = slice(at, at + _TILE_QUERIES)
+                found = _candidates(queries[tile], unit, rough[tile] @ rough_rows, no_length[tile], none, floor[tile], slack, k)
+                if found is None:
+                    continue
+                rows, cols, exact = found
+                found = pa.table({"_q": rows + at, "score": exact, id_col: part[id_col].take(pa.array(cols)), "_at": cols})
+                found = _best(found, k, id_col)  # at most k rows per query go on with their other columns
+                buffer.append(others.take(found["_at"]).append_column("_q", found["_q"]).append_column("score", found["score"]))
+                held += found.num_rows
+                if held > max(_BUFFER_ROWS, 2 * n_queries * k):
+                    best, buffer, held = merge(), [], 0
+    return merge() if buffer else best
+
+
+def _candidates(queries, unit, scores, no_length, none, floor, slack: float, k: int):
+    """(query, row, score) of the pairs of a tile that can be among the best, scored in double."""
+    scores[no_length] = -np.inf
+    scores[:, none] = -np.inf
+    limit = floor
+    if scores.shape[1] > k and np.isneginf(floor).any():
+        limit = np.maximum(floor, np.partition(scores, -k, axis=1)[:, -k])
+    rows, cols = np.nonzero(scores >= (limit - slack).astype(np.float32)[:, None])
+    if not len(rows):
+        return None
+    exact = np.empty(len(rows))
+    pairs = max(1, _CHUNK_CELLS // queries.shape[1])
+    for at in range(0, len(rows), pairs):  # the same sum for every copy of a vector
+        r, c = rows[at : at + pairs], cols[at : at + pairs]
+        exact[at : at + pairs] = np.round((queries[r] * unit[c]).sum(axis=1), _DIGITS)
+    exact[np.isneginf(scores[rows, cols])] = -np.inf
+    return rows, cols, exact
 
 
 def _emit(best: pa.Table | None, query_ids: pa.Array, query_id: str, columns: list[str]):
@@ -157,7 +181,7 @@ def _nearest_pivot(df: DataFrame, vec: str, pivots, dim: int) -> DataFrame:
     @F.arrow_udf("struct<cell:int,angle:double>")
     def assign(values: pa.Array) -> pa.Array:
         unit = _matrix(values, dim)
-        scores = unit @ pivots.value.T
+        scores = np.round(unit @ pivots.value.T, _DIGITS)
         cell = scores.argmax(axis=1)
         angle = np.arccos(np.clip(scores[np.arange(len(cell)), cell], -1.0, 1.0))
         zero = ~unit.any(axis=1)
@@ -179,105 +203,89 @@ def _spread(key: str, parts: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), parts).cast("int")
 
 
-def _cell_plan(
-    queries: DataFrame, coll: DataFrame, k: int, query_id: str, id_col: str, vec: str, schema, block_bytes: int,
-    n_pivots: int | None = None,
+def _many_queries_plan(
+    queries: DataFrame, coll: DataFrame, k: int, query_id: str, id_col: str, vec: str, schema, scan_bytes: int, block_bytes: int,
+    max_scans: int,
 ):
+    """A query side beyond one broadcast. Both sides are evaluated once, and written."""
     spark = coll.sparkSession
-    first = coll.select(F.size(vec).alias("n")).first()
-    if first is None:
-        return spark.createDataFrame([], schema)
-    dim = first["n"]
-    block_rows = max(k, block_bytes // (8 * dim))
+    queries, rows = scratch_table(queries, "queries"), scratch_table(coll, "rows")
+    dim, n_queries = queries.agg(F.max(F.size(vec)), F.count(F.lit(1))).first()
+    vector_bytes = 8 * max(1, dim or 1)
+    parts = -(-n_queries * vector_bytes // scan_bytes)
+    if parts <= max_scans:
+        found = []
+        for part in range(parts):
+            some = queries.where(_spread(query_id, F.lit(parts), 3) == part).select(query_id, vec).toArrow()
+            found.append(scratch_table(_scan_plan(spark, some, rows, k, query_id, id_col, vec, schema), "found"))
+        out = found[0]
+        for more in found[1:]:
+            out = out.unionByName(more)
+        return out
+
+    # Every query block meets every row block; a block of either side is repeated for the blocks of the other.
+    q_blocks = -(-n_queries * vector_bytes // block_bytes)
+    r_blocks = max(1, -(-rows.count() * vector_bytes // block_bytes))
     columns = schema.fieldNames()
 
-    # Pivots: a bounded, repeatable pick of the collection's own vectors.
-    total = coll.count()
-    wanted = n_pivots or min(MAX_PIVOTS, max(1, total // 1000), max(1, BROADCAST_BYTES // (8 * dim)))
-    chosen = coll.orderBy(F.xxhash64(id_col), id_col).select(vec).limit(wanted).toArrow()
-    matrix = _matrix(chosen[vec], dim)
-    matrix = matrix[matrix.any(axis=1)]
-    pivots = spark.sparkContext.broadcast(matrix if len(matrix) else np.eye(1, dim))
-
-    # One row per cell: size and angular radius. At most MAX_PIVOTS + 1 rows.
-    homes = scratch_table(_nearest_pivot(coll, vec, pivots, dim), "cells")
-    cells = homes.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_angle").alias("radius")).toPandas()
-    cells["subs"] = np.ceil(cells["n"] / block_rows).astype(int)
-    radius = np.full(len(pivots.value) + 1, -1.0)  # the last place is cell -1
-    subs = np.zeros(len(radius), dtype=np.int64)
-    radius[cells["_cell"]] = cells["radius"]
-    subs[cells["_cell"]] = cells["subs"]
-    shared = spark.sparkContext.broadcast((radius, subs))
-
-    wanted_queries = _nearest_pivot(queries.select(query_id, vec), vec, pivots, dim)
-    seen = scratch_table(wanted_queries, "queries")
-
-    # Pass 1: one block of the nearest populated cell gives each query a score it can already reach.
-    @F.arrow_udf("int")
-    def first_cell(values: pa.Array) -> pa.Array:
-        r, s = shared.value
-        scores = _matrix(values, dim) @ pivots.value.T
-        scores[:, s[:-1] == 0] = -np.inf
-        return pa.array(scores.argmax(axis=1).astype(np.int32))
-
-    sub_map = F.create_map(*[F.lit(int(v)) for row in cells[["_cell", "subs"]].to_numpy() for v in row])
-    placed = homes.withColumn("_sub", _spread(id_col, sub_map[F.col("_cell")], 1))
-    probes = seen.withColumn("_cell", first_cell(F.col(vec))).withColumn(
-        "_sub", _spread(query_id, F.coalesce(sub_map[F.col("_cell")], F.lit(1)), 2)
-    )
-    floor_schema = T.StructType(
-        [schema[query_id], T.StructField("_floor", T.DoubleType())]
-    )
+    def blocks(df: DataFrame, key: str, own: str, n: int, other: str, repeats: int) -> DataFrame:
+        return df.withColumn(own, _spread(key, F.lit(n), 3)).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+
+    def match(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.drop(["_qb", "_rb"]), right.drop(["_qb", "_rb"])
+        best = None
+        if left.num_rows and right.num_rows:
+            best = _scan(_matrix(left[vec], dim), [right], k, id_col, vec)
+        return _found_or_none(best, right, vec, left, query_id, columns)
+
+    left = blocks(queries.select(query_id, vec), query_id, "_qb", q_blocks, "_rb", r_blocks)
+    keep = [c for c in columns if c not in (query_id, "score")]
+    right = blocks(rows.select(*keep, vec), id_col, "_rb", r_blocks, "_qb", q_blocks)
+    keys = ["_qb", "_rb"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(match, schema)
 
-    def reach(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({query_id: left[query_id][:0], "_floor": pa.array([], pa.float64())})
-        if not left.num_rows or not right.num_rows:
-            return empty
-        best = _scan(_matrix(left[vec], dim), [right.select([id_col, vec])], k, id_col, vec)
-        per = best.group_by("_q").aggregate([("score", "min"), ("score", "count")])
-        per = per.filter(pa.compute.equal(per["score_count"], k))
-        return pa.table(
-            {query_id: left[query_id].combine_chunks().take(per["_q"].combine_chunks()), "_floor": per["score_min"]}
-        )
 
-    floors = _blocks(probes, placed.select(id_col, vec, "_cell", "_sub"), block_rows, query_id, reach, floor_schema)
-    floors = scratch_table(floors, "floors")
+def _found_or_none(best, rows: pa.Table, vec: str, queries: pa.Table, query_id: str, columns: list[str]) -> pa.Table:
+    if best is None:
+        empty = rows.drop([vec]).slice(0, 0)
+        best = empty.append_column("_q", pa.array([], pa.int64())).append_column("score", pa.array([], pa.float64()))
+    return _emit(best, queries[query_id].combine_chunks(), query_id, columns)
+
+
+def _cells_plan(
+    queries: DataFrame, coll: DataFrame, pivots: np.ndarray, n_probe: int, k: int, query_id: str, id_col: str, vec: str, schema,
+    block_bytes: int,
+):
+    """Every query visits the `n_probe` cells whose pivots are nearest to it."""
+    spark = coll.sparkSession
+    dim = pivots.shape[1]
+    shared = spark.sparkContext.broadcast(pivots)
+    block_rows = max(k, block_bytes // (8 * dim))
+    columns = schema.fieldNames()
+    homes = scratch_table(_nearest_pivot(coll, vec, shared, dim).drop("_angle"), "cells")
+    # One row per cell, so at most one more than there are pivots.
+    subs = {r["_cell"]: -(-r["count"] // block_rows) for r in homes.groupBy("_cell").count().collect()}
+    if not subs:
+        return spark.createDataFrame([], schema)
+    sub_map = F.create_map(*[F.lit(int(v)) for item in sorted(subs.items()) for v in item])
 
-    # Pass 2: every cell whose bound reaches the query's floor.
     @F.arrow_udf("array<int>")
-    def reachable(values: pa.Array, floor: pa.Array) -> pa.Array:
-        r, s = shared.value
-        unit = _matrix(values, dim)
-        angle = np.arccos(np.clip(unit @ pivots.value.T, -1.0, 1.0))
-        bound = np.cos(np.maximum(angle - r[None, :-1] - 1e-7, 0.0))
-        low = floor.fill_null(-np.inf).to_numpy(zero_copy_only=False)
-        low = np.where(unit.any(axis=1), low, -np.inf)
-        visit = (bound >= (low - 1e-9)[:, None]) & (s[:-1] > 0)[None, :]
-        # Rows without length have no score: they matter only while a query lacks k scored rows.
-        rest = np.isneginf(low) & (s[-1] > 0)
-        rows, cols = np.nonzero(np.column_stack([visit, rest]))
-        cols = np.where(cols == len(s) - 1, -1, cols).astype(np.int32)
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(unit)))]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(cols))
-
-    routed = (
-        seen.select(query_id, vec)
-        .join(floors, query_id, "left")
-        .withColumn("_cell", F.explode_outer(reachable(F.col(vec), F.col("_floor"))))
-        .withColumn("_sub", F.explode(F.sequence(F.lit(0), sub_map[F.col("_cell")] - 1)))  # none for a null cell
-    )
+    def probed(values: pa.Array) -> pa.Array:
+        scores = np.round(_matrix(values, dim) @ shared.value.T, _DIGITS)
+        nearest = np.argsort(-scores, axis=1, kind="stable")[:, :n_probe]
+        return pa.array(nearest.astype(np.int32).tolist(), pa.list_(pa.int32()))
 
     def match(left: pa.Table, right: pa.Table) -> pa.Table:
-        low = left["_floor"].combine_chunks().fill_null(-np.inf).to_numpy(zero_copy_only=False)
         best = None
         if left.num_rows and right.num_rows:
-            matrix = _matrix(left[vec], dim)
-            best = _scan(matrix, [right], k, id_col, vec, np.where(matrix.any(axis=1), low, -np.inf))
-        if best is None:
-            empty = right.drop([vec]).slice(0, 0)
-            best = empty.append_column("_q", pa.array([], pa.int64())).append_column("score", pa.array([], pa.float64()))
-        return _emit(best, left[query_id].combine_chunks(), query_id, columns)
+            best = _scan(_matrix(left[vec], dim), [right], k, id_col, vec)
+        return _found_or_none(best, right, vec, left, query_id, columns)
 
+    routed = scratch_table(
+        queries.select(query_id, vec).withColumn("_cell", F.explode(probed(F.col(vec)))).where(sub_map[F.col("_cell")].isNotNull()),
+        "routed",
+    ).withColumn("_sub", F.explode(F.sequence(F.lit(0), sub_map[F.col("_cell")] - 1)))
+    placed = homes.withColumn("_sub", _spread(id_col, sub_map[F.col("_cell")], 1))
     keep = [c for c in columns if c not in (query_id, "score")]
     return _blocks(routed, placed.select(*keep, vec, "_cell", "_sub"), block_rows, query_id, match, schema)
 
@@ -305,6 +313,20 @@ def _blocks(queries, coll, block_rows: int, query_id: str, fn, schema) -> DataFr
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
 
 
+def _sides(queries, collection, query_id, query_vec, id_col, vec_col, carry):
+    """Both sides with their vectors as `_v`, and the layout of what is found."""
+    coll = collection.select(F.col(id_col), *carry, F.col(vec_col).cast("array<float>").alias("_v"))
+    wanted = queries.select(F.col(query_id), F.col(query_vec).cast("array<float>").alias("_v"))
+    schema = T.StructType(
+        [
+            T.StructField(query_id, queries.schema[query_id].dataType),
+            *[T.StructField(f.name, f.dataType) for f in coll.schema if f.name != "_v"],
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+    return wanted, coll, schema
+
+
 def knn_join(
     queries: DataFrame,
     collection: DataFrame,
@@ -316,27 +338,58 @@ def knn_join(
     carry: tuple[str, ...] = (),
     broadcast_bytes: int = BROADCAST_BYTES,
     block_bytes: int = BLOCK_BYTES,
-    n_pivots: int | None = None,
+    max_scans: int = MAX_SCANS,
 ) -> DataFrame:
     """The k most similar rows of the collection for every query.
 
-    Returns query_id, id, the `carry` columns, score and rank. The query side is broadcast only if it
-    was found to hold no more than `broadcast_bytes`; beyond that the cell join runs.
+    Returns query_id, id, the `carry` columns, score and rank; ids and query ids are taken to be unique. The
+    query side is broadcast only if it was found to hold no more than `broadcast_bytes`; up to `max_scans`
+    times that it is broadcast part by part, beyond that it meets the collection block by block.
     """
-    coll = collection.select(F.col(id_col), *carry, F.col(vec_col).cast("array<float>").alias("_v"))
-    wanted = queries.select(F.col(query_id), F.col(query_vec).cast("array<float>").alias("_v"))
-    schema = T.StructType(
-        [
-            T.StructField(query_id, queries.schema[query_id].dataType),
-            *[T.StructField(f.name, f.dataType) for f in coll.schema if f.name != "_v"],
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
+    wanted, coll, schema = _sides(queries, collection, query_id, query_vec, id_col, vec_col, carry)
     small = _small_side(wanted, query_id, "_v", broadcast_bytes)
     if small is not None:
         local = _scan_plan(coll.sparkSession, small, coll, k, query_id, id_col, "_v", schema)
     else:
-        local = _cell_plan(wanted, coll, k, query_id, id_col, "_v", schema, block_bytes, n_pivots)
+        local = _many_queries_plan(wanted, coll, k, query_id, id_col, "_v", schema, broadcast_bytes, block_bytes, max_scans)
+    return _final(local, k, query_id, id_col)
+
+
+def knn_join_approx(
+    queries: DataFrame,
+    collection: DataFrame,
+    k: int = 1,
+    n_probe: int = 8,
+    n_pivots: int = 256,
+    pivots: DataFrame | None = None,
+    query_id: str = "query_id",
+    query_vec: str = "embedding",
+    id_col: str = "id",
+    vec_col: str = "values",
+    carry: tuple[str, ...] = (),
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The k most similar rows among those of the `n_probe` cells nearest to a query, with exact scores.
+
+    Cells gather around pivots: the vectors of `pivots` (columns `id_col` and `vec_col`, in the order of
+    their ids), or `n_pivots` rows of the collection chosen by a hash of the id. Either must fit a broadcast.
+    A row belongs to the pivot most similar to it, ties go to the first; rows without length are in no
+    cell. More probes give a better answer and cost more; all of them give the exact one but for rows
+    without length.
+    """
+    wanted, coll, schema = _sides(queries, collection, query_id, query_vec, id_col, vec_col, carry)
+    if pivots is None:
+        chosen = collection.orderBy(F.xxhash64(id_col), id_col).limit(n_pivots)
+    else:
+        chosen = pivots.orderBy(id_col)
+    vectors = chosen.select(F.col(vec_col).cast("array<float>").alias("_v")).toArrow()["_v"]
+    if not len(vectors):
+        return _final(coll.sparkSession.createDataFrame([], schema), k, query_id, id_col)
+    matrix = _matrix(vectors, len(vectors[0]))
+    matrix = matrix[matrix.any(axis=1)]
+    if matrix.nbytes > BROADCAST_BYTES:
+        raise ValueError("the pivots are more than a broadcast holds; choose fewer")
+    local = _cells_plan(wanted, coll, matrix, n_probe, k, query_id, id_col, "_v", schema, block_bytes)
     return _final(local, k, query_id, id_col)
 
 
@@ -353,6 +406,25 @@ def top_k(
 
     Returns query_id, rank, id, score, and image_path / metadata and values as asked for.
     """
+    return _ranked(knn_join, queries, collection, k, namespace, include_values, include_metadata, options)
+
+
+def top_k_approx(
+    queries: DataFrame,
+    collection: DataFrame,
+    k: int = 1,
+    n_probe: int = 8,
+    namespace: str | None = None,
+    include_values: bool = False,
+    include_metadata: bool = True,
+    **options,
+) -> DataFrame:
+    """`top_k` among the `n_probe` nearest cells of each query only; see `knn_join_approx`."""
+    options = {**options, "n_probe": n_probe}
+    return _ranked(knn_join_approx, queries, collection, k, namespace, include_values, include_metadata, options)
+
+
+def _ranked(search, queries, collection, k, namespace, include_values, include_metadata, options) -> DataFrame:
     coll = collection
     if namespace is not None:
         coll = coll.where(F.col("namespace") == namespace)
@@ -362,7 +434,7 @@ def top_k(
         carry += ("_values",)
     if include_metadata:
         carry += ("metadata",)
-    found = knn_join(queries, coll, k, carry=carry, **options)
+    found = search(queries, coll, k, carry=carry, **options)
     out = [F.col("query_id"), F.col("rank"), F.col("id"), F.col("score")]
     if include_metadata:
         out += [resolve_path(F.col("metadata"), F.col("id").cast("string")).alias("image_path"), F.col("metadata")]

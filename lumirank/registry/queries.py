@@ -78,8 +78,32 @@ def topk_cosine(spark, d):
 
 
 def topk_cell_join(spark, d):
+    """All of sixteen cells probed, which gives the exact answer; cells and crowds are cut into blocks."""
+    found = search.knn_join_approx(
+        _vector_queries(spark, d), _vector_rows(spark, d), 5, n_probe=16, n_pivots=16, block_bytes=1 << 13
+    )
+    return _ranked(found)
+
+
+def topk_many_queries(spark, d):
+    """A query side of several broadcasts: one scan of the collection for each part of it."""
+    found = search.knn_join(_vector_queries(spark, d), _vector_rows(spark, d), 5, broadcast_bytes=1 << 16, max_scans=1000)
+    return _ranked(found)
+
+
+def topk_grid(spark, d):
+    """Blocks of queries against blocks of rows."""
     found = search.knn_join(
-        _vector_queries(spark, d), _vector_rows(spark, d), 5, broadcast_bytes=0, block_bytes=1 << 20, n_pivots=16
+        _vector_queries(spark, d), _vector_rows(spark, d), 5, broadcast_bytes=1 << 14, block_bytes=1 << 17, max_scans=1
+    )
+    return _ranked(found)
+
+
+def topk_approx(spark, d):
+    """The four nearest of sixteen cells, whose pivots are the first sixteen vectors."""
+    rows = _vector_rows(spark, d)
+    found = search.top_k_approx(
+        _vector_queries(spark, d), rows, 5, 4, include_metadata=False, pivots=rows.where("id < 16"), block_bytes=1 << 14
     )
     return _ranked(found)
 
@@ -824,7 +848,7 @@ def stream_search(spark, d):
 
 
 QUERIES = [
-    topk_cosine, topk_cell_join, topk_in_namespace, topk_with_values, cosine_to_label_mean, vector_profile, vector_dimension,
+    topk_cosine, topk_cell_join, topk_many_queries, topk_grid, topk_approx, topk_in_namespace, topk_with_values, cosine_to_label_mean, vector_profile, vector_dimension,
     vector_normalize, vector_conversion, check_dimension, valid_embeddings, no_match_report,
     upsert_latest, upsert_rewritten, upsert_replayed, read_namespace, collection_describe,
     record_id, record_metadata, format_match, resolve_existing_path,

@@ -163,6 +163,17 @@ def oracle_sql() -> dict[str, str]:
     return {
         "topk_cosine": _top(5),
         "topk_cell_join": _top(5),
+        "topk_many_queries": _top(5),
+        "topk_grid": _top(5),
+        "topk_approx": f"""
+            WITH s AS MATERIALIZED (
+              SELECT v.vec_id AS id, p.vec_id AS near, round(list_cosine_similarity(v.embedding::DOUBLE[], p.embedding::DOUBLE[]), 12) AS c
+              FROM embeddings v, embeddings p WHERE p.vec_id < 16),
+            r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, near) AS nth FROM s),
+            m AS (SELECT q.id AS query_id, h.id FROM r q JOIN r h ON h.near = q.near WHERE q.nth <= 4 AND h.nth = 1)
+            SELECT query_id, rank, id, round(s, 6) AS score FROM (
+              SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM ({_PAIRS}) JOIN m USING (query_id, id))
+            WHERE rank <= 5""",
         "topk_in_namespace": _top(3, "WHERE label = 3"),
         "topk_with_values": f"""
             SELECT query_id, rank, id, round(list_sum(embedding::DOUBLE[]), 5) AS total

@@ -56,26 +56,58 @@ def test_scan_equals_brute_force(spark, k):
     assert answers(search.knn_join(q, c, k)) == expected(queries, rows, k)
 
 
-@pytest.mark.parametrize("k,block,pivots", [(1, 40, 8), (7, 25, 12), (3, 1000, 1)])
-def test_cell_join_equals_brute_force_for_any_block_size(spark, k, block, pivots):
+@pytest.mark.parametrize("k,scan,block,scans", [(1, 20, 40, 9), (7, 20, 25, 0), (3, 7, 1000, 9), (3, 7, 60, 2)])
+def test_many_queries_equal_brute_force_for_any_size(spark, k, scan, block, scans):
     queries, rows = fixture(2)
     q, c = frames(spark, queries, rows)
-    got = search.knn_join(q, c, k, broadcast_bytes=0, block_bytes=8 * DIM * block, n_pivots=pivots)
+    got = search.knn_join(q, c, k, broadcast_bytes=8 * DIM * scan, block_bytes=8 * DIM * block, max_scans=scans)
     assert answers(got) == expected(queries, rows, k)
 
 
+@pytest.mark.parametrize("buffer", [1, 10_000])
+def test_tiles_and_buffers_do_not_change_the_answer(monkeypatch, buffer):
+    import pyarrow as pa
+
+    for name, value in (("_TILE_QUERIES", 7), ("_TILE_ROWS", 11), ("_BUFFER_ROWS", buffer)):
+        monkeypatch.setattr(search, name, value)
+    queries, rows = fixture(6, 150, 20)
+    table = pa.table({"id": [r[0] for r in rows], "_v": pa.array([r[1] for r in rows], pa.list_(pa.float32()))})
+    unit = search._matrix(pa.array([q[1] for q in queries], pa.list_(pa.float32())), DIM)
+    best = search._scan(unit, table.to_batches(max_chunksize=40), 5, "id", "_v")
+    got = sorted((queries[q][0], i, s) for q, i, s in zip(best["_q"].to_pylist(), best["id"].to_pylist(), best["score"].to_pylist()))
+    want = sorted((q, i, -np.inf if s is None else s) for q, _, i, s in expected(queries, rows, 5))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.allclose([g[2] for g in got if g[2] > -2], [w[2] for w in want if w[2] > -2], atol=1e-8)
+
+
+@pytest.mark.parametrize("block", [20, 1000])
+def test_approximate_search_within_its_cells(spark, block):
+    queries, rows = fixture(2)
+    q, c = frames(spark, queries, rows)
+    with_length = [r for r in rows if any(r[1])]
+    some = [x for x in queries if any(x[1])]
+    q = q.where("query_id <> 999")
+    options = {"n_pivots": 12, "block_bytes": 8 * DIM * block}
+    want = expected(some, with_length, 7)
+    assert answers(search.knn_join_approx(q, c, 7, n_probe=12, **options)) == want
+    got = answers(search.knn_join_approx(q, c, 7, n_probe=4, **options))
+    assert len({g[::2] for g in got} & {w[::2] for w in want}) >= 0.9 * len(want)
+    assert {r["id"] for r in search.knn_join_approx(q, c, 1, n_probe=1, n_pivots=1).collect()} <= {r[0] for r in rows}
+    assert search.knn_join_approx(q, c.limit(0), 1).count() == 0 and search.knn_join_approx(q.limit(0), c, 1).count() == 0
+
+
 def test_more_neighbours_than_rows(spark):
     queries, rows = fixture(3, 6, 3)
     q, c = frames(spark, queries, rows)
     want = expected(queries, rows, 10)
     assert answers(search.knn_join(q, c, 10)) == want
-    assert answers(search.knn_join(q, c, 10, broadcast_bytes=0, n_pivots=2)) == want
+    assert answers(search.knn_join(q, c, 10, broadcast_bytes=8 * DIM * 2, max_scans=1)) == want
 
 
 def test_empty_sides(spark):
     queries, rows = fixture(4, 6, 3)
     q, c = frames(spark, queries, rows)
-    for limit in (0, 1 << 20):
+    for limit in (8 * DIM, 1 << 20):
         assert search.knn_join(q.limit(0), c, 2, broadcast_bytes=limit).count() == 0
         assert search.knn_join(q, c.limit(0), 2, broadcast_bytes=limit).count() == 0
 
