@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,9 +21,9 @@ TEXT_BATCH = 32
 
 
 class Embedder:
-    """A model: `load` runs once per task and returns a function from a batch to an (n, dim) array.
+    """A model: `load` runs once per Python worker and returns a function from a batch to an (n, dim) array.
 
-    Image models get float arrays (n, 3, size, size), text models lists of strings. The object is sent
+    A worker keeps the last model it loaded and uses it for all tasks with an equal embedder. Image models get float arrays (n, 3, size, size), text models lists of strings. The object is sent
     to the executors, so weights belong in `load`, not in its fields.
     """
 
@@ -91,16 +93,23 @@ class BlockMeanEmbedder(Embedder):
 
 
 class PooledImageEmbedder(Embedder):
-    """A fixed random projection of the block means to any dimension."""
+    """A fixed projection of the block means to any dimension: sums with signs taken from a hash."""
 
     def __init__(self, dim: int = 512, grid: int = 7, seed: int = 0):
         self.dim, self.grid, self.seed = dim, grid, seed
 
     def load(self):
         means = BlockMeanEmbedder(self.grid)
-        projection = np.random.default_rng(self.seed).standard_normal((means.dim, self.dim))
+        # Even and odd first digits of md5("seed-mean-dimension") are plus and minus.
+        signs = np.array(
+            [
+                [1 - 2 * (int(hashlib.md5(f"{self.seed}-{i}-{j}".encode()).hexdigest()[0], 16) % 2) for j in range(self.dim)]
+                for i in range(means.dim)
+            ],
+            float,
+        )
         embed = means.load()
-        return lambda batch: embed(batch) @ projection
+        return lambda batch: embed(batch) @ signs
 
 
 def _vectors(model, inputs: list, dim: int, batch_size: int, as_batch) -> list[np.ndarray | None]:
@@ -117,18 +126,51 @@ def _vectors(model, inputs: list, dim: int, batch_size: int, as_batch) -> list[n
     return out
 
 
+_LOADED: dict[str, Callable] = {}
+
+
+def _key(embedder: Embedder) -> str:
+    """A name for the embedder's class and fields."""
+    return hashlib.sha256(cloudpickle.dumps(embedder)).hexdigest()
+
+
+def _model(embedder: Embedder, key: str) -> Callable:
+    """The loaded model; another one that this worker held before is let go."""
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = embedder.load()
+    return _LOADED[key]
+
+
+def _in_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows, `size` at a time across the ends of Arrow batches; only the last may be shorter."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        while batch.num_rows:
+            part = batch.slice(0, size - rows)
+            batch = batch.slice(part.num_rows)
+            held.append(part)
+            rows += part.num_rows
+            if rows == size:
+                yield pa.concat_batches(held)
+                held, rows = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _embed(df: DataFrame, col: str, out: str, embedder: Embedder, batch_size: int, inputs, as_batch) -> DataFrame:
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
 
+    key = _key(embedder)
+
     def run(batches):
-        model = embedder.load()
-        for batch in batches:
-            for start in range(0, batch.num_rows, batch_size):
-                part = batch.slice(start, batch_size)
-                vectors = _vectors(model, inputs(part.column(col)), embedder.dim, batch_size, as_batch)
-                columns = {name: part.column(name) for name in part.schema.names}
-                columns[out] = float_lists(vectors)
-                yield pa.RecordBatch.from_pydict(columns)
+        model = _model(embedder, key)
+        for part in _in_batches(batches, batch_size):
+            vectors = _vectors(model, inputs(part.column(col)), embedder.dim, batch_size, as_batch)
+            columns = {name: part.column(name) for name in part.schema.names}
+            columns[out] = float_lists(vectors)
+            yield pa.RecordBatch.from_pydict(columns)
 
     return df.mapInArrow(run, schema)
 
@@ -179,16 +221,16 @@ def preprocess_and_embed(
         df, T.StructField(out, T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())
     )
 
+    key = _key(embedder)
+
     def run(batches):
-        model = embedder.load()
-        for batch in batches:
-            for start in range(0, batch.num_rows, batch_size):
-                part = batch.slice(start, batch_size)
-                tensors, errors = tensors_of(part.column("image").to_pylist(), size, gray)
-                columns = without_pixels(part)
-                columns[out] = float_lists(_vectors(model, tensors, embedder.dim, batch_size, np.stack))
-                columns["error"] = pa.array(errors, pa.string())
-                yield pa.RecordBatch.from_pydict(columns)
+        model = _model(embedder, key)
+        for part in _in_batches(batches, batch_size):
+            tensors, errors = tensors_of(part.column("image").to_pylist(), size, gray)
+            columns = without_pixels(part)
+            columns[out] = float_lists(_vectors(model, tensors, embedder.dim, batch_size, np.stack))
+            columns["error"] = pa.array(errors, pa.string())
+            yield pa.RecordBatch.from_pydict(columns)
 
     return df.mapInArrow(run, schema)
 

@@ -19,7 +19,14 @@ from lumirank.plans.spread import spread
 from lumirank.session import prepare
 from lumirank.sources import collection, logs, queries as text_queries
 from lumirank.sources.envelopes import read_envelopes
-from lumirank.sources.images import strip_pixels, with_image_path, with_preprocess_time
+from lumirank.sources.images import (
+    IMAGE_SCHEMA,
+    read_image_stream,
+    read_images,
+    strip_pixels,
+    with_image_path,
+    with_preprocess_time,
+)
 from lumirank.streaming import arrivals as stream_arrivals
 from lumirank.streaming import jobs
 from lumirank.streaming.run import batch_name, consume, state_partition_per_core, to_files
@@ -638,9 +645,10 @@ def tensor_to_image(spark, d):
 
 def embed_images(spark, d):
     """Tensors, then vectors, in two steps."""
-    tensors = preprocess.preprocess_images(_page_images(spark, d), size=56)
-    out = embedding.embed_images(tensors, embedding.PooledImageEmbedder(64), size=56)
-    return out.select("page_id", F.size("embedding").alias("n"), F.round(vectors.norm_l2(F.col("embedding")), 3).alias("norm"))
+    tensors = preprocess.preprocess_images(_page_images(spark, d), size=8)
+    out = embedding.embed_images(tensors, embedding.PooledImageEmbedder(16, grid=2), size=8)
+    values = out.select("page_id", F.posexplode_outer("embedding").alias("pos", "v"))
+    return values.select("page_id", "pos", F.round(F.col("v").cast("double"), 3).alias("v"))
 
 
 def _block_sums(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -675,6 +683,58 @@ def image_ingest(spark, d):
     return collection.describe_collection(spark, path)
 
 
+def _bitmap_files(spark, d) -> str:
+    """The vectors' pixels as image files written by the executors; those of label 1 hold no image, and those
+    of label 0 are missing."""
+    e = _rgba(spark, d).join(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id").where("label <> 0")
+    # A bitmap file of 4 x 4 pixels, 24 bits each: its head is a fixed value, its rows go from bottom to top.
+    head = "424D66000000000000003600000028000000040000000400000001001800000000003000000000000000000000000000000000000000"
+    hexes = lambda i: F.lpad(F.hex(F.element_at("bytes", i + 1)), 2, "0")
+    pixels = F.concat(*[hexes(16 * y + 4 * x + c) for y in reversed(range(4)) for x in range(4) for c in range(3)])
+    body = F.when(F.col("label") == 1, F.lit("no image").cast("binary")).otherwise(F.unhex(F.concat(F.lit(head), pixels)))
+    path = scratch_path(prepare(spark), "images")
+    rows = e.select(body.cast("string").alias("value"), F.concat(F.col("vec_id"), F.lit(" x.bmp")).alias("name"))
+    rows.write.partitionBy("name").text(path)
+    return path
+
+
+def _read_images_of(images: DataFrame) -> DataFrame:
+    """Number, size and pixels of images read from files, and their tensors' sizes or what is wrong."""
+    out = preprocess.preprocess_images(images.withColumn("pixels", F.hex("image.data")), size=4)
+    return out.select(
+        F.regexp_extract("image.origin", r"name=(\d+)", 1).cast("long").alias("vec_id"),
+        F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), "pixels",
+        F.when(F.col("tensors").isNull(), 0).otherwise(F.size("tensors")).alias("n"), F.col("error").isNotNull().alias("bad"),
+    )
+
+
+def read_image_files(spark, d):
+    return _read_images_of(read_images(spark, _bitmap_files(spark, d), recursive=True))
+
+
+def stream_image_files(spark, d):
+    """The same folder as a stream of images."""
+    images = read_image_stream(spark, _bitmap_files(spark, d) + "/*", files_per_trigger=200)
+    out = scratch_path(spark, "stream")
+    finished(to_files(images, out, scratch_path(spark, "progress")))
+    return _read_images_of(spark.read.schema(IMAGE_SCHEMA).parquet(out))
+
+
+def resolve_image_files(spark, d):
+    """The path of every vector's image as the image source gives it, against the files as they are listed;
+    vectors of label 0 name a file that is not there."""
+    root = _bitmap_files(spark, d)
+    images = read_images(spark, root, recursive=True).select("image.origin")
+    number = F.regexp_extract("origin", r"name=(\d+)", 1).cast("long")
+    gone = F.concat(F.lit(f"file://{root}/name="), F.col("vec_id"), F.lit("%20x.bmp/gone"))
+    matches = (
+        table(spark, d, "embeddings").select("vec_id").join(images.select(number.alias("vec_id"), "origin"), "vec_id", "left")
+        .select("vec_id", F.coalesce("origin", gone).alias("image_path"))
+    )
+    found = paths.resolve_existing_path(matches, paths.list_files(spark, root))
+    return found.select("vec_id", F.coalesce(F.col("found_path") == F.col("image_path"), F.lit(False)).alias("there"))
+
+
 # ------------------------------------------------------------------ streams
 
 
@@ -858,7 +918,7 @@ QUERIES = [
     published_messages, row_index, row_index_sliced,
     split_rejects, valid_queries, text_embed, text_embed_batched, text_search_top1, text_search_top10,
     normalize_pixels_sql, preprocess_rgba, preprocess_rgb, preprocess_rows, bad_images, strip_image_pixels, tensor_to_image,
-    embed_images, embed_image_blocks, embed_images_one_pass, image_ingest,
+    read_image_files, stream_image_files, resolve_image_files, embed_images, embed_image_blocks, embed_images_one_pass, image_ingest,
     stream_consume, stream_replayed, stream_micro_batches, stream_micro_batches_files,
     stream_sessions, stream_throughput, stream_drop_repeats, stream_ingest,
     stream_ingest_images, stream_delivery, stream_search,

@@ -98,6 +98,13 @@ def _text_search(k: int, id_: str = "id", more: str = "") -> str:
 
 _RGBA = "SELECT vec_id, list_transform(embedding, lambda x: floor((x::DOUBLE + 1) * 127.5)::INTEGER) AS b FROM embeddings"
 
+# Those of the vectors' images that are files: size, stored bytes from top to bottom, and size of the tensor.
+_IMAGE_FILES = f"""
+    SELECT vec_id, CASE WHEN label = 1 THEN -1 ELSE 4 END AS height, CASE WHEN label = 1 THEN -1 ELSE 3 END AS channels,
+           CASE WHEN label = 1 THEN '' ELSE p END AS pixels, CASE WHEN label = 1 THEN 0 ELSE 48 END AS n, label = 1 AS bad
+    FROM (SELECT vec_id, string_agg(format('{{:02X}}', b[i + 1]), '' ORDER BY i) AS p
+          FROM ({_RGBA}), unnest(range(64)) AS t(i) WHERE i % 4 < 3 GROUP BY vec_id) JOIN embeddings USING (vec_id) WHERE label <> 0"""
+
 # Pages as images 16 wide: one row per stored byte (row y, column x, channel c in red, green, blue).
 _PAGE_PIXELS = """
     SELECT page_id AS id, h, (i // 48)::BIGINT AS y, ((i % 48) // 3)::BIGINT AS x, (2 - i % 3)::BIGINT AS c,
@@ -304,6 +311,15 @@ def oracle_sql() -> dict[str, str]:
             b AS (SELECT id, y, x, c, trunc(greatest(0::FLOAT, least(1::FLOAT, t * ({_STD})[c + 1]::FLOAT + ({_MEAN})[c + 1]::FLOAT)) * 255::FLOAT)::INTEGER AS v FROM n)
             SELECT id AS page_id, url AS origin, 8 AS height, 16 AS mode, string_agg(format('{{:02X}}', v), '' ORDER BY y, x, c DESC) AS data
             FROM b JOIN pages ON page_id = id GROUP BY ALL""",
+        "read_image_files": _IMAGE_FILES,
+        "stream_image_files": _IMAGE_FILES,
+        "resolve_image_files": "SELECT vec_id, label <> 0 AS there FROM embeddings",
+        "embed_images": f"""
+            WITH b AS MATERIALIZED ({_BLOCK_SUMS}),
+            m AS (SELECT page_id, pos, (bytes / 16.0::DOUBLE / 255 - {_MEAN}[pos // 4 + 1]) / {_STD}[pos // 4 + 1] AS v FROM b),
+            s AS (SELECT i, j, CASE WHEN ('0x' || md5('0-' || i || '-' || j)[1])::INTEGER % 2 = 0 THEN 1 ELSE -1 END AS sign
+                  FROM range(12) a(i), range(16) c(j))
+            SELECT page_id, j::INTEGER AS pos, round(sum(v * sign)::FLOAT::DOUBLE, 3) AS v FROM m JOIN s ON i = pos GROUP BY page_id, j""",
         "embed_image_blocks": _BLOCK_SUMS,
         "embed_images_one_pass": _BLOCK_SUMS,
         "stream_ingest_images": _BLOCK_SUMS,

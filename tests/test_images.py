@@ -1,8 +1,11 @@
 import struct
 import zlib
 
+import os
+
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from lumirank.functions import pixels
@@ -229,3 +232,40 @@ def test_both_forms_of_the_token_buckets_agree(spark):
     dense = embedding.embed_texts(df, embedding.HashingTextEmbedder(32)).withColumn("b", token_buckets(F.col("text"), 32))
     for row in dense.collect():
         assert row["embedding"] == np.bincount(row["b"], minlength=32).tolist()
+
+
+class CountingModel(embedding.Embedder):
+    """Writes down each load and each call."""
+
+    dim = 1
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def _note(self, name: str, text: str) -> None:
+        with open(f"{self.folder}/{name}", "a") as file:
+            file.write(f"{os.getpid()} {text}\n")
+
+    def load(self):
+        self._note("loads", "")
+
+        def embed(texts):
+            self._note("calls", f"{TaskContext.get().partitionId()} {len(texts)}")
+            return np.ones((len(texts), 1))
+
+        return embed
+
+
+def test_a_model_loads_once_per_worker_and_gets_full_batches(spark, tmp_path):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        rows = spark.range(5000).select("id", F.col("id").cast("string").alias("text")).repartition(50)
+        assert embedding.embed_texts(rows, CountingModel(str(tmp_path)), 32).where("embedding[0] = 1").count() == 5000
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    workers = [line.split()[0] for line in (tmp_path / "loads").read_text().splitlines()]
+    assert len(workers) == len(set(workers)) <= 8
+    calls = [tuple(map(int, line.split()))[1:] for line in (tmp_path / "calls").read_text().splitlines()]
+    assert len({task for task, _ in calls}) == 50
+    assert all(sum(n < 32 for task, n in calls if task == t) <= 1 for t in range(50))
