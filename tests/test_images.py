@@ -234,29 +234,28 @@ def test_both_forms_of_the_token_buckets_agree(spark):
         assert row["embedding"] == np.bincount(row["b"], minlength=32).tolist()
 
 
-class CountingModel(embedding.Embedder):
-    """Writes down each load and each call."""
-
-    dim = 1
+def test_a_model_loads_once_per_worker_and_gets_full_batches(spark, tmp_path):
+    class CountingModel(embedding.Embedder):
+        """Writes down each load and each call."""
 
-    def __init__(self, folder: str):
-        self.folder = folder
+        dim = 1
 
-    def _note(self, name: str, text: str) -> None:
-        with open(f"{self.folder}/{name}", "a") as file:
-            file.write(f"{os.getpid()} {text}\n")
+        def __init__(self, folder: str):
+            self.folder = folder
 
-    def load(self):
-        self._note("loads", "")
+        def _note(self, name: str, text: str) -> None:
+            with open(f"{self.folder}/{name}", "a") as file:
+                file.write(f"{os.getpid()} {text}\n")
 
-        def embed(texts):
-            self._note("calls", f"{TaskContext.get().partitionId()} {len(texts)}")
-            return np.ones((len(texts), 1))
+        def load(self):
+            self._note("loads", "")
 
-        return embed
+            def embed(texts):
+                self._note("calls", f"{TaskContext.get().partitionId()} {len(texts)}")
+                return np.ones((len(texts), 1))
 
+            return embed
 
-def test_a_model_loads_once_per_worker_and_gets_full_batches(spark, tmp_path):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
     try:
