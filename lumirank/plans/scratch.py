@@ -26,7 +26,8 @@ def scratch_root(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError(f"set {_CONF} to a folder that every executor can reach")
     root = tempfile.mkdtemp(prefix="run-", dir=None)
     spark.sparkContext.setCheckpointDir(root)
@@ -51,6 +52,13 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right under a folder; none if it is not there."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path, "*")
+    listed = found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found) or []
+    return sorted(s.getPath().getName() for s in listed if s.isDirectory())
+
+
 def release(table: DataFrame) -> None:
     """Delete a scratch table that nothing reads any more."""
     files = table.inputFiles()

@@ -29,7 +29,7 @@ from lumirank.sources.images import (
 )
 from lumirank.streaming import arrivals as stream_arrivals
 from lumirank.streaming import jobs
-from lumirank.streaming.run import batch_name, consume, state_partition_per_core, to_files
+from lumirank.streaming.run import batch_name, consume, to_files
 
 SIX_HOURS = timedelta(hours=6)
 TEN_MINUTES = timedelta(minutes=10)
@@ -769,8 +769,7 @@ def stream_replayed(spark, d):
 def _stream_rows(spark, df: DataFrame, mode: str = "append") -> DataFrame:
     out = scratch_path(spark, "stream")
     schema = df.schema
-    with state_partition_per_core(spark):
-        finished(to_files(df, out, scratch_path(spark, "progress"), mode))
+    finished(to_files(df, out, scratch_path(spark, "progress"), mode))
     return spark.read.schema(schema).parquet(out)
 
 
@@ -781,11 +780,13 @@ def stream_micro_batches(spark, d):
 
 
 def stream_micro_batches_files(spark, d):
-    """The same through the batch plan per micro-batch, with the state in files."""
+    """The same through the batch plan per micro-batch, with the state in files and the last rows closed."""
     e = stream(spark, d, "events").select("user_id", F.col("event_id").alias("id"), "ts")
     out, state, progress = (scratch_path(spark, name) for name in ("groups", "state", "progress"))
     finished(
-        stream_arrivals.micro_batches_to_files(e, out, state, progress, 3, SIX_HOURS, ["user_id"], available_now=True)
+        stream_arrivals.micro_batches_to_files(
+            e, out, state, progress, 3, SIX_HOURS, ["user_id"], available_now=True, final=True
+        )
     )
     return spark.read.parquet(out).drop("b").withColumn("ts", naive("ts"))
 

@@ -329,7 +329,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_consume": _LATEST,
         "stream_replayed": _LATEST,
         "stream_micro_batches": _batches("user_id", "6 HOUR", 3, f"WHERE ts < {_WATERMARK}"),
-        "stream_micro_batches_files": _batches("user_id", "6 HOUR", 3, f"WHERE ts < {_WATERMARK}"),
+        "stream_micro_batches_files": _batches("user_id", "6 HOUR", 3),
         "stream_sessions": f"SELECT * FROM ({_SESSION_WINDOWS}) WHERE session_end <= {_WATERMARK}",
         "stream_throughput": _periods(
             f"SELECT * FROM (SELECT {_TEN} AS w, count(*) AS n FROM events GROUP BY 1) WHERE w + INTERVAL 10 MINUTE <= {_WATERMARK}"

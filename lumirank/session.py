@@ -11,6 +11,10 @@ from pyspark.sql import SparkSession
 # Settings the results depend on; they can be set on a session somebody else built.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
+    # Hot keys: joins split them at run time, sessions are merged per task before they are shuffled.
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
@@ -47,8 +51,6 @@ def build_session(app: str = "lumirank", master: str | None = None, conf: dict |
     if master:
         builder = builder.master(master)
     settings = {
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
         **RUNTIME_CONF,
         **ARROW_CONF,

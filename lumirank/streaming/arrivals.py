@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from lumirank.operators.arrivals import micro_batches, period_counts
+from lumirank.plans.scratch import folders, remove
 from lumirank.streaming.run import batch_name, consume
 
 # The process in which Spark checks a stateful operator does not get added files: send the class itself.
@@ -127,14 +128,15 @@ def micro_batches_stream(
 ) -> DataFrame:
     """The streaming form of `micro_batches`: keys, id, ts, session, part and position of each row.
 
-    A row comes out when the watermark has passed it. State holds ids and times of waiting rows only, so
+    Keys are needed: without any, one task and one state would hold the whole stream. A row comes out when
+    the watermark has passed it. State holds ids and times of waiting rows only, so
     a key's state is bounded by its rows within `delay` and one trigger; bound the latter at the source.
     Where one key may fill a trigger, use `micro_batches_to_files`: it spreads a key over all tasks.
     """
-    rows = with_event_time(stream, ts, delay)
-    names = list(keys) or ["all_rows"]
     if not keys:
-        rows = rows.withColumn("all_rows", F.lit(0))
+        raise ValueError("give keys, or use micro_batches_to_files, which spreads a stream without keys over all tasks")
+    rows = with_event_time(stream, ts, delay)
+    names = list(keys)
     grouper = _Grouper(max_count, _micros(idle_gap))
     grouper.keys = names
     key_fields = [rows.schema[n] for n in names]
@@ -151,10 +153,9 @@ def micro_batches_stream(
     slim = rows.select(
         *names, ts, F.col(id_col).cast("long").alias("row_id"), F.unix_micros(F.col(ts)).alias("micros")
     )
-    groups = slim.groupBy(*names).transformWithStateInPandas(
+    return slim.groupBy(*names).transformWithStateInPandas(
         statefulProcessor=grouper, outputStructType=out, outputMode="Append", timeMode="EventTime"
     )
-    return groups if keys else groups.drop("all_rows")
 
 
 def micro_batches_to_files(
@@ -169,13 +170,18 @@ def micro_batches_to_files(
     id_col: str = "id",
     delay: timedelta = timedelta(0),
     available_now: bool = False,
+    final: bool = False,
 ) -> StreamingQuery:
     """`micro_batches` on a stream, for keys of any size: rows go to `<out>/b=NAME` per micro-batch.
 
     Each micro-batch runs the batch plan on the rows the watermark has passed. What it hands on (rows still
     waiting, and where each key has left off) is written under the micro-batch's name, so a micro-batch that
-    is run again starts from the same state.
+    is run again starts from the same state; older states are deleted. `final`, for a stream that reads
+    what there is and ends, waits for its end and then closes the rows that still wait, as if the stream
+    would stay idle: they go to `<out>/b=RUN-final`.
     """
+    if final and not available_now:
+        raise ValueError("only a stream that ends has final rows: set available_now")
     names = list(keys)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -212,5 +218,20 @@ def micro_batches_to_files(
         ends.write.mode("overwrite").parquet(f"{here}/tails")
         rows.where(F.lit(True) if mark is None else time >= mark).write.mode("overwrite").parquet(f"{here}/waiting")
         spark.createDataFrame([(mark,)], "mark long").coalesce(1).write.mode("overwrite").parquet(f"{here}/mark")
-
-    return consume(stream, handle, checkpoint, available_now)
+        if batch_id > 1:
+            remove(spark, f"{state}/{run}/n={batch_id - 2}")
+
+    query = consume(stream, handle, checkpoint, available_now)
+    if not final:
+        return query
+    query.awaitTermination()
+    spark, run = stream.sparkSession, str(query.id)
+    last = max((int(n.split("=")[1]) for n in folders(spark, f"{state}/{run}")), default=None)
+    if last is not None:
+        here = f"{state}/{run}/n={last}"
+        waiting = spark.read.schema(T.StructType([stream.schema[c] for c in [*names, id_col, ts]])).parquet(f"{here}/waiting")
+        longs = [T.StructField(c, T.LongType()) for c in ("last", "session", "filled")]
+        tails = spark.read.schema(T.StructType([*[stream.schema[c] for c in names], *longs])).parquet(f"{here}/tails")
+        closed = micro_batches(waiting, max_count, idle_gap, names, ts, id_col, tails=tails)
+        closed.write.mode("overwrite").parquet(f"{out}/b={run}-final")
+    return query

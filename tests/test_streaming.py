@@ -1,9 +1,11 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from lumirank.operators import arrivals, embedding, envelopes
+from lumirank.plans.scratch import folders
 from lumirank.registry.queries import VECTOR_PAYLOAD
 from lumirank.sources import collection
 from lumirank.sources.envelopes import read_envelopes
@@ -73,15 +75,35 @@ def test_groups_over_several_triggers(spark, tmp_path):
     path = str(tmp_path / "in")
     batch = files(spark, path, n=200)
     delay = "2 minutes"
-    got = run(spark, stream_arrivals.micro_batches_stream(source(spark, path), 50, GAP, delay=delay), tmp_path, "u")
+    got = run(spark, stream_arrivals.micro_batches_stream(source(spark, path), 50, GAP, ["key"], delay=delay), tmp_path, "u")
     last = batch.agg(F.max("ts")).first()[0] - timedelta(minutes=2)
-    want = arrivals.micro_batches(batch, 50, GAP).select("id", "ts", "session", "part", "position")
+    got = got.select("id", "ts", "session", "part", "position")
+    want = arrivals.micro_batches(batch, 50, GAP, ["key"]).select("id", "ts", "session", "part", "position")
     seen = {r["id"]: r for r in want.collect()}
     rows = got.collect()
     assert len({r["id"] for r in rows}) == len(rows) == sum(r["ts"] < last for r in seen.values()) > 100
     assert all(tuple(seen[r["id"]]) == tuple(r) for r in rows)
 
 
+def test_a_stream_without_keys_is_refused_by_the_stateful_form(spark, tmp_path):
+    path = str(tmp_path / "in")
+    files(spark, path, n=20)
+    with pytest.raises(ValueError, match="give keys"):
+        stream_arrivals.micro_batches_stream(source(spark, path), 3, GAP)
+
+
+def test_final_rows_are_closed_and_old_states_deleted(spark, tmp_path):
+    path, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    batch = files(spark, path, seed=7)
+    query = stream_arrivals.micro_batches_to_files(
+        source(spark, path), out, state, str(tmp_path / "p"), 3, GAP, ["key"], delay=timedelta(minutes=1), available_now=True, final=True
+    )
+    columns = ["key", "id", "ts", "session", "part", "position"]
+    want = arrivals.micro_batches(batch, 3, GAP, ["key"]).select(*columns)
+    assert sorted(spark.read.parquet(out).select(*columns).collect()) == sorted(want.collect())
+    assert len(folders(spark, f"{state}/{query.id}")) == 2
+
+
 def test_sessions_and_periods_equal_the_batch_forms(spark, tmp_path):
     path = str(tmp_path / "in")
     batch = files(spark, path)
