@@ -22,28 +22,30 @@ Spark reaches, and a lost executor only repeats its tasks.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumirank.llm.common import map_batches, with_columns_from
-from lumirank.plans.scratch import scratch_path, scratch_table
+from lumirank.llm.common import map_batches, ready, with_columns_from
+from lumirank.plans.scratch import scratch_path
 
 MAGIC = b"LUMIIDS1"
 FILE_IDS = 16_000_000  # ids after which a task starts its next file
 SAMPLE = 256  # one bits between two stored positions
-CACHE_CHUNKS = 200_000
-CACHED_CHUNK = 64
+CACHE_WORDS = 400_000
+CACHED_WORD = 64
 
 _HEAD = struct.Struct(">8sQQQQ")
 _CODE = struct.Struct("<QQQ")
@@ -135,11 +137,22 @@ class TokenFile:
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
 
+# Characters that the tokenizer's normal form leaves alone and that `re` and the tokenizer class alike:
+# ASCII without control blanks, and the Latin letters and signs up to U+017F but for a few.
+_PLAIN = re.compile(r"[\x00-\x1b\x20-\x7f\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u0148\u014a-\u017f]*")
+# The tokenizer's own cut of a text into words, as far as plain characters go. Fixed value.
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+_CHUNKS = re.compile(r"\S+")
+_CONTROL = re.compile(r"[\x1c-\x1f]")  # blanks to `re`, not to the tokenizer
+ASKED = 2_000  # words put to the library as one text
+
+
 class LibraryEncoder:
-    """A tokenizer that drops white space, asked once per distinct run of other characters."""
+    """A tokenizer that lower-cases and drops white space, asked once per distinct word.
 
-    _chunks = re.compile(r"\S+")
-    _control = re.compile(r"[\x1c-\x1f]")  # blanks to `re`, not to the tokenizer
+    Words are remembered up to a bound. New words go to the library many at a time, as one text with line
+    feeds between; the mark at the end of each word's last token tells its ids apart.
+    """
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -148,33 +161,56 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.width = 2 if max(self.library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        vocab = self.library.get_vocab()
+        suffix = json.loads(self.library.to_str())["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(1 + max(vocab.values()), bool)
+        if suffix:
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.width = 2 if max(len(self.ends), end_id + 1) <= 1 << 16 else 4
         self.end = end_id.to_bytes(self.width, "little")
         self.known: dict[str, bytes] = {}
 
     def _ask(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in found]
+        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+
+    def _ask_words(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(words), ASKED):
+            part = words[i : i + ASKED]
+            ids = np.array(self.library.encode("\n".join(part), add_special_tokens=False).ids, f"<u{self.width}")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * self.width
+            if len(ends) == len(part):
+                raw, bounds = ids.tobytes(), [0, *ends.tolist()]
+                out += [raw[s:e] for s, e in zip(bounds, bounds[1:])]
+            else:
+                out += self._ask(part)
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text with the end id, packed."""
-        if len(self.known) > CACHE_CHUNKS:
+        if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        known, out, chunks_of = self.known, [], {}
-        new: set[str] = set()
-        for k, text in enumerate(texts):
-            if text and not self._control.search(text):
-                chunks_of[k] = chunks = self._chunks.findall(text)
-                new.update(c for c in chunks if c not in known)
-        asked = list(new)
-        fresh = dict(zip(asked, self._ask(asked)))
-        known.update((c, p) for c, p in fresh.items() if len(c) <= CACHED_CHUNK)
-        for k, text in enumerate(texts):
-            if k in chunks_of:
-                out.append(b"".join([known.get(c) or fresh.get(c, b"") for c in chunks_of[k]]) + self.end)
+        words: list[list[str]] = []
+        fresh: dict[str, bytes] = {}
+        other: dict[str, bytes] = {}
+        for text in texts:
+            if not text:
+                words.append([])
+            elif _PLAIN.fullmatch(text) and "<|" not in text:
+                words.append(_WORDS.findall(text.lower()))
+                fresh.update(dict.fromkeys(words[-1], b""))
             else:
-                out.append((self._ask([text])[0] if text else b"") + self.end)
-        return out
+                # No word crosses white space, so its pieces stand for themselves.
+                words.append([text] if _CONTROL.search(text) else _CHUNKS.findall(text))
+                other.update(dict.fromkeys(words[-1], b""))
+        known = self.known
+        for new, ask in ((fresh, self._ask_words), (other, self._ask)):
+            asked = [w for w in new if w not in known]
+            new.clear()
+            new.update(zip(asked, ask(asked)))
+            known.update((w, p) for w, p in new.items() if len(w) <= CACHED_WORD)
+        look = ChainMap(known, fresh, other).__getitem__ if any(len(w) > CACHED_WORD for new in (fresh, other) for w in new) else known.__getitem__
+        return [b"".join(map(look, w)) + self.end for w in words]
 
 
 _ENCODERS: dict[tuple, LibraryEncoder] = {}
@@ -195,30 +231,42 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int, fi
     An empty table writes a folder without files. Only doc_id and text are read.
     """
 
+    spark = ready(docs.sparkSession)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Ranges of even numbers of documents, from the ids alone: the texts are read, encoded and moved once.
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = plain.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).first()[0] or []
+    bounds = np.unique(np.array(cuts, np.int64))
+
     def make():
         encode = _encoder(tokenizer, end_id).encode
-        return lambda texts: [pa.array([p for i in range(0, len(texts), 256) for p in encode(texts[i : i + 256].to_pylist())], pa.binary())]
 
-    packed = with_columns_from(docs.select(F.col("doc_id").cast("long"), "text"), ["text"], [T.StructField("ids", T.BinaryType())], make)
-    # Written once, so that finding the ranges does not encode the texts again.
-    encoded = scratch_table(packed.select("doc_id", "ids"), "ids")
-    ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+        def run(doc_ids, texts):
+            ids = pc.fill_null(doc_ids, -(1 << 63)).to_numpy()
+            return [pa.array(encode(texts.to_pylist()), pa.binary()), pa.array(np.searchsorted(bounds, ids, "left"))]
+
+        return run
+
+    packed = with_columns_from(plain, ["doc_id", "text"], [T.StructField("ids", T.BinaryType()), T.StructField("part", T.LongType())], make)
+    ordered = packed.select("part", "doc_id", "ids").repartition("part").sortWithinPartitions("part", "doc_id", "ids")
 
     def pack(batches: Iterator[dict]) -> Iterator[dict]:
         width = _encoder(tokenizer, end_id).width
-        part, number, held = TaskContext.get().partitionId(), 0, 0
+        now, number, held = -1, 0, 0
         doc_ids: list = []
         bodies: list[bytes] = []
 
         def file() -> dict:
             body = pack_file(doc_ids, [len(b) // width for b in bodies], b"".join(bodies), width)
-            return {"value": pa.array([body], pa.binary()), "file": [f"ids-{part:08d}-{number:08d}"]}
+            return {"value": pa.array([body], pa.binary()), "file": [f"ids-{now:08d}-{number:08d}"]}
 
         for b in batches:
-            for doc_id, ids in zip(b["doc_id"].to_pylist(), b["ids"].to_pylist()):
-                if held >= file_ids:
+            for part, doc_id, ids in zip(b["part"].to_pylist(), b["doc_id"].to_pylist(), b["ids"].to_pylist()):
+                if bodies and (held >= file_ids or part != now):
                     yield file()
                     doc_ids, bodies, held, number = [], [], 0, number + 1
+                if part != now:
+                    now, number = part, 0
                 doc_ids.append(doc_id)
                 bodies.append(ids)
                 held += len(ids) // width
