@@ -7,17 +7,17 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import __spark_entry__ as entry  # noqa: E402
 
+from lumirank.registry import queries, sql  # noqa: E402
+
 FOLDER = "/root/testdata/sf0.001"
-# No SQL counterpart: a random projection of image blocks. Its parts are tested in test_images.py.
-WITHOUT_SQL = {"embed_images"}
 SAMPLE = [
     "topk_cosine", "topk_cell_join", "upsert_replayed", "micro_batches", "log_throughput", "row_index_sliced",
-    "text_search_top10", "preprocess_rgba", "delivery_stats", "resolve_existing_path", "stream_ingest",
+    "text_search_top10", "embed_images", "topk_many_queries", "topk_grid", "topk_approx", "upsert_rewritten", "delivery_stats", "resolve_existing_path", "stream_ingest",
 ]
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == WITHOUT_SQL
+    assert set(queries.queries()) == set(sql.oracle_sql())
     assert not set(entry.oracle_sql()) - set(entry.queries())
 
 
