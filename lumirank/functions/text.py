@@ -7,30 +7,15 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 # Runs of anything but ASCII letters and digits separate tokens.
 SEPARATORS = "[^a-z0-9]+"
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case ASCII tokens of the whole text."""
-    return F.filter(F.split(F.lower(text), SEPARATORS), lambda t: t != "")
-
-
-def token_buckets(text: Column, dim: int) -> Column:
-    """Bucket of each token: the first eight hex digits of its MD5, modulo `dim`."""
-    return F.transform(
-        tokens(text),
-        lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % dim).cast("int"),
-    )
-
-
 def bucket_counts(lowered: pa.Array, dim: int) -> pa.Array:
     """Token counts per bucket of each (already lower-case) text; null for null.
 
-    Same buckets as `token_buckets`, worked out once per distinct token of the batch.
+    A token's bucket is the first eight hex digits of its MD5, modulo `dim`; each is worked out once per batch.
     """
     if isinstance(lowered, pa.ChunkedArray):
         lowered = lowered.combine_chunks()
