@@ -10,9 +10,8 @@ proportion names the prediction.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,17 +23,17 @@ from pyspark.sql import types as T
 from lumirank.llm.common import held_out, map_batches, ready, with_columns_from
 
 BUCKETS = 1 << 14
-ORDERS = (1, 2, 3)
+LENGTH = 3  # characters of an n-gram; a word's ends count as characters
 SMOOTHING = 0.1
 ROUNDS = 25
 SETTLED = 1e-4  # largest change of a proportion at which a document's rounds end
 UNDETERMINED = "und"
 LOCAL_WORDS = 200_000
 CACHE_WORDS = 150_000
-CACHED_WORD = 40
 LONGEST_WORD = 100
 BATCH_WORDS = 200_000
 
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -46,10 +45,21 @@ def words_of(text: str | None) -> list[str]:
     return words
 
 
-def buckets_of(word: str) -> list[int]:
-    """Hashed character n-grams of a word with its ends marked."""
-    marked = f" {word} "
-    return [zlib.crc32(marked[i : i + n].encode()) % BUCKETS for n in ORDERS for i in range(len(marked) - n + 1)]
+def buckets_of(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed character n-grams of all words, one word after the other, and how many each word has.
+
+    The words are laid out side by side with their ends marked, as code points, so the n-grams of all of them
+    come from a few operations on whole arrays.
+    """
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    text = np.frombuffer((" " + "  ".join(words) + " ").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    hashed = np.zeros(len(text) - LENGTH + 1, np.uint64)
+    for i in range(LENGTH):
+        hashed = (hashed + text[i : i + len(hashed)]) * _FACTOR
+    # Word w, with its two marks, begins at the sum of the lengths before it and 2 for each.
+    starts = np.cumsum(sizes + 2) - (sizes + 2)
+    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    return (hashed[at] >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), sizes
 
 
 _COUNTS = T.StructType(
@@ -63,10 +73,10 @@ def _count(batches: Iterator[dict]) -> Iterator[dict]:
 
     def settle() -> None:
         for lang, found in words.items():
-            into = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            for word, n in found.items():
-                for b in buckets_of(word):
-                    into[b] += n
+            grams, sizes = buckets_of(list(found))
+            times = np.repeat(np.fromiter(found.values(), np.int64, len(found)), sizes)
+            added = np.bincount(grams, weights=times, minlength=BUCKETS).astype(np.int64)
+            counts[lang] = counts.get(lang, 0) + added
         words.clear()
 
     for b in batches:
@@ -117,28 +127,31 @@ def mixture(likelihood: np.ndarray, counts: np.ndarray, starts: np.ndarray, allo
     largest is 1; `starts` are the documents' first rows; `allowed` marks each document's languages.
     """
     sizes = np.diff(np.append(starts, len(counts)))
-    owner = np.repeat(np.arange(len(starts)), sizes)
-    total = np.add.reduceat(counts, starts)[:, None]
     share = allowed / allowed.sum(1, keepdims=True)
+    open_, like, n, first, size, now = np.arange(len(starts)), likelihood, counts, starts, sizes, share.copy()
     for _ in range(ROUNDS):
-        joint = likelihood * share[owner]
-        joint *= (counts / np.maximum(joint.sum(1), 1e-300))[:, None]
-        new = np.add.reduceat(joint, starts) / total
+        joint = like * np.repeat(now, size, axis=0)
+        joint *= (n / np.maximum(joint.sum(1), 1e-300))[:, None]
+        new = np.add.reduceat(joint, first)
         new /= np.maximum(new.sum(1, keepdims=True), 1e-300)
-        moved = np.abs(new - share).max(initial=0)
-        share = new
-        if moved < SETTLED:
+        going = np.abs(new - now).max(1) >= SETTLED
+        now = share[open_] = new
+        if not going.any():
             break
-    fits = np.log(np.maximum((likelihood * share[owner]).sum(1), 1e-300))
+        if going.mean() < 0.5:  # go on with the documents that have not settled
+            rows = np.repeat(going, size)
+            open_, like, n, size, now = open_[going], like[rows], n[rows], size[going], now[going]
+            first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    fits = np.log(np.maximum((likelihood * np.repeat(share, sizes, axis=0)).sum(1), 1e-300))
     return share, np.add.reduceat(counts * fits, starts)
 
 
 def choose(likelihood: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Proportions within all languages, and within the set of best penalised likelihood (0 outside)."""
     n_langs = likelihood.shape[1]
-    everything, _ = mixture(likelihood, counts, starts, np.ones((len(starts), n_langs)))
+    everything, most = mixture(likelihood, counts, starts, np.ones((len(starts), n_langs)))
     rank = np.argsort(np.argsort(-everything, axis=1, kind="stable"), axis=1)
-    n = np.log(np.maximum(np.add.reduceat(counts, starts), 2))
+    penalty = np.log(np.maximum(np.add.reduceat(counts, starts), 2)) / 2
     best = np.full(len(starts), -np.inf)
     chosen = np.zeros_like(everything)
     open_ = np.arange(len(starts))
@@ -148,11 +161,13 @@ def choose(likelihood: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> tu
         lengths = bounds[open_ + 1] - bounds[open_]
         at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         share, fit_ = mixture(likelihood[rows], counts[rows], at, (rank[open_] < size).astype(float))
-        value = fit_ - (size - 1) / 2 * n[open_]
+        value = fit_ - (size - 1) * penalty[open_]
         better = value > best[open_]
         best[open_[better]] = value[better]
         chosen[open_[better]] = share[better]
-        open_ = open_[better]  # one language more did not help: neither will two
+        # No set fits better than all languages do: where even that would not pay for one more, this set stays.
+        open_ = open_[better]
+        open_ = open_[most[open_] - size * penalty[open_] > best[open_]]
         if not len(open_):
             break
     return everything, chosen
@@ -167,29 +182,30 @@ class Guesser:
         self.row_of: dict[str, int] = {}
         self.rows = np.zeros((1024, len(model.languages)))
 
-    def _row(self, word: str) -> int:
-        row = self.row_of.get(word)
-        if row is None:
-            row = self.row_of[word] = len(self.row_of)
-            if row >= len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            # Orders overlap, so they count as one view of the word, not as three.
-            logs = self.logs[buckets_of(word)].sum(0) / len(ORDERS)
-            self.rows[row] = np.exp(np.maximum(logs - logs.max(), -60))
-        return row
+    def _learn(self, words: list[str]) -> None:
+        """Give new words their rows: likelihoods of their n-grams, the largest set to 1."""
+        start = len(self.row_of)
+        self.row_of.update(zip(words, range(start, start + len(words))))
+        while len(self.rows) < len(self.row_of):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        for at in range(0, len(words), 20_000):
+            grams, sizes = buckets_of(words[at : at + 20_000])
+            # N-grams overlap, so each counts as one character of the word.
+            logs = np.add.reduceat(self.logs[grams], np.concatenate([[0], np.cumsum(sizes)[:-1]])) / LENGTH
+            made = np.exp(np.maximum(logs - logs.max(1, keepdims=True), -60))
+            self.rows[start + at : start + at + len(made)] = made
 
     def guess(self, texts: list[str | None]) -> list[tuple[str, float, str]]:
         """(prediction, its proportion, the set with proportions) of each text."""
         out: list[tuple[str, float, str]] = [(UNDETERMINED, 0.0, "")] * len(texts)
-        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        held: list[tuple[int, Counter]] = []
         size = 0
         for k, text in enumerate(texts):
             words = words_of(text)
             if not self.model.languages or not any(c.isalpha() for w in words for c in w):
                 continue
-            found = Counter(words)
-            held.append((k, np.fromiter(map(self._row, found), np.int64, len(found)), np.fromiter(found.values(), float, len(found))))
-            size += len(found)
+            held.append((k, Counter(words)))
+            size += len(held[-1][1])
             if size >= BATCH_WORDS:
                 self._settle(held, out)
                 held, size = [], 0
@@ -198,16 +214,20 @@ class Guesser:
         return out
 
     def _settle(self, held: list, out: list) -> None:
-        starts = np.concatenate([[0], np.cumsum([len(h[1]) for h in held])[:-1]])
-        likelihood = self.rows[np.concatenate([h[1] for h in held])]
-        everything, chosen = choose(likelihood, np.concatenate([h[2] for h in held]), starts)
+        known = self.row_of
+        self._learn(list(dict.fromkeys(w for _, found in held for w in found if w not in known)))
+        starts = np.concatenate([[0], np.cumsum([len(found) for _, found in held])[:-1]])
+        total = sum(len(found) for _, found in held)
+        rows = np.fromiter((known[w] for _, found in held for w in found), np.int64, total)
+        counts = np.fromiter((n for _, found in held for n in found.values()), float, total)
+        everything, chosen = choose(self.rows[rows], counts, starts)
         names = self.model.languages
         top = np.argmax(chosen, axis=1)
-        for (k, _, _), row, full, i in zip(held, chosen, everything, top):
+        for (k, _), row, full, i in zip(held, chosen, everything, top):
             parts = ",".join(f"{names[j]}:{row[j]:.3f}" for j in np.argsort(-row, kind="stable") if row[j] > 0)
             out[k] = (names[i], float(min(1.0, max(0.0, full[i]))), parts)
         if len(self.row_of) > CACHE_WORDS:
-            self.row_of = {}
+            self.row_of.clear()
 
 
 _FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.StringType())]
