@@ -9,8 +9,7 @@ part in the average reduces to one number per table row, so a known word costs o
 from __future__ import annotations
 
 import operator
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +27,6 @@ SHORTEST, LONGEST = 2, 4  # characters of an n-gram
 EPOCHS = 12
 RATE = 1.0
 CACHE_WORDS = 200_000
-CACHED_WORD = 40
 REPEATED_WEIGHT = 4  # table entries a repeated word counts for
 LONGEST_WORD = 200  # characters of a piece; longer runs are cut into pieces, none is left out
 KEEP_SCORE = 0.7
@@ -36,6 +34,10 @@ KEEP_SCORE = 0.7
 _BLANKS = str.maketrans("\t\n\x0b\f\r", "     ")
 
 
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_SHIFT = np.uint64(64 - TABLE_ROWS.bit_length() + 1)
+
+
 def pieces(text: str | None) -> list[str]:
     """Words of a text; a run longer than LONGEST_WORD is cut."""
     words = [w for w in text.translate(_BLANKS).split(" ") if w] if text else []
@@ -49,17 +51,37 @@ def repeats(words: list[str]) -> int:
     return sum(map(operator.eq, words, words[1:]))
 
 
-def features(word: str) -> list[int]:
-    """Table rows of a word and of its character n-grams."""
-    marked = f"<{word}>"
-    rows = [zlib.crc32(marked.encode()) % TABLE_ROWS]
-    for n in range(SHORTEST, LONGEST + 1):
-        rows += [zlib.crc32(marked[i : i + n].encode(), n) % TABLE_ROWS for i in range(len(marked) - n + 1)]
-    return rows
+def features(words: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Table rows of words: first of the words themselves, then of their n-grams, order by order.
+
+    Each entry has the rows of all words, one word after the other, and how many each word has. The words
+    are laid out side by side as code points with their ends marked, so the rows come from a few operations
+    on whole arrays.
+    """
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    text = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    place = (np.arange(len(text)) - np.repeat(starts, sizes)).astype(np.uint64)
+    whole = np.add.reduceat(_mixed(text + (place << np.uint64(32))), starts)
+    out = [(whole >> _SHIFT, np.ones(len(words), np.int64))]
+    hashed = np.zeros(len(text) + 1, np.uint64)
+    for n in range(1, LONGEST + 1):
+        hashed = (hashed[: len(text) - n + 1] + text[n - 1 :]) * _FACTOR
+        if n >= SHORTEST:
+            count = np.maximum(sizes - n + 1, 0)
+            at = np.repeat(starts - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            out.append((_mixed(hashed[at] + np.uint64(n)) >> _SHIFT, count))
+    return [(rows.astype(np.int64), count) for rows, count in out]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _FACTOR
+    return x ^ (x >> np.uint64(29))
 
 
-REPEATED = zlib.crc32(b"</same>") % TABLE_ROWS  # stands for each word that is the one before it once more
-END = zlib.crc32(b"</end>") % TABLE_ROWS  # stands once in every document, so empty ones have a vector too
+# The last two rows of the table stand for no word.
+REPEATED = TABLE_ROWS - 1  # stands for each word that is the one before it once more
+END = TABLE_ROWS - 2  # stands once in every document, so empty ones have a vector too
 
 
 @dataclass
@@ -112,8 +134,10 @@ def _examples(batches: Iterator[dict]) -> Iterator[dict]:
         made = []
         for text in b["text"]:
             words = pieces(text.as_py())
-            rows = [END, *[REPEATED] * (REPEATED_WEIGHT * repeats(words)), *(r for w in words for r in features(w))]
-            rows, counts = np.unique(rows, return_counts=True)
+            found = [np.array([END]), np.full(REPEATED_WEIGHT * repeats(words), REPEATED)]
+            if words:
+                found += [rows for rows, _ in features(words)]
+            rows, counts = np.unique(np.concatenate(found), return_counts=True)
             made.append((rows.astype("<i4").tobytes(), (counts / counts.sum()).astype("<f4").tobytes()))
         yield {"doc_id": b["doc_id"], "label": b["label"], "rows": [m[0] for m in made], "shares": [m[1] for m in made]}
 
@@ -153,29 +177,28 @@ def score_texts(df: DataFrame, model: Model, text: str = "text", score: str = "s
 
     def make() -> Callable:
         m: Model = shared.value
-        pull = m.pull.tolist()
-
-        class Known(dict):
-            """Sum and number of a word's table entries, as real and imaginary part, so that one sum adds both."""
-
-            def __missing__(self, word: str) -> complex:
-                rows = features(word)
-                made = complex(sum([pull[r] for r in rows]), len(rows))
-                if len(word) <= CACHED_WORD:
-                    if len(self) >= CACHE_WORDS:
-                        self.clear()
-                    self[word] = made
-                return made
-
-        look = Known().__getitem__
-        start, again = complex(pull[END], 1), complex(pull[REPEATED], 1) * REPEATED_WEIGHT
-
-        def total(text: str | None) -> complex:
-            words = pieces(text)
-            return sum(map(look, words), start) + again * repeats(words)
+        # Sum and number of a word's table entries, as real and imaginary part, so that one sum adds both.
+        known: dict[str, complex] = {}
+        start, again = complex(m.pull[END], 1), complex(m.pull[REPEATED], 1) * REPEATED_WEIGHT
+
+        def learn(words: list[str]) -> None:
+            total, count = np.zeros(len(words)), np.zeros(len(words))
+            for rows, sizes in features(words):
+                ends = np.cumsum(np.concatenate([[0.0], m.pull[rows]]))
+                upto = np.cumsum(sizes)
+                total += ends[upto] - ends[upto - sizes]
+                count += sizes
+            known.update(zip(words, (total + 1j * count).tolist()))
 
         def scores(texts) -> list:
-            sums = map(total, texts.to_pylist())
+            found = [pieces(t) for t in texts.to_pylist()]
+            if len(known) > CACHE_WORDS:
+                known.clear()
+            new = [w for w in set().union(*found) if w not in known]
+            for at in range(0, len(new), 20_000):
+                learn(new[at : at + 20_000])
+            look = known.__getitem__
+            sums = [sum(map(look, words), start) + again * repeats(words) for words in found]
             return [pa.array([m.score(s.real, s.imag) for s in sums], pa.float64())]
 
         return scores
