@@ -17,7 +17,7 @@ is repeated, are single starts ranked at length 100.
 
 from __future__ import annotations
 
-import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,16 +28,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumirank.llm.common import map_batches, ready
-from lumirank.plans.scratch import scratch_table
+from lumirank.plans.scratch import release, scratch_table
 
 LENGTH = 100  # bytes of a string that counts as repeated
 ANCHOR = 32  # bytes of an anchor's string, a power of two below LENGTH
 BLOCK_STARTS = 1 << 16  # starts worked on at a time
+CROWD = 20_000  # anchors of one name from which on their starts are dealt out one by one
 LOCAL_ANCHORS = 300_000  # anchors a task compares with each other before it passes them on
 
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-#: Names of single bytes, for two independent families of ranks.
-_BYTES = [np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (11, 23)]
+#: Names of single bytes.
+_BYTES = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def pair_rank(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -49,9 +50,9 @@ def pair_rank(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return x
 
 
-def ranks(text: np.ndarray, length: int, family: int = 0) -> np.ndarray:
+def ranks(text: np.ndarray, length: int) -> np.ndarray:
     """The rank of the `length` bytes at every start, by doubling; `length` need not be a power of two."""
-    rank, done = _BYTES[family][text], 1
+    rank, done = _BYTES[text], 1
     while done < length:
         step = min(done, length - done)
         rank = pair_rank(rank[:-step], rank[step:])
@@ -72,7 +73,9 @@ def anchors_of(rank: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
-    """Anchors of a document: names of anchor and stretch, first start, number of starts.
+    """Anchors of a document: names of anchor and stretch, first start, and shape.
+
+    The shape is 128 times the way from the first start to the anchor plus the way to the last start.
 
     Works through blocks of starts, so a document of any length needs little memory. An anchor that
     stands for starts of two blocks appears once for each.
@@ -89,11 +92,12 @@ def stretches(text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
         step = LENGTH - 2 * ANCHOR
         whole = pair_rank(twice[:-step], twice[step:])
         at = place[first]
-        shape = ((at - first) * 128 + (last - first)).astype(np.uint64)
-        yield short[at], pair_rank(pair_rank(whole[first], whole[last]), shape * _K3), first + begin, last - first + 1
+        shape = (at - first) * 128 + (last - first)
+        yield short[at], pair_rank(pair_rank(whole[first], whole[last]), shape.astype(np.uint64) * _K3), first + begin, shape
 
 
-_ANCHORS = T.StructType([T.StructField(n, T.LongType()) for n in ("name", "stretch", "doc", "tie", "start", "starts", "settled")])
+#: `place` holds the first start, the shape and whether the anchor is settled: (start * 2**14 + shape) * 2 + settled.
+_ANCHORS = T.StructType([T.StructField(n, T.LongType()) for n in ("name", "stretch", "doc", "tie", "place")])
 
 
 def _anchors(batches: Iterator[dict]) -> Iterator[dict]:
@@ -102,27 +106,24 @@ def _anchors(batches: Iterator[dict]) -> Iterator[dict]:
     size = 0
 
     def settle() -> dict:
-        a = np.concatenate(held, axis=1)
+        name, stretch, doc, tie, place, known = a = np.concatenate(held, axis=1)
         # By name and stretch, then in document order: all but the first of equals repeat something earlier.
-        order = np.lexsort((a[4], a[3], a[2], a[7], a[1], a[0]))
-        a = a[:, order]
-        same = np.zeros(a.shape[1], bool)
-        same[1:] = (a[:2, 1:] == a[:2, :-1]).all(0) & ~(a[[2, 3, 4, 7], 1:] == a[[2, 3, 4, 7], :-1]).all(0)
+        order = np.lexsort((place, tie, doc, known, stretch, name))
+        name, stretch, doc, tie, place, known = a = a[:, order]
+        same = np.zeros(len(name), bool)
         # Rows of one repeated row are one place: they stay together.
-        a[6] = same
-        a[0] = np.where(same, a[1] ^ a[2] ^ (a[4] << 20), a[0])
-        doc = pa.array(a[2], mask=a[7] == 0)
-        return {n: doc if n == "doc" else pa.array(a[i]) for i, n in enumerate(_ANCHORS.names)}
+        same[1:] = (a[:2, 1:] == a[:2, :-1]).all(0) & ~(a[2:, 1:] == a[2:, :-1]).all(0)
+        spread = np.where(same, stretch ^ doc ^ (place << 20), name)
+        return {"name": pa.array(spread), "stretch": pa.array(stretch), "doc": pa.array(doc, mask=known == 0), "tie": pa.array(tie), "place": pa.array(place + same)}
 
     for b in batches:
         for doc, tie, text in zip(b["doc"].to_pylist(), b["tie"].to_pylist(), b["text"]):
-            for name, stretch, start, starts in stretches(text.as_buffer().to_pybytes() if text.is_valid else b""):
-                n = len(name)
-                row = np.empty((8, n), np.int64)
-                row[0], row[1], row[4], row[5], row[6] = name.view(np.int64), stretch.view(np.int64), start, starts, 0
-                row[2], row[3], row[7] = doc or 0, tie, doc is not None
+            for name, stretch, start, shape in stretches(text.as_buffer().to_pybytes()):
+                row = np.empty((6, len(name)), np.int64)
+                row[0], row[1], row[4] = name.view(np.int64), stretch.view(np.int64), (start << 14 | shape) << 1
+                row[2], row[3], row[5] = doc or 0, tie, doc is not None
                 held.append(row)
-                size += n
+                size += len(name)
             if size >= LOCAL_ANCHORS:
                 yield settle()
                 held, size = [], 0
@@ -130,25 +131,42 @@ def _anchors(batches: Iterator[dict]) -> Iterator[dict]:
         yield settle()
 
 
-_STARTS = T.StructType([T.StructField(n, T.LongType()) for n in ("one", "two", "doc", "tie", "start")])
+_STARTS = T.StructType(
+    [
+        T.StructField("name", T.LongType()),
+        T.StructField("crowd", T.BooleanType()),
+        T.StructField("doc", T.LongType()),
+        T.StructField("tie", T.LongType()),
+        T.StructField("start", T.LongType()),
+        T.StructField("lead", T.LongType()),
+        T.StructField("ranks", T.ArrayType(T.LongType(), False)),
+    ]
+)
 
 
-def _single_starts(batches: Iterator[dict]) -> Iterator[dict]:
-    """Ranks at full length, in both families, of the starts that are asked for."""
+def _ranked_starts(batches: Iterator[dict]) -> Iterator[dict]:
+    """Anchors that are asked for, with the ranks at full length of all their starts."""
     for b in batches:
-        for doc, tie, text, asked in zip(b["doc"].to_pylist(), b["tie"].to_pylist(), b["text"], b["asked"].to_pylist()):
-            raw = np.frombuffer(text.as_buffer().to_pybytes(), np.uint8)
-            for begin, end in _joined([(a["start"], a["start"] + a["starts"]) for a in asked]):
-                for at in range(begin, end, BLOCK_STARTS):
-                    part = raw[at : min(end, at + BLOCK_STARTS) + LENGTH - 1]
-                    one, two = ranks(part, LENGTH, 0), ranks(part, LENGTH, 1)
-                    yield {
-                        "one": pa.array(one.view(np.int64)),
-                        "two": pa.array(two.view(np.int64)),
-                        "doc": pa.array([doc] * len(one), pa.int64()),
-                        "tie": pa.array([tie] * len(one), pa.int64()),
-                        "start": pa.array(np.arange(at, at + len(one))),
-                    }
+        for at in range(0, len(b["text"]), 64):
+            out: dict[str, list] = {n: [] for n in _STARTS.names}
+            part = {c: a.slice(at, 64) for c, a in b.items()}
+            for doc, tie, text, asked in zip(part["doc"].to_pylist(), part["tie"].to_pylist(), part["text"], part["asked"].to_pylist()):
+                raw = np.frombuffer(text.as_buffer().to_pybytes(), np.uint8)
+                spans = [(a["place"] >> 15, (a["place"] >> 15) + (a["place"] >> 1 & 127) + 1) for a in asked]
+                made: dict[int, tuple[int, np.ndarray]] = {}
+                for begin, end in _joined(spans):
+                    for to in range(begin, end, BLOCK_STARTS):
+                        made[to] = (to, ranks(raw[to : min(end, to + BLOCK_STARTS) + LENGTH - 1], LENGTH).view(np.int64))
+                firsts = sorted(made)
+                for a, (begin, end) in zip(asked, spans):
+                    found = []
+                    while begin < end:
+                        to, values = made[firsts[bisect_right(firsts, begin) - 1]]
+                        found.append(values[begin - to : end - to])
+                        begin += len(found[-1])
+                    for n, v in zip(_STARTS.names, (a["name"], a["crowd"], doc, tie, a["place"] >> 15, a["place"] >> 8 & 127, np.concatenate(found))):
+                        out[n].append(v)
+            yield out
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -180,7 +198,7 @@ def _cut(batches: Iterator[dict]) -> Iterator[dict]:
             out: dict[str, list] = {k: [] for k in _CUT.names}
             for doc, text, again, found in zip(part["doc"].to_pylist(), part["text"], part["again"].to_pylist(), part["found"].to_pylist()):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                spans = [(s["start"], s["start"] + s["starts"] + LENGTH - 1) for s in found or []]
+                spans = [(f >> 15, (f >> 15) + (f >> 1 & 127) + LENGTH) for f in found or []]
                 if again and len(raw) >= LENGTH:
                     spans = [(0, len(raw))]
                 spans = _joined(spans)
@@ -193,11 +211,6 @@ def _cut(batches: Iterator[dict]) -> Iterator[dict]:
             yield out
 
 
-def _grouped(spans: DataFrame, name: str) -> DataFrame:
-    """The spans of each document as one list: at most one for every byte of it."""
-    return spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "starts")).alias(name))
-
-
 def _with(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     named = lists.withColumnsRenamed({"doc": "_doc", "tie": "_tie"})
     return docs.join(named, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_tie")), how).drop("_doc", "_tie")
@@ -222,28 +235,45 @@ def drop_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
     found = map_batches(plain.where(F.octet_length("text") >= LENGTH), _anchors, _ANCHORS)
     by_name = W.partitionBy("name")
+    settled = F.col("place") % 2 == 1
     shared = (
         found.withColumn("members", F.count(F.lit(1)).over(by_name))
-        .where((F.col("members") > 1) | (F.col("settled") == 1))
+        .where((F.col("members") > 1) | settled)
         .withColumn("edge", F.min("stretch").over(by_name) != F.max("stretch").over(by_name))
+        .withColumn("crowd", F.col("members") > CROWD)
         .drop("members")
     )
     shared = scratch_table(shared, "anchors")
-    order = [F.col("doc").asc_nulls_first(), "tie", "start"]
-    place = F.rank().over(W.partitionBy("name", "stretch").orderBy(*order))
-    placed = shared.where("settled = 0").withColumn("place", place)
-    repeated = shared.where("settled = 1").select("doc", "tie", "start", "starts").unionByName(
-        placed.where("place > 1").select("doc", "tie", "start", "starts")
-    )
-    edges = placed.where("place = 1 AND edge").select("doc", "tie", "start", "starts").distinct()
-
-    starts = map_batches(_with(plain, _grouped(edges, "asked"), "inner").select("doc", "tie", "text", "asked"), _single_starts, _STARTS)
-    nth = F.rank().over(W.partitionBy("one", "two").orderBy(*order))
-    single = starts.withColumn("nth", nth).where("nth > 1").select("doc", "tie", "start", F.lit(1).cast("long").alias("starts"))
-    spans = scratch_table(repeated.unionByName(single), "spans")
+    order = [F.col("doc").asc_nulls_first(), "tie", "place"]
+    nth = F.rank().over(W.partitionBy("name", "stretch").orderBy(*order))
+    placed = shared.where(~settled).withColumn("nth", nth)
+    repeated = shared.where(settled).select("doc", "tie", "place").unionByName(placed.where("nth > 1").select("doc", "tie", "place"))
+
+    # One list for each document, of as many anchors as it has bytes at most.
+    edges = placed.where("nth = 1 AND edge").groupBy("doc", "tie").agg(F.collect_set(F.struct("name", "crowd", "place")).alias("asked"))
+    ranked = map_batches(_with(plain, edges, "inner").select("doc", "tie", "text", "asked"), _ranked_starts, _STARTS)
+    crowds = shared.where("crowd").limit(1).count() > 0
+    ranked = scratch_table(ranked, "starts") if crowds else ranked
+
+    def singles(anchors: DataFrame) -> DataFrame:
+        """Starts of which an equal one comes earlier; equal starts have one name and one way to their anchor."""
+        each = anchors.select("name", "doc", "tie", "start", "lead", F.posexplode("ranks").alias("i", "rank"))
+        each = each.select("name", "doc", "tie", "rank", (F.col("lead") - F.col("i")).alias("way"), (F.col("start") + F.col("i")).alias("at"))
+        turn = F.rank().over(W.partitionBy("name", "way", "rank").orderBy(F.col("doc").asc_nulls_first(), "tie", "at"))
+        return each.withColumn("turn", turn).where("turn > 1").select("doc", "tie", F.shiftleft("at", 15).alias("place"))
+
+    # Anchors of one name meet in one task before their starts are told apart; those of a crowd are told apart first.
+    single = singles(ranked.where("NOT crowd").repartition("name"))
+    if crowds:
+        single = single.unionByName(singles(ranked.where("crowd")))
+    spans = repeated.unionByName(single).groupBy("doc", "tie").agg(F.collect_set("place").alias("found"))
+    spans = scratch_table(spans, "spans")
+    release(shared)
+    if crowds:
+        release(ranked)
 
     again = F.row_number().over(W.partitionBy("doc", "tie").orderBy(F.lit(1))) > 1 if clash else F.lit(False)
-    listed = _with(plain, _grouped(spans, "found"), "left").withColumn("again", again)
+    listed = _with(plain, spans, "left").withColumn("again", again)
     return map_batches(listed.select("doc", "text", "again", "found"), _cut, _CUT)
 
 
