@@ -19,7 +19,6 @@ holds if 2 * (segments with two or more) + (segments with one) > H for either of
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,17 +28,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumirank.llm.common import ASCII_LOWER, WORD, map_batches, ready, with_key
-from lumirank.plans.scratch import scratch_table
+from lumirank.llm.common import map_batches, ready, with_key
+from lumirank.plans.scratch import release, scratch_table
 
 SHINGLE = 5
 #: Similarity at which two sets link, as a fraction. The bounds above are for this value.
 LINK = (80, 100)
 LEADERS = 4  # members of a bucket every other member is compared with first
 CACHE_WORDS = 200_000
+CACHED_WORD = 40
 LOCAL_SETS = 200_000
 
-_WORDS = re.compile(WORD)
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -49,33 +48,37 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Hashes(dict):
+    """64-bit hashes of words; cleared when it holds too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        made = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= CACHED_WORD:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = made
+        return made
+
+
 class Shingler:
-    """Distinct shingles of texts as sorted 64-bit hashes."""
+    """Distinct shingles of texts, in UTF-8, as sorted 64-bit hashes."""
 
     def __init__(self, words: int = SHINGLE):
         self.words = words
-        self.known: dict[str, int] = {}
-
-    def _hash(self, word: str) -> int:
-        made = self.known.get(word)
-        if made is None:
-            made = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-            if len(word) <= 40:
-                if len(self.known) >= CACHE_WORDS:
-                    self.known.clear()
-                self.known[word] = made
-        return made
+        self.factors = [np.uint64(pow(int(_K1), i + 1, 1 << 64)) for i in range(words)]
+        self.look = _Hashes().__getitem__
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = _WORDS.findall(text.translate(ASCII_LOWER)) if text else []
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        # For bytes, lower() touches A-Z only and split() knows the six ASCII blanks only.
+        words = text.lower().split() if text else []
         if not words:
             return np.zeros(0, np.uint64)
-        each = np.fromiter(map(self._hash, words), np.uint64, len(words))
+        each = np.fromiter(map(self.look, words), np.uint64, len(words))
         n = max(1, len(each) - self.words + 1)
         out = np.full(n, np.uint64(min(len(each), self.words)))
-        for i in range(min(self.words, len(each))):
-            out = _mixed(out * _K1 + each[i : i + n])
-        return np.unique(out)
+        for factor, i in zip(self.factors, range(len(each))):
+            out += each[i : i + n] * factor
+        return np.unique(_mixed(out))
 
 
 def segments_of_band(band: int) -> int:
@@ -87,10 +90,10 @@ def signatures(shingles: np.ndarray, band: int) -> tuple[np.ndarray, bool]:
     """What a set lists in a band, and whether it must ask for all of it."""
     m = segments_of_band(band)
     need = len(shingles) // 4 + 1
-    segment = (_mixed(shingles ^ _K3) % np.uint64(m)).astype(np.int64)
+    segment = (((shingles * _K3) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.uint16 if m <= 1 << 16 else np.int64)
     order = np.argsort(segment, kind="stable")
-    segment, element = segment[order], _mixed(shingles[order] + _K1)
-    first = np.flatnonzero(np.diff(segment, prepend=-1))
+    segment, element = segment[order], shingles[order] * _K1
+    first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
     total = np.add.reduceat(element, first)
     place = segment[first].astype(np.uint64) * _K2 + np.uint64(band)
     whole = _mixed(total + place)
@@ -127,7 +130,7 @@ def _heads(batches: Iterator[dict]) -> Iterator[dict]:
         for at in range(0, len(b["text"]), 256):
             part = {c: a.slice(at, 256) for c, a in b.items()}
             out: dict[str, list] = {k: [] for k in ("n", "print", "lists", "own", "own_all", "next", "next_all")}
-            for text in part["text"].to_pylist():
+            for text in part["text"].cast(pa.binary()).to_pylist():
                 s = shingler(text)
                 mark = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                 lists = mark is not None and mark not in seen
@@ -145,16 +148,15 @@ def _heads(batches: Iterator[dict]) -> Iterator[dict]:
             yield {**{c: part[c] for c in ("row", "doc_id", "text_key")}, **out}
 
 
-_SET = T.StructType([T.StructField("print", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
+_SET = T.StructType([T.StructField("row", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
 
 def _sets(batches: Iterator[dict]) -> Iterator[dict]:
     shingler = Shingler()
     for b in batches:
-        for text, mark in zip(b["text"].to_pylist(), b["print"].to_pylist()):
-            s = shingler(text)
-            if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == mark:
-                yield {"print": pa.array([mark], pa.binary()), "shingles": pa.array([s.tobytes()], pa.binary())}
+        for at in range(0, len(b["text"]), 256):
+            texts = b["text"].slice(at, 256).cast(pa.binary()).to_pylist()
+            yield {"row": b["row"].slice(at, 256), "shingles": pa.array([shingler(t).tobytes() for t in texts], pa.binary())}
 
 
 _LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -187,6 +189,19 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return scratch_table(map_batches(both, _verify, _LINK), "links")
 
 
+def _sets_of(pairs: DataFrame, heads: DataFrame, plain: DataFrame) -> DataFrame:
+    """The sets of the documents in `pairs`, made from their texts once more: (row, shingles)."""
+    rows = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    wanted = rows.join(heads.select("row", "text_key", F.col("doc_id").alias("id")), "row")
+    texts = (
+        plain.join(wanted, "text_key")
+        .where(F.col("doc_id").eqNullSafe(F.col("id")))
+        .select("text_key", "row", "text")
+        .dropDuplicates(["text_key", "row"])
+    )
+    return scratch_table(map_batches(texts.select("row", "text"), _sets, _SET), "sets")
+
+
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(node, label): the smallest node reachable over the edges (a, b), for every node with an edge.
 
@@ -221,60 +236,54 @@ def _fits(x: Column, y: Column) -> Column:
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id and `print`, the digest of its set.
+    """Per document: doc_id, n_shingles, component_id, class_id and `print`, the digest of its set.
 
     A set is the distinct five-word shingles of the whole lower-cased text, the whole sequence where there
     are fewer words. Documents link at a similarity of 0.8 or more, and component_id is the smallest
     doc_id reachable over links, the document's own included. Documents without words have an empty set,
-    link with nothing and are their own component. Equal sets are one class from the start, so copies are
-    never paired. Null ids count as larger than all others: a component of null ids only has a null
+    link with nothing and are their own component. Equal sets are one class from the start, named by its smallest doc_id, so
+    copies are never paired. Null ids count as larger than all others: a component of null ids only has a null
     component_id. Repeated rows are members of one class. Other columns are ignored; an empty table gives
     no rows. Sets are kept as 64-bit hashes of the shingles.
     """
     ready(docs.sparkSession)
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    heads = scratch_table(map_batches(plain.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text_key", "text"), _heads, _HEAD), "heads")
-
-    classes = heads.where("n > 0").groupBy("print").agg(
-        F.min("doc_id").alias("first_id"), F.min(F.when(F.col("lists"), F.col("row"))).alias("row")
+    numbered = plain.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text_key", "text")
+    listed = scratch_table(map_batches(numbered, _heads, _HEAD), "listed")
+    heads = scratch_table(
+        listed.withColumn("n_own", F.size("own")).withColumn("n_next", F.size("next")).drop("own", "next").coalesce(32), "heads"
+    )
+    classes = scratch_table(
+        heads.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("first_id"), F.min(F.when(F.col("lists"), F.col("row"))).alias("row")),
+        "classes",
     )
-    classes = scratch_table(classes, "classes")
 
-    def listed(side: int, name: str) -> DataFrame:
-        return heads.where("lists").select("row", F.explode(name).alias("sig"), F.lit(side).cast("byte").alias("side"))
+    # A listing is (signature, 2 * row + band), the band 0 for the document's own and 1 for the next.
+    def of_band(name: str, k: int) -> Column:
+        return F.transform(name, lambda sig: F.struct(sig.alias("sig"), (F.col("row") * 2 + k).alias("who")))
 
+    entries = listed.where("lists").select(F.inline(F.concat(of_band("own", 0), of_band("next", 1))))
     by_sig = W.partitionBy("sig")
-    shared = listed(0, "own").unionByName(listed(1, "next")).withColumn("members", F.count(F.lit(1)).over(by_sig)).where("members > 1")
-    facts = heads.where("lists").select(
-        "row",
-        "n",
-        F.struct(F.size("own").alias("0"), F.size("next").alias("1")).alias("listed"),
-        F.struct(F.col("own_all").alias("0"), F.col("next_all").alias("1")).alias("all"),
-    )
-    # Of each class one member lists; the rest of what copies in different tasks listed goes now.
-    buckets = (
-        shared.drop("members")
+    shared = scratch_table(entries.withColumn("members", F.count(F.lit(1)).over(by_sig)).where("members > 1").select("sig", "who"), "shared")
+    release(listed)
+    # Of each class one member lists; what copies in other tasks listed goes now.
+    of_class = (
+        shared.withColumn("row", F.shiftright("who", 1))
         .join(classes.select("row"), "row", "left_semi")
         .withColumn("members", F.count(F.lit(1)).over(by_sig))
         .where("members > 1")
-        .join(facts, "row")
+        .join(heads.where("lists").select("row", "n", "n_own", "n_next", "own_all", "next_all"), "row")
     )
-    of_doc = W.partitionBy("row", "side")
-    mine = lambda c: F.when(F.col("side") == 0, F.col(f"{c}.0")).otherwise(F.col(f"{c}.1"))
-    free = mine("listed") - F.count(F.lit(1)).over(of_doc)
+    of_doc = W.partitionBy("who")
+    mine = lambda own, nxt: F.when(F.col("who") % 2 == 0, F.col(own)).otherwise(F.col(nxt))
+    free = mine("n_own", "n_next") - F.count(F.lit(1)).over(of_doc)
     rank = F.row_number().over(of_doc.orderBy("members", "sig"))
-    buckets = scratch_table(
-        buckets.withColumn("asks", mine("all") | (rank <= F.floor(F.col("n") / 4) + 1 - free)).select("sig", "row", "n", "asks"),
-        "buckets",
-    )
-
-    wanted = buckets.select("row").distinct().join(heads.select("row", "doc_id", "text_key", "print"), "row")
-    texts = plain.join(
-        wanted.select("row", "print", "text_key", F.col("doc_id").alias("id")),
-        ["text_key"],
-    ).where(F.col("doc_id").eqNullSafe(F.col("id")))
-    made = map_batches(texts.select("text", "print"), _sets, _SET).dropDuplicates(["print"])
-    sets = scratch_table(made.join(classes.select("row", "print"), "print").select("row", "shingles"), "sets")
+    asks = mine("own_all", "next_all") | (rank <= F.floor(F.col("n") / 4) + 1 - free)
+    buckets = scratch_table(of_class.withColumn("asks", asks).select("sig", "row", "n", "asks"), "buckets")
+    release(shared)
+    # A bucket nobody asks for has no pairs, nor has one without sizes that go together.
+    asked = buckets.groupBy("sig").agg(F.max("asks").alias("asked")).where("asked").select("sig")
+    buckets = scratch_table(buckets.join(asked, "sig", "left_semi"), "asked")
 
     member = F.struct("row", "n", "asks")
     leaders = buckets.groupBy("sig").agg(*[F.min_by(member, F.xxhash64("row", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)])
@@ -285,7 +294,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .distinct(),
         "pairs",
     )
-    links = _links(pairs, sets)
+    links = _links(pairs, _sets_of(pairs, heads, plain))
     labels = components(links)
 
     # What the leaders left open: members of one bucket that are still in different components.
@@ -300,18 +309,19 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .distinct()
         .join(pairs, ["a", "b"], "left_anti")
     )
-    labels = components(links.unionByName(_links(rest, sets)))
+    rest = scratch_table(rest, "pairs")
+    labels = components(links.unionByName(_links(rest, _sets_of(rest, heads, plain))))
 
     named = classes.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    groups = named.join(smallest, "label").select("print", "component_id")
+    groups = named.join(smallest, "label").select("print", "component_id", F.col("first_id").alias("class_id"))
     return (
         heads.select("doc_id", "n", "print")
         .join(groups, "print", "left")
         .select(
             "doc_id",
             F.col("n").alias("n_shingles"),
-            F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+            *[F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("component_id", "class_id")],
             "print",
         )
     )

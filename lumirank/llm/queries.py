@@ -51,7 +51,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose shingle sets link."""
     groups = jaccard.similar_groups(read_table(spark, sf_dir, "documents"))
-    return groups.select("doc_id", "n_shingles", "component_id", F.lower(F.hex("print")).alias("set_id"))
+    return groups.select("doc_id", "n_shingles", "component_id", "class_id")
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +82,23 @@ FROM d
 """
 
 
+OP8 = f"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END)) AS s FROM w),
+c AS MATERIALIZED (SELECT min(doc_id) AS class_id, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+e AS MATERIALIZED (SELECT class_id, n, unnest(s) AS g FROM c),
+l AS MATERIALIZED (
+  SELECT a.class_id AS x, b.class_id AS y FROM e a JOIN e b ON a.g = b.g AND a.class_id <> b.class_id
+  GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+r AS (SELECT class_id AS x, class_id AS y FROM c UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+SELECT doc_id, len(s.s) AS n_shingles, coalesce(g.component_id, doc_id) AS component_id, coalesce(c.class_id, doc_id) AS class_id
+FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) g ON g.x = c.class_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries SQL can express."""
-    return {"op10_exact_dedup": OP10}
+    return {"op8_jaccard_join": OP8, "op10_exact_dedup": OP10}

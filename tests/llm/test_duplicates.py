@@ -185,9 +185,10 @@ def cut_by_hand(rows):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 16, 64])
-def test_repeated_strings(spark, rows, block, monkeypatch):
+@pytest.mark.parametrize("block,crowd", [(1 << 16, 20_000), (64, 2)])
+def test_repeated_strings(spark, rows, block, crowd, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK_STARTS", block)
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     rng = random.Random(9)
     part = "".join(rng.choices("abcdefgh é", k=260))
     more = [
