@@ -251,7 +251,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     numbered = plain.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text_key", "text")
     listed = scratch_table(map_batches(numbered, _heads, _HEAD), "listed")
     heads = scratch_table(
-        listed.withColumn("n_own", F.size("own")).withColumn("n_next", F.size("next")).drop("own", "next").coalesce(32), "heads"
+        listed.withColumn("n_own", F.size("own")).withColumn("n_next", F.size("next")).drop("own", "next"), "heads"
     )
     classes = scratch_table(
         heads.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("first_id"), F.min(F.when(F.col("lists"), F.col("row"))).alias("row")),

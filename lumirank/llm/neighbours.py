@@ -283,15 +283,19 @@ def nearest_vectors(table: DataFrame, queries: Column, k: int = 20, vec_id: str
     n_queries = sum(q for _, q in rows_in.values())
     groups = max(1, -(-n_queries // GROUP_QUERIES))
 
-    block_of = F.create_map(*[F.lit(x) for c in sorted(blocks) for x in (c, blocks[c])])
-    rows = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), block_of[F.col("cell")]))
+    def per_cell(numbers: dict) -> Column:
+        """The number of a row's cell, looked up by its place in a constant list."""
+        return F.get(F.array(*[F.lit(numbers.get(c, 1)).cast("long") for c in range(len(tree.low))]), F.col("cell").cast("int"))
+
+    block_of = per_cell(blocks)
+    rows = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), block_of))
 
     # First pass: the query's own cell.
-    home_groups = F.create_map(*[F.lit(x) for c in sorted(rows_in) for x in (c, max(1, -(-rows_in[c][1] // GROUP_QUERIES)))])
-    own = rows.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), home_groups[F.col("cell")].cast("long") - 1)))
+    home_groups = per_cell({c: max(1, -(-asking // GROUP_QUERIES)) for c, (_, asking) in rows_in.items()})
+    own = rows.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), home_groups - 1)))
     home = (
-        asking.withColumn("group", F.pmod(F.xxhash64("query_id"), home_groups[F.col("cell")]))
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), block_of[F.col("cell")].cast("long") - 1)))
+        asking.withColumn("group", F.pmod(F.xxhash64("query_id"), home_groups))
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), block_of - 1)))
         .withColumn("kth", F.lit(None).cast("double"))
     )
     first = scratch_table(_best(_visit(own.select("cell", "block", "group", "vec_id", "vector"), home, shared, k), k), "first")
@@ -320,7 +324,7 @@ def nearest_vectors(table: DataFrame, queries: Column, k: int = 20, vec_id: str
     away = (
         planned.withColumn("cell", F.explode("cells"))
         .withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), block_of[F.col("cell")].cast("long") - 1)))
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), block_of - 1)))
         .select("cell", "block", "group", "query_id", "vector", "kth")
     )
     spread = rows.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
