@@ -16,6 +16,9 @@ without length has no score and ranks last.
 
 from __future__ import annotations
 
+import json
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -30,6 +33,7 @@ from lumirank.plans.scratch import scratch_table
 BROADCAST_BYTES = 64 << 20  # most query-vector bytes sent to every executor
 BLOCK_BYTES = 64 << 20  # vector bytes of one block of the grid or of a cell
 MAX_SCANS = 8  # scans of the collection that are still cheaper than moving its vectors
+PROBED_SHARE = 0.75  # cells visited unless told otherwise: nine in ten neighbours without clusters need six to seven in ten
 _TILE_QUERIES, _TILE_ROWS = 1024, 2048
 _BUFFER_ROWS = 200_000  # candidates gathered before they are merged into the best lists, at least
 _CHUNK_CELLS = 2 << 20  # numbers of the second look held at once
@@ -267,7 +271,8 @@ def _cells_plan(
     subs = {r["_cell"]: -(-r["count"] // block_rows) for r in homes.groupBy("_cell").count().collect()}
     if not subs:
         return spark.createDataFrame([], schema)
-    sub_map = F.create_map(*[F.lit(int(v)) for item in sorted(subs.items()) for v in item])
+    # By cell, null for cells without rows; a constant, so it is parsed once.
+    sub_list = F.from_json(F.lit(json.dumps([subs.get(cell) for cell in range(len(pivots))])), "array<int>")
 
     @F.arrow_udf("array<int>")
     def probed(values: pa.Array) -> pa.Array:
@@ -282,10 +287,10 @@ def _cells_plan(
         return _found_or_none(best, right, vec, left, query_id, columns)
 
     routed = scratch_table(
-        queries.select(query_id, vec).withColumn("_cell", F.explode(probed(F.col(vec)))).where(sub_map[F.col("_cell")].isNotNull()),
+        queries.select(query_id, vec).withColumn("_cell", F.explode(probed(F.col(vec)))).where(F.get(sub_list, F.col("_cell")).isNotNull()),
         "routed",
-    ).withColumn("_sub", F.explode(F.sequence(F.lit(0), sub_map[F.col("_cell")] - 1)))
-    placed = homes.withColumn("_sub", _spread(id_col, sub_map[F.col("_cell")], 1))
+    ).withColumn("_sub", F.explode(F.sequence(F.lit(0), F.get(sub_list, F.col("_cell")) - 1)))
+    placed = homes.withColumn("_sub", _spread(id_col, F.get(sub_list, F.col("_cell")), 1))
     keep = [c for c in columns if c not in (query_id, "score")]
     return _blocks(routed, placed.select(*keep, vec, "_cell", "_sub"), block_rows, query_id, match, schema)
 
@@ -359,8 +364,8 @@ def knn_join_approx(
     queries: DataFrame,
     collection: DataFrame,
     k: int = 1,
-    n_probe: int = 8,
-    n_pivots: int = 256,
+    n_probe: int | None = None,
+    n_pivots: int | None = None,
     pivots: DataFrame | None = None,
     query_id: str = "query_id",
     query_vec: str = "embedding",
@@ -375,10 +380,15 @@ def knn_join_approx(
     their ids), or `n_pivots` rows of the collection chosen by a hash of the id. Either must fit a broadcast.
     A row belongs to the pivot most similar to it, ties go to the first; rows without length are in no
     cell. More probes give a better answer and cost more; all of them give the exact one but for rows
-    without length.
+    without length. Unless given, there are as many pivots as the root of the number of rows and three in
+    four cells are visited, which finds nine in ten neighbours among vectors without clusters too; give
+    fewer probes where vectors are known to cluster.
     """
     wanted, coll, schema = _sides(queries, collection, query_id, query_vec, id_col, vec_col, carry)
+    by_rows = n_pivots is None
     if pivots is None:
+        if by_rows:
+            n_pivots = math.isqrt(max(collection.count() - 1, 0)) + 1
         chosen = collection.orderBy(F.xxhash64(id_col), id_col).limit(n_pivots)
     else:
         chosen = pivots.orderBy(id_col)
@@ -387,8 +397,12 @@ def knn_join_approx(
         return _final(coll.sparkSession.createDataFrame([], schema), k, query_id, id_col)
     matrix = _matrix(vectors, len(vectors[0]))
     matrix = matrix[matrix.any(axis=1)]
+    if pivots is None and by_rows:
+        matrix = matrix[: max(1, BROADCAST_BYTES // (8 * matrix.shape[1]))]
     if matrix.nbytes > BROADCAST_BYTES:
         raise ValueError("the pivots are more than a broadcast holds; choose fewer")
+    if n_probe is None:
+        n_probe = math.ceil(PROBED_SHARE * len(matrix))
     local = _cells_plan(wanted, coll, matrix, n_probe, k, query_id, id_col, "_v", schema, block_bytes)
     return _final(local, k, query_id, id_col)
 
@@ -413,7 +427,7 @@ def top_k_approx(
     queries: DataFrame,
     collection: DataFrame,
     k: int = 1,
-    n_probe: int = 8,
+    n_probe: int | None = None,
     namespace: str | None = None,
     include_values: bool = False,
     include_metadata: bool = True,

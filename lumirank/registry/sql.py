@@ -181,6 +181,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT query_id, rank, id, round(s, 6) AS score FROM (
               SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM ({_PAIRS}) JOIN m USING (query_id, id))
             WHERE rank <= 5""",
+        "topk_approx_recall": f"SELECT count(*) AS neighbours, true AS enough FROM ({_top(5)})",
         "topk_in_namespace": _top(3, "WHERE label = 3"),
         "topk_with_values": f"""
             SELECT query_id, rank, id, round(list_sum(embedding::DOUBLE[]), 5) AS total

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from lumirank.functions import vectors
 from lumirank.operators import search, validate
 
 DIM = 16
+TABLES = "/root/testdata"
 
 
 def expected(queries, rows, k):
@@ -96,6 +99,22 @@ def test_approximate_search_within_its_cells(spark, block):
     assert search.knn_join_approx(q, c.limit(0), 1).count() == 0 and search.knn_join_approx(q.limit(0), c, 1).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables here")
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_defaults_find_nine_in_ten_on_the_given_embeddings(spark, sf):
+    e = spark.read.parquet(f"{TABLES}/{sf}/embeddings.parquet")
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    c = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("values"))
+    # Six, of which the query's own row is taken away: it is always found.
+    true, found = (
+        {(r["query_id"], r["id"]) for r in form(q, c, 6).collect() if r["query_id"] != r["id"]}
+        for form in (search.knn_join, search.knn_join_approx)
+    )
+    recall = len(true & found) / len(true)
+    print(f"recall {sf}: {recall:.4f} of {len(true)}")
+    assert recall >= 0.9
+
+
 def test_more_neighbours_than_rows(spark):
     queries, rows = fixture(3, 6, 3)
     q, c = frames(spark, queries, rows)
