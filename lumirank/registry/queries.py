@@ -813,6 +813,44 @@ def stream_throughput(spark, d):
     return out.select(naive("period_start").alias("period_start"), "arrivals", F.round("rate", 8).alias("rate"))
 
 
+def _ended_stream(spark, df: DataFrame, withheld) -> DataFrame:
+    """What a stream that ends has emitted and, by `withheld(spark, checkpoint)`, what it has held back."""
+    out, progress = scratch_path(spark, "stream"), scratch_path(spark, "progress")
+    schema = df.schema
+    finished(to_files(df, out, progress))
+    return spark.read.schema(schema).parquet(out).unionByName(withheld(spark, progress))
+
+
+def stream_micro_batches_final(spark, d):
+    """All rows: those that the watermark has passed, and those that wait when the stream ends."""
+    e = stream(spark, d, "events").select("user_id", F.col("event_id").alias("id"), "ts")
+    out = _ended_stream(
+        spark,
+        stream_arrivals.micro_batches_stream(e, 3, SIX_HOURS, ["user_id"]),
+        lambda s, at: stream_arrivals.final_micro_batches(s, at, 3, SIX_HOURS, ["user_id"]),
+    )
+    return out.withColumn("ts", naive("ts"))
+
+
+def stream_sessions_final(spark, d):
+    """All sessions, those that are open when the stream ends too."""
+    out = _ended_stream(
+        spark,
+        stream_arrivals.session_windows_stream(stream(spark, d, "events"), SIX_HOURS, ["user_id"]),
+        lambda s, at: stream_arrivals.final_sessions(s, at, ["user_id"]),
+    )
+    return out.withColumns({"session_start": naive("session_start"), "session_end": naive("session_end")})
+
+
+def stream_throughput_final(spark, d):
+    """All periods, the last one too."""
+    counts = _ended_stream(
+        spark, stream_arrivals.period_counts_stream(stream(spark, d, "events"), TEN_MINUTES), stream_arrivals.final_period_counts
+    )
+    out = arrivals.fill_periods(counts, TEN_MINUTES)
+    return out.select(naive("period_start").alias("period_start"), "arrivals", F.round("rate", 8).alias("rate"))
+
+
 def stream_drop_repeats(spark, d):
     """Every event sent twice, kept once."""
     twice = stream(spark, d, "events").select("event_id", "ts", "value").withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -932,7 +970,7 @@ QUERIES = [
     normalize_pixels_sql, preprocess_rgba, preprocess_rgb, preprocess_rows, bad_images, strip_image_pixels, tensor_to_image,
     read_image_files, stream_image_files, resolve_image_files, embed_images, embed_image_blocks, embed_images_one_pass, image_ingest,
     stream_consume, stream_replayed, stream_micro_batches, stream_micro_batches_files,
-    stream_sessions, stream_throughput, stream_drop_repeats, stream_ingest,
+    stream_sessions, stream_throughput, stream_micro_batches_final, stream_sessions_final, stream_throughput_final, stream_drop_repeats, stream_ingest,
     stream_ingest_images, stream_delivery, stream_search,
 ]
 

@@ -335,6 +335,9 @@ def oracle_sql() -> dict[str, str]:
         "stream_throughput": _periods(
             f"SELECT * FROM (SELECT {_TEN} AS w, count(*) AS n FROM events GROUP BY 1) WHERE w + INTERVAL 10 MINUTE <= {_WATERMARK}"
         ),
+        "stream_micro_batches_final": _batches("user_id", "6 HOUR", 3),
+        "stream_sessions_final": _SESSION_WINDOWS,
+        "stream_throughput_final": _periods(f"SELECT {_TEN} AS w, count(*) AS n FROM events GROUP BY 1"),
         "stream_drop_repeats": "SELECT event_id, ts, value FROM events",
         "stream_ingest": """
             SELECT CASE WHEN label > 1 THEN vec_id || '.png' END AS id,

@@ -1,6 +1,9 @@
 """Grouping and counting of arrivals as they come, by event time.
 
-Rows later than the watermark are dropped by Spark; what the watermark has not passed yet is withheld.
+Rows later than the watermark are dropped by Spark; what the watermark has not passed yet is withheld. Where a
+stream has ended, `final_sessions`, `final_period_counts` and `final_micro_batches` give what is withheld, as if
+the stream stayed idle: they read the state under its checkpoint and change neither. A stream that goes on
+afterwards emits those rows itself, so take them only once it is over.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from datetime import timedelta
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
@@ -59,6 +62,48 @@ def period_counts_stream(
     return period_counts(with_event_time(stream, ts, delay), every, ts)
 
 
+def _state(spark: SparkSession, checkpoint: str, variable: str | None = None) -> DataFrame:
+    reader = spark.read.format("statestore")
+    return (reader.option("stateVarName", variable) if variable else reader).load(checkpoint)
+
+
+def final_sessions(spark: SparkSession, checkpoint: str, keys: Sequence[str] = ()) -> DataFrame:
+    """The sessions `session_windows_stream` still holds open, in its columns."""
+    value = F.col("value")
+    window = value["session_window"]
+    return _state(spark, checkpoint).select(
+        *[value[k].alias(k) for k in keys],
+        window["start"].alias("session_start"),
+        window["end"].alias("session_end"),
+        value["count"].alias("arrivals"),
+    )
+
+
+def final_period_counts(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The periods `period_counts_stream` has not emitted, in its columns."""
+    return _state(spark, checkpoint).select(
+        F.col("key.window.start").alias("period_start"), F.col("value.count").alias("arrivals")
+    )
+
+
+def final_micro_batches(
+    spark: SparkSession,
+    checkpoint: str,
+    max_count: int = 50,
+    idle_gap: timedelta = timedelta(seconds=5),
+    keys: Sequence[str] = (),
+) -> DataFrame:
+    """The rows `micro_batches_stream` still holds back, placed where each key's last group stands."""
+    names = [F.col("key")[k].alias(k) for k in keys]
+    waiting = _state(spark, checkpoint, "waiting").select(
+        *names, F.explode(F.arrays_zip("list_element.ids", "list_element.ats")).alias("row")
+    )
+    rows = waiting.select(*keys, F.col("row.ids").alias("id"), F.timestamp_micros("row.ats").alias("ts"))
+    tails = _state(spark, checkpoint, "tail").select(*names, "value.last", "value.session", "value.filled")
+    columns = [*keys, "id", "ts", "session", "part", "position"]
+    return micro_batches(rows, max_count, idle_gap, keys, tails=tails).select(*columns)
+
+
 class _Grouper(StatefulProcessor):
     """Keeps, per key, the rows the watermark has not passed and where the last group stands."""
 

@@ -118,6 +118,32 @@ def test_sessions_and_periods_equal_the_batch_forms(spark, tmp_path):
     assert filled.agg(F.sum("arrivals")).first()[0] == want.agg(F.sum("arrivals")).first()[0]
 
 
+def test_ended_streams_hold_nothing_back(spark, tmp_path):
+    path = str(tmp_path / "in")
+    batch = files(spark, path, seed=9)
+    forms = {
+        "m": (
+            stream_arrivals.micro_batches_stream(source(spark, path), 3, GAP, ["key"], delay="1 minute"),
+            lambda at: stream_arrivals.final_micro_batches(spark, at, 3, GAP, ["key"]),
+            arrivals.micro_batches(batch, 3, GAP, ["key"]).select("key", "id", "ts", "session", "part", "position"),
+        ),
+        "s": (
+            stream_arrivals.session_windows_stream(source(spark, path), GAP, ["key"], delay="1 minute"),
+            lambda at: stream_arrivals.final_sessions(spark, at, ["key"]),
+            arrivals.session_windows(batch, GAP, ["key"]),
+        ),
+        "p": (
+            stream_arrivals.period_counts_stream(source(spark, path), GAP, delay="1 minute"),
+            lambda at: stream_arrivals.final_period_counts(spark, at),
+            arrivals.period_counts(batch, GAP),
+        ),
+    }
+    for name, (form, withheld, want) in forms.items():
+        emitted, rest = run(spark, form, tmp_path, name), withheld(str(tmp_path / f"{name}-progress"))
+        assert emitted.count() and rest.count()
+        assert sorted(emitted.unionByName(rest).collect()) == sorted(want.collect())
+
+
 def test_repeats_are_dropped(spark, tmp_path):
     path = str(tmp_path / "in")
     files(spark, path)
