@@ -1,13 +1,15 @@
 """Exact duplicates through a sharded cuckoo filter over the digests that are alive.
 
-Every shard keeps a filter of short fingerprints and, beside it, the full keys of each of its buckets.
-A digest is looked for in the filter; a hit counts only once the bucket's full key is the same, so a
-clash of fingerprints never joins two texts. When a copy with a larger id arrives, the older digest is
-deleted and the new one inserted. A filter that overflows is built again, twice as large, from the keys.
+Every shard keeps a filter of short fingerprints and, beside it, the full keys of each of its buckets
+with what is known of them: the row that stays and the size of the group. A digest is looked for in the
+filter; a hit counts only once the bucket's full key is the same, so a clash of fingerprints never joins
+two texts. When a copy arrives, what stands with the key is replaced. A filter that overflows is built
+again, twice as large, from the keys. The buckets are the only store: results are read out of them.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +26,7 @@ LOCAL_KEYS = 200_000  # digests a task aggregates before it passes them on
 
 
 class CuckooIndex:
-    """Fingerprints of live keys in two possible buckets each, with the full keys stored per bucket."""
+    """Fingerprints of live keys in two possible buckets each, with the full keys and their values stored per bucket."""
 
     def __init__(self, buckets: int = 1024):
         self.resized = 0
@@ -34,6 +36,7 @@ class CuckooIndex:
         self.mask = buckets - 1
         self.prints: list[list[int]] = [[] for _ in range(buckets)]
         self.keys: list[list[bytes]] = [[] for _ in range(buckets)]
+        self.values: list[list[tuple | None]] = [[] for _ in range(buckets)]
         self.size = 0
 
     @staticmethod
@@ -48,49 +51,69 @@ class CuckooIndex:
     def _other(self, bucket: int, mark: int) -> int:
         return (bucket ^ (mark * 0x5BD1E995)) & self.mask
 
-    def __contains__(self, key: bytes) -> bool:
-        """Whether the key is alive: the fingerprint is tried first, the stored key decides."""
+    def find(self, key: bytes) -> tuple[int, int] | None:
+        """Bucket and slot of a key that is alive: the fingerprint is tried first, the stored key decides."""
         mark, one, two = self._places(key)
-        return any(mark in self.prints[b] and key in self.keys[b] for b in (one, two))
+        for b in (one, two):
+            if mark in self.prints[b] and key in self.keys[b]:
+                return b, self.keys[b].index(key)
+        return None
+
+    def __contains__(self, key: bytes) -> bool:
+        return self.find(key) is not None
+
+    def value(self, at: tuple[int, int]) -> tuple | None:
+        return self.values[at[0]][at[1]]
+
+    def replace(self, at: tuple[int, int], value: tuple) -> None:
+        self.values[at[0]][at[1]] = value
+
+    def items(self) -> Iterator[tuple[bytes, tuple | None]]:
+        """Every key that is alive, with its value."""
+        for keys, values in zip(self.keys, self.values):
+            yield from zip(keys, values)
+
+    def _append(self, b: int, mark: int, key: bytes, value: tuple | None) -> bool:
+        if len(self.prints[b]) == SLOTS:
+            return False
+        self.prints[b].append(mark)
+        self.keys[b].append(key)
+        self.values[b].append(value)
+        return True
 
-    def insert(self, key: bytes) -> None:
+    def insert(self, key: bytes, value: tuple | None = None) -> None:
         """Add a key that is not in the index."""
         self.size += 1
         mark, one, two = self._places(key)
-        for b in (one, two):
-            if len(self.prints[b]) < SLOTS:
-                self.prints[b].append(mark)
-                self.keys[b].append(key)
-                return
+        if self._append(one, mark, key, value) or self._append(two, mark, key, value):
+            return
         at = two
         for turn in range(KICKS):
             slot = turn % SLOTS
             mark, self.prints[at][slot] = self.prints[at][slot], mark
             key, self.keys[at][slot] = self.keys[at][slot], key
+            value, self.values[at][slot] = self.values[at][slot], value
             at = self._other(at, mark)
-            if len(self.prints[at]) < SLOTS:
-                self.prints[at].append(mark)
-                self.keys[at].append(key)
+            if self._append(at, mark, key, value):
                 return
-        self._grow(key)
+        self._grow(key, value)
 
-    def _grow(self, left_over: bytes) -> None:
-        stored = [k for bucket in self.keys for k in bucket] + [left_over]
+    def _grow(self, *left_over) -> None:
+        stored = [*self.items(), left_over]
         self.resized += 1
         self._clear(2 * (self.mask + 1))
-        for key in stored:
-            self.insert(key)
+        for key, value in stored:
+            self.insert(key, value)
 
     def delete(self, key: bytes) -> bool:
         """Remove a key; False if it is not alive."""
-        mark, one, two = self._places(key)
-        for b in (one, two):
-            if mark in self.prints[b] and key in self.keys[b]:
-                at = self.keys[b].index(key)
-                del self.prints[b][at], self.keys[b][at]
-                self.size -= 1
-                return True
-        return False
+        at = self.find(key)
+        if at is None:
+            return False
+        b, slot = at
+        del self.prints[b][slot], self.keys[b][slot], self.values[b][slot]
+        self.size -= 1
+        return True
 
 
 _LIVE = T.StructType(
@@ -141,25 +164,22 @@ def _combine_locally(batches: Iterator[dict]) -> Iterator[dict]:
 
 def _index_shard(batches: Iterator[dict]) -> Iterator[dict]:
     """Run the arrivals of a shard through its index; what lives at the end is the result."""
-    index, live = CuckooIndex(), {}
+    index = CuckooIndex()
     for b in batches:
         for key, doc_id, row, n in _rows(b):
             if n < 0:  # a digest that is taken out
-                if index.delete(key):
-                    del live[key]
-                continue
-            if key in index:
-                old = live[key]
-                n += old[2]
-                if _rank(doc_id, row) < _rank(*old[:2]):
-                    live[key] = (*old[:2], n)
-                    continue
                 index.delete(key)
-            index.insert(key)
-            live[key] = (doc_id, row, n)
-    keys = list(live)
-    for i in range(0, len(keys), 50_000):
-        yield _batch({k: live[k] for k in keys[i : i + 50_000]})
+                continue
+            at = index.find(key)
+            if at is None:
+                index.insert(key, (doc_id, row, n))
+                continue
+            old = index.value(at)
+            n += old[2]
+            index.replace(at, (*old[:2], n) if _rank(doc_id, row) < _rank(*old[:2]) else (doc_id, row, n))
+    alive = index.items()
+    while part := dict(itertools.islice(alive, 50_000)):
+        yield _batch(part)
 
 
 def live_digests(arrivals: DataFrame, shards: int | None = None) -> DataFrame:

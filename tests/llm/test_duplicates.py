@@ -44,6 +44,25 @@ def test_equal_prints_are_told_apart_by_the_key():
     assert one not in index and two in index
 
 
+def test_the_index_keeps_and_gives_the_rows():
+    index, want, rng = CuckooIndex(2), {}, random.Random(6)
+    for n in range(5000):
+        k = key(rng.randrange(1500))
+        at = index.find(k)
+        assert (at is not None) == (k in want)
+        if at is None:
+            index.insert(k, (n,))
+            want[k] = (n,)
+        elif rng.random() < 0.3:
+            index.delete(k)
+            del want[k]
+        else:
+            assert index.value(at) == want[k]
+            index.replace(at, (*want[k], n))
+            want[k] = (*want[k], n)
+    assert index.resized and dict(index.items()) == want and index.size == len(list(index.items()))
+
+
 def exact_by_hand(rows):
     groups = collections.defaultdict(list)
     for doc_id, text, *_ in rows:
