@@ -136,6 +136,15 @@ class TokenFile:
         """The ids of document i of this file."""
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
+    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """Name, start and ids (32 bits wide) of each document; the boundaries are looked up, not unpacked."""
+        wide = self.ids.astype("<u4")
+        start = self.bounds.select(0)
+        for i, doc_id in enumerate(self.doc_ids):
+            end = self.bounds.select(i + 1)
+            yield doc_id, start, wide[start:end]
+            start = end
+
 
 # Characters that the tokenizer's normal form leaves alone and that `re` and the tokenizer class alike:
 # ASCII without control blanks, and the Latin letters and signs up to U+017F but for a few.
@@ -313,14 +322,14 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for name, body in zip(b["file"], b["content"]):
                 found = TokenFile(body.as_py())
-                bounds = found.bounds.all()
-                wide = found.ids.astype("<u4")
+                rows = [(doc_id, start, len(ids), zlib.crc32(ids)) for doc_id, start, ids in found.documents()]
+                doc_ids, starts, sizes, sums = zip(*rows) if rows else ((), (), (), ())
                 yield {
                     "file": [name.as_py()] * found.n_docs,
-                    "doc_id": pa.array(found.doc_ids, pa.int64()),
-                    "local_start": pa.array(bounds[:-1]),
-                    "n_tokens": pa.array(np.diff(bounds)),
-                    "ids_crc32": [zlib.crc32(wide[s:e]) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())],
+                    "doc_id": pa.array(doc_ids, pa.int64()),
+                    "local_start": pa.array(starts, pa.int64()),
+                    "n_tokens": pa.array(sizes, pa.int64()),
+                    "ids_crc32": pa.array(sums, pa.int64()),
                 }
 
     return (

@@ -87,6 +87,17 @@ def test_file_gives_back_documents():
     assert [file.document(i).tolist() for i in range(3)] == [[0, 1, 2, 3], [], [4, 5, 6, 7, 8, 9]]
 
 
+def test_documents_are_read_without_unpacking_the_boundaries(monkeypatch):
+    sizes = np.random.default_rng(2).integers(0, 9, 700)
+    ids = np.arange(sizes.sum(), dtype="<u2")
+    file = TokenFile(pack_file([None, *range(1, 700)], sizes.tolist(), ids.tobytes(), 2) + b"\n")
+    monkeypatch.delattr(EliasFano, "all")
+    got = [(doc_id, start, part.tolist()) for doc_id, start, part in file.documents()]
+    ends = np.cumsum(sizes).tolist()
+    assert got == [(i or None, e - n, list(range(e - n, e))) for i, (n, e) in enumerate(zip(sizes.tolist(), ends))]
+    assert not list(TokenFile(pack_file([], [], b"", 2) + b"\n").documents())
+
+
 def test_word_ids_as_the_library_makes_them():
     ours, library = LibraryEncoder(WORD, 2), Tokenizer.from_file(WORD)
     texts = [*samples(2500), None, ""]
