@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumirank.llm import bpe, exact_dedup, jaccard, language, mixing, neighbours, pii, quality, suffix_dedup, token_files
+from lumirank.llm import (
+    bpe,
+    exact_dedup,
+    fingerprints,
+    jaccard,
+    language,
+    mixing,
+    neighbours,
+    pii,
+    quality,
+    spelling,
+    suffix_dedup,
+    token_files,
+    vector_codes,
+)
 from lumirank.llm.common import read_table
 
 
@@ -64,9 +78,30 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a code of four entries of integer codebooks."""
+    return vector_codes.vector_code_report(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, the words one letter away, and the frequent form of rare ones."""
+    return spelling.spelling_report(read_table(spark, sf_dir, "documents"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and their likeness."""
+    return fingerprints.fingerprint_report(read_table(spark, sf_dir, "documents"))
+
+
+_QUERIES = (
+    op1_mixing, op2_bpe, op3_suffix_dedup, op4_private_data, op5_quality, op6_neighbours, op7_token_files, op8_jaccard_join,
+    op9_language, op10_exact_dedup, op11_vector_codes, op12_spelling_variants, op13_fingerprints,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator."""
-    return {f.__name__: f for f in (op1_mixing, op2_bpe, op3_suffix_dedup, op4_private_data, op5_quality, op6_neighbours, op7_token_files, op8_jaccard_join, op9_language, op10_exact_dedup)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
