@@ -134,6 +134,80 @@ FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN (SELECT x, min(y) AS component_id FROM
 """
 
 
+def _op11(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """The rounds one after the other; sums of whole numbers below 2^53 are exact in double precision."""
+    steps = [
+        """v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""p AS MATERIALIZED (
+  SELECT vec_id, label, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS x
+  FROM v, (SELECT unnest(range({parts})) AS part))""",
+        f"""c0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id, x) - 1 AS e, x AS c FROM p
+  QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id, x) <= {entries})""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, any_value(label) AS label, p.part, any_value(x) AS x,
+    min((list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c))::BIGINT * {entries} + e) AS best
+  FROM p JOIN c{r} USING (part) GROUP BY vec_id, p.part)""")
+        if r == rounds:
+            break
+        steps.append(f"""s{r} AS MATERIALIZED (
+  SELECT part, best % {entries} AS e, i, sum(x[i]::BIGINT) AS s, count(*) AS n
+  FROM a{r}, (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM p))) AS i) GROUP BY ALL)""")
+        steps.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT part, e, coalesce(m, c) AS c FROM c{r} LEFT JOIN (
+    SELECT part, e, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS m FROM s{r} GROUP BY part, e) USING (part, e))""")
+    steps.append(f"""f AS MATERIALIZED (
+  SELECT vec_id, any_value(label) AS label, string_agg(lpad(lower(to_hex(best % {entries})), 2, '0'), '' ORDER BY part) AS code,
+    sum(best // {entries})::BIGINT AS error FROM a{rounds} GROUP BY vec_id)""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY part, e)) FROM c{rounds})
+    AS codebooks_sha256
+FROM f
+"""
+
+
+# crc32 by its table of 256 remainders, byte by byte; the letters of a word have one or two bytes.
+OP12 = r"""
+WITH RECURSIVE bits(i, k, c) AS (
+  SELECT i, 0, i FROM (SELECT unnest(range(256)) AS i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+t AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+r AS MATERIALIZED (
+  SELECT id, unnest(regexp_extract_all(@LOWER@,
+    '[a-z\x{C0}-\x{FF}]+')) AS w FROM (SELECT coalesce(doc_id::VARCHAR, '') || ':' AS id, text FROM documents)),
+l AS MATERIALIZED (SELECT id, w FROM r WHERE length(w) >= 7),
+h AS MATERIALIZED (
+  SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(id || w, ''),
+    lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT] ELSE [195::BIGINT, (unicode(ch) - 64)::BIGINT] END))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM l, t),
+e AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM h),
+v AS MATERIALIZED (SELECT word, count(*) AS n FROM e WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+c AS MATERIALIZED (
+  SELECT word, n, substr(word, 1, i) AS a, substr(word, i + 2) AS b FROM v, LATERAL (SELECT unnest(range(length(word))) AS i)),
+d AS MATERIALIZED (
+  SELECT DISTINCT c.word AS x, c.n AS xn, v.word AS y, v.n AS yn FROM c JOIN v ON v.word = c.a || c.b),
+m AS MATERIALIZED (
+  SELECT x, xn, y, yn FROM d UNION ALL SELECT y, yn, x, xn FROM d
+  UNION ALL SELECT c.word, c.n, o.word, o.n FROM c JOIN c o ON c.a = o.a AND c.b = o.b AND c.word <> o.word),
+g AS MATERIALIZED (
+  SELECT x AS word, count(*) AS n_near, CASE WHEN max(yn) >= 10 * any_value(xn) THEN max(yn) END AS form_n,
+    CASE WHEN max(yn) >= 10 * any_value(xn) THEN arg_min(y, {'n': -yn, 'y': encode(y)}) END AS form
+  FROM m GROUP BY x),
+f(word, root) AS (
+  SELECT word, form FROM g WHERE form IS NOT NULL
+  UNION ALL SELECT f.word, g.form FROM f JOIN g ON g.word = f.root WHERE g.form IS NOT NULL)
+SELECT v.word, v.n, coalesce(g.n_near, 0)::BIGINT AS n_near, g.form, g.form_n,
+  coalesce((SELECT q.root FROM f q JOIN v z ON z.word = q.root WHERE q.word = v.word ORDER BY z.n DESC LIMIT 1), v.word) AS root
+FROM v LEFT JOIN g USING (word)
+""".replace("@LOWER@", _LOWER)
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries SQL can express."""
-    return {"op8_jaccard_join": OP8, "op10_exact_dedup": OP10}
+    return {"op8_jaccard_join": OP8, "op10_exact_dedup": OP10, "op11_vector_codes": _op11(), "op12_spelling_variants": OP12}

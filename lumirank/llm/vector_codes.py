@@ -174,7 +174,7 @@ def fit_codebooks(
     width = -(-dim // parts)
     seeds = kept.orderBy(F.col("id").asc_nulls_last(), "v").limit(entries).select("v").toArrow()["v"].combine_chunks()
     values = _integers(seeds, parts * width, scale) if len(seeds) else np.zeros((0, parts * width), np.int64)
-    books = Codebooks(values.reshape(-1, parts, width).transpose(1, 0, 2).copy(), dim, scale)
+    books = Codebooks(values.reshape(len(values), parts, width).transpose(1, 0, 2).copy(), dim, scale)
     if not books.entries.size:
         return books
     for _ in range(rounds):
