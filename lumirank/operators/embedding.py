@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumirank.functions.text import bucket_counts
+from lumirank.functions.text import bucket_counts, bucket_lists
 from lumirank.operators.preprocess import SIZE, float_lists, stripped_schema, tensors_of, without_pixels
 
 # Fixed batch sizes of the two models.
@@ -58,6 +58,22 @@ class HashingTextEmbedder(ColumnEmbedder):
         return counts(F.lower(value))
 
 
+class SparseTextEmbedder(ColumnEmbedder):
+    """The same counts without the zeros, for `top_k_sparse`: a struct of `buckets` and `weights`. `dim` may be large."""
+
+    def __init__(self, dim: int = 512):
+        self.dim = dim
+
+    def column(self, value: Column) -> Column:
+        dim = self.dim
+
+        @F.arrow_udf("struct<buckets:array<int>,weights:array<double>>")
+        def lists(lowered: pa.Array) -> pa.Array:
+            return bucket_lists(lowered, dim)
+
+        return lists(F.lower(value))
+
+
 class HashingTextModel(Embedder):
     """The same counts as a model that is called with batches of texts."""
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from lumirank.functions import records, vectors
 from lumirank.functions.pixels import MEAN, STD, normalize_pixels
-from lumirank.operators import arrivals, embedding, envelopes, paths, preprocess, runlogs, search, validate
+from lumirank.operators import arrivals, embedding, envelopes, paths, preprocess, runlogs, search, sparse, validate
 from lumirank.plans import ingest
 from lumirank.plans.ordered import index_within
 from lumirank.plans.scratch import scratch_path
@@ -569,6 +569,14 @@ def text_search_top10(spark, d):
     return _ranked(found)
 
 
+def topk_sparse(spark, d):
+    """The ten best documents of every text through an inverted index of hashed counts."""
+    model = embedding.SparseTextEmbedder(DIM)
+    docs = heavy(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), model.column(F.col("text")).alias("vector"))
+    q = _benchmark_queries(spark, d).select("query_id", model.column(F.col("text")).alias("vector"))
+    return _ranked(sparse.top_k_sparse(q, sparse.sparse_index(docs), 10))
+
+
 # ------------------------------------------------------------------ images
 
 
@@ -966,7 +974,7 @@ QUERIES = [
     throughput_stats, run_summary, run_summary_by_user, failure_breakdown, log_throughput, batch_assign, batch_count,
     encode_rows, encode_rows_indexed, decode_roundtrip, decode_failures, delivery_stats, encode_json, decode_json,
     published_messages, row_index, row_index_sliced,
-    split_rejects, valid_queries, text_embed, text_embed_batched, text_search_top1, text_search_top10,
+    split_rejects, valid_queries, text_embed, text_embed_batched, text_search_top1, text_search_top10, topk_sparse,
     normalize_pixels_sql, preprocess_rgba, preprocess_rgb, preprocess_rows, bad_images, strip_image_pixels, tensor_to_image,
     read_image_files, stream_image_files, resolve_image_files, embed_images, embed_image_blocks, embed_images_one_pass, image_ingest,
     stream_consume, stream_replayed, stream_micro_batches, stream_micro_batches_files,

@@ -288,6 +288,7 @@ def oracle_sql() -> dict[str, str]:
         "text_embed_batched": f"SELECT id AS doc_id, bucket, n FROM ({_buckets('documents', 'doc_id')})",
         "text_search_top1": _text_search(1),
         "text_search_top10": _text_search(10),
+        "topk_sparse": _text_search(10),
         "normalize_pixels_sql": f"""
             SELECT vec_id, pos::INTEGER AS pos, round((b[(pos % 16) * 4 + pos // 16 + 1] / 255.0::DOUBLE - {_MEAN}[pos // 16 + 1]) / {_STD}[pos // 16 + 1], 6) AS v
             FROM ({_RGBA}), unnest(range(48)) AS t(pos)""",
