@@ -114,36 +114,40 @@ _PAGE_PIXELS = """
 
 
 def _weights(sizes: str) -> str:
-    """Whole-number cubic weights: for each (n_in, n_out, first) the taps of eight output pixels."""
+    """Whole-number cubic weights: for each (key, n_in, n_out, first) the taps of eight output pixels."""
     return f"""
-    SELECT n_in, o, r, trunc(w / total * 4194304.0 + CASE WHEN w < 0 THEN -0.5 ELSE 0.5 END)::BIGINT AS k FROM (
-      SELECT *, sum(w) OVER (PARTITION BY n_in, o) AS total FROM (
-        SELECT n_in, o, r, CASE WHEN a < 1 THEN ((1.5 * a) - 2.5) * a * a + 1 WHEN a < 2 THEN (((a - 5) * a + 8) * a - 4) * -0.5 ELSE 0 END AS w
-        FROM (SELECT n_in, o, r, abs((r - center + 0.5) / st) AS a
-          FROM (SELECT n_in, o, center, st, greatest(trunc(center - 2 * st + 0.5), 0)::BIGINT AS lo,
+    SELECT key, o, r, trunc(w / total * 4194304.0 + CASE WHEN w < 0 THEN -0.5 ELSE 0.5 END)::BIGINT AS k FROM (
+      SELECT *, sum(w) OVER (PARTITION BY key, o) AS total FROM (
+        SELECT key, o, r, CASE WHEN a < 1 THEN ((1.5 * a) - 2.5) * a * a + 1 WHEN a < 2 THEN (((a - 5) * a + 8) * a - 4) * -0.5 ELSE 0 END AS w
+        FROM (SELECT key, o, r, abs((r - center + 0.5) / st) AS a
+          FROM (SELECT key, o, center, st, greatest(trunc(center - 2 * st + 0.5), 0)::BIGINT AS lo,
                        least(trunc(center + 2 * st + 0.5), n_in)::BIGINT AS hi
-            FROM (SELECT n_in, o, (first + o + 0.5::DOUBLE) * (n_in::DOUBLE / n_out) AS center, greatest(n_in::DOUBLE / n_out, 1.0::DOUBLE) AS st
+            FROM (SELECT key, n_in, o, (first + o + 0.5::DOUBLE) * (n_in::DOUBLE / n_out) AS center, greatest(n_in::DOUBLE / n_out, 1.0::DOUBLE) AS st
               FROM ({sizes}), unnest(range(8)) AS t(o))), unnest(range(lo, hi)) AS u(r))))"""
 
 
 def _resampled(pixels: str, across: str, down: str) -> str:
     """Pixels (id, h, y, x, c, v) to (id, y, x, c, v) of 8 × 8: across first, then down, rounded each time.
 
-    Sums may be negative, so the shift by 22 bits is written as a floor.
+    `across` and `down` give the sizes by h. Sums may be negative, so the shift by 22 bits is written as a floor.
     """
     return f"""
-    px AS ({pixels}), wx AS ({_weights(across)}), wy AS ({_weights(down)}),
-    p1 AS (SELECT id, h, y, o AS x, c, greatest(0, least(255, floor((sum(v * k) + 2097152) / 4194304.0)))::BIGINT AS v
-           FROM px JOIN wx ON wx.r = px.x GROUP BY ALL),
-    p2 AS (SELECT id, o AS y, x, c, greatest(0, least(255, floor((sum(v * k) + 2097152) / 4194304.0)))::BIGINT AS v
-           FROM p1 JOIN wy ON wy.n_in = p1.h AND wy.r = p1.y GROUP BY ALL)"""
+    px AS MATERIALIZED ({pixels}), wx AS MATERIALIZED ({_weights(across)}), wy AS MATERIALIZED ({_weights(down)}),
+    p1 AS MATERIALIZED (SELECT id, h, y, o AS x, c, greatest(0, least(255, floor((sum(v * k) + 2097152) / 4194304.0)))::BIGINT AS v
+           FROM px JOIN wx ON wx.key = px.h AND wx.r = px.x GROUP BY ALL),
+    p2 AS MATERIALIZED (SELECT id, o AS y, x, c, greatest(0, least(255, floor((sum(v * k) + 2097152) / 4194304.0)))::BIGINT AS v
+           FROM p1 JOIN wy ON wy.key = p1.h AND wy.r = p1.y GROUP BY ALL)"""
 
 
-_ACROSS_16 = "SELECT 16 AS n_in, 8 AS n_out, 0 AS first"
-_DOWN_PAGES = """SELECT h AS n_in, n_out, round_even((n_out - 8) / 2.0, 0)::BIGINT AS first FROM (
-    SELECT DISTINCT h, trunc(8 * h / 16.0::DOUBLE)::BIGINT AS n_out FROM (
-      SELECT ((octet_length(encode(html)) + 47) // 48)::BIGINT AS h FROM pages))"""
-_FOUR_TO_EIGHT = "SELECT 4 AS n_in, 8 AS n_out, 0 AS first"
+def _page_side(side: str) -> str:
+    """The pages' images are 16 wide and h high: the shorter side gets 8 pixels, of the other the middle 8 stay."""
+    return f"""
+    SELECT h AS key, n_in, n_out, round_even((n_out - 8) / 2.0, 0)::BIGINT AS first FROM (
+      SELECT h, {side} AS n_in, trunc(8 * {side} / least(16, h)::DOUBLE)::BIGINT AS n_out FROM (
+        SELECT DISTINCT ((octet_length(encode(html)) + 47) // 48)::BIGINT AS h FROM pages))"""
+
+
+_FOUR_TO_EIGHT = "SELECT 4 AS key, 4 AS n_in, 8 AS n_out, 0 AS first"
 
 
 # Premultiplied pixels of the small images, channels in red, green, blue, alpha.
@@ -155,7 +159,7 @@ _RGBA_PIXELS = f"""
         FROM ({_RGBA}), unnest(range(0, 64, 4)) AS t(i), unnest(range(4)) AS u(c)))"""
 
 
-_PAGE_STORED = f"WITH {_resampled(_PAGE_PIXELS, _ACROSS_16, _DOWN_PAGES)}"
+_PAGE_STORED = f"WITH {_resampled(_PAGE_PIXELS, _page_side('16'), _page_side('h'))}"
 
 
 _BLOCK_SUMS = f"""{_PAGE_STORED}
@@ -172,15 +176,9 @@ def oracle_sql() -> dict[str, str]:
         "topk_cell_join": _top(5),
         "topk_many_queries": _top(5),
         "topk_grid": _top(5),
-        "topk_approx": f"""
-            WITH s AS MATERIALIZED (
-              SELECT v.vec_id AS id, p.vec_id AS near, round(list_cosine_similarity(v.embedding::DOUBLE[], p.embedding::DOUBLE[]), 12) AS c
-              FROM embeddings v, embeddings p WHERE p.vec_id < 16),
-            r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, near) AS nth FROM s),
-            m AS (SELECT q.id AS query_id, h.id FROM r q JOIN r h ON h.near = q.near WHERE q.nth <= 4 AND h.nth = 1)
-            SELECT query_id, rank, id, round(s, 6) AS score FROM (
-              SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM ({_PAIRS}) JOIN m USING (query_id, id))
-            WHERE rank <= 5""",
+        "topk_approx": _top(5),
+        "topk_stored": _top(5),
+        "topk_probed": _top(1),
         "topk_approx_recall": f"SELECT count(*) AS neighbours, true AS enough FROM ({_top(5)})",
         "topk_in_namespace": _top(3, "WHERE label = 3"),
         "topk_with_values": f"""
