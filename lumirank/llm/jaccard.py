@@ -34,7 +34,10 @@ from lumirank.plans.scratch import release, scratch_table
 SHINGLE = 5
 #: Similarity at which two sets link, as a fraction. The bounds above are for this value.
 LINK = (80, 100)
-LEADERS = 4  # members of a bucket every other member is compared with first
+PARTNERS = 4  # rows of other components a row is compared with in a turn
+BLOCK_BYTES = 8 << 20  # sets of a bucket that one task holds at once
+TRIED_PAIRS = 1_000_000  # pairs a task remembers
+BITS = 512  # of the bitmap of a set
 CACHE_WORDS = 200_000
 CACHED_WORD = 40
 LOCAL_SETS = 200_000
@@ -108,6 +111,13 @@ def signatures(shingles: np.ndarray, band: int) -> tuple[np.ndarray, bool]:
     return np.unique(np.concatenate(listed)), True
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Which of BITS values the top bits of the hashes take, as 64-bit numbers."""
+    taken = np.zeros(BITS, np.uint8)
+    taken[shingles >> np.uint64(64 - (BITS.bit_length() - 1))] = 1
+    return np.packbits(taken).view(np.int64)
+
+
 _HEAD = T.StructType(
     [
         T.StructField("row", T.LongType()),
@@ -115,6 +125,7 @@ _HEAD = T.StructType(
         T.StructField("text_key", T.LongType()),
         T.StructField("n", T.LongType()),
         T.StructField("print", T.BinaryType()),
+        T.StructField("bits", T.ArrayType(T.LongType(), False)),
         T.StructField("lists", T.BooleanType()),
         T.StructField("own", T.ArrayType(T.LongType(), False)),
         T.StructField("own_all", T.BooleanType()),
@@ -129,11 +140,12 @@ def _heads(batches: Iterator[dict]) -> Iterator[dict]:
     for b in batches:
         for at in range(0, len(b["text"]), 256):
             part = {c: a.slice(at, 256) for c, a in b.items()}
-            out: dict[str, list] = {k: [] for k in ("n", "print", "lists", "own", "own_all", "next", "next_all")}
+            out: dict[str, list] = {k: [] for k in ("n", "print", "bits", "lists", "own", "own_all", "next", "next_all")}
             for text in part["text"].cast(pa.binary()).to_pylist():
                 s = shingler(text)
                 mark = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                 lists = mark is not None and mark not in seen
+                bits = bitmap(s) if lists else None
                 own, own_all, nxt, next_all = np.zeros(0, np.uint64), False, np.zeros(0, np.uint64), False
                 if lists:
                     if len(seen) >= LOCAL_SETS:
@@ -143,7 +155,7 @@ def _heads(batches: Iterator[dict]) -> Iterator[dict]:
                     own, own_all = signatures(s, band)
                     if 5 * len(s) // 4 >= 2 ** (band + 1):
                         nxt, next_all = signatures(s, band + 1)
-                for k, v in zip(out, (len(s), mark, lists, own.view(np.int64), own_all, nxt.view(np.int64), next_all)):
+                for k, v in zip(out, (len(s), mark, bits, lists, own.view(np.int64), own_all, nxt.view(np.int64), next_all)):
                     out[k].append(v)
             yield {**{c: part[c] for c in ("row", "doc_id", "text_key")}, **out}
 
@@ -189,9 +201,8 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return scratch_table(map_batches(both, _verify, _LINK), "links")
 
 
-def _sets_of(pairs: DataFrame, heads: DataFrame, plain: DataFrame) -> DataFrame:
-    """The sets of the documents in `pairs`, made from their texts once more: (row, shingles)."""
-    rows = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+def _sets_of(rows: DataFrame, heads: DataFrame, plain: DataFrame) -> DataFrame:
+    """The sets of some rows: (row, shingles)."""
     wanted = rows.join(heads.select("row", "text_key", F.col("doc_id").alias("id")), "row")
     texts = (
         plain.join(wanted, "text_key")
@@ -202,37 +213,195 @@ def _sets_of(pairs: DataFrame, heads: DataFrame, plain: DataFrame) -> DataFrame:
     return scratch_table(map_batches(texts.select("row", "text"), _sets, _SET), "sets")
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def _partners(open_: DataFrame, turn: int = 0) -> DataFrame:
+    """At most PARTNERS pairs (a, b) per row, of rows that share a bucket, have different labels and may be similar.
+
+    Labels and rows stand in orders by hash, others each turn, that are the same in all buckets: a bucket proposes the first row
+    of its first label to rows of other labels and the last row of its last label to those of the first, and a
+    row takes the proposals that come first. So members of a large group, which share many buckets, ask for the same few rows.
+    """
+    member = F.struct("row", "n", "asks", "label", "bits")
+    ends = []
+    for k in (2 * turn, 2 * turn + 1):
+        order = F.struct(F.xxhash64("label", F.lit(k)), F.xxhash64("row", F.lit(k)), "row")
+        ends += [F.min_by(member, order).alias(f"first{k}"), F.max_by(member, order).alias(f"last{k}")]
+    proposed = open_.groupBy("sig").agg(*ends)
+    names = [c for c in proposed.columns if c != "sig"]
+    met = open_.select("sig", member.alias("x")).join(proposed, "sig").select("x", F.explode(F.array(*names)).alias("y"))
+    fit = met.where((F.col("x.label") != F.col("y.label")) & _fits("x", "y"))
+    picks = [F.min_by("y.row", F.xxhash64("y.row", F.lit(turn), F.lit(k))).alias(f"p{k}") for k in range(PARTNERS)]
+    asked = fit.groupBy("x.row").agg(*picks).select("row", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PARTNERS)]))).alias("p"))
+    return asked.select(F.least("row", "p").alias("a"), F.greatest("row", "p").alias("b")).distinct()
+
+
+def _still_open(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The buckets that hold rows of different labels, with the labels; written once. A row without a label is its own."""
+    if labels is None:
+        return scratch_table(buckets.withColumn("label", F.col("row")), "open")
+    placed = buckets.drop("label").join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
+    split = placed.groupBy("sig").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("sig")
+    return scratch_table(placed.join(split, "sig", "left_semi"), "open")
+
+
+class _Roots:
+    """Which rows of a task are known to be in one component."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[self.find(x)] = self.find(y)
+
+
+def _links_in_group(group: list[tuple], tried: set) -> Iterator[tuple[int, int]]:
+    """Links that join the components of a bucket's rows (row, label, n, asks, bits, shingles, side): no more than rows.
+
+    A pair is verified unless its rows are known to be connected. Rows of one side do not meet where there are two.
+    """
+    roots = _Roots()
+    row, label, n, asks, bits, _, side = (list(c) for c in zip(*group))
+    n, asks, side = np.array(n), np.array(asks), np.array(side)
+    bits = np.frombuffer(b"".join(bits), np.uint64).reshape(len(group), -1)
+    own = side.max() == side.min()
+    for i in range(len(group)):
+        rest = slice(i + 1, len(group))
+        both = n[rest] + n[i]
+        may = (asks[rest] | asks[i]) & (np.minimum(n[rest], n[i]) * LINK[1] >= np.maximum(n[rest], n[i]) * LINK[0])
+        differ = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        may &= differ * (LINK[1] + LINK[0]) <= both * (LINK[1] - LINK[0])
+        if not own:
+            may &= side[rest] != side[i]
+        for j in (np.flatnonzero(may) + i + 1).tolist():
+            x, y = roots.find(label[i]), roots.find(label[j])
+            pair = (min(row[i], row[j]), max(row[i], row[j]))
+            if x == y or pair in tried:
+                continue
+            if len(tried) >= TRIED_PAIRS:
+                tried.clear()
+            tried.add(pair)
+            if linked(np.frombuffer(group[i][5], np.uint64), np.frombuffer(group[j][5], np.uint64)):
+                roots.join(x, y)
+                yield pair
+
+
+def _block_links(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components of all pairs of similar rows in open buckets; written once.
+
+    Rows that no other row of their bucket may be similar to are left out. The rest travel with their sets, once per
+    bucket and block of BLOCK_BYTES, and meet inside tasks: no pair becomes a row of a table.
+    """
+    x, y = open_.alias("x"), open_.alias("y")
+    meet = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") != F.col("y.label")) & _fits("x", "y")
+    active = scratch_table(x.join(y, meet, "left_semi"), "active")
+    bytes_ = F.sum(F.col("n") * 8)
+    load = active.groupBy("sig").agg(F.ceil(bytes_ / F.lit(BLOCK_BYTES)).cast("int").alias("blocks")).where("blocks > 1")
+    mine = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = (
+        active.join(load, "sig", "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .withColumn("mine", mine)
+        .withColumn("other", other)
+        .select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "row", "label", "n", "asks",
+                F.to_binary(F.concat(*[F.lpad(F.hex(f"bits.b{i}"), 16, "0") for i in range(BITS // 64)]), F.lit("hex")).alias("bits"))
+        .join(sets, "row")
+    )
+    keys = ["sig", "i", "j"]
+    ordered = dealt.repartition(*keys).sortWithinPartitions(*keys, "row")
+
+    def verify(batches: Iterator[dict]) -> Iterator[dict]:
+        tried: set = set()
+        key, group = None, []
+        for b in batches:
+            names = ("row", "label", "n", "asks", "bits", "shingles", "mine")
+            found: list[tuple[int, int]] = []
+            for now, member in zip(zip(*(b[k].to_pylist() for k in keys)), zip(*(b[c].to_pylist() for c in names))):
+                if now != key:
+                    found += _links_in_group(group, tried) if len(group) > 1 else ()
+                    key, group = now, []
+                group.append(member)
+            yield {"a": [p[0] for p in found], "b": [p[1] for p in found]}
+        last = list(_links_in_group(group, tried)) if len(group) > 1 else []
+        yield {"a": [p[0] for p in last], "b": [p[1] for p in last]}
+
+    links = scratch_table(map_batches(ordered, verify, _LINK).distinct(), "links")
+    release(active)
+    return links
+
+
+def _joined_rows(buckets: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, label) of the rows that link with others, directly or through others.
+
+    First every row is compared with a few rows it shares buckets with, and what links is contracted: at most PARTNERS
+    pairs a row, whatever the sizes of the groups. What may still be similar in buckets with several components is compared in blocks.
+    """
+    everything = _still_open(buckets, None)
+    links = _links(_partners(everything), sets)
+    release(everything)
+    labels = components(links)
+    open_ = _still_open(buckets, labels)
+    if not open_.limit(1).count():
+        release(open_)
+        return labels
+    more = _block_links(open_, sets)
+    release(open_)
+    release(labels)
+    labels = components(links.unionByName(more))
+    release(links)
+    release(more)
+    return labels
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable over the edges (a, b), for every node with an edge.
 
     Alternates two contractions: every node hands its larger neighbours, then its smaller ones, to the
-    smallest it knows. Each round is two joins; the edges are written after each.
+    smallest it knows. Each round is two joins; the edges are written after each, until a round changes nothing.
     """
     edges = scratch_table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     total = None
-    for _ in range(limit):
+    while True:
         around = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        edges = scratch_table(small.where("u <> v").distinct(), "edges")
+        then = scratch_table(small.where("u <> v").distinct(), "edges")
+        release(edges)
+        edges = then
         now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == total:
             break
         total = now
-    else:
-        raise RuntimeError("components did not settle")
     # All edges are now (node, smallest); the smallest names itself.
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
+    out = scratch_table(
+        edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
+            edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
+        ),
+        "labels",
     )
+    release(edges)
+    return out
+
 
+def _fits(x: str, y: str) -> Column:
+    """Whether one of two members of a bucket asks for the other, and their sizes and bitmaps allow the similarity.
 
-def _fits(x: Column, y: Column) -> Column:
-    """Sizes between which the similarity is possible."""
-    return F.least(x, y) * LINK[1] >= F.greatest(x, y) * LINK[0]
+    Every bit in which two bitmaps differ is an element in which the sets differ; of those there are at most
+    (1 - s) / (1 + s) times both sizes at a similarity of s, one ninth at 0.8.
+    """
+    col = lambda side, name: F.col(f"{side}.{name}")
+    n = lambda side: col(side, "n")
+    differ = sum((F.bit_count(col(x, f"bits.b{i}").bitwiseXOR(col(y, f"bits.b{i}"))) for i in range(BITS // 64)), F.lit(0))
+    sizes = F.least(n(x), n(y)) * LINK[1] >= F.greatest(n(x), n(y)) * LINK[0]
+    return (col(x, "asks") | col(y, "asks")) & sizes & (differ * (LINK[1] + LINK[0]) <= (n(x) + n(y)) * (LINK[1] - LINK[0]))
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -272,45 +441,26 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .join(classes.select("row"), "row", "left_semi")
         .withColumn("members", F.count(F.lit(1)).over(by_sig))
         .where("members > 1")
-        .join(heads.where("lists").select("row", "n", "n_own", "n_next", "own_all", "next_all"), "row")
+        .join(heads.where("lists").select("row", "n", "bits", "n_own", "n_next", "own_all", "next_all"), "row")
     )
     of_doc = W.partitionBy("who")
     mine = lambda own, nxt: F.when(F.col("who") % 2 == 0, F.col(own)).otherwise(F.col(nxt))
     free = mine("n_own", "n_next") - F.count(F.lit(1)).over(of_doc)
     rank = F.row_number().over(of_doc.orderBy("members", "sig"))
     asks = mine("own_all", "next_all") | (rank <= F.floor(F.col("n") / 4) + 1 - free)
-    buckets = scratch_table(of_class.withColumn("asks", asks).select("sig", "row", "n", "asks"), "buckets")
+    bits = F.struct(*[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(BITS // 64)]).alias("bits")
+    listed_by = scratch_table(of_class.withColumn("asks", asks).select("sig", "row", "n", "asks", bits), "buckets")
     release(shared)
-    # A bucket nobody asks for has no pairs, nor has one without sizes that go together.
-    asked = buckets.groupBy("sig").agg(F.max("asks").alias("asked")).where("asked").select("sig")
-    buckets = scratch_table(buckets.join(asked, "sig", "left_semi"), "asked")
-
-    member = F.struct("row", "n", "asks")
-    leaders = buckets.groupBy("sig").agg(*[F.min_by(member, F.xxhash64("row", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)])
-    led = buckets.join(leaders, "sig").withColumn("l", F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(LEADERS)]))))
-    pairs = scratch_table(
-        led.where((F.col("row") != F.col("l.row")) & (F.col("asks") | F.col("l.asks")) & _fits(F.col("n"), F.col("l.n")))
-        .select(F.least("row", "l.row").alias("a"), F.greatest("row", "l.row").alias("b"))
-        .distinct(),
-        "pairs",
-    )
-    links = _links(pairs, _sets_of(pairs, heads, plain))
-    labels = components(links)
-
-    # What the leaders left open: members of one bucket that are still in different components.
-    placed = buckets.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
-    split = placed.groupBy("sig").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("sig")
-    open_ = scratch_table(placed.join(split, "sig", "left_semi"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = (
-        x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.row") < F.col("y.row")) & (F.col("x.label") != F.col("y.label")))
-        .where((F.col("x.asks") | F.col("y.asks")) & _fits(F.col("x.n"), F.col("y.n")))
-        .select(F.col("x.row").alias("a"), F.col("y.row").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    rest = scratch_table(rest, "pairs")
-    labels = components(links.unionByName(_links(rest, _sets_of(rest, heads, plain))))
+    # A bucket nobody asks for has no pairs.
+    asked = listed_by.groupBy("sig").agg(F.max("asks").alias("asked")).where("asked").select("sig")
+    buckets = scratch_table(listed_by.join(asked, "sig", "left_semi"), "asked")
+    release(listed_by)
+
+    # Sets of all rows that may meet another, made from their texts once more.
+    sets = _sets_of(buckets.select("row").distinct(), heads, plain)
+    labels = _joined_rows(buckets, sets)
+    release(sets)
+    release(buckets)
 
     named = classes.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))

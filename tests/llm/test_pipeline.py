@@ -16,4 +16,4 @@ def test_stages_of_awkward_rows(spark, docs, no_docs, tmp_path):
 
 
 def test_every_operator_has_a_query():
-    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 14))
