@@ -35,8 +35,7 @@ SHINGLE = 5
 #: Similarity at which two sets link, as a fraction. The bounds above are for this value.
 LINK = (80, 100)
 PARTNERS = 4  # rows of other components a row is compared with in a turn
-BLOCK_BYTES = 8 << 20  # sets of a bucket that one task holds at once
-TRIED_PAIRS = 1_000_000  # pairs a task remembers
+BLOCK_BYTES = 8 << 20  # sets of a cluster that meet in one task, from either side
 BITS = 512  # of the bitmap of a set
 CACHE_WORDS = 200_000
 CACHED_WORD = 40
@@ -234,11 +233,9 @@ def _partners(open_: DataFrame, turn: int = 0) -> DataFrame:
     return asked.select(F.least("row", "p").alias("a"), F.greatest("row", "p").alias("b")).distinct()
 
 
-def _still_open(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _still_open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """The buckets that hold rows of different labels, with the labels; written once. A row without a label is its own."""
-    if labels is None:
-        return scratch_table(buckets.withColumn("label", F.col("row")), "open")
-    placed = buckets.drop("label").join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
+    placed = buckets.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
     split = placed.groupBy("sig").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("sig")
     return scratch_table(placed.join(split, "sig", "left_semi"), "open")
 
@@ -259,80 +256,78 @@ class _Roots:
         self.up[self.find(x)] = self.find(y)
 
 
-def _links_in_group(group: list[tuple], tried: set) -> Iterator[tuple[int, int]]:
-    """Links that join the components of a bucket's rows (row, label, n, asks, bits, shingles, side): no more than rows.
+def _links_in_group(group: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Links that join the components of some rows (row, label, n, bits, shingles, side): no more than rows.
 
     A pair is verified unless its rows are known to be connected. Rows of one side do not meet where there are two.
     """
     roots = _Roots()
-    row, label, n, asks, bits, _, side = (list(c) for c in zip(*group))
-    n, asks, side = np.array(n), np.array(asks), np.array(side)
+    row, label, n, bits, shingles, side = (list(c) for c in zip(*group))
+    n, side = np.array(n), np.array(side)
     bits = np.frombuffer(b"".join(bits), np.uint64).reshape(len(group), -1)
     own = side.max() == side.min()
     for i in range(len(group)):
         rest = slice(i + 1, len(group))
-        both = n[rest] + n[i]
-        may = (asks[rest] | asks[i]) & (np.minimum(n[rest], n[i]) * LINK[1] >= np.maximum(n[rest], n[i]) * LINK[0])
+        may = np.minimum(n[rest], n[i]) * LINK[1] >= np.maximum(n[rest], n[i]) * LINK[0]
         differ = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        may &= differ * (LINK[1] + LINK[0]) <= both * (LINK[1] - LINK[0])
+        may &= differ * (LINK[1] + LINK[0]) <= (n[rest] + n[i]) * (LINK[1] - LINK[0])
         if not own:
             may &= side[rest] != side[i]
         for j in (np.flatnonzero(may) + i + 1).tolist():
             x, y = roots.find(label[i]), roots.find(label[j])
-            pair = (min(row[i], row[j]), max(row[i], row[j]))
-            if x == y or pair in tried:
-                continue
-            if len(tried) >= TRIED_PAIRS:
-                tried.clear()
-            tried.add(pair)
-            if linked(np.frombuffer(group[i][5], np.uint64), np.frombuffer(group[j][5], np.uint64)):
+            if x != y and linked(np.frombuffer(shingles[i], np.uint64), np.frombuffer(shingles[j], np.uint64)):
                 roots.join(x, y)
-                yield pair
+                yield row[i], row[j]
 
 
 def _block_links(open_: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) that join the components of all pairs of similar rows in open buckets; written once.
+    """Links (a, b) that join the components of all similar rows in open buckets; written once.
 
-    Rows that no other row of their bucket may be similar to are left out. The rest travel with their sets, once per
-    bucket and block of BLOCK_BYTES, and meet inside tasks: no pair becomes a row of a table.
+    Rows that no other row of their bucket may be similar to are left out. The rest are put together by the buckets
+    they share, and each such cluster meets inside tasks, in blocks of BLOCK_BYTES: a set travels once per block of its
+    cluster, and no pair becomes a row of a table.
     """
     x, y = open_.alias("x"), open_.alias("y")
     meet = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") != F.col("y.label")) & _fits("x", "y")
     active = scratch_table(x.join(y, meet, "left_semi"), "active")
-    bytes_ = F.sum(F.col("n") * 8)
-    load = active.groupBy("sig").agg(F.ceil(bytes_ / F.lit(BLOCK_BYTES)).cast("int").alias("blocks")).where("blocks > 1")
-    mine = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    first = active.groupBy("sig").agg(F.min("row").alias("b"))
+    clusters = components(active.select("sig", F.col("row").alias("a")).join(first, "sig").select("a", "b"))
+    hexes = F.concat(*[F.lpad(F.hex(f"bits.b{i}"), 16, "0") for i in range(BITS // 64)])
+    rows = active.groupBy("row").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.first(F.to_binary(hexes, F.lit("hex"))).alias("bits"))
+    placed = scratch_table(rows.join(clusters.select(F.col("node").alias("row"), F.col("label").alias("cluster")), "row"), "clusters")
+    release(active)
+    release(clusters)
+    load = placed.groupBy("cluster").agg(F.ceil(F.sum(F.col("n") * 8) / F.lit(BLOCK_BYTES)).cast("int").alias("blocks")).where("blocks > 1")
     dealt = (
-        active.join(load, "sig", "left")
+        placed.join(load, "cluster", "left")
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("mine", mine)
-        .withColumn("other", other)
-        .select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "row", "label", "n", "asks",
-                F.to_binary(F.concat(*[F.lpad(F.hex(f"bits.b{i}"), 16, "0") for i in range(BITS // 64)]), F.lit("hex")).alias("bits"))
+        .withColumn("mine", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "row", "label", "n", "bits")
         .join(sets, "row")
-    )
-    keys = ["sig", "i", "j"]
+    )
+    keys = ["cluster", "i", "j"]
     ordered = dealt.repartition(*keys).sortWithinPartitions(*keys, "row")
 
     def verify(batches: Iterator[dict]) -> Iterator[dict]:
-        tried: set = set()
         key, group = None, []
+
+        def links() -> dict:
+            found = list(_links_in_group(group)) if len(group) > 1 else []
+            return {"a": [p[0] for p in found], "b": [p[1] for p in found]}
+
         for b in batches:
-            names = ("row", "label", "n", "asks", "bits", "shingles", "mine")
-            found: list[tuple[int, int]] = []
+            names = ("row", "label", "n", "bits", "shingles", "mine")
             for now, member in zip(zip(*(b[k].to_pylist() for k in keys)), zip(*(b[c].to_pylist() for c in names))):
                 if now != key:
-                    found += _links_in_group(group, tried) if len(group) > 1 else ()
+                    yield links()
                     key, group = now, []
                 group.append(member)
-            yield {"a": [p[0] for p in found], "b": [p[1] for p in found]}
-        last = list(_links_in_group(group, tried)) if len(group) > 1 else []
-        yield {"a": [p[0] for p in last], "b": [p[1] for p in last]}
+        yield links()
 
-    links = scratch_table(map_batches(ordered, verify, _LINK).distinct(), "links")
-    release(active)
-    return links
+    found = scratch_table(map_batches(ordered, verify, _LINK), "links")
+    release(placed)
+    return found
 
 
 def _joined_rows(buckets: DataFrame, sets: DataFrame) -> DataFrame:
@@ -341,9 +336,7 @@ def _joined_rows(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     First every row is compared with a few rows it shares buckets with, and what links is contracted: at most PARTNERS
     pairs a row, whatever the sizes of the groups. What may still be similar in buckets with several components is compared in blocks.
     """
-    everything = _still_open(buckets, None)
-    links = _links(_partners(everything), sets)
-    release(everything)
+    links = _links(_partners(buckets.withColumn("label", F.col("row"))), sets)
     labels = components(links)
     open_ = _still_open(buckets, labels)
     if not open_.limit(1).count():
@@ -441,19 +434,20 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .join(classes.select("row"), "row", "left_semi")
         .withColumn("members", F.count(F.lit(1)).over(by_sig))
         .where("members > 1")
-        .join(heads.where("lists").select("row", "n", "bits", "n_own", "n_next", "own_all", "next_all"), "row")
+        .join(heads.where("lists").select("row", "n", "n_own", "n_next", "own_all", "next_all"), "row")
     )
     of_doc = W.partitionBy("who")
     mine = lambda own, nxt: F.when(F.col("who") % 2 == 0, F.col(own)).otherwise(F.col(nxt))
     free = mine("n_own", "n_next") - F.count(F.lit(1)).over(of_doc)
     rank = F.row_number().over(of_doc.orderBy("members", "sig"))
     asks = mine("own_all", "next_all") | (rank <= F.floor(F.col("n") / 4) + 1 - free)
-    bits = F.struct(*[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(BITS // 64)]).alias("bits")
-    listed_by = scratch_table(of_class.withColumn("asks", asks).select("sig", "row", "n", "asks", bits), "buckets")
+    listed_by = scratch_table(of_class.withColumn("asks", asks).select("sig", "row", "n", "asks"), "buckets")
     release(shared)
     # A bucket nobody asks for has no pairs.
     asked = listed_by.groupBy("sig").agg(F.max("asks").alias("asked")).where("asked").select("sig")
-    buckets = scratch_table(listed_by.join(asked, "sig", "left_semi"), "asked")
+    bits = F.struct(*[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(BITS // 64)]).alias("bits")
+    maps = heads.where("lists").select("row", bits)
+    buckets = scratch_table(listed_by.join(asked, "sig", "left_semi").join(maps, "row"), "asked")
     release(listed_by)
 
     # Sets of all rows that may meet another, made from their texts once more.
