@@ -6,6 +6,7 @@ type, timestamp and metadata, the `format` header the name of the format. Nothin
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.ml.linalg import VectorUDT
@@ -167,6 +168,72 @@ def decode_json(df: DataFrame, schema: T.StructType) -> DataFrame:
     return decode_rows(messages, schema, FORMAT_JSON).drop("metadata")
 
 
+def _variant(value: Column) -> Column:
+    """JSON text as a variant; null for what is no JSON."""
+    return F.try_parse_json(value.cast("string"))
+
+
+def infer_schema(df: DataFrame) -> T.StructType:
+    """The fields of all JSON objects in `value`, nested ones included.
+
+    One aggregation: every task merges the types of its texts. A field of several types is a variant, one that is always
+    null a string, a number with a point a double. Texts that are no JSON objects do not count; without any there are no fields.
+    """
+    parsed = _variant(F.col("value"))
+    objects = df.select(parsed.alias("v")).where(F.schema_of_variant(F.col("v")).startswith("OBJECT"))
+    text = objects.agg(F.schema_of_variant_agg("v")).first()[0]
+    if not text or not text.startswith("OBJECT<"):
+        return T.StructType([])
+    return _named(T.DataType.fromDDL(_as_struct(text)))
+
+
+# Names are quoted where they are not plain; types outside quotes are renamed.
+_QUOTED = re.compile(r"(`(?:[^`]|``)*`)")
+
+
+def _as_struct(text: str) -> str:
+    parts = _QUOTED.split(text)
+    return "".join(p if p.startswith("`") else p.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING") for p in parts)
+
+
+def _named(kind: T.DataType) -> T.DataType:
+    """The type with every field nullable; JSON's broken numbers are doubles."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _named(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_named(kind.elementType))
+    return T.DoubleType() if isinstance(kind, T.DecimalType) else kind
+
+
+def _ddl(kind: T.DataType) -> str:
+    """The type as text, with names of any letters."""
+    if isinstance(kind, T.StructType):
+        quoted = (f.name.replace("`", "``") for f in kind.fields)
+        return "struct<" + ",".join(f"`{name}`:{_ddl(f.dataType)}" for name, f in zip(quoted, kind.fields)) + ">"
+    return f"array<{_ddl(kind.elementType)}>" if isinstance(kind, T.ArrayType) else kind.simpleString()
+
+
+def decode_json_any(df: DataFrame, schema: T.StructType | None = None) -> DataFrame:
+    """`row` and `error` of each JSON text in `value`, without a declared schema.
+
+    The schema is inferred from all texts unless an inferred one is given, as a stream needs it. Fields a
+    text lacks are null, and so are values that do not fit a given schema. What is no JSON object is a reject with a reason.
+    """
+    schema = infer_schema(df) if schema is None else schema
+    parsed = df.withColumn("_variant", _variant(F.col("value")))
+    error = (
+        F.when(F.col("value").isNull(), F.lit("empty message"))
+        .when(F.col("_variant").isNull(), F.lit("not JSON"))
+        .when(~F.schema_of_variant(F.col("_variant")).startswith("OBJECT"), F.lit("not a row"))
+    )
+    rest = [c for c in df.columns if c != "value"]
+    if schema.fields:
+        row = F.try_variant_get("_variant", "$", _ddl(schema))
+    else:
+        row = F.lit(None).cast("struct<>")
+    return parsed.withColumn("error", error).select(*rest, F.when(F.col("error").isNull(), row).alias("row"), "error")
+
+
 def _as_stored(messages: DataFrame) -> DataFrame:
     """Messages with the columns a broker would add: the writing task and the place in its output.
 

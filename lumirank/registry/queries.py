@@ -28,7 +28,7 @@ from lumirank.sources.images import (
     with_preprocess_time,
 )
 from lumirank.streaming import arrivals as stream_arrivals
-from lumirank.streaming import jobs
+from lumirank.streaming import jobs, progress
 from lumirank.streaming.run import batch_name, consume, to_files
 
 SIX_HOURS = timedelta(hours=6)
@@ -501,6 +501,22 @@ def decode_json(spark, d):
     return back.select("row.*").withColumnRenamed("timestamp", "ts")
 
 
+def decode_json_any(spark, d):
+    """JSON texts of events, decoded without a schema; clicks are cut and signups are no objects."""
+    e = table(spark, d, "events")
+    text = F.concat(
+        F.lit('{"id":'), F.col("event_id"), F.lit(',"who":{"user":'), F.col("user_id"), F.lit(',"did":["'), F.col("event_type"),
+        F.lit('"]},"props":'), F.col("props"), F.when(F.col("event_type") == "view", F.lit(',"extra":null}')).otherwise(F.lit("}")),
+    )
+    value = F.when(F.col("event_type") == "click", F.expr("substring(text, 1, 12)")).when(F.col("event_type") == "signup", F.lit("[1]"))
+    sent = e.withColumn("text", text).select("event_id", F.coalesce(value, F.col("text")).alias("value"))
+    back = envelopes.decode_json_any(sent)
+    return back.select(
+        "event_id", F.col("row.id").alias("id"), F.col("row.who.user").alias("user"), F.col("row.who.did")[0].alias("did"),
+        F.col("row.props.k").alias("k"), F.col("row.extra").alias("extra"), "error",
+    )
+
+
 def published_messages(spark, d):
     """Messages written by the executors and read again as a batch, counted per topic."""
     rows = _event_rows(spark, d)
@@ -853,6 +869,28 @@ def stream_micro_batches_final(spark, d):
     return out.withColumn("ts", naive("ts"))
 
 
+def stream_micro_batches_bounded(spark, d):
+    """Groups of sessions that are named by their first arrival, so that a key's state goes after an idle gap."""
+    e = stream(spark, d, "events").select("user_id", F.col("event_id").alias("id"), "ts")
+    out = _ended_stream(
+        spark,
+        stream_arrivals.micro_batches_stream(e, 3, SIX_HOURS, ["user_id"], by_first=True),
+        lambda s, at: stream_arrivals.final_micro_batches(s, at, 3, SIX_HOURS, ["user_id"], by_first=True),
+    )
+    return out.withColumn("ts", naive("ts"))
+
+
+def stream_throughput_live(spark, d):
+    """Periods as they pass, the empty ones emitted by the stream itself; what it holds back at its end is added."""
+    live = stream_arrivals.throughput_live(stream(spark, d, "events"), TEN_MINUTES)
+    out, progress = scratch_path(spark, "stream"), scratch_path(spark, "progress")
+    finished(to_files(live, out, progress))
+    emitted = spark.read.schema(live.schema).parquet(out)
+    rows = emitted.unionByName(stream_arrivals.final_live_periods(spark, progress, emitted, TEN_MINUTES))
+    rate = F.round(F.col("arrivals") / F.lit(TEN_MINUTES.total_seconds()), 8)
+    return rows.select(naive("period_start").alias("period_start"), "arrivals", rate.alias("rate"))
+
+
 def stream_sessions_final(spark, d):
     """All sessions, those that are open when the stream ends too."""
     out = _ended_stream(
@@ -956,6 +994,26 @@ def stream_delivery(spark, d):
     return jobs.delivered(spark, counters)
 
 
+def stream_delivery_reports(spark, d):
+    """Counters reported by the running stream itself, which stops half-way and starts again."""
+    schema, sent = _damaged(spark, d)
+    topic, out, reported, at = (scratch_path(spark, n) for n in ("topic", "stream", "reports", "progress"))
+    listener = progress.DeliveryReports(spark, reported)
+    spark.streams.addListener(listener)
+    try:
+        for half in (0, 1):
+            part = sent.where(F.pmod(F.xxhash64("value", "key"), F.lit(2)) == half)
+            envelopes.publish(part.repartition(3, "key", F.octet_length("value")), "parquet", topic)
+            source = read_envelopes(spark, "parquet", {"maxFilesPerTrigger": 1}, topic, "t")
+            decoded = envelopes.observe_delivery(envelopes.decode_rows(source, schema))
+            query = to_files(decoded.select("key", "row", "error"), out, at)
+            finished(query)
+            listener.wait(query)
+    finally:
+        spark.streams.removeListener(listener)
+    return progress.totals(progress.reports(spark, reported))
+
+
 def stream_search(spark, d):
     """Benchmark texts as a stream of queries against a collection of document vectors."""
     docs = _document_rows(spark, d)
@@ -985,14 +1043,14 @@ QUERIES = [
     record_id, record_metadata, format_match, resolve_existing_path,
     micro_batches, micro_batches_unkeyed, session_windows, throughput_windows, moving_average, moving_average_by_type,
     throughput_stats, run_summary, run_summary_by_user, failure_breakdown, log_throughput, batch_assign, batch_count,
-    encode_rows, encode_rows_indexed, decode_roundtrip, decode_failures, delivery_stats, encode_json, decode_json,
+    encode_rows, encode_rows_indexed, decode_roundtrip, decode_failures, delivery_stats, encode_json, decode_json, decode_json_any,
     published_messages, row_index, row_index_sliced,
     split_rejects, valid_queries, text_embed, text_embed_batched, text_search_top1, text_search_top10, topk_sparse,
     normalize_pixels_sql, preprocess_rgba, preprocess_rgb, preprocess_rows, bad_images, strip_image_pixels, tensor_to_image,
     read_image_files, stream_image_files, resolve_image_files, embed_images, embed_image_blocks, embed_images_one_pass, image_ingest,
     stream_consume, stream_replayed, stream_micro_batches, stream_micro_batches_files,
-    stream_sessions, stream_throughput, stream_micro_batches_final, stream_sessions_final, stream_throughput_final, stream_drop_repeats, stream_ingest,
-    stream_ingest_images, stream_delivery, stream_search,
+    stream_sessions, stream_throughput, stream_micro_batches_final, stream_micro_batches_bounded, stream_throughput_live, stream_sessions_final, stream_throughput_final, stream_drop_repeats, stream_ingest,
+    stream_ingest_images, stream_delivery, stream_delivery_reports, stream_search,
 ]
 
 

@@ -264,8 +264,14 @@ def oracle_sql() -> dict[str, str]:
                    count(*) AS messages FROM events GROUP BY 1""",
         "delivery_stats": f"SELECT event_type AS topic, {_DELIVERY} GROUP BY 1",
         "stream_delivery": f"SELECT {_DELIVERY}",
+        "stream_delivery_reports": f"SELECT {_DELIVERY}",
         "encode_json": f"""SELECT {_ROW_JSON} || ',"timestamp":"2024-02-03T04:05:06.000007"}}' AS value FROM events""",
         "decode_json": "SELECT * FROM events",
+        "decode_json_any": """
+            SELECT event_id, CASE WHEN ok THEN event_id END AS id, CASE WHEN ok THEN user_id END AS user, CASE WHEN ok THEN event_type END AS did,
+                   CASE WHEN ok THEN regexp_extract(props, '([0-9]+)', 1)::BIGINT END AS k, NULL::VARCHAR AS extra,
+                   CASE event_type WHEN 'click' THEN 'not JSON' WHEN 'signup' THEN 'not a row' END AS error
+            FROM (SELECT *, event_type NOT IN ('click', 'signup') AS ok FROM events)""",
         "published_messages": """
             SELECT event_id::VARCHAR AS key, 'events' AS topic, event_id, user_id, event_type, props FROM events""",
         "row_index": """
@@ -335,6 +341,9 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT * FROM (SELECT {_TEN} AS w, count(*) AS n FROM events GROUP BY 1) WHERE w + INTERVAL 10 MINUTE <= {_WATERMARK}"
         ),
         "stream_micro_batches_final": _batches("user_id", "6 HOUR", 3),
+        "stream_micro_batches_bounded": f"""
+            SELECT * REPLACE (epoch_us(min(ts) OVER (PARTITION BY user_id, session)) AS session) FROM ({_batches("user_id", "6 HOUR", 3)})""",
+        "stream_throughput_live": _periods(f"SELECT {_TEN} AS w, count(*) AS n FROM events GROUP BY 1"),
         "stream_sessions_final": _SESSION_WINDOWS,
         "stream_throughput_final": _periods(f"SELECT {_TEN} AS w, count(*) AS n FROM events GROUP BY 1"),
         "stream_drop_repeats": "SELECT event_id, ts, value FROM events",

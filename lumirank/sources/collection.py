@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -145,6 +146,43 @@ def _state(spark: SparkSession, path: str):
     return version, meta, [n.split("=", 1)[1] for n in found]
 
 
+def state_token(spark: SparkSession, path: str) -> tuple:
+    """What tells one state of the collection from another: names and times of its finished writes, bases and descriptions.
+
+    Two listings; no rows are read.
+    """
+    version, meta = _require(spark, path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batches/v={meta['base'] or _NO_BASE}", "*=*/_SUCCESS")
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder) or []
+    return version, tuple(sorted((s.getPath().getParent().getName(), s.getModificationTime()) for s in found))
+
+
+class HeldCollection:
+    """A collection's current rows, kept by the executors from one use to the next.
+
+    `rows` reads the collection again only when its state has changed. What is kept is in memory or on the executors'
+    disks; blocks that are lost with an executor are read again from the collection, of the same state.
+    """
+
+    def __init__(self, path: str, namespace: str | None = None):
+        self.path, self.namespace = path, namespace
+        self.token, self.kept, self.reads = None, None, 0
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        now = state_token(spark, self.path)
+        if self.kept is None or now != self.token:
+            self.release()
+            self.kept = read_collection(spark, self.path, self.namespace).persist(StorageLevel.MEMORY_AND_DISK)
+            self.token, self.reads = now, self.reads + 1
+        return self.kept
+
+    def release(self) -> None:
+        """Drop what is kept."""
+        if self.kept is not None:
+            self.kept.unpersist()
+            self.kept = None
+
+
 def read_collection(spark: SparkSession, path: str, namespace: str | None = None) -> DataFrame:
     """The current record of each id, of all namespaces or one (read from its own folders only).
 

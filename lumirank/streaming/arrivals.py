@@ -11,16 +11,19 @@ from __future__ import annotations
 import sys
 from collections.abc import Sequence
 from datetime import timedelta
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from lumirank.operators.arrivals import micro_batches, period_counts
+from lumirank.operators.arrivals import fill_periods, micro_batches, period_counts
 from lumirank.plans.scratch import folders, remove
 from lumirank.streaming.run import batch_name, consume
 
@@ -62,8 +65,12 @@ def period_counts_stream(
     return period_counts(with_event_time(stream, ts, delay), every, ts)
 
 
-def _state(spark: SparkSession, checkpoint: str, variable: str | None = None) -> DataFrame:
-    reader = spark.read.format("statestore")
+#: Of the two stateful steps of `throughput_live`, the one that counts.
+_COUNTS = 1
+
+
+def _state(spark: SparkSession, checkpoint: str, variable: str | None = None, operator: int = 0) -> DataFrame:
+    reader = spark.read.format("statestore").option("operatorId", operator)
     return (reader.option("stateVarName", variable) if variable else reader).load(checkpoint)
 
 
@@ -86,12 +93,24 @@ def final_period_counts(spark: SparkSession, checkpoint: str) -> DataFrame:
     )
 
 
+def final_live_periods(spark: SparkSession, checkpoint: str, emitted: DataFrame, every: timedelta) -> DataFrame:
+    """The periods `throughput_live` has not emitted, given those it has: what was counted, and the empty ones before it."""
+    waiting = _state(spark, checkpoint, operator=_COUNTS).select(
+        F.col("key.window.start").alias("period_start"), F.col("value.count").alias("arrivals")
+    )
+    last = emitted.agg(F.max("period_start").alias("period_start"))
+    known = last.where("period_start IS NOT NULL").select("period_start", F.lit(0).cast("long").alias("arrivals"))
+    rest = fill_periods(known.unionByName(waiting), every).select("period_start", "arrivals")
+    return rest.join(F.broadcast(known.select("period_start")), "period_start", "left_anti")  # one row
+
+
 def final_micro_batches(
     spark: SparkSession,
     checkpoint: str,
     max_count: int = 50,
     idle_gap: timedelta = timedelta(seconds=5),
     keys: Sequence[str] = (),
+    by_first: bool = False,
 ) -> DataFrame:
     """The rows `micro_batches_stream` still holds back, placed where each key's last group stands."""
     names = [F.col("key")[k].alias(k) for k in keys]
@@ -101,14 +120,28 @@ def final_micro_batches(
     rows = waiting.select(*keys, F.col("row.ids").alias("id"), F.timestamp_micros("row.ats").alias("ts"))
     tails = _state(spark, checkpoint, "tail").select(*names, "value.last", "value.session", "value.filled")
     columns = [*keys, "id", "ts", "session", "part", "position"]
-    return micro_batches(rows, max_count, idle_gap, keys, tails=tails).select(*columns)
+    if not by_first:
+        return micro_batches(rows, max_count, idle_gap, keys, tails=tails).select(*columns)
+    # The numbers tell sessions apart: 1 is the one a tail stands in, which has its name; the others are named by their first row.
+    placed = micro_batches(rows, max_count, idle_gap, keys, tails=tails.withColumn("session", F.lit(1).cast("long")))
+    named = tails.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("session").alias("_named"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    of_session = W.partitionBy(*keys, "session")
+    first = F.min(F.unix_micros(F.col("ts").cast("timestamp"))).over(of_session)
+    out = placed.join(named, reduce(and_, same), "left")
+    session = F.when((F.col("session") == 1) & F.col("_named").isNotNull(), F.col("_named")).otherwise(first)
+    return out.withColumn("session", session).select(*columns)
 
 
 class _Grouper(StatefulProcessor):
-    """Keeps, per key, the rows the watermark has not passed and where the last group stands."""
+    """Keeps, per key, the rows the watermark has not passed and where the last group stands.
+
+    Where sessions are named by their first arrival, the latter goes too, once the watermark is so far past the last row that
+    the next one starts a session of its own.
+    """
 
-    def __init__(self, max_count: int, gap: int):
-        self.max_count, self.gap = max_count, gap
+    def __init__(self, max_count: int, gap: int, by_first: bool = False):
+        self.max_count, self.gap, self.by_first = max_count, gap, by_first
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -136,6 +169,10 @@ class _Grouper(StatefulProcessor):
         ids, ats = ids[order], ats[order]
         n = int(np.searchsorted(ats, passed))
         if n == 0:
+            if self.by_first and self.tail.exists():
+                over = self.tail.get()[0] + self.gap
+                if over <= passed and (not len(ats) or ats[0] >= over):
+                    self.tail.clear()
             return
         if n == len(ats):
             self.waiting.clear()
@@ -148,10 +185,13 @@ class _Grouper(StatefulProcessor):
         starts = np.empty(n, dtype=bool)
         starts[0] = last is None or ats[0] - last >= self.gap
         starts[1:] = np.diff(ats) >= self.gap
-        number = session + np.cumsum(starts)
+        number = np.cumsum(starts)
         begin = np.maximum.accumulate(np.where(starts, np.arange(n), 0))  # where each row's session starts
-        place = np.arange(n) - begin + np.where(number == session, filled, 0)
+        place = np.arange(n) - begin + np.where(number == 0, filled, 0)
+        number = np.where(number == 0, session, ats[begin]) if self.by_first else session + number
         self.tail.update((int(ats[-1]), int(place[-1]) + 1, int(number[-1])))
+        if self.by_first:
+            self.handle.registerTimer((int(ats[-1]) + self.gap) // 1000 + 1)
         columns = {name: [value] * n for name, value in zip(self.keys, key)}
         columns["id"] = ids
         columns["ts"] = pd.to_datetime(ats, unit="us", utc=True)
@@ -162,6 +202,69 @@ class _Grouper(StatefulProcessor):
         pass
 
 
+class _Zeros(StatefulProcessor):
+    """Passes counted periods on and adds those without arrivals, once the watermark has passed them."""
+
+    def __init__(self, every: int):
+        self.every = every  # milliseconds
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.next = handle.getValueState("next", "start long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        counted = pd.concat(list(rows), ignore_index=True).sort_values("start")
+        starts = counted["start"].to_numpy()
+        at = self.next.get()[0] if self.next.exists() else int(starts[0])
+        every = np.arange(at, int(starts[-1]) + self.every, self.every)
+        counts = np.zeros(len(every), np.int64)
+        # Periods come closed and in order: one that is late could only be one that was given as empty.
+        fresh = starts >= at
+        counts[(starts[fresh] - at) // self.every] = counted["arrivals"].to_numpy()[fresh]
+        yield self._rows(every, counts)
+        self._wait(int(starts[-1]) + self.every)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        at, passed = self.next.get()[0], timerValues.getCurrentWatermarkInMs()
+        empty = np.arange(at, passed - self.every + 1, self.every)
+        if len(empty):
+            yield self._rows(empty, np.zeros(len(empty), np.int64))
+            at = int(empty[-1]) + self.every
+        self._wait(at)
+
+    def _wait(self, at: int) -> None:
+        self.next.update((at,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        # Past the end of the next period, and of its rows, which come when the watermark is at that end.
+        self.handle.registerTimer(at + self.every + 1)
+
+    def _rows(self, starts: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"period_start": pd.to_datetime(starts, unit="ms", utc=True), "arrivals": counts})
+
+    def close(self) -> None:
+        pass
+
+
+def throughput_live(
+    stream: DataFrame, every: timedelta = timedelta(seconds=5), ts: str = "ts", delay: str = "0 seconds"
+) -> DataFrame:
+    """Arrivals per period, empty periods included, each as soon as the watermark has passed it: period_start, arrivals.
+
+    Rows are counted where they are; one task then sees a row per period. Periods begin with the first
+    one that has arrivals; those after the last one come as far as the watermark gets.
+    """
+    if every % timedelta(milliseconds=1):
+        raise ValueError("periods are whole milliseconds")
+    counted = period_counts_stream(stream, every, ts, delay).select(
+        F.lit(0).alias("all"), "period_start", F.unix_millis("period_start").alias("start"), "arrivals"
+    )
+    return counted.groupBy("all").transformWithStateInPandas(
+        statefulProcessor=_Zeros(every // timedelta(milliseconds=1)), outputStructType="period_start timestamp, arrivals long",
+        outputMode="Append", timeMode="EventTime",
+    )
+
+
 def micro_batches_stream(
     stream: DataFrame,
     max_count: int = 50,
@@ -170,9 +273,14 @@ def micro_batches_stream(
     ts: str = "ts",
     id_col: str = "id",
     delay: str = "0 seconds",
+    by_first: bool = False,
 ) -> DataFrame:
     """The streaming form of `micro_batches`: keys, id, ts, session, part and position of each row.
 
+    Sessions of a key are numbered, for which every key that ever came stays in the state. With `by_first`, `session`
+    is the time of the session's first row in microseconds instead, and a key's state goes once the watermark is an
+    idle gap past its last row: the state holds the keys of late, however many there have been.
+
     Keys are needed: without any, one task and one state would hold the whole stream. A row comes out when
     the watermark has passed it. State holds ids and times of waiting rows only, so
     a key's state is bounded by its rows within `delay` and one trigger; bound the latter at the source.
@@ -182,7 +290,7 @@ def micro_batches_stream(
         raise ValueError("give keys, or use micro_batches_to_files, which spreads a stream without keys over all tasks")
     rows = with_event_time(stream, ts, delay)
     names = list(keys)
-    grouper = _Grouper(max_count, _micros(idle_gap))
+    grouper = _Grouper(max_count, _micros(idle_gap), by_first)
     grouper.keys = names
     key_fields = [rows.schema[n] for n in names]
     out = T.StructType(

@@ -12,7 +12,7 @@ from lumirank.operators.envelopes import FORMAT_BASE64, decode_rows, observe_del
 from lumirank.operators.validate import split_rejects
 from lumirank.plans.ingest import answer_queries
 from lumirank.sources import collection
-from lumirank.streaming.run import batch_name, consume
+from lumirank.streaming.run import batch_name, consume, when_over
 
 COUNTERS = "messages long, errors long, bytes long"
 
@@ -120,15 +120,22 @@ def search_stream(
     k: int = 1,
     namespace: str | None = None,
     available_now: bool = False,
+    held: collection.HeldCollection | None = None,
 ) -> StreamingQuery:
-    """Answer queries as they come; each micro-batch writes its matches and its rejected queries."""
+    """Answer queries as they come; each micro-batch writes its matches and its rejected queries.
+
+    The collection is read by the first micro-batch and by the first one after a change; in between the executors
+    keep it (`held`, which the caller may share between streams, and then releases). Otherwise it is released when the stream ends.
+    """
+    mine = held or collection.HeldCollection(path, namespace)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         name = batch_name(batch, batch_id)
-        rows = collection.read_collection(spark, path, namespace)
-        matches, rejected = answer_queries(batch, rows, embedder, k)
+        matches, rejected = answer_queries(batch, mine.rows(batch.sparkSession), embedder, k)
         matches.write.mode("overwrite").parquet(f"{out}/matches/b={name}")
         rejected.write.mode("overwrite").parquet(f"{out}/rejected/b={name}")
 
-    return consume(queries, handle, checkpoint, available_now)
+    query = consume(queries, handle, checkpoint, available_now)
+    if held is None:
+        when_over(queries.sparkSession, query, mine.release)
+    return query

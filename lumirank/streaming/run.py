@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 
 def _trigger(writer, available_now: bool, every: str | None):
@@ -48,3 +48,28 @@ def to_files(
     """Append the rows of a stream to parquet files."""
     writer = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
     return _trigger(writer.option("path", path), available_now, every).start()
+
+
+class _WhenOver(StreamingQueryListener):
+    def __init__(self, spark: SparkSession, run_id: str, act: Callable[[], None]):
+        self.spark, self.run_id, self.act = spark, run_id, act
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.runId) == self.run_id:
+            self.act()
+
+
+def when_over(spark: SparkSession, query: StreamingQuery, act: Callable[[], None]) -> None:
+    """Call `act` once the stream has ended, whether or not it failed."""
+    spark.streams.addListener(_WhenOver(spark, str(query.runId), act))
+    if not query.isActive:
+        act()
