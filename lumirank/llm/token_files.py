@@ -27,7 +27,6 @@ import os
 import re
 import struct
 import zlib
-from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +43,7 @@ from lumirank.plans.scratch import scratch_path
 MAGIC = b"LUMIIDS1"
 FILE_IDS = 16_000_000  # ids after which a task starts its next file
 SAMPLE = 256  # one bits between two stored positions
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 CACHED_WORD = 64
 
 _HEAD = struct.Struct(">8sQQQQ")
@@ -156,6 +155,15 @@ _CONTROL = re.compile(r"[\x1c-\x1f]")  # blanks to `re`, not to the tokenizer
 ASKED = 2_000  # words put to the library as one text
 
 
+def _is_plain(text: str) -> bool:
+    """Whether all characters are plain ones; for ASCII texts that is quickly seen."""
+    if "<|" in text:
+        return False
+    if text.isascii():
+        return not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text)
+    return _PLAIN.fullmatch(text) is not None
+
+
 class LibraryEncoder:
     """A tokenizer that lower-cases and drops white space, asked once per distinct word.
 
@@ -196,30 +204,37 @@ class LibraryEncoder:
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text with the end id, packed."""
+        """Ids of each text with the end id, packed.
+
+        Words are looked up as one series per text, and only those that are not remembered are looked at one by one.
+        """
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        words: list[list[str]] = []
+        look = self.known.get
+        packed: list[list[bytes | None]] = []
+        gaps: list[tuple[list, list[str], dict]] = []
         fresh: dict[str, bytes] = {}
         other: dict[str, bytes] = {}
         for text in texts:
             if not text:
-                words.append([])
-            elif _PLAIN.fullmatch(text) and "<|" not in text:
-                words.append(_WORDS.findall(text.lower()))
-                fresh.update(dict.fromkeys(words[-1], b""))
+                pieces, new = [], fresh
+            elif _is_plain(text):
+                pieces, new = _WORDS.findall(text.lower()), fresh
             else:
                 # No word crosses white space, so its pieces stand for themselves.
-                words.append([text] if _CONTROL.search(text) else _CHUNKS.findall(text))
-                other.update(dict.fromkeys(words[-1], b""))
-        known = self.known
+                pieces, new = [text] if _CONTROL.search(text) else _CHUNKS.findall(text), other
+            found = list(map(look, pieces))
+            if None in found:
+                new.update((w, b"") for w, ids in zip(pieces, found) if ids is None)
+                gaps.append((found, pieces, new))
+            packed.append(found)
         for new, ask in ((fresh, self._ask_words), (other, self._ask)):
-            asked = [w for w in new if w not in known]
-            new.clear()
-            new.update(zip(asked, ask(asked)))
-            known.update((w, p) for w, p in new.items() if len(w) <= CACHED_WORD)
-        look = ChainMap(known, fresh, other).__getitem__ if any(len(w) > CACHED_WORD for new in (fresh, other) for w in new) else known.__getitem__
-        return [b"".join(map(look, w)) + self.end for w in words]
+            new.update(zip(new, ask(list(new))))
+        for found, pieces, new in gaps:
+            found[:] = [new[w] if ids is None else ids for w, ids in zip(pieces, found)]
+        for new in (fresh, other):
+            self.known.update((w, ids) for w, ids in new.items() if len(w) <= CACHED_WORD)
+        return [b"".join(found) + self.end for found in packed]
 
 
 _ENCODERS: dict[tuple, LibraryEncoder] = {}
