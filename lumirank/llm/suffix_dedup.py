@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumirank.llm.common import map_batches, ready
+from lumirank.llm.common import drop_shuffles, map_batches, ready
 from lumirank.plans.scratch import release, scratch_table
 
 LENGTH = 100  # bytes of a string that counts as repeated
@@ -244,6 +244,7 @@ def drop_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "
         .drop("members")
     )
     shared = scratch_table(shared, "anchors")
+    drop_shuffles(shared.sparkSession)
     order = [F.col("doc").asc_nulls_first(), "tie", "place"]
     nth = F.rank().over(W.partitionBy("name", "stretch").orderBy(*order))
     placed = shared.where(~settled).withColumn("nth", nth)
@@ -252,8 +253,9 @@ def drop_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     # One list for each document, of as many anchors as it has bytes at most.
     edges = placed.where("nth = 1 AND edge").groupBy("doc", "tie").agg(F.collect_set(F.struct("name", "crowd", "place")).alias("asked"))
     ranked = map_batches(_with(plain, edges, "inner").select("doc", "tie", "text", "asked"), _ranked_starts, _STARTS)
+    ranked = scratch_table(ranked, "starts")
+    drop_shuffles(ranked.sparkSession)
     crowds = shared.where("crowd").limit(1).count() > 0
-    ranked = scratch_table(ranked, "starts") if crowds else ranked
 
     def singles(anchors: DataFrame) -> DataFrame:
         """Starts of which an equal one comes earlier; equal starts have one name and one way to their anchor."""
@@ -269,8 +271,8 @@ def drop_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     spans = repeated.unionByName(single).groupBy("doc", "tie").agg(F.collect_set("place").alias("found"))
     spans = scratch_table(spans, "spans")
     release(shared)
-    if crowds:
-        release(ranked)
+    release(ranked)
+    drop_shuffles(spans.sparkSession)
 
     again = F.row_number().over(W.partitionBy("doc", "tie").orderBy(F.lit(1))) > 1 if clash else F.lit(False)
     listed = _with(plain, spans, "left").withColumn("again", again)
