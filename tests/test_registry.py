@@ -13,6 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 SAMPLE = [
     "topk_cosine", "topk_cell_join", "upsert_replayed", "micro_batches", "log_throughput", "row_index_sliced",
     "text_search_top10", "embed_images", "topk_many_queries", "topk_grid", "topk_approx", "upsert_rewritten", "delivery_stats", "resolve_existing_path", "stream_ingest",
+    "preprocess_rgba", "topk_sparse", "topk_stored", "decode_json_any", "stream_throughput_live",
 ]
 
 
