@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumirank.operators import arrivals, runlogs
 from lumirank.plans.ordered import index_within
+from lumirank.plans.scratch import folders, scratch_root
 from lumirank.sources.logs import read_log_lines
 
 
@@ -120,6 +121,7 @@ def test_moving_average_per_group(spark):
 def test_log_lines_keep_their_numbers_when_the_file_is_split(spark, tmp_path):
     lines = [f"2024 INFO Throughput:  {i}.5 requests/sec" if i % 3 == 0 else f"other {i}" for i in range(2000)]
     (tmp_path / "a.log").write_text("\n".join(lines) + "\n")
+    written = folders(spark, f"{scratch_root(spark)}/lumirank")
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
     try:
@@ -129,6 +131,7 @@ def test_log_lines_keep_their_numbers_when_the_file_is_split(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == {i + 1: line for i, line in enumerate(lines)}
+    assert folders(spark, f"{scratch_root(spark)}/lumirank") == written  # the log is not copied
     assert [(r["line_number"], r["throughput"]) for r in found] == [(i + 1, i + 0.5) for i in range(0, 2000, 3)]
 
 
