@@ -255,11 +255,23 @@ def _as_stored(messages: DataFrame) -> DataFrame:
     )
 
 
-def publish(messages: DataFrame, fmt: str, path: str | None = None, options: dict | None = None) -> None:
-    """Write messages from the executors: to Kafka, or as files with the columns Kafka would add."""
+def publish(
+    messages: DataFrame, fmt: str, path: str | None = None, options: dict | None = None, batch: str | None = None
+) -> None:
+    """Write messages from the executors: to Kafka, or as files with the columns Kafka would add.
+
+    Files of a named `batch` go to a folder of their own, `<path>/b=NAME`: a job that runs again replaces what it published.
+    Without a name they are added, as they always are to a topic, which has no way to take messages back.
+    """
     rows = messages if fmt == "kafka" else _as_stored(messages)
-    writer = rows.write.format(fmt).mode("append").options(**(options or {}))
-    writer.save(path) if path else writer.save()
+    writer = rows.write.format(fmt).options(**(options or {}))
+    if batch is None:
+        writer = writer.mode("append")
+        writer.save(path) if path else writer.save()
+        return
+    if fmt == "kafka" or not path:
+        raise ValueError("only files under a path can be replaced by the name of their batch")
+    writer.mode("overwrite").save(f"{path}/b={batch}")
 
 
 def publish_stream(messages: DataFrame, fmt: str, checkpoint: str, path: str | None = None, options: dict | None = None):

@@ -526,6 +526,29 @@ def published_messages(spark, d):
     return back.select(_text("key").alias("key"), "topic", "row.*")
 
 
+def published_again(spark, d):
+    """Two named batches of messages, each published twice as by a job that runs again: every message is there once."""
+    rows = _event_rows(spark, d)
+    path = scratch_path(spark, "topic")
+    for _ in range(2):
+        for half in (0, 1):
+            sent = envelopes.encode_rows(rows.where(F.col("event_id") % 2 == half), key_col="event_id", topic="events")
+            envelopes.publish(sent, "parquet", path, batch=f"half-{half}")
+    back = envelopes.decode_rows(read_envelopes(spark, "parquet", path=path, topics="events", streaming=False), rows.schema)
+    return back.select(_text("key").alias("key"), "topic", "row.*")
+
+
+def stream_published(spark, d):
+    """Messages that a stream publishes, read again as a batch."""
+    rows = stream(spark, d, "events").select("event_id", "user_id", "event_type", "props")
+    path = scratch_path(spark, "topic")
+    sent = envelopes.encode_rows(rows, key_col="event_id", topic="events")
+    writer = envelopes.publish_stream(sent, "parquet", scratch_path(spark, "progress"), path)
+    finished(writer.trigger(availableNow=True).start())
+    back = envelopes.decode_rows(read_envelopes(spark, "parquet", path=path, topics="events", streaming=False), rows.schema)
+    return back.select(_text("key").alias("key"), "topic", "row.*")
+
+
 def row_index(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
     return index_within(o, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "row_index")
@@ -1044,7 +1067,7 @@ QUERIES = [
     micro_batches, micro_batches_unkeyed, session_windows, throughput_windows, moving_average, moving_average_by_type,
     throughput_stats, run_summary, run_summary_by_user, failure_breakdown, log_throughput, batch_assign, batch_count,
     encode_rows, encode_rows_indexed, decode_roundtrip, decode_failures, delivery_stats, encode_json, decode_json, decode_json_any,
-    published_messages, row_index, row_index_sliced,
+    published_messages, published_again, stream_published, row_index, row_index_sliced,
     split_rejects, valid_queries, text_embed, text_embed_batched, text_search_top1, text_search_top10, topk_sparse,
     normalize_pixels_sql, preprocess_rgba, preprocess_rgb, preprocess_rows, bad_images, strip_image_pixels, tensor_to_image,
     read_image_files, stream_image_files, resolve_image_files, embed_images, embed_image_blocks, embed_images_one_pass, image_ingest,

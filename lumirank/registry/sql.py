@@ -272,8 +272,8 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN ok THEN regexp_extract(props, '([0-9]+)', 1)::BIGINT END AS k, NULL::VARCHAR AS extra,
                    CASE event_type WHEN 'click' THEN 'not JSON' WHEN 'signup' THEN 'not a row' END AS error
             FROM (SELECT *, event_type NOT IN ('click', 'signup') AS ok FROM events)""",
-        "published_messages": """
-            SELECT event_id::VARCHAR AS key, 'events' AS topic, event_id, user_id, event_type, props FROM events""",
+        **dict.fromkeys(("published_messages", "published_again", "stream_published"), """
+            SELECT event_id::VARCHAR AS key, 'events' AS topic, event_id, user_id, event_type, props FROM events"""),
         "row_index": """
             SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS row_index FROM orders""",
         "row_index_sliced": """

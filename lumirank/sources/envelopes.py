@@ -37,7 +37,8 @@ def read_envelopes(
     reader = (spark.readStream if streaming else spark.read).format(fmt).options(**(options or {}))
     if fmt == "kafka":
         return reader.load()
-    messages = reader.schema(ENVELOPE_SCHEMA).load(path)
+    # Named batches lie in folders of their own.
+    messages = reader.schema(ENVELOPE_SCHEMA).option("recursiveFileLookup", "true").load(path)
     if topics is None:
         return messages
     return messages.where(F.col("topic").isin([topics] if isinstance(topics, str) else list(topics)))

@@ -151,3 +151,14 @@ def test_split_rejects(spark):
     good, bad = validate.split_rejects(df)
     assert good.count() == 1
     assert sorted(r["reason"] for r in bad.collect()) == ["missing image.origin", "missing image.origin", "missing tensors"]
+
+
+def test_a_batch_published_again_replaces_itself(spark, tmp_path):
+    path = str(tmp_path / "topic")
+    sent = envelopes.encode_rows(spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string"), topic="t")
+    for batch in ("x", "y", "x"):
+        envelopes.publish(sent, "parquet", path, batch=batch)
+    envelopes.publish(sent.limit(1), "parquet", path)
+    assert read_envelopes(spark, "parquet", path=path, topics="t", streaming=False).count() == 5
+    with pytest.raises(ValueError, match="only files"):
+        envelopes.publish(sent, "kafka", batch="x")
