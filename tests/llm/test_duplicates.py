@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumirank.llm import suffix_dedup
+from lumirank.llm import jaccard, suffix_dedup
 from lumirank.llm.common import ASCII_LOWER
 from lumirank.llm.exact_dedup import SLOTS, CuckooIndex, drop_copies, exact_groups, live_digests
 from lumirank.llm.jaccard import components, keep_one, signatures, similar_groups
@@ -152,7 +152,9 @@ def family(rng, size):
     return [" ".join(t) for t in out]
 
 
-def test_no_link_is_lost(spark):
+@pytest.mark.parametrize("block", [jaccard.BLOCK_BYTES, 4000])
+def test_no_link_is_lost(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", block)  # small ones cut clusters into several blocks
     rng = random.Random(8)
     texts = [t for size in (1, 3, 5, 6, 8, 9, 11, 14, 20, 33, 64, 120, 250) for _ in range(4) for t in family(rng, size)]
     # A passage that many texts share, and one word over and over.
@@ -164,6 +166,18 @@ def test_no_link_is_lost(spark):
     assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect()), key=str) == groups_by_hand(rows)
 
 
+def test_bitmaps_never_reject_similar_sets():
+    rng = np.random.default_rng(6)
+    for n in (1, 3, 9, 60, 400, 3000):
+        for _ in range(60):
+            x = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+            lose, gain = rng.integers(0, len(x) // 5 + 1), rng.integers(0, len(x) // 5 + 1)
+            y = np.unique(np.concatenate([rng.permutation(x)[lose:], rng.integers(0, 1 << 64, gain, dtype=np.uint64)]))
+            differ = int(np.bitwise_count((jaccard.bitmap(x) ^ jaccard.bitmap(y)).view(np.uint64)).sum())
+            if jaccard.linked(x, y):
+                assert differ * 180 <= (len(x) + len(y)) * 20
+
+
 def test_similar_sets_share_what_one_asks_for():
     rng = np.random.default_rng(4)
     for n in [*range(1, 40), 63, 64, 65, 127, 128, 200, 511, 512, 900]:
