@@ -150,6 +150,8 @@ class TokenFile:
 _PLAIN = re.compile(r"[\x00-\x1b\x20-\x7f\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u0148\u014a-\u017f]*")
 # The tokenizer's own cut of a text into words, as far as plain characters go. Fixed value.
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+# The same for lower-case ASCII, with the most frequent case first.
+_ASCII_WORDS = re.compile(r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^a-z0-9\s]+")
 _CHUNKS = re.compile(r"\S+")
 _CONTROL = re.compile(r"[\x1c-\x1f]")  # blanks to `re`, not to the tokenizer
 ASKED = 2_000  # words put to the library as one text
@@ -219,7 +221,7 @@ class LibraryEncoder:
             if not text:
                 pieces, new = [], fresh
             elif _is_plain(text):
-                pieces, new = _WORDS.findall(text.lower()), fresh
+                pieces, new = (_ASCII_WORDS if text.isascii() else _WORDS).findall(text.lower()), fresh
             else:
                 # No word crosses white space, so its pieces stand for themselves.
                 pieces, new = [text] if _CONTROL.search(text) else _CHUNKS.findall(text), other
