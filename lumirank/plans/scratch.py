@@ -46,6 +46,12 @@ def scratch_table(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Spark's file system names it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of a job, wherever Spark can reach it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

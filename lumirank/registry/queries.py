@@ -26,6 +26,7 @@ from lumirank.sources.images import (
     strip_pixels,
     with_image_path,
     with_preprocess_time,
+    write_image_files,
 )
 from lumirank.streaming import arrivals as stream_arrivals
 from lumirank.streaming import jobs, progress
@@ -632,11 +633,11 @@ def topk_sparse(spark, d):
 # ------------------------------------------------------------------ images
 
 
-def _rgba(spark, d):
+def _rgba(spark, d, *more):
     """Each vector's 64 values as a 4 × 4 image with four channels (blue, green, red, alpha)."""
-    e = heavy(spark, d, "embeddings", "vec_id", "embedding")
+    e = heavy(spark, d, "embeddings", "vec_id", "embedding", *more)
     byte = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 127.5).cast("int"))
-    return e.select("vec_id", byte.alias("bytes"))
+    return e.select("vec_id", byte.alias("bytes"), *more)
 
 
 def _image(origin: Column, height: Column, width: int, channels: int, mode: int, data: Column) -> Column:
@@ -757,15 +758,14 @@ def image_ingest(spark, d):
 def _bitmap_files(spark, d) -> str:
     """The vectors' pixels as image files written by the executors; those of label 1 hold no image, and those
     of label 0 are missing."""
-    e = _rgba(spark, d).join(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id").where("label <> 0")
+    e = _rgba(spark, d, "label").where("vec_id IS NOT NULL AND label <> 0")
     # A bitmap file of 4 x 4 pixels, 24 bits each: its head is a fixed value, its rows go from bottom to top.
     head = "424D66000000000000003600000028000000040000000400000001001800000000003000000000000000000000000000000000000000"
     hexes = lambda i: F.lpad(F.hex(F.element_at("bytes", i + 1)), 2, "0")
     pixels = F.concat(*[hexes(16 * y + 4 * x + c) for y in reversed(range(4)) for x in range(4) for c in range(3)])
     body = F.when(F.col("label") == 1, F.lit("no image").cast("binary")).otherwise(F.unhex(F.concat(F.lit(head), pixels)))
     path = scratch_path(prepare(spark), "images")
-    rows = e.select(body.cast("string").alias("value"), F.concat(F.col("vec_id"), F.lit(" x.bmp")).alias("name"))
-    rows.write.partitionBy("name").text(path)
+    write_image_files(e.select(F.concat(F.col("vec_id"), F.lit(" x.bmp")).alias("name"), body.alias("data")), path)
     return path
 
 
@@ -785,7 +785,7 @@ def read_image_files(spark, d):
 
 def stream_image_files(spark, d):
     """The same folder as a stream of images."""
-    images = read_image_stream(spark, _bitmap_files(spark, d) + "/*", files_per_trigger=200)
+    images = read_image_stream(spark, _bitmap_files(spark, d) + "/*", files_per_trigger=200, most_triggers=64)
     out = scratch_path(spark, "stream")
     finished(to_files(images, out, scratch_path(spark, "progress")))
     return _read_images_of(spark.read.schema(IMAGE_SCHEMA).parquet(out))

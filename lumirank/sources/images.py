@@ -2,12 +2,50 @@
 
 from __future__ import annotations
 
+import os
+
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumirank.plans.scratch import qualified
+
 IMAGE_SCHEMA = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
 
 
+FOLDER_FILES = 1000  # files of one folder that a task writes
+
+
+def write_image_files(rows: DataFrame, path: str, name: str = "name", data: str = "data") -> None:
+    """Write one file per row under `path`, by the executors: named by a string column, filled by a binary one.
+
+    On a folder that the executors mount, files lie a thousand to a folder, so that listing them takes a task per thousand;
+    rows of one name get a file each. Elsewhere Spark writes them, in a folder per name.
+    """
+    some = rows.select(F.col(name).alias("name"), F.col(data).alias("data"))
+    spark = rows.sparkSession
+    where = qualified(spark, path)
+    if not where.startswith("file:"):
+        some.select(F.col("data").cast("string").alias("value"), "name").write.partitionBy("name").text(path)
+        return
+    root = "/" + where.removeprefix("file:").lstrip("/")
+
+    def write(found) -> None:
+        task, last, same = TaskContext.get().partitionId(), None, 0
+        for n, row in enumerate(found):
+            if n % FOLDER_FILES == 0:
+                folder = f"{root}/{task}-{n // FOLDER_FILES}"
+                os.makedirs(folder, exist_ok=True)
+            # A task that is run again writes the same files.
+            last, same = row.name, same + 1 if row.name == last else 0
+            stem, end = os.path.splitext(row.name)
+            with open(f"{folder}/name={stem}{f'-{same}' if same else ''}{end}", "wb") as file:
+                file.write((row.data or b"") + b"\n")
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    some.repartition(tasks, "name").sortWithinPartitions("name", "data").foreachPartition(write)
+
+
 def read_images(
     spark: SparkSession, path: str, drop_invalid: bool = False, glob: str | None = None, recursive: bool = False
 ) -> DataFrame:
@@ -21,9 +59,16 @@ def read_images(
 
 
 def read_image_stream(
-    spark: SparkSession, path: str, drop_invalid: bool = False, files_per_trigger: int = 1000
+    spark: SparkSession, path: str, drop_invalid: bool = False, files_per_trigger: int = 1000, most_triggers: int | None = None
 ) -> DataFrame:
-    """A directory that keeps receiving images, as a stream."""
+    """A directory that keeps receiving images, as a stream.
+
+    With `most_triggers` the files that are there already are counted, and a trigger takes more than `files_per_trigger` of
+    them where they would need more micro-batches than that: each one costs a look at all files that were seen.
+    """
+    if most_triggers:
+        waiting = spark.read.format("binaryFile").load(path)._jdf.inputFiles()
+        files_per_trigger = max(files_per_trigger, -(-len(waiting) // most_triggers))
     return (
         spark.readStream.format("image")
         .schema(IMAGE_SCHEMA)

@@ -274,3 +274,20 @@ def test_a_model_loads_once_per_worker_and_gets_full_batches(spark, tmp_path):
     calls = [tuple(map(int, line.split()))[1:] for line in (tmp_path / "calls").read_text().splitlines()]
     assert len({task for task, _ in calls}) == 50
     assert all(sum(n < 32 for task, n in calls if task == t) <= 1 for t in range(50))
+
+
+def test_image_files_share_folders(spark, tmp_path):
+    """One file per row, also for rows of one name, but no folder for each: listing takes a task per folder."""
+    rows = [(f"{i} x.bmp", bytearray(b"%d" % i)) for i in range(300)] + [("7 x.bmp", bytearray(b"again")), ("8 x.bmp", None)]
+    images.write_image_files(spark.createDataFrame(rows, "name string, data binary"), f"{tmp_path}/out")
+    found = list((tmp_path / "out").rglob("*.bmp"))
+    assert sorted(f.read_bytes() for f in found) == sorted((bytes(d) if d else b"") + b"\n" for _, d in rows)
+    assert len({f.name for f in found}) == len(rows)
+    assert len(list((tmp_path / "out").iterdir())) <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_a_backlog_takes_few_triggers(spark, folder, tmp_path):
+    images_, batches = images.read_image_stream(spark, folder, files_per_trigger=1, most_triggers=3), []
+    query = images_.writeStream.foreachBatch(lambda df, i: batches.append(df.count())).trigger(availableNow=True)
+    query.option("checkpointLocation", str(tmp_path / "progress")).start().awaitTermination()
+    assert sum(batches) == len(SOLIDS) + 1 and len(batches) == 3
