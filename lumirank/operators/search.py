@@ -33,9 +33,12 @@ from lumirank.plans.scratch import scratch_table
 BROADCAST_BYTES = 64 << 20  # most query-vector bytes sent to every executor
 BLOCK_BYTES = 64 << 20  # vector bytes of one block of the grid or of a cell
 MAX_SCANS = 8  # scans of the collection that are still cheaper than moving its vectors
+MOST_BLOCKS = 16  # blocks a side is cut into while they stay within BLOCK_BYTES: each is repeated for all of the other side
 PROBED_SHARE = 0.75  # cells visited unless told otherwise: nine in ten neighbours without clusters need six to seven in ten
 _TILE_QUERIES, _TILE_ROWS = 1024, 2048
 _BUFFER_ROWS = 200_000  # candidates gathered before they are merged into the best lists, at least
+_HELD_BYTES = 32 << 20  # of carried columns gathered before those nobody needs are dropped
+_EMIT_ROWS = 50_000  # rows of one batch of results
 _CHUNK_CELLS = 2 << 20  # numbers of the second look held at once
 _SINGLE = 2.0**-24  # rounding of one single-precision step
 _DIGITS = 12
@@ -64,8 +67,33 @@ def _best(found: pa.Table, k: int, id_col: str) -> pa.Table:
     return found.take(pa.array(order.index.to_numpy()[keep]))
 
 
-def _scan(queries: np.ndarray, batches, k: int, id_col: str, vec_col: str):
-    """Best k rows per query over a stream of batches (rows of the collection).
+class _Carried:
+    """The other columns of rows that are among the best, once per row, however many queries found it."""
+
+    def __init__(self):
+        self.tables, self.rows, self.fresh = [], 0, 0
+
+    def add(self, table: pa.Table) -> int:
+        """Keep the rows of a tile; the place of the first."""
+        self.tables.append(table)
+        self.rows += table.num_rows
+        self.fresh += table.nbytes
+        return self.rows - table.num_rows
+
+    def narrow(self, places: np.ndarray) -> np.ndarray:
+        """Drop all rows but those at `places`; where these are then."""
+        used, now = np.unique(places, return_inverse=True)
+        self.tables = [pa.concat_tables(self.tables).take(pa.array(used)).combine_chunks()]
+        self.rows, self.fresh = len(used), 0
+        return now
+
+    def take(self, places: pa.Array) -> pa.Table:
+        self.tables = [pa.concat_tables(self.tables)]
+        return self.tables[0].take(places)
+
+
+def _scan(queries: np.ndarray, batches, k: int, id_col: str, vec_col: str, carried: _Carried | None = None):
+    """Best k rows per query over a stream of batches (rows of the collection); other columns go to `carried`.
 
     Works in tiles of queries and rows. A product in single precision picks the rows of a tile that can be
     among the best, whatever its rounding; those are scored again in double. Candidates gather in a buffer,
@@ -78,6 +106,7 @@ def _scan(queries: np.ndarray, batches, k: int, id_col: str, vec_col: str):
     no_length = ~queries.any(axis=1)
     floor = np.full(n_queries, -np.inf)
     best, buffer, held = None, [], 0
+    carried = _Carried() if carried is None else carried
 
     def merge():
         tables = buffer if best is None else [best, *buffer]
@@ -86,6 +115,9 @@ def _scan(queries: np.ndarray, batches, k: int, id_col: str, vec_col: str):
         last = np.cumsum(counts) - 1
         full = counts >= k
         floor[full] = np.maximum(floor[full], merged["score"].to_numpy()[last[full]])
+        if "_row" in merged.column_names:
+            now = carried.narrow(merged["_row"].to_numpy())
+            merged = merged.drop(["_row"]).append_column("_row", pa.array(now))
         return merged
 
     for batch in batches:
@@ -94,7 +126,8 @@ def _scan(queries: np.ndarray, batches, k: int, id_col: str, vec_col: str):
             part = table.slice(start, _TILE_ROWS)
             unit = _matrix(part[vec_col], dim)
             rough_rows, none = unit.astype(np.float32).T, ~unit.any(axis=1)
-            others = part.drop([vec_col])
+            others = part.drop([vec_col, id_col])
+            first = None
             for at in range(0, n_queries, _TILE_QUERIES):
                 tile = slice(at, at + _TILE_QUERIES)
                 found = _candidates(queries[tile], unit, rough[tile] @ rough_rows, no_length[tile], none, floor[tile], slack, k)
@@ -102,11 +135,14 @@ def _scan(queries: np.ndarray, batches, k: int, id_col: str, vec_col: str):
                     continue
                 rows, cols, exact = found
                 found = pa.table({"_q": rows + at, "score": exact, id_col: part[id_col].take(pa.array(cols)), "_at": cols})
-                found = _best(found, k, id_col)  # at most k rows per query go on with their other columns
-                buffer.append(others.take(found["_at"]).append_column("_q", found["_q"]).append_column("score", found["score"]))
+                found = _best(found, k, id_col)  # at most k rows per query go on
+                if others.num_columns:
+                    first = carried.add(others) if first is None else first
+                    found = found.append_column("_row", pa.array(found["_at"].to_numpy() + first))
+                buffer.append(found.drop(["_at"]))
                 held += found.num_rows
-                if held > max(_BUFFER_ROWS, 2 * n_queries * k):
-                    best, buffer, held = merge(), [], 0
+            if held > max(_BUFFER_ROWS, 2 * n_queries * k) or carried.fresh > _HELD_BYTES:
+                best, buffer, held = merge(), [], 0
     return merge() if buffer else best
 
 
@@ -129,13 +165,16 @@ def _candidates(queries, unit, scores, no_length, none, floor, slack: float, k:
     return rows, cols, exact
 
 
-def _emit(best: pa.Table | None, query_ids: pa.Array, query_id: str, columns: list[str]):
-    """Give the rows their query ids and the declared column order."""
-    if best is None:
-        return None
-    ids = query_ids.take(best["_q"].combine_chunks())
-    out = best.drop(["_q"]).append_column(query_id, ids)
-    return out.select(columns).combine_chunks()
+def _emit(best: pa.Table | None, query_ids: pa.Array, query_id: str, columns: list[str], carried: _Carried | None = None):
+    """The rows in parts, with their query ids and carried columns, in the declared column order."""
+    for at in range(0, 0 if best is None else best.num_rows, _EMIT_ROWS):
+        some = best.slice(at, _EMIT_ROWS).combine_chunks()
+        out = some.append_column(query_id, query_ids.take(some["_q"].combine_chunks()))
+        if "_row" in some.column_names:
+            more = carried.take(some["_row"].combine_chunks())
+            for name in more.column_names:
+                out = out.append_column(name, more[name])
+        yield out.select(columns).combine_chunks()
 
 
 # ---------------------------------------------------------------- plans
@@ -172,8 +211,9 @@ def _scan_plan(spark, small: pa.Table, coll: DataFrame, k: int, query_id: str, i
 
     def scan(batches):
         matrix, query_ids = shared.value
-        out = _emit(_scan(matrix, batches, k, id_col, vec), query_ids, query_id, columns)
-        if out is not None:
+        carried = _Carried()
+        best = _scan(matrix, batches, k, id_col, vec, carried)
+        for out in _emit(best, query_ids, query_id, columns, carried):
             yield from out.to_batches()
 
     return coll.mapInArrow(scan, schema)
@@ -207,6 +247,12 @@ def _spread(key: str, parts: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), parts).cast("int")
 
 
+def _block_count(n_bytes: int, block_bytes: int) -> int:
+    """Blocks of `block_bytes`, or of up to BLOCK_BYTES where that leaves MOST_BLOCKS: a side is moved once per block of the other."""
+    wanted, least = -(-n_bytes // block_bytes), -(-n_bytes // max(block_bytes, BLOCK_BYTES))
+    return max(1, least, min(wanted, MOST_BLOCKS))
+
+
 def _many_queries_plan(
     queries: DataFrame, coll: DataFrame, k: int, query_id: str, id_col: str, vec: str, schema, scan_bytes: int, block_bytes: int,
     max_scans: int,
@@ -218,6 +264,8 @@ def _many_queries_plan(
     vector_bytes = 8 * max(1, dim or 1)
     parts = -(-n_queries * vector_bytes // scan_bytes)
     if parts <= max_scans:
+        # More scans than moving the vectors would cost are made only where a broadcast holds no more.
+        parts = min(parts, max(MAX_SCANS, -(-n_queries * vector_bytes // BROADCAST_BYTES)))
         found = []
         for part in range(parts):
             some = queries.where(_spread(query_id, F.lit(parts), 3) == part).select(query_id, vec).toArrow()
@@ -228,8 +276,8 @@ def _many_queries_plan(
         return out
 
     # Every query block meets every row block; a block of either side is repeated for the blocks of the other.
-    q_blocks = -(-n_queries * vector_bytes // block_bytes)
-    r_blocks = max(1, -(-rows.count() * vector_bytes // block_bytes))
+    q_blocks = _block_count(n_queries * vector_bytes, block_bytes)
+    r_blocks = _block_count(rows.count() * vector_bytes, block_bytes)
     columns = schema.fieldNames()
 
     def blocks(df: DataFrame, key: str, own: str, n: int, other: str, repeats: int) -> DataFrame:
@@ -237,10 +285,10 @@ def _many_queries_plan(
 
     def match(left: pa.Table, right: pa.Table) -> pa.Table:
         left, right = left.drop(["_qb", "_rb"]), right.drop(["_qb", "_rb"])
-        best = None
+        best, carried = None, _Carried()
         if left.num_rows and right.num_rows:
-            best = _scan(_matrix(left[vec], dim), [right], k, id_col, vec)
-        return _found_or_none(best, right, vec, left, query_id, columns)
+            best = _scan(_matrix(left[vec], dim), [right], k, id_col, vec, carried)
+        return _found_or_none(best, carried, right, left, query_id, columns)
 
     left = blocks(queries.select(query_id, vec), query_id, "_qb", q_blocks, "_rb", r_blocks)
     keep = [c for c in columns if c not in (query_id, "score")]
@@ -249,11 +297,11 @@ def _many_queries_plan(
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(match, schema)
 
 
-def _found_or_none(best, rows: pa.Table, vec: str, queries: pa.Table, query_id: str, columns: list[str]) -> pa.Table:
+def _found_or_none(best, carried, rows: pa.Table, queries: pa.Table, query_id: str, columns: list[str]) -> pa.Table:
     if best is None:
-        empty = rows.drop([vec]).slice(0, 0)
-        best = empty.append_column("_q", pa.array([], pa.int64())).append_column("score", pa.array([], pa.float64()))
-    return _emit(best, queries[query_id].combine_chunks(), query_id, columns)
+        empty = rows.slice(0, 0).append_column(query_id, queries[query_id].slice(0, 0))
+        return empty.append_column("score", pa.array([], pa.float64())).select(columns)
+    return pa.concat_tables(_emit(best, queries[query_id].combine_chunks(), query_id, columns, carried))
 
 
 def _cells_plan(
@@ -264,11 +312,13 @@ def _cells_plan(
     spark = coll.sparkSession
     dim = pivots.shape[1]
     shared = spark.sparkContext.broadcast(pivots)
-    block_rows = max(k, block_bytes // (8 * dim))
     columns = schema.fieldNames()
     homes = scratch_table(_nearest_pivot(coll, vec, shared, dim).drop("_angle"), "cells")
     # One row per cell, so at most one more than there are pivots.
-    subs = {r["_cell"]: -(-r["count"] // block_rows) for r in homes.groupBy("_cell").count().collect()}
+    sizes = {r["_cell"]: r["count"] for r in homes.groupBy("_cell").count().collect()}
+    n_rows = sum(sizes.values())
+    block_rows = max(k, block_bytes // (8 * dim), -(-n_rows // _block_count(8 * dim * n_rows, block_bytes)))
+    subs = {cell: -(-count // block_rows) for cell, count in sizes.items()}
     if not subs:
         return spark.createDataFrame([], schema)
     # By cell, null for cells without rows; a constant, so it is parsed once.
@@ -281,10 +331,10 @@ def _cells_plan(
         return pa.array(nearest.astype(np.int32).tolist(), pa.list_(pa.int32()))
 
     def match(left: pa.Table, right: pa.Table) -> pa.Table:
-        best = None
+        best, carried = None, _Carried()
         if left.num_rows and right.num_rows:
-            best = _scan(_matrix(left[vec], dim), [right], k, id_col, vec)
-        return _found_or_none(best, right, vec, left, query_id, columns)
+            best = _scan(_matrix(left[vec], dim), [right], k, id_col, vec, carried)
+        return _found_or_none(best, carried, right, left, query_id, columns)
 
     routed = scratch_table(
         queries.select(query_id, vec).withColumn("_cell", F.explode(probed(F.col(vec)))).where(F.get(sub_list, F.col("_cell")).isNotNull()),
@@ -349,7 +399,9 @@ def knn_join(
 
     Returns query_id, id, the `carry` columns, score and rank; ids and query ids are taken to be unique. The
     query side is broadcast only if it was found to hold no more than `broadcast_bytes`; up to `max_scans`
-    times that it is broadcast part by part, beyond that it meets the collection block by block.
+    times that it is broadcast part by part, beyond that it meets the collection block by block. Parts and blocks
+    are larger than `broadcast_bytes` and `block_bytes` say where there would be more than MAX_SCANS or MOST_BLOCKS of
+    them, up to BROADCAST_BYTES and BLOCK_BYTES.
     """
     wanted, coll, schema = _sides(queries, collection, query_id, query_vec, id_col, vec_col, carry)
     small = _small_side(wanted, query_id, "_v", broadcast_bytes)

@@ -1,6 +1,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +196,39 @@ def test_scan_shuffles_only_the_best_rows(spark):
     plan = search.knn_join(q, c, 3)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "WindowGroupLimit" in plan
+
+
+def test_blocks_and_scans_do_not_multiply_with_the_table():
+    """A small block size does not mean blocks by the square of the rows; large tables still get blocks of bounded size."""
+    assert search._block_count(2000 * 512, 1 << 17) == 8
+    assert search._block_count(600_000 * 512, 1 << 15) == search.MOST_BLOCKS
+    assert search._block_count(100 * search.BLOCK_BYTES, 1 << 15) == 100
+    assert search._block_count(0, 1 << 15) == 1
+
+
+def test_parts_of_the_query_side_stay_few(spark, monkeypatch):
+    queries, rows = fixture(4, n_queries=120)
+    q, c = frames(spark, queries, rows)
+    scans = []
+    plan = search._scan_plan
+    monkeypatch.setattr(search, "_scan_plan", lambda *a: scans.append(1) or plan(*a))
+    found = search.knn_join(q, c, 3, broadcast_bytes=4 * 8 * DIM, max_scans=1000)
+    assert len(scans) == search.MAX_SCANS
+    assert answers(found) == expected(queries, rows, 3)
+
+
+def test_carried_columns_are_held_once_per_row(spark, monkeypatch):
+    """However many queries find a row, a task holds its other columns once; few bytes at a time give the same rows."""
+    queries, rows = fixture(5)
+    unit = search._matrix(pa.array([v for _, v in queries], pa.list_(pa.float32())), DIM)
+    table = pa.table({"id": [i for i, _ in rows], "text": [f"row {i}" for i, _ in rows], "_v": pa.array([v for _, v in rows], pa.list_(pa.float32()))})
+    monkeypatch.setattr(search, "_HELD_BYTES", 100)
+    monkeypatch.setattr(search, "_EMIT_ROWS", 50)
+    carried = search._Carried()
+    best = search._scan(unit, table.to_batches(max_chunksize=40), 5, "id", "_v", carried)
+    assert best.column_names == ["_q", "score", "id", "_row"] and best.num_rows == 5 * len(queries)
+    assert carried.rows == len(set(best["id"].to_pylist()))
+    parts = list(search._emit(best, pa.array([q for q, _ in queries]), "query_id", ["query_id", "id", "text", "score"], carried))
+    assert [p.num_rows for p in parts][:-1] == [50] * (len(parts) - 1)
+    out = pa.concat_tables(parts)
+    assert out["text"].to_pylist() == [f"row {i}" for i in out["id"].to_pylist()]
