@@ -1,8 +1,8 @@
 """Approximate cosine search over short codes, with exact scores for what they bring up.
 
 A vector is named by its cell, the nearest of some centres, and by a code of one byte per part of what it differs from
-that centre (residual product quantisation). The inner product of a query and the vector that code and cell
-stand for is a sum of table entries, one per part, so a scan reads a few bytes of a row instead of its vector. The
+that centre (residual product quantisation). A row looks as good as the inner product of a query and the vector that code
+and cell stand for, which a scan puts together again, so it reads a few bytes of a row instead of its vector. The
 `rerank` rows that look best per query are then looked up and scored exactly.
 
 Centres and code books are fitted on a bounded sample: the SAMPLE_ROWS rows (fewer if they exceed SAMPLE_BYTES) whose ids
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lumirank.operators.search import _DIGITS, BROADCAST_BYTES, _final, _matrix, _ranked, _sides, _spread
+from lumirank.operators.search import _BUFFER_ROWS, _DIGITS, BROADCAST_BYTES, _final, _matrix, _ranked, _sides, _spread
 from lumirank.plans.scratch import scratch_table
 
 SAMPLE_ROWS = 20_000
@@ -88,11 +88,6 @@ class CodeModel:
         rest = self._parts(unit - self.centres[cells], *self.books.shape[::2])
         return cells, np.stack([_nearest(rest[:, p], book) for p, book in enumerate(self.books)], axis=1).astype(np.uint8)
 
-    def tables(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For queries: inner products with all centres (cells, queries) and with all entries (parts, entries, queries)."""
-        own = self._parts(unit, *self.books.shape[::2]).astype(np.float32).transpose(1, 2, 0)
-        return (self.centres @ unit.T).astype(np.float32), self.books.astype(np.float32) @ own
-
 
 def fit_codes(
     collection: DataFrame, id_col: str = "id", vec_col: str = "values", cells: int | None = None, part_values: int = PART_VALUES,
@@ -173,37 +168,60 @@ def _visited(index: StoredIndex, wanted: np.ndarray) -> DataFrame:
 
 
 def _look_up(batches: Iterator[pa.RecordBatch], model: CodeModel, unit: np.ndarray, probed: np.ndarray | None, rerank: int):
-    """(query, row, looks) of the rows that look best per query, and the ids of all rows seen."""
-    base, entries = model.tables(unit)
+    """(query, row, looks) of the rows that look best per query, and the ids of all rows seen.
+
+    A tile's codes and cells are put back into the vectors they stand for, and one product gives all looks. Rows that look better
+    than a query's last one so far gather in a buffer, which is merged into the best when it has outgrown them.
+    """
+    n_queries, parts = len(unit), len(model.books)
+    own = model._parts(unit.astype(np.float32), *model.books.shape[::2]).reshape(n_queries, -1)
+    centres = model._parts(model.centres.astype(np.float32), *model.books.shape[::2]).reshape(len(model.centres), -1)
+    books = model.books.astype(np.float32)
     if probed is not None:
-        seen_by = np.zeros((len(base), len(unit)), bool)
-        seen_by[probed.T, np.arange(len(unit))] = True
-        base = np.where(seen_by, base, np.float32(-np.inf))
-    n_queries, parts = len(unit), len(entries)
-    looks = np.full((n_queries, rerank), -np.inf, np.float32)
-    rows = np.full((n_queries, rerank), -1, np.int64)
-    tiles = [slice(at, min(at + _TILE_QUERIES, n_queries)) for at in range(0, n_queries, _TILE_QUERIES)]
-    tables = [(t, np.ascontiguousarray(base[:, t]), np.ascontiguousarray(entries[:, :, t])) for t in tiles]
+        seen_by = np.zeros((len(centres), n_queries), bool)
+        seen_by[probed.T, np.arange(n_queries)] = True
+    floor = np.full(n_queries, -np.inf, np.float32)
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+    best, buffer, held = none, [], 0
+
+    def merge():
+        query, place, look = (np.concatenate(x) for x in zip(best, *buffer))
+        # One whole number sorts by query and falling looks.
+        bits = look.view(np.uint32)
+        rising = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31))
+        order = np.argsort(query.astype(np.uint64) << np.uint64(32) | ~rising, kind="stable")
+        firsts = np.searchsorted(query[order], np.arange(n_queries))
+        turn = np.arange(len(order)) - firsts[query[order]]
+        last = order[turn == rerank - 1]
+        floor[query[last]] = look[last]
+        order = order[turn < rerank]
+        return query[order], place[order], look[order]
+
     ids, start = [], 0
     for batch in batches:
         cells = batch["cell"].to_numpy()
         codes = np.frombuffer(b"".join(batch["code"].to_pylist()), np.uint8).reshape(-1, parts)
         ids.append(batch["id"])
         for at in range(0, len(cells), _TILE_ROWS):
-            cell, code = cells[at : at + _TILE_ROWS], np.ascontiguousarray(codes[at : at + _TILE_ROWS].T).astype(np.intp)
-            for some, of_cell, of_part in tables:
-                score = of_cell[cell]
-                for p in range(parts):
-                    score += of_part[p].take(code[p], axis=0)
-                both = np.concatenate([looks[some], score.T], axis=1)
-                best = np.argpartition(both, both.shape[1] - rerank, axis=1)[:, -rerank:]
-                # Places before the rows of this tile are those of the best so far.
-                held = np.take_along_axis(rows[some], np.minimum(best, rerank - 1), 1)
-                looks[some] = np.take_along_axis(both, best, 1)
-                rows[some] = np.where(best < rerank, held, best - rerank + start + at)
+            cell, code = cells[at : at + _TILE_ROWS], codes[at : at + _TILE_ROWS]
+            stands_for = (books[np.arange(parts), code].reshape(len(cell), -1) + centres[cell]).T
+            for first in range(0, n_queries, _TILE_QUERIES):
+                some = slice(first, first + _TILE_QUERIES)
+                look = own[some] @ stands_for
+                if probed is not None:
+                    look[~seen_by[cell, some].T] = -np.inf
+                least = np.nextafter(floor[some], np.float32(np.inf))
+                if len(cell) > rerank and np.isneginf(floor[some]).any():
+                    least = np.maximum(least, np.partition(look, -rerank, axis=1)[:, -rerank])
+                spot = np.flatnonzero(look >= least[:, None])
+                query, place = np.divmod(spot, len(cell))
+                buffer.append((query + first, place + (start + at), look.ravel()[spot]))
+                held += len(query)
+            if held > max(_BUFFER_ROWS, 2 * n_queries * rerank):
+                best, buffer, held = merge(), [], 0
         start += len(cells)
-    query, place = np.nonzero(np.isfinite(looks) & (rows >= 0))
-    return query, rows[query, place], looks[query, place], ids
+    query, place, look = merge() if buffer else best
+    return query, place, look, ids
 
 
 def knn_join_codes(

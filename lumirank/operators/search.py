@@ -153,7 +153,7 @@ def _candidates(queries, unit, scores, no_length, none, floor, slack: float, k:
     limit = floor
     if scores.shape[1] > k and np.isneginf(floor).any():
         limit = np.maximum(floor, np.partition(scores, -k, axis=1)[:, -k])
-    rows, cols = np.nonzero(scores >= (limit - slack).astype(np.float32)[:, None])
+    rows, cols = np.divmod(np.flatnonzero(scores >= (limit - slack).astype(np.float32)[:, None]), scores.shape[1])
     if not len(rows):
         return None
     exact = np.empty(len(rows))

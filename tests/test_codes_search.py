@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +125,28 @@ def test_recall_on_the_given_vectors(spark, folder, share):
     true = answers(search.knn_join(q, rows, 6).where("id <> query_id"))
     found = answers(codes.knn_join_codes(q, rows, 6, rerank=100).where("id <> query_id"))
     assert 100 <= share * rows.count() and recall(found, true) >= 0.98
+
+
+@pytest.mark.parametrize("n_probe", [None, 2])
+def test_looks_of_a_scan_are_those_of_all_pairs(monkeypatch, n_probe):
+    """Tiles and merges of few candidates give what sorting all pairs gives, and hold no list of all pairs."""
+    for name, value in (("_TILE_QUERIES", 7), ("_TILE_ROWS", 50), ("_BUFFER_ROWS", 1)):
+        monkeypatch.setattr(codes, name, value)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 10))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = codes.CodeModel.fit(x[:200], 6)
+    cells, code = model.encode(x)
+    data = {"id": np.arange(400) + 1000, "cell": cells.astype(np.int32), "code": [c.tobytes() for c in code]}
+    batch = pa.RecordBatch.from_pydict(data)
+    queries = x[:30]
+    probed = None if n_probe is None else np.argsort(-(queries @ model.centres.T), axis=1)[:, :n_probe]
+    stands_for = model._parts(np.zeros((400, 10)), *model.books.shape[::2]) + model.books[np.arange(len(model.books)), code]
+    looks = queries @ (stands_for.reshape(400, -1)[:, :10] + model.centres[cells]).T
+    if n_probe:
+        looks[~(cells[None, :, None] == probed[:, None, :]).any(axis=2)] = -np.inf
+    want = {(q, r) for q in range(30) for r in np.argsort(-looks[q])[:20] if np.isfinite(looks[q, r])}
+    query, place, score, ids = codes._look_up(iter([batch.slice(0, 130), batch.slice(130)]), model, queries, probed, 20)
+    assert set(zip(query.tolist(), place.tolist())) == want and len(query) == len(want)
+    assert np.allclose(score, looks[query, place], atol=1e-5)
+    assert pa.concat_arrays(ids).to_pylist() == data["id"].tolist()
