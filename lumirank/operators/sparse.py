@@ -26,7 +26,7 @@ from lumirank.operators.search import _DIGITS, BROADCAST_BYTES, _best, _emit, _f
 from lumirank.plans.scratch import scratch_table
 
 BLOCK_ROWS = 8192  # rows of a block, at most
-BLOCK_POSTINGS = 4_000_000  # postings after which a block is closed
+BLOCK_POSTINGS = 1_000_000  # postings after which a block is closed; a task holds some 100 bytes for each
 _CLOSE = 1 / 16  # share of a block's rows that is scored at once rather than narrowed further
 _SLACK = 1e-9
 
@@ -97,8 +97,8 @@ def sparse_index(
         held, count, postings = [], 0, 0
 
         def block():
-            made = _posted(pa.concat_tables(held), fields)
-            return pa.RecordBatch.from_arrays([made[f.name].cast(f.type) for f in arrow], schema=arrow)
+            lists = _posted(pa.concat_tables(held), fields)
+            return pa.RecordBatch.from_arrays([lists[f.name].cast(f.type) for f in arrow], schema=arrow)
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -113,8 +113,10 @@ def sparse_index(
                     held.append(table.slice(at, take))
                     count, postings, at = count + take, postings + int(sizes[at + take - 1] - before), at + take
                 if not take or count >= block_rows or postings >= block_postings:
-                    yield block()
+                    made = block()
                     held, count, postings = [], 0, 0
+                    yield made
+                    del made
         if held:
             yield block()
 
@@ -138,8 +140,8 @@ class Block:
     def score(self, docs: np.ndarray, at: np.ndarray, weights: np.ndarray, length: float) -> np.ndarray:
         """Cosines of some rows and a query with `weights` in the lists `at`, to twelve decimals."""
         if self.by_doc is None:
-            order = np.argsort(self.docs, kind="stable")
-            lists = np.repeat(np.arange(len(self.buckets)), np.diff(self.starts))
+            order = np.argsort(self.docs, kind="stable").astype(np.int32)
+            lists = np.repeat(np.arange(len(self.buckets), dtype=np.int32), np.diff(self.starts))
             firsts = np.concatenate([[0], np.cumsum(np.bincount(self.docs, minlength=len(self.lengths)))])
             self.by_doc = firsts, lists[order], self.weights[order]
         firsts, lists, own = self.by_doc
@@ -225,6 +227,7 @@ def _search_blocks(batches: Iterator[pa.RecordBatch], queries: list[tuple], k: i
                     spots = pa.array(docs)
                     columns = {"_q": pa.array(np.full(len(docs), q)), "score": pa.array(scores), id_col: block.ids.take(spots)}
                     found.append(pa.table(columns | {c: row[f"with_{c}"].take(spots) for c in carry}))
+            del block, row  # before the next one is read
             if found:
                 best = _best(pa.concat_tables(found), k, id_col)
                 of = best["_q"].to_numpy()
@@ -288,8 +291,7 @@ def top_k_sparse(
         def search(batches):
             vectors, ids = shared.value
             best, _, _ = _search_blocks(batches, vectors, k, id_col, carry)
-            out = _emit(best, ids, query_id, schema.fieldNames())
-            if out is not None:
+            for out in _emit(best, ids, query_id, schema.fieldNames()):
                 yield from out.to_batches()
 
         return index.mapInArrow(search, schema)

@@ -106,3 +106,10 @@ def test_less_than_half_of_the_pairs_are_scored(dim, share):
     held = [set(d) for d in docs.field(0).to_pylist()]
     sharing = sum(not wanted.isdisjoint(d) for wanted in map(set, asked.field(0).to_pylist()) for d in held)
     assert scored.sum() < share * sharing
+
+
+def test_blocks_are_bounded_by_postings(spark):
+    """What a task holds of a block does not grow with the rows it has: long vectors make blocks of fewer rows."""
+    rows = [(i, (list(range(500)), [1.0 + (i + b) % 7 for b in range(500)]), "") for i in range(4500)]
+    index = sparse.sparse_index(spark.createDataFrame(rows, SCHEMA).coalesce(1)).select(F.size("docs"), F.size("ids")).collect()
+    assert sum(r[1] for r in index) == 4500 and max(r[0] for r in index) <= 1_000_000
