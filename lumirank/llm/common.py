@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -70,12 +69,6 @@ def with_key(docs: DataFrame) -> tuple[DataFrame, str]:
     return docs.withColumn(key, F.col("doc_id").cast("long")), key
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs that are over: it does so once the driver's garbage is collected."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def map_batches(
     df: DataFrame,
     fn: Callable[[Iterator[dict]], Iterator[dict]],

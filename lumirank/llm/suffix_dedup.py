@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumirank.llm.common import drop_shuffles, map_batches, ready
+from lumirank.llm.common import map_batches, ready
 from lumirank.plans.scratch import release, scratch_table
 
 LENGTH = 100  # bytes of a string that counts as repeated
@@ -235,26 +235,25 @@ def drop_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
     found = map_batches(plain.where(F.octet_length("text") >= LENGTH), _anchors, _ANCHORS)
     by_name = W.partitionBy("name")
-    settled = F.col("place") % 2 == 1
+    order = [F.col("doc").asc_nulls_first(), "tie", "place"]
+    # One exchange serves all of this, and what is written is only what is asked for: where anchors that repeat
+    # something lie, which is most of them, and besides the names of those whose starts are to be ranked.
     shared = (
         found.withColumn("members", F.count(F.lit(1)).over(by_name))
-        .where((F.col("members") > 1) | settled)
+        .withColumn("settled", F.col("place") % 2 == 1)
+        .where("members > 1 OR settled")
         .withColumn("edge", F.min("stretch").over(by_name) != F.max("stretch").over(by_name))
-        .withColumn("crowd", F.col("members") > CROWD)
-        .drop("members")
+        .withColumn("repeats", F.col("settled") | (F.rank().over(W.partitionBy("name", "stretch").orderBy(*order)) > 1))
+        .where("repeats OR edge")
+        .select("doc", "tie", "place", *[F.when(~F.col("repeats"), c).alias(n) for n, c in (("name", F.col("name")), ("crowd", F.col("members") > CROWD))])
     )
-    shared = scratch_table(shared, "anchors")
-    drop_shuffles(shared.sparkSession)
-    order = [F.col("doc").asc_nulls_first(), "tie", "place"]
-    nth = F.rank().over(W.partitionBy("name", "stretch").orderBy(*order))
-    placed = shared.where(~settled).withColumn("nth", nth)
-    repeated = shared.where(settled).select("doc", "tie", "place").unionByName(placed.where("nth > 1").select("doc", "tie", "place"))
+    shared = scratch_table(shared, "anchors", drop_shuffles=True)
+    repeated = shared.where("name IS NULL").select("doc", "tie", "place")
 
     # One list for each document, of as many anchors as it has bytes at most.
-    edges = placed.where("nth = 1 AND edge").groupBy("doc", "tie").agg(F.collect_set(F.struct("name", "crowd", "place")).alias("asked"))
+    edges = shared.where("name IS NOT NULL").groupBy("doc", "tie").agg(F.collect_set(F.struct("name", "crowd", "place")).alias("asked"))
     ranked = map_batches(_with(plain, edges, "inner").select("doc", "tie", "text", "asked"), _ranked_starts, _STARTS)
-    ranked = scratch_table(ranked, "starts")
-    drop_shuffles(ranked.sparkSession)
+    ranked = scratch_table(ranked, "starts", drop_shuffles=True)
     crowds = shared.where("crowd").limit(1).count() > 0
 
     def singles(anchors: DataFrame) -> DataFrame:
@@ -269,10 +268,9 @@ def drop_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     if crowds:
         single = single.unionByName(singles(ranked.where("crowd")))
     spans = repeated.unionByName(single).groupBy("doc", "tie").agg(F.collect_set("place").alias("found"))
-    spans = scratch_table(spans, "spans")
+    spans = scratch_table(spans, "spans", drop_shuffles=True)
     release(shared)
     release(ranked)
-    drop_shuffles(spans.sparkSession)
 
     again = F.row_number().over(W.partitionBy("doc", "tie").orderBy(F.lit(1))) > 1 if clash else F.lit(False)
     listed = _with(plain, spans, "left").withColumn("again", again)

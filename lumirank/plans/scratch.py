@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -39,10 +40,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/lumirank/{name}-{uuid.uuid4().hex}"
 
 
-def scratch_table(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write `df` once and return a reader of the written rows."""
+def scratch_table(df: DataFrame, name: str = "table", drop_shuffles: bool = False) -> DataFrame:
+    """Write `df` once and return a reader of the written rows.
+
+    With `drop_shuffles`, Spark deletes the shuffle files of the write as soon as it is over. Otherwise they
+    stay until the driver's garbage is collected, and then for as long as anything still refers to the write.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    if drop_shuffles:
+        conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if drop_shuffles:
+            conf.set(_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,6 +2,8 @@ import collections
 import hashlib
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -242,3 +244,35 @@ def test_rows_with_one_id_and_text_repeat_it(spark, no_docs):
     got = drop_repeated_strings(spark.createDataFrame([(1, text), (1, text), (1, "short"), (1, "short")], "doc_id long, text string"))
     assert sorted((r["n_removed"], r["n_bytes"]) for r in got.collect()) == [(0, 5), (0, 5), (0, 150), (150, 150)]
     assert drop_repeated_strings(no_docs).count() == 0
+
+
+def test_repeated_strings_leave_little_on_disk(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("abcdefgh é", k=4000)) for _ in range(25)]
+    # Half of each text from its neighbour, so that some anchors are asked for and most just repeat.
+    table = [(8 * i + j, t if j else t[:2000] + texts[i - 1][2000:]) for i, t in enumerate(texts) for j in range(8)]
+    blocks = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    kept, write = {}, suffix_dedup.scratch_table
+
+    def shuffles():
+        return {f.name for f in blocks.rglob("shuffle_*")}
+
+    def watched(df, name, **how):
+        before, plan = shuffles(), df._jdf.queryExecution().toString()
+        out = write(df, name, **how)
+        for _ in range(50):
+            left = shuffles() - before
+            if not left:
+                break
+            time.sleep(0.1)
+        kept[name] = (out.columns, out.count(), len(left), plan.count("Window "))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "scratch_table", watched)
+    got = drop_repeated_strings(spark.createDataFrame(table, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(cut_by_hand(table), key=str)
+    assert list(kept) == ["anchors", "starts", "spans"]
+    assert [left for _, _, left, _ in kept.values()] == [0, 0, 0]
+    # Anchors are put in order once, and no names of stretches are written.
+    assert "stretch" not in kept["anchors"][0] and kept["starts"][3] == 0
+    assert kept["anchors"][1] > 0 and kept["starts"][1] > 0
