@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +132,20 @@ def test_quality_is_learned(spark, docs, rows, no_docs):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
+def test_examples_come_back_in_few_bytes():
+    texts = ["one two three", "again " * 300, "b " * 70_000, "", None]
+    batch = {"doc_id": pa.array([5, 4, 3, 2, 1]), "label": pa.array([1, 0, 1, 0, 1], pa.int32()), "text": pa.array(texts)}
+    (made,) = quality._examples(iter([batch]))
+    assert all(len(r) + len(c) <= 3 * (len(r) // 2) for r, c in list(zip(made["rows"], made["counts"]))[::3])
+    found = list(quality._documents(pa.table({k: made[k] for k in ("doc_id", "label", "rows", "counts")})))
+    for (rows, counts, label), text, want in zip(found, texts[::-1], [1, 0, 1, 0, 1]):
+        words = quality.pieces(text)
+        entries = [[quality.END], [quality.REPEATED] * quality.REPEATED_WEIGHT * quality.repeats(words)]
+        entries += [r.tolist() for r, _ in quality.features(words)] if words else []
+        assert dict(zip(rows.tolist(), counts.tolist())) == collections.Counter(x for e in entries for x in e)
+        assert label == want
+
+
 def test_languages_and_mixtures(spark, docs, rows, no_docs):
     say = {"en": "the cat and the dog went with them over the water", "de": "der hund und die katze sind nicht über das wasser gegangen"}
     table = [(i, say[("en", "de")[i % 2]], ("en", "de")[i % 2]) for i in range(60)]
