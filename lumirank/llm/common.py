@@ -92,10 +92,11 @@ def with_columns_from(
     inputs: Sequence[str],
     fields: Sequence[T.StructField],
     make: Callable[[], Callable[..., Sequence]],
+    rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Add columns computed batch by batch from `inputs`; a column of the same name is replaced.
 
-    `make` runs once per task and returns the function from input arrays to output arrays.
+    `make` runs once per task and returns the function from input arrays to output arrays, at most `rows` long.
     """
     new = [f.name for f in fields]
     kept = [f for f in df.schema.fields if f.name not in new]
@@ -107,8 +108,8 @@ def with_columns_from(
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         fn = make()
         for b in batches:
-            for at in range(0, len(next(iter(b.values()))), SLICE_ROWS):
-                part = {c: a.slice(at, SLICE_ROWS) for c, a in b.items()}
+            for at in range(0, len(next(iter(b.values()))), rows):
+                part = {c: a.slice(at, rows) for c, a in b.items()}
                 made = fn(*[part[g] for g in given])
                 yield {**{c: part[c] for c in carried}, **dict(zip(new, made))}
 

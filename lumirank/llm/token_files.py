@@ -27,7 +27,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,7 @@ FILE_IDS = 16_000_000  # ids after which a task starts its next file
 SAMPLE = 256  # one bits between two stored positions
 CACHE_WORDS = 800_000
 CACHED_WORD = 64
+BATCH_ROWS = 4096  # texts worked on at a time, if their batch is not smaller
 
 _HEAD = struct.Struct(">8sQQQQ")
 _CODE = struct.Struct("<QQQ")
@@ -148,10 +149,8 @@ class TokenFile:
 # Characters that the tokenizer's normal form leaves alone and that `re` and the tokenizer class alike:
 # ASCII without control blanks, and the Latin letters and signs up to U+017F but for a few.
 _PLAIN = re.compile(r"[\x00-\x1b\x20-\x7f\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u0148\u014a-\u017f]*")
-# The tokenizer's own cut of a text into words, as far as plain characters go. Fixed value.
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-# The same for lower-case ASCII, with the most frequent case first.
-_ASCII_WORDS = re.compile(r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^a-z0-9\s]+")
+# What the tokenizer's own cut of a text finds between runs of letters, as far as plain characters go. Fixed value, for RE2.
+_MARKS = r"'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\p{L}0-9\t-\r \x{a0}]+"
 _CHUNKS = re.compile(r"\S+")
 _CONTROL = re.compile(r"[\x1c-\x1f]")  # blanks to `re`, not to the tokenizer
 ASKED = 2_000  # words put to the library as one text
@@ -166,6 +165,16 @@ def _is_plain(text: str) -> bool:
     return _PLAIN.fullmatch(text) is not None
 
 
+def _without_cut(tokenizer: str) -> str | None:
+    """The tokenizer for words in normal form between white space, if its cut is one step followed by a step per byte."""
+    config = json.loads(tokenizer)
+    steps = (config["pre_tokenizer"] or {}).get("pretokenizers") or []
+    if [s["type"] for s in steps] != ["Split", "ByteLevel"] or steps[1]["use_regex"] or steps[1]["add_prefix_space"] or config["post_processor"]:
+        return None
+    steps[0] = {"type": "WhitespaceSplit"}
+    return json.dumps({**config, "normalizer": None, "added_tokens": []})
+
+
 class LibraryEncoder:
     """A tokenizer that lower-cases and drops white space, asked once per distinct word.
 
@@ -185,9 +194,13 @@ class LibraryEncoder:
         self.ends = np.zeros(1 + max(vocab.values()), bool)
         if suffix:
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        # Words that are cut and lower-cased already need no more than the steps after the library's own cut.
+        self.cut = Tokenizer.from_str(quick) if (quick := _without_cut(self.library.to_str())) else self.library
         self.width = 2 if max(len(self.ends), end_id + 1) <= 1 << 16 else 4
         self.end = end_id.to_bytes(self.width, "little")
-        self.known: dict[str, bytes] = {}
+        # Of what is remembered the older half goes when there is too much; what was used since has moved to the younger one.
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
@@ -196,7 +209,7 @@ class LibraryEncoder:
         out: list[bytes] = []
         for i in range(0, len(words), ASKED):
             part = words[i : i + ASKED]
-            ids = np.array(self.library.encode("\n".join(part), add_special_tokens=False).ids, f"<u{self.width}")
+            ids = np.array(self.cut.encode("\n".join(part), add_special_tokens=False).ids, f"<u{self.width}")
             ends = (np.flatnonzero(self.ends[ids]) + 1) * self.width
             if len(ends) == len(part):
                 raw, bounds = ids.tobytes(), [0, *ends.tolist()]
@@ -205,38 +218,53 @@ class LibraryEncoder:
                 out += self._ask(part)
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text with the end id, packed.
-
-        Words are looked up as one series per text, and only those that are not remembered are looked at one by one.
-        """
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        look = self.known.get
-        packed: list[list[bytes | None]] = []
-        gaps: list[tuple[list, list[str], dict]] = []
-        fresh: dict[str, bytes] = {}
-        other: dict[str, bytes] = {}
-        for text in texts:
-            if not text:
-                pieces, new = [], fresh
-            elif _is_plain(text):
-                pieces, new = (_ASCII_WORDS if text.isascii() else _WORDS).findall(text.lower()), fresh
-            else:
+    def _ids_of(self, words: list[str], ask: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """Ids of distinct words; those that are not remembered are asked for."""
+        found = list(map(self.known.get, words))
+        if None not in found:
+            return found
+        missing = [w for w, ids in zip(words, found) if ids is None]
+        new = {w: ids for w in missing if (ids := self.older.get(w)) is not None}
+        unknown = [w for w in missing if w not in new]
+        new.update(zip(unknown, ask(unknown)))
+        self.known.update((w, ids) for w, ids in new.items() if len(w) <= CACHED_WORD)
+        return [new[w] if ids is None else ids for w, ids in zip(words, found)]
+
+    def _encode_plain(self, texts: pa.Array) -> list[bytes]:
+        """Ids of plain texts: Arrow cuts them and numbers the distinct words, so a word is looked up once per batch."""
+        cut = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), _MARKS, r" \0 "))
+        words = cut.flatten().dictionary_encode()
+        names = pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary.cast(pa.string()))
+        # No word holds a line feed. The empty one stands before and after blanks and has no ids.
+        known = self._ids_of(pc.binary_join(names, "\n")[0].as_py().split("\n"), self._ask_words)
+        each = pa.array(known, pa.large_binary()).take(words.indices)
+        _, at, ids = each.buffers()
+        ends = np.frombuffer(at, np.int64)[cut.offsets.to_numpy()].tolist()
+        raw = ids.to_pybytes() if ids else b""
+        return [raw[s:e] for s, e in zip(ends, ends[1:])]
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """Ids of each text with the end id, packed."""
+        if len(self.known) > CACHE_WORDS // 2:
+            self.known, self.older = {"": b""}, self.known
+        column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        whole = column.to_pylist()
+        plain = [bool(t) and _is_plain(t) for t in whole]
+        quick = iter(self._encode_plain(column.filter(pa.array(plain, pa.bool_()))) if any(plain) else [])
+        out: list[bytes] = []
+        for text, simple in zip(whole, plain):
+            if simple:
+                ids = next(quick)
+            elif text:
                 # No word crosses white space, so its pieces stand for themselves.
-                pieces, new = [text] if _CONTROL.search(text) else _CHUNKS.findall(text), other
-            found = list(map(look, pieces))
-            if None in found:
-                new.update((w, b"") for w, ids in zip(pieces, found) if ids is None)
-                gaps.append((found, pieces, new))
-            packed.append(found)
-        for new, ask in ((fresh, self._ask_words), (other, self._ask)):
-            new.update(zip(new, ask(list(new))))
-        for found, pieces, new in gaps:
-            found[:] = [new[w] if ids is None else ids for w, ids in zip(pieces, found)]
-        for new in (fresh, other):
-            self.known.update((w, ids) for w, ids in new.items() if len(w) <= CACHED_WORD)
-        return [b"".join(found) + self.end for found in packed]
+                pieces = [text] if _CONTROL.search(text) else _CHUNKS.findall(text)
+                distinct = list(dict.fromkeys(pieces))
+                found = dict(zip(distinct, self._ids_of(distinct, self._ask)))
+                ids = b"".join([found[w] for w in pieces])
+            else:
+                ids = b""
+            out.append(ids + self.end)
+        return out
 
 
 _ENCODERS: dict[tuple, LibraryEncoder] = {}
@@ -269,11 +297,11 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int, fi
 
         def run(doc_ids, texts):
             ids = pc.fill_null(doc_ids, -(1 << 63)).to_numpy()
-            return [pa.array(encode(texts.to_pylist()), pa.binary()), pa.array(np.searchsorted(bounds, ids, "left"))]
+            return [pa.array(encode(texts), pa.binary()), pa.array(np.searchsorted(bounds, ids, "left"))]
 
         return run
 
-    packed = with_columns_from(plain, ["doc_id", "text"], [T.StructField("ids", T.BinaryType()), T.StructField("part", T.LongType())], make)
+    packed = with_columns_from(plain, ["doc_id", "text"], [T.StructField("ids", T.BinaryType()), T.StructField("part", T.LongType())], make, BATCH_ROWS)
     ordered = packed.select("part", "doc_id", "ids").repartition("part").sortWithinPartitions("part", "doc_id", "ids")
 
     def pack(batches: Iterator[dict]) -> Iterator[dict]:

@@ -4,10 +4,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from lumirank.llm import token_files
 from lumirank.llm.bpe import Encoder, decode_ids, encode_texts, token_report
 from lumirank.llm.token_files import EliasFano, LibraryEncoder, TokenFile, pack_file, token_file_report
 
@@ -105,6 +107,20 @@ def test_word_ids_as_the_library_makes_them():
         assert np.frombuffer(packed, "<u2").tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 2], repr(text)
 
 
+def test_words_in_use_are_asked_once_and_the_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 40)
+    ours, library = LibraryEncoder(WORD, 2), Tokenizer.from_file(WORD)
+    asked, ask = [], ours._ask_words
+    monkeypatch.setattr(ours, "_ask_words", lambda words: asked.extend(words) or ask(words))
+    for i in range(20):
+        fresh = "".join("abcdefghij"[int(d)] for d in f"{i:03d}")
+        texts = [f"It's the_same, ALWAYS! {fresh}x {fresh}y,{fresh}z", "the\u00a0\u00c9cole the 'S 1st 22", " \x0b\n", f"\u4e2d {fresh}"]
+        for text, packed in zip(texts, ours.encode(pa.array(texts))):
+            assert np.frombuffer(packed, "<u2").tolist() == [*library.encode(text, add_special_tokens=False).ids, 2], repr(text)
+        assert len(ours.known) + len(ours.older) <= 80
+    assert len(asked) == len(set(asked))
+
+
 def test_files_of_awkward_rows(docs, rows, no_docs):
     library = Tokenizer.from_file(WORD)
     made = []
