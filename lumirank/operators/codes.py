@@ -18,13 +18,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumirank.operators.search import _BUFFER_ROWS, _DIGITS, BROADCAST_BYTES, _final, _matrix, _ranked, _sides, _spread
-from lumirank.plans.scratch import scratch_table
+from lumirank.plans.scratch import scratch_parts, scratch_table
 
 SAMPLE_ROWS = 20_000
 SAMPLE_BYTES = 64 << 20
@@ -205,17 +206,21 @@ def _look_up(batches: Iterator[pa.RecordBatch], model: CodeModel, unit: np.ndarr
         for at in range(0, len(cells), _TILE_ROWS):
             cell, code = cells[at : at + _TILE_ROWS], codes[at : at + _TILE_ROWS]
             stands_for = (books[np.arange(parts), code].reshape(len(cell), -1) + centres[cell]).T
-            for first in range(0, n_queries, _TILE_QUERIES):
-                some = slice(first, first + _TILE_QUERIES)
+            visitors = np.arange(n_queries)
+            if probed is not None:
+                here = np.unique(cell)
+                visitors = np.flatnonzero(seen_by[here].any(axis=0))
+            for first in range(0, len(visitors), _TILE_QUERIES):
+                some = visitors[first : first + _TILE_QUERIES]
                 look = own[some] @ stands_for
-                if probed is not None:
-                    look[~seen_by[cell, some].T] = -np.inf
+                if probed is not None and len(here) > 1:
+                    look[~seen_by[np.ix_(cell, some)].T] = -np.inf
                 least = np.nextafter(floor[some], np.float32(np.inf))
                 if len(cell) > rerank and np.isneginf(floor[some]).any():
                     least = np.maximum(least, np.partition(look, -rerank, axis=1)[:, -rerank])
                 spot = np.flatnonzero(look >= least[:, None])
                 query, place = np.divmod(spot, len(cell))
-                buffer.append((query + first, place + (start + at), look.ravel()[spot]))
+                buffer.append((some[query], place + (start + at), look.ravel()[spot]))
                 held += len(query)
             if held > max(_BUFFER_ROWS, 2 * n_queries * rerank):
                 best, buffer, held = merge(), [], 0
@@ -242,7 +247,8 @@ def knn_join_codes(
 
     `collection` is a stored index, or rows, which are coded and written first (by `model`, or one fitted to them).
     `n_probe` restricts each query to the cells nearest to it. Queries go in parts, so that the vectors and
-    the candidates of a part fit a broadcast; each part scans the codes once and looks up its candidates' vectors once. More
+    the candidates of a part fit a broadcast; each part scans the codes once and looks up its candidates' vectors once. Where
+    there are several, they are run and written here one after the other, so the driver holds the broadcasts of one. More
     rows to re-rank give a better answer; as many as there are rows give the exact one.
     """
     if not isinstance(collection, StoredIndex):
@@ -260,20 +266,27 @@ def knn_join_codes(
     n_queries = wanted.count()
     per_query = max(8 * model.dim, _CANDIDATE_BYTES * rerank)
     parts = max(1, -(-n_queries * per_query // broadcast_bytes))
-    if parts > 1:
-        wanted = scratch_table(wanted, "queries")
-    out = None
-    for part in range(parts):
-        some = wanted.where(_spread(query_id, F.lit(parts), 3) == part) if parts > 1 else wanted
-        table = some.toArrow()
-        if table.num_rows:
-            found = _part(index, sides, table, rerank, n_probe, query_id, id_col, schema)
-            out = found if out is None else out.unionByName(found)
-    return _final(spark.createDataFrame([], schema) if out is None else out, k, query_id, id_col)
-
-
-def _part(index: StoredIndex, sides, table: pa.Table, rerank: int, n_probe: int | None, query_id: str, id_col: str, schema) -> DataFrame:
-    """Exact scores of the candidates of one part of the queries."""
+    if not n_queries:
+        return _final(spark.createDataFrame([], schema), k, query_id, id_col)
+    if parts == 1:
+        return _final(_part(index, sides, wanted.toArrow(), rerank, n_probe, query_id, id_col, schema)[0], k, query_id, id_col)
+    wanted = scratch_table(wanted, "queries")
+
+    def found() -> Iterator[DataFrame]:
+        for part in range(parts):
+            table = wanted.where(_spread(query_id, F.lit(parts), 3) == part).toArrow()
+            if table.num_rows:
+                scored, shared = _part(index, sides, table, rerank, n_probe, query_id, id_col, schema)
+                yield _final(scored, k, query_id, id_col)
+                shared.destroy()
+
+    return scratch_parts(found(), "found")
+
+
+def _part(
+    index: StoredIndex, sides, table: pa.Table, rerank: int, n_probe: int | None, query_id: str, id_col: str, schema
+) -> tuple[DataFrame, Broadcast]:
+    """Exact scores of the candidates of one part of the queries, and what is broadcast for them."""
     spark, model = index.rows.sparkSession, index.model
     unit = _matrix(table["_v"], model.dim)
     probed = None
@@ -282,25 +295,24 @@ def _part(index: StoredIndex, sides, table: pa.Table, rerank: int, n_probe: int
         half = (model.centres**2).sum(axis=1) / 2
         probed = np.argsort(-(unit @ model.centres.T - half), axis=1, kind="stable")[:, :n_probe]
         rows = _visited(index, np.unique(probed))
-    shared = spark.sparkContext.broadcast((model, unit, probed))
+    shared = spark.sparkContext.broadcast((model, unit, probed, table[query_id].combine_chunks()))
     looked = T.StructType([T.StructField("_q", T.LongType()), T.StructField(id_col, schema[id_col].dataType), T.StructField("score", T.FloatType())])
 
     def look(batches):
-        query, place, score, ids = _look_up(batches, *shared.value, rerank)
+        query, place, score, ids = _look_up(batches, *shared.value[:3], rerank)
         if len(query):
             every = pa.concat_arrays(ids)
             columns = [pa.array(query), every.take(pa.array(place)), pa.array(score)]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, to_arrow_schema(looked))], schema=to_arrow_schema(looked))
 
-    codes = rows.select(F.col(id_col).alias("id"), "cell", "code").mapInArrow(look, looked)
+    # No more tasks than cores: each brings up to `rerank` rows per query.
+    codes = rows.select(F.col(id_col).alias("id"), "cell", "code").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(look, looked)
     # `rerank` rows per query of a part that was counted.
     candidates = F.broadcast(_final(codes, rerank, "_q", id_col).select("_q", id_col))
-    query_ids = table[query_id].combine_chunks()
     names = schema.fieldNames()
-    held = spark.sparkContext.broadcast((unit, query_ids))
 
     def score(batches):
-        unit, query_ids = held.value
+        _, unit, _, query_ids = shared.value
         for batch in batches:
             q = batch["_q"].to_numpy()
             vectors = _matrix(batch["_v"], unit.shape[1])
@@ -309,7 +321,7 @@ def _part(index: StoredIndex, sides, table: pa.Table, rerank: int, n_probe: int
             made = {query_id: query_ids.take(batch["_q"]), "score": pa.array(exact)}
             yield pa.RecordBatch.from_arrays([made[n] if n in made else batch[n] for n in names], schema=to_arrow_schema(schema))
 
-    return sides(rows)[1].join(candidates, id_col).mapInArrow(score, schema)
+    return sides(rows)[1].join(candidates, id_col).mapInArrow(score, schema), shared
 
 
 def top_k_codes(

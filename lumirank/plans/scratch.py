@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,16 +48,34 @@ def scratch_table(df: DataFrame, name: str = "table", drop_shuffles: bool = Fals
     stay until the driver's garbage is collected, and then for as long as anything still refers to the write.
     """
     path = scratch_path(df.sparkSession, name)
+    _write(df, path, "errorifexists", drop_shuffles)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch_parts(parts: Iterable[DataFrame], name: str = "parts") -> DataFrame:
+    """Write frames of one layout, one at least, one after the other and return a reader of all their rows.
+
+    Made one at a time, as by a generator, the driver holds the plan and the broadcasts of one of them, however many
+    there are, and the shuffle files of each go when it is written.
+    """
+    path = None
+    for df in parts:
+        spark, schema = df.sparkSession, df.schema
+        path = path or scratch_path(spark, name)
+        _write(df, path, "append", True)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _write(df: DataFrame, path: str, mode: str, drop_shuffles: bool) -> None:
     conf = df.sparkSession.conf
     before = conf.get(_CLEANUP, "false")
     if drop_shuffles:
         conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.mode(mode).parquet(path)
     finally:
         if drop_shuffles:
             conf.set(_CLEANUP, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def qualified(spark: SparkSession, path: str) -> str:

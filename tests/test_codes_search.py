@@ -49,6 +49,26 @@ def test_all_rows_reranked_is_the_exact_answer(spark, limit):
     assert found.where(F.col("name") != F.concat(F.lit("n"), F.col("id"))).count() == 0
 
 
+def test_parts_of_the_queries_leave_no_broadcasts(spark, monkeypatch):
+    """Each part is over, and what was broadcast for it gone, before the next one; what is returned only reads rows."""
+    q, c = frames(spark, 6)
+    q = q.where("query_id < 150")
+    part, made = codes._part, []
+
+    def one(*args):
+        assert not any(b._jbroadcast.isValid() for b in made)
+        found, shared = part(*args)
+        made.append(shared)
+        return found, shared
+
+    monkeypatch.setattr(codes, "_part", one)
+    found = codes.knn_join_codes(q, c, 7, rerank=600, broadcast_bytes=600 * 96 * 10)
+    assert len(made) == 5 and not any(b._jbroadcast.isValid() for b in made)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and "Broadcast" not in plan and "MapInArrow" not in plan
+    assert answers(found) == answers(search.knn_join(q, c, 7))
+
+
 def test_few_rows_reranked_find_most(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.standard_normal(DIM).tolist()) for i in range(2000)]
