@@ -97,6 +97,14 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in listed if s.isDirectory())
 
 
+def waiting_files(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
+    """Name and number of files of each folder or file that a pattern names; the driver gets counts, not files."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    system = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    listed = [(s.getPath(), s.isDirectory()) for s in system.globStatus(found) or []]
+    return sorted((p.getName(), system.getContentSummary(p).getFileCount() if folder else 1) for p, folder in listed)
+
+
 def release(table: DataFrame) -> None:
     """Delete a scratch table that nothing reads any more."""
     files = table.inputFiles()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -21,8 +22,10 @@ from lumirank.sources import collection, logs, queries as text_queries
 from lumirank.sources.envelopes import read_envelopes
 from lumirank.sources.images import (
     IMAGE_SCHEMA,
+    image_backlogs,
     read_image_stream,
     read_images,
+    small_files,
     strip_pixels,
     with_image_path,
     with_preprocess_time,
@@ -784,11 +787,17 @@ def read_image_files(spark, d):
 
 
 def stream_image_files(spark, d):
-    """The same folder as a stream of images."""
-    images = read_image_stream(spark, _bitmap_files(spark, d) + "/*", files_per_trigger=200, most_triggers=64)
-    out = scratch_path(spark, "stream")
-    finished(to_files(images, out, scratch_path(spark, "progress")))
-    return _read_images_of(spark.read.schema(IMAGE_SCHEMA).parquet(out))
+    """The same folder as a stream of images; a long backlog is taken by one stream after the other, some folders each."""
+    written = []
+    for folders, triggers in image_backlogs(spark, _bitmap_files(spark, d), most_triggers=64):
+        out = scratch_path(spark, "stream")
+        with small_files(spark):
+            images = read_image_stream(spark, folders, files_per_trigger=200, most_triggers=triggers)
+            query = to_files(images, out, scratch_path(spark, "progress"))
+        finished(query)
+        written.append(spark.read.schema(IMAGE_SCHEMA).parquet(out))
+    none = spark.createDataFrame([], IMAGE_SCHEMA)
+    return _read_images_of(reduce(DataFrame.unionByName, written or [none]))
 
 
 def resolve_image_files(spark, d):

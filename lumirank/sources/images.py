@@ -3,17 +3,29 @@
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumirank.plans.scratch import qualified
+from lumirank.plans.scratch import qualified, waiting_files
 
 IMAGE_SCHEMA = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
 
 
 FOLDER_FILES = 1000  # files of one folder that a task writes
+BACKLOG_FILES = 40_000  # waiting files that are left to one stream, whose driver lists and remembers all of them
+
+# For many small files: a task reads as many as there is work for, listing takes a few tasks instead of one a file, and
+# the driver does not keep what it has listed.
+_SMALL_FILES_CONF = {
+    "spark.sql.files.openCostInBytes": str(64 << 10),
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
+    "spark.sql.hive.filesourcePartitionFileCacheSize": "0",
+}
 
 
 def write_image_files(rows: DataFrame, path: str, name: str = "name", data: str = "data") -> None:
@@ -64,11 +76,12 @@ def read_image_stream(
     """A directory that keeps receiving images, as a stream.
 
     With `most_triggers` the files that are there already are counted, and a trigger takes more than `files_per_trigger` of
-    them where they would need more micro-batches than that: each one costs a look at all files that were seen.
+    them where they would need more micro-batches than that: each one costs a look at all files that were seen. The
+    driver remembers every file of a stream; see `image_backlogs`.
     """
     if most_triggers:
-        waiting = spark.read.format("binaryFile").load(path)._jdf.inputFiles()
-        files_per_trigger = max(files_per_trigger, -(-len(waiting) // most_triggers))
+        waiting = sum(n for _, n in waiting_files(spark, path))
+        files_per_trigger = max(files_per_trigger, -(-waiting // most_triggers))
     return (
         spark.readStream.format("image")
         .schema(IMAGE_SCHEMA)
@@ -78,6 +91,44 @@ def read_image_stream(
     )
 
 
+def image_backlogs(
+    spark: SparkSession, path: str, most_triggers: int | None = None, most_files: int = BACKLOG_FILES
+) -> list[tuple[str, int | None]]:
+    """The folders right under a folder in groups for a stream each: a pattern, and its share of `most_triggers`, one at least.
+
+    A group holds at most `most_files` files, or one folder. Streams that take one group after the other list and
+    remember as many files on the driver as one of them has, however many wait.
+    """
+    found = [(name, n) for name, n in waiting_files(spark, f"{path}/*") if n]
+    groups, room = [], 0
+    for name, n in found:
+        if n > room:
+            groups.append([])
+            room = most_files
+        groups[-1].append((name, n))
+        room -= n
+    total = sum(n for _, n in found)
+    out = []
+    for group in groups:
+        names = ",".join(re.sub(r"([][{}*?,^\\])", r"\\\1", name) for name, _ in group)
+        share = most_triggers and max(1, most_triggers * sum(n for _, n in group) // total)
+        out.append((f"{path}/{{{names}}}", share))
+    return out
+
+
+@contextmanager
+def small_files(spark: SparkSession) -> Iterator[None]:
+    """Settings for reading many small files; a stream keeps those it is started with."""
+    before = {key: spark.conf.get(key, None) for key in _SMALL_FILES_CONF}
+    for key, value in _SMALL_FILES_CONF.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def strip_pixels(df: DataFrame) -> DataFrame:
     """Drop the pixel bytes from the image struct."""
     return df.withColumn("image", F.col("image").dropFields("data"))

@@ -291,3 +291,27 @@ def test_a_backlog_takes_few_triggers(spark, folder, tmp_path):
     query = images_.writeStream.foreachBatch(lambda df, i: batches.append(df.count())).trigger(availableNow=True)
     query.option("checkpointLocation", str(tmp_path / "progress")).start().awaitTermination()
     assert sum(batches) == len(SOLIDS) + 1 and len(batches) == 3
+
+
+def test_a_long_backlog_is_taken_by_groups_of_folders(spark, folder, tmp_path):
+    """Every file is in one group, and no driver remembers more files than a group has."""
+    for name, files in (("a", 3), ("b,1", 2), ("c d", 1), ("e", 7), ("none", 0)):
+        (tmp_path / "in" / name).mkdir(parents=True)
+        for i in range(files):
+            (tmp_path / "in" / name / f"{i}.png").write_bytes(png(SOLIDS["rgb.png"][0]))
+    groups = images.image_backlogs(spark, f"{tmp_path}/in", most_triggers=6, most_files=5)
+    assert [share for _, share in groups] == [2, 1, 3]
+    before = {key: spark.conf.get(key, None) for key in images._SMALL_FILES_CONF}
+    counts, origins = [], set()
+    for n, (pattern, share) in enumerate(groups):
+        batches = []
+        with images.small_files(spark):
+            stream = images.read_image_stream(spark, pattern, files_per_trigger=1, most_triggers=share)
+            query = stream.writeStream.foreachBatch(lambda df, i: batches.append([r[0] for r in df.select("image.origin").collect()]))
+            query = query.option("checkpointLocation", f"{tmp_path}/p{n}").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert len(batches) <= share
+        counts.append(sum(map(len, batches)))
+        origins.update(x for b in batches for x in b)
+    assert counts == [5, 1, 7] and len(origins) == 13
+    assert before == {key: spark.conf.get(key, None) for key in images._SMALL_FILES_CONF}
