@@ -22,13 +22,14 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumirank.functions.records import resolve_path
-from lumirank.plans.scratch import scratch_table
+from lumirank.plans.scratch import scratch_parts, scratch_table
 
 BROADCAST_BYTES = 64 << 20  # most query-vector bytes sent to every executor
 BLOCK_BYTES = 64 << 20  # vector bytes of one block of the grid or of a cell
@@ -54,8 +55,12 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     if column.null_count or (len(column) and (np.diff(column.offsets.to_numpy()) != dim).any()):
         raise ValueError(f"every vector must have {dim} values; split the others off first")
     m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
-    norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+    for at in range(0, len(m), _TILE_ROWS):  # in place: a driver holds a part of the queries once
+        tile = m[at : at + _TILE_ROWS]
+        norms = np.sqrt((tile * tile).sum(axis=1, keepdims=True))
+        np.divide(tile, norms, out=tile, where=norms > 0)
+        tile[~(norms > 0)[:, 0]] = 0
+    return m
 
 
 def _best(found: pa.Table, k: int, id_col: str) -> pa.Table:
@@ -201,10 +206,13 @@ def _small_side(queries: DataFrame, query_id: str, vec: str, limit_bytes: int) -
     return table if table.num_rows <= most else None
 
 
-def _scan_plan(spark, small: pa.Table, coll: DataFrame, k: int, query_id: str, id_col: str, vec: str, schema):
+def _scan_plan(
+    spark, small: pa.Table, coll: DataFrame, k: int, query_id: str, id_col: str, vec: str, schema
+) -> tuple[DataFrame, Broadcast | None]:
+    """The best rows of each partition, and what is broadcast for them."""
     columns = schema.fieldNames()
     if not small.num_rows:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema), None
     ids = small[query_id].combine_chunks()
     dim = len(small[1][0])
     shared = spark.sparkContext.broadcast((_matrix(small[1], dim), ids))
@@ -216,7 +224,7 @@ def _scan_plan(spark, small: pa.Table, coll: DataFrame, k: int, query_id: str, i
         for out in _emit(best, query_ids, query_id, columns, carried):
             yield from out.to_batches()
 
-    return coll.mapInArrow(scan, schema)
+    return coll.mapInArrow(scan, schema), shared
 
 
 def _nearest_pivot(df: DataFrame, vec: str, pivots, dim: int) -> DataFrame:
@@ -266,14 +274,16 @@ def _many_queries_plan(
     if parts <= max_scans:
         # More scans than moving the vectors would cost are made only where a broadcast holds no more.
         parts = min(parts, max(MAX_SCANS, -(-n_queries * vector_bytes // BROADCAST_BYTES)))
-        found = []
-        for part in range(parts):
-            some = queries.where(_spread(query_id, F.lit(parts), 3) == part).select(query_id, vec).toArrow()
-            found.append(scratch_table(_scan_plan(spark, some, rows, k, query_id, id_col, vec, schema), "found"))
-        out = found[0]
-        for more in found[1:]:
-            out = out.unionByName(more)
-        return out
+
+        def found():
+            for part in range(parts):
+                some = queries.where(_spread(query_id, F.lit(parts), 3) == part).select(query_id, vec).toArrow()
+                scanned, shared = _scan_plan(spark, some, rows, k, query_id, id_col, vec, schema)
+                yield scanned
+                if shared:
+                    shared.destroy()
+
+        return scratch_parts(found(), "found")
 
     # Every query block meets every row block; a block of either side is repeated for the blocks of the other.
     q_blocks = _block_count(n_queries * vector_bytes, block_bytes)
@@ -406,7 +416,7 @@ def knn_join(
     wanted, coll, schema = _sides(queries, collection, query_id, query_vec, id_col, vec_col, carry)
     small = _small_side(wanted, query_id, "_v", broadcast_bytes)
     if small is not None:
-        local = _scan_plan(coll.sparkSession, small, coll, k, query_id, id_col, "_v", schema)
+        local, _ = _scan_plan(coll.sparkSession, small, coll, k, query_id, id_col, "_v", schema)
     else:
         local = _many_queries_plan(wanted, coll, k, query_id, id_col, "_v", schema, broadcast_bytes, block_bytes, max_scans)
     return _final(local, k, query_id, id_col)

@@ -232,3 +232,23 @@ def test_carried_columns_are_held_once_per_row(spark, monkeypatch):
     assert [p.num_rows for p in parts][:-1] == [50] * (len(parts) - 1)
     out = pa.concat_tables(parts)
     assert out["text"].to_pylist() == [f"row {i}" for i in out["id"].to_pylist()]
+
+
+def test_parts_of_the_queries_leave_no_broadcasts(spark, monkeypatch):
+    """What was broadcast for a scan is gone before the next one."""
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, rng.standard_normal(8).tolist()) for i in range(300)], "id long, values array<float>")
+    q = rows.select(F.col("id").alias("query_id"), F.col("values").alias("embedding"))
+    plan, made = search._scan_plan, []
+
+    def one(*args):
+        assert not any(b._jbroadcast.isValid() for b in made)
+        scanned, shared = plan(*args)
+        made.append(shared)
+        return scanned, shared
+
+    whole = sorted(map(tuple, search.knn_join(q, rows, 3).collect()))
+    monkeypatch.setattr(search, "_scan_plan", one)
+    found = search.knn_join(q, rows, 3, broadcast_bytes=64 * 60)
+    assert len(made) == 5 and not any(b._jbroadcast.isValid() for b in made)
+    assert sorted(map(tuple, found.collect())) == whole
